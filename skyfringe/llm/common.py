@@ -47,3 +47,8 @@ def word_array(text: Column) -> Column:
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), with whatever further columns are named; all other columns go."""
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *more)
+
+
+def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str, *, rows: int) -> DataFrame:
+    """Join with ``small``: broadcast when it has at most ``rows`` rows by count, by shuffle otherwise."""
+    return df.join(F.broadcast(small) if small.count() <= rows else small, on, how)

@@ -9,18 +9,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, secret_scan
 from .common import read_table
 from .sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["number"] < len(secret_scan.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = F.sha2(secret_scan.spans_text(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *(count(r.kind) for r in secret_scan.BASE_RULES), text, secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
