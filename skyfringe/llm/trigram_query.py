@@ -50,7 +50,9 @@ def _node(op, value) -> tuple[set[str] | None, Query]:
     if name == "BRANCH":
         found = [_sequence(x) for x in value[1]]
         known = all(strings is not None for strings, _ in found)
-        return (set().union(*(s for s, _ in found)) if known else None), _any([_all([q, _of_strings(s) if s else None]) for s, q in found])
+        if known:
+            return set().union(*(s for s, _ in found)), None
+        return None, _any([_all([q, _of_strings(s) if s else None]) for s, q in found])
     if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
         low, high, body = value
         strings, query = _sequence(body)
