@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan
+from . import mixing, packing, quality, secret_scan, token_count, token_file
 from .common import read_table
 from .sql import QUALITY_SQL
 
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,5 +36,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules)}
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end_id=2)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_file.token_files(read_table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
+    return token_file.read_tokens(spark, path)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
