@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secret_scan, token_count, token_file
+from . import jaccard, langid, mixing, packing, quality, secret_scan, token_count, token_file
 from .common import read_table
 from .sql import QUALITY_SQL
 
@@ -45,6 +45,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    rows = docs.withColumn("held_out", held_out)
+    model = langid.train(rows.where(~F.col("held_out")))
+    return langid.identify(rows, model, "held_out").select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end_id=2)
 
@@ -59,5 +67,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op6_jaccard_join, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
