@@ -19,8 +19,9 @@ import numpy as np
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPECIAL = "<|endoftext|>"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+MARKS = ".,;:!?%&$*#|"
 #: Texts are handled so many characters at a time, at least one text.
-AT_ONCE = 1_000_000
+AT_ONCE = 60_000
 
 
 def chunks(text: str) -> list[str]:
@@ -62,8 +63,7 @@ class Memo:
                 new = list(set().union(*split))
             self.known.update(zip(new, self.encode(new), strict=True))
             get = self.known.__getitem__
-            for x in split:
-                yield list(map(get, x))
+            yield from (list(map(get, x)) for x in split)
             for x in new:
                 if len(x) > self.longest:
                     del self.known[x]
@@ -79,12 +79,19 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(new: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = []
+        ends: dict[str, str] = {}  # a word and the marks after it are pre-tokens apart, so words are encoded once
+        words: set[str] = set()
         for x in new:
-            if x == SPECIAL or x[-1:].isspace() or "\n" in x:
+            if x == SPECIAL or x[-1:].isspace():
                 out[x] = np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            word = x.rstrip(MARKS)
+            if len(word) < len(x) and word.isascii() and word.lstrip(" ").isalpha():
+                ends[x] = word
+                words.update((word, x[len(word) :]))
             else:
-                plain.append(x)
+                words.add(x)
+        plain = list(words)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             # One call for many chunks; the line breaks between them are tokens of their own.
@@ -93,9 +100,9 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             cuts = np.flatnonzero(ids == newline)
             raw = ids.tobytes()
             starts = [0, *(4 * (cuts + 1)).tolist()]
-            ends = [*(4 * cuts).tolist(), len(raw)]
-            out.update((x, raw[a:b]) for x, a, b in zip(some, starts, ends, strict=True))
-        return [out[x] for x in new]
+            stops = [*(4 * cuts).tolist(), len(raw)]
+            out.update((x, raw[a:b]) for x, a, b in zip(some, starts, stops, strict=True))
+        return [out[w] + out[x[len(w) :]] if (w := ends.get(x)) is not None else out[x] for x in new]
 
     return encode
 
@@ -103,4 +110,4 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 @lru_cache(maxsize=2)
 def library_memo(path: str) -> Memo:
     """One memo a Python worker, kept from task to task."""
-    return Memo(library_encoder(path), most=700_000)
+    return Memo(library_encoder(path), most=1_500_000)
