@@ -7,8 +7,9 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two sets
 2. PartEnum: sizes fall into bands so that linked sets are in the same band or the next; a set takes part in its own
    band and the one above. In a band, linked sets differ in at most k elements. Elements are dealt by hash into n1
    groups of n2 parts. With more than k // 2 groups, some group differs in at most one part, so two linked sets agree
-   on some n2 - 1 parts of some group: these subsets, with their elements' sum, are the signatures. Subsets without
-   elements give no signature; a set that has one in too many groups for that to be safe gives one signature for it.
+   on some n2 - 1 parts of some group: these subsets, with their elements' sum, are the signatures. There are more
+   groups than needed, so empty subsets, which say nothing, give no signature as long as the groups that have one are too
+   few to hold all the agreement; the rare set with more of them gives one signature for emptiness too.
 3. Of the texts that share a signature, the one with most such company is the pivot, and all others are compared
    with it. Links give first components.
 4. Where a signature still has several components, every text outside its largest component is compared with every
@@ -110,8 +111,9 @@ class PartEnum:
         """(k, n1, n2) of a band; k = 0 needs no signature, as equal sets are one class."""
         top = self.lows[band + 1] - 1
         k = 2 * top * (self.den - self.num) // (self.den + self.num)
-        n1 = k // 2 + 2 + k // 100
-        return k, n1, 3 if k <= 8 else 2
+        if k <= 8:
+            return k, k // 2 + 2, 3
+        return k, k // 2 + 3 + k // 16, 2
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The 64-bit signatures of a sorted set of hashes."""
@@ -207,7 +209,7 @@ def _block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.n
     return out
 
 
-def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, num: int, den: int, *, block: int = 256, unit_rows: int = 1024) -> DataFrame:
+def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, num: int, den: int, *, block: int = 512, unit_rows: int = 1024) -> DataFrame:
     """Links (a, b) among left x right of each hub; both sides have distinct (hub, node)."""
     count = lambda side, name: side.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     blocks = count(left, "nl").join(count(right, "nr"), "hub")
