@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secret_scan, token_count, token_file
+from . import ann, jaccard, langid, mixing, packing, quality, secret_scan, token_count, token_file
 from .common import read_table
 from .sql import QUALITY_SQL
 
@@ -41,6 +41,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -67,5 +71,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
