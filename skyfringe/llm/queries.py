@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, mixing, packing, quality, secret_scan, token_count, token_file
+from . import ann, jaccard, langid, lm_mixing, mixing, packing, quality, secret_scan, token_count, token_file
 from .common import read_table
 from .sql import QUALITY_SQL
 
@@ -23,6 +23,11 @@ def byte_bpe() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_mixing.score_documents(read_table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["number"] < len(secret_scan.BASE_RULES))
@@ -71,5 +76,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
