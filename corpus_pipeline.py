@@ -5,17 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfringe.llm import quality
-from skyfringe.llm.common import materialize, read_table
+from skyfringe.llm import jaccard, mixing, packing, quality, secret_scan
+from skyfringe.llm.common import join_small, materialize, read_table
+from skyfringe.llm.queries import byte_bpe
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    return quality.quality_rules(rows, "__row").where("kept").select("__row.*")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
+    return quality.quality_rules(rows, "__doc").where("kept").select("__doc.*")
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one that names the group.
+
+    Documents without a doc_id stay.
+    """
+    known = materialize(jaccard.jaccard_components(docs, n=5, num=80, den=100))
+    copies = known.where("doc_id <> component_id").select("doc_id").distinct()
+    return join_small(docs, copies, "doc_id", "left_anti", rows=1_000_000)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with a mark in place of each secret in its text; n_chars follows."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
+    found = secret_scan.find_secrets(rows, "__doc").withColumn("__clean", secret_scan.redact(F.col("text"), F.col("spans")))
+    changed = F.size("spans") > 0
+    text = F.when(changed, F.col("__clean")).otherwise(F.col("__doc")["text"])
+    length = F.when(changed, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__doc")["n_chars"])
+    new = {"text": text, "n_chars": length}
+    return found.select(*(new.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix holds them."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__doc"))
+    mixed = mixing.mix_sources(rows, "__doc").where("copies > 0")
+    return mixed.select("__doc", F.explode(F.sequence(F.lit(1), "copies"))).select("__doc.*")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 1,024 tokens."""
+    return packing.pack_documents(docs, byte_bpe(), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("secret_scans", secrets_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: SQL can't express tokenizing or packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
