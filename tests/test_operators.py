@@ -1,0 +1,131 @@
+"""Operators that SQL does not express, held against numpy or against what must hold."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from skyfringe.functions import coordinates as co
+from skyfringe.functions import polarisation as po
+from skyfringe.functions import windows as wi
+from skyfringe.operators import calibration, gridding, images, joins, visibility
+from skyfringe.plans.queries import QUERIES
+from skyfringe.sources.fixtures import view
+from skyfringe.streaming import calibration as streaming
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_solved_gains_leave_no_residual(spark):
+    out = QUERIES["c04_gain_residual"](spark, SF).toPandas()
+    ratios = QUERIES["c02_point_ratios"](spark, SF)
+    assert len(out) and (out["residual"] >= 0).all()
+    g = np.exp(1j * np.linspace(0, 1, 6)) * np.linspace(1, 1.5, 6)
+    rows = [(0, 0, i, j, float((g[i] * g[j].conj()).real), float((g[i] * g[j].conj()).imag), 1.0) for i in range(6) for j in range(i + 1, 6)]
+    exact = spark.createDataFrame(rows, "slot long, chan long, a1 long, a2 long, x_re double, x_im double, weight double")
+    solved = calibration.solve_gains(exact, 6)
+    assert calibration.gain_residual(exact, solved).first()["residual"] < 3e-8
+    assert ratios.columns[:2] == ["slot", "a1"]
+
+
+def test_gains_then_inverse_is_identity(spark):
+    vis, gains = view(spark, SF, "fx_vis").where("chan = 1"), view(spark, SF, "fx_gain").where("weight > 0")
+    there = joins.apply_gains(vis, gains, interval=160.0, first=75.0)
+    back = joins.apply_gains(there, gains, interval=160.0, first=75.0, inverse=True).select(*visibility.KEY, F.col("vis_re").alias("r"), F.col("vis_im").alias("i"))
+    off = back.join(vis, visibility.KEY).agg(F.max(F.abs(F.col("r") - F.col("vis_re")) + F.abs(F.col("i") - F.col("vis_im")))).first()[0]
+    assert off < 1e-9
+
+
+def test_phase_rotation_round_trip(spark):
+    vis = view(spark, SF, "fx_vis").where("chan = 1")
+    there = visibility.phase_rotate(vis, 0.1, -0.5, 0.12, -0.49)
+    back = visibility.phase_rotate(there, 0.1, -0.5, 0.12, -0.49, inverse=True).select(*visibility.KEY, F.col("vis_re").alias("r"))
+    assert back.join(vis, visibility.KEY).agg(F.max(F.abs(F.col("r") - F.col("vis_re")))).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("other", ["linear", "circular"])
+def test_polarisation_round_trip(spark, other):
+    vis = view(spark, SF, "fx_vis").where("chan = 1")
+    keys = ["time", "a1", "a2", "chan"]
+    full = vis.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n = 4").drop("n")
+    vis = vis.join(full, keys, "left_semi")
+    back = po.convert_frame(po.convert_frame(vis, keys, "stokesIQUV", other), keys, other, "stokesIQUV").select(*keys, "pol", F.col("vis_re").alias("r"), F.col("vis_im").alias("i"))
+    off = back.join(vis, visibility.KEY).agg(F.max(F.abs(F.col("r") - F.col("vis_re")) + F.abs(F.col("i") - F.col("vis_im")))).first()[0]
+    assert off < 1e-9
+
+
+def test_coordinate_inverses(spark):
+    df = spark.createDataFrame([(0.3, -0.4, 0.1), (1.2, 0.7, -0.9)], "ha double, dec double, lat double")
+    az, el = co.hadec_to_azel(F.col("ha"), F.col("dec"), F.col("lat"))
+    ha, dec = co.azel_to_hadec(az, el, F.col("lat"))
+    for row in df.select("ha", "dec", ha.alias("h"), dec.alias("d")).collect():
+        assert abs(row.ha - row.h) < 1e-9 and abs(row.dec - row.d) < 1e-9
+    u, v, w = co.xyz_to_uvw(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.col("ha"), F.col("dec"))
+    x, y, z = co.uvw_to_xyz(u, v, w, F.col("ha"), F.col("dec"))
+    for row in df.select(x.alias("x"), y.alias("y"), z.alias("z")).collect():
+        assert np.allclose([row.x, row.y, row.z], [1, 2, 3])
+
+
+def test_invert_is_the_direct_sum_on_grid_points(spark):
+    n, cell = 16, 0.01
+    rng = np.random.default_rng(3)
+    rows = [(0.0, 0, k + 1, 0, 0, float(a) / (n * cell), float(b) / (n * cell), 0.0, float(r), float(i), 1.0, 1.0) for k, (a, b, r, i) in enumerate(zip(rng.integers(-6, 6, 30), rng.integers(-6, 6, 30), rng.normal(size=30), rng.normal(size=30), strict=True))]
+    vis = spark.createDataFrame(rows, "time double, a1 long, a2 long, chan long, pol long, u double, v double, w double, vis_re double, vis_im double, weight double, imaging_weight double")
+    a = gridding.invert(vis, n, cell).select("y", "x", F.col("value").alias("fft"))
+    b = gridding.direct_image(vis, n, cell)
+    assert a.join(b, ["y", "x"]).agg(F.max(F.abs(F.col("fft") - F.col("value")))).first()[0] < 1e-9
+
+
+def test_kernel_sums_to_one_and_degrid_recovers_a_constant(spark):
+    kernel = gridding.spheroidal_kernel(spark, 2, 4)
+    sums = kernel.groupBy("ou", "ov").agg(F.sum("kernel").alias("s")).collect()
+    assert len(sums) == 16 and all(abs(r.s - 1) < 1e-12 for r in sums)
+    vis = view(spark, SF, "fx_vis").where("pol = 0 AND chan = 0")
+    grid = spark.range(64).select(F.col("id").alias("gv")).crossJoin(spark.range(64).select(F.col("id").alias("gu"))).selectExpr("0 AS chan", "0 AS pol", "gv", "gu", "2.0D AS re", "-1.0D AS im")
+    out = gridding.degrid_visibility(vis, grid, kernel, 64, 0.002, 4).toPandas()
+    assert np.allclose(out["vis_re"], 2) and np.allclose(out["vis_im"], -1)
+
+
+def test_hogbom_finds_a_point(spark):
+    psf = pd.DataFrame([(0, 0, y, x, float(np.exp(-((y - 8) ** 2 + (x - 8) ** 2) / 3))) for y in range(17) for x in range(17)], columns=["chan", "pol", "y", "x", "value"])
+    dirty = psf.assign(value=5 * psf["value"])
+    out = gridding.hogbom(spark.createDataFrame(dirty), spark.createDataFrame(psf), fraction=0.01, most=500).toPandas()
+    assert abs(out["model"].sum() - 5) < 0.1 and out.loc[out["model"].idxmax(), ["y", "x"]].tolist() == [8, 8]
+
+
+def test_find_sources_sees_regions(spark):
+    cells = [(0, 0, y, x, 5.0) for y, x in [(1, 1), (1, 2), (2, 3), (3, 4), (9, 9), (9, 10)]]
+    image = spark.createDataFrame(cells, "chan long, pol long, y long, x long, value double")
+    assert sorted(r.pixels for r in images.find_sources(image, 1.0, 1).collect()) == [2, 4]
+    assert images.find_sources(image, 1.0, 3).count() == 1
+
+
+def test_continuum_of_a_line_is_nothing(spark):
+    vis = view(spark, SF, "fx_vis").withColumn("vis_re", 3.0 + 2.0 * F.col("chan"))
+    out = visibility.remove_continuum(vis.where("weight > 0"), ["time", "a1", "a2", "pol"], F.col("chan") / 6, "vis_re", F.col("weight"))
+    counts = vis.where("weight > 0").groupBy("time", "a1", "a2", "pol").count().where("count > 1")
+    assert out.join(counts, ["time", "a1", "a2", "pol"]).agg(F.max(F.abs("vis_re"))).first()[0] < 1e-9
+
+
+def test_empty_selection(spark):
+    none = view(spark, SF, "fx_vis").where("chan > 99")
+    assert visibility.integrate_channels(none).count() == 0
+    assert visibility.coalesce_visibility(none, 2.0, 8, 1.0, 4).count() == 0
+    assert gridding.grid_visibility_fast(none, 64, 0.002).count() == 0
+
+
+def test_spheroidal_is_continuous(spark):
+    row = spark.range(1).select(wi.spheroidal(F.lit(0.7499999)).alias("a"), wi.spheroidal(F.lit(0.7500001)).alias("b"), wi.spheroidal(F.lit(1.1)).alias("c")).first()
+    assert abs(row.a - row.b) < 1e-4 and row.c == 0
+
+
+def test_stream_closes_windows(spark, tmp_path):
+    rows = view(spark, SF, "fx_stream").select(F.col("ts").cast("timestamp").alias("ts"), *(F.col(c).cast("long").alias(c) for c in ("a1", "a2")), "x_re", "x_im", "weight")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    q = streaming.window_ratios(streaming.read_visibilities(spark, str(tmp_path / "in"), 4)).writeStream.outputMode("append").format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    closed = spark.table("closed")
+    batch = streaming.window_ratios(rows)
+    assert 0 < closed.count() <= batch.count()
+    assert closed.join(batch.select("start", "a1", "a2", F.col("weight").alias("w")), ["start", "a1", "a2"]).where("abs(weight - w) > 1e-9").count() == 0
