@@ -47,9 +47,9 @@ def portions(texts: Iterable[str], size: int = AT_ONCE) -> Iterator[list[str]]:
 
 
 class Memo:
-    """What ``encode`` gives for each chunk; chunks longer than ``longest`` are not kept."""
+    """What ``encode`` gives for each new chunk, told what is known; chunks longer than ``longest`` are not kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_000_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str], dict], list], most: int = 1_000_000, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.known: dict = {}
 
@@ -61,7 +61,7 @@ class Memo:
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
                 new = list(set().union(*split))
-            self.known.update(zip(new, self.encode(new), strict=True))
+            self.known.update(zip(new, self.encode(new, self.known), strict=True))
             get = self.known.__getitem__
             yield from (list(map(get, x)) for x in split)
             for x in new:
@@ -69,7 +69,7 @@ class Memo:
                     del self.known[x]
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def library_encoder(path: str) -> Callable[[list[str], dict[str, bytes]], list[bytes]]:
     """Chunks to ids, as little-endian unsigned 32-bit bytes, by the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -77,7 +77,7 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tok = Tokenizer.from_file(path)
     (newline,) = tok.encode("\n", add_special_tokens=False).ids
 
-    def encode(new: list[str]) -> list[bytes]:
+    def encode(new: list[str], known: dict[str, bytes]) -> list[bytes]:
         out: dict[str, bytes] = {}
         ends: dict[str, str] = {}  # a word and the marks after it are pre-tokens apart, so words are encoded once
         words: set[str] = set()
@@ -88,7 +88,11 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             word = x.rstrip(MARKS)
             if len(word) < len(x) and word.isascii() and word.lstrip(" ").isalpha():
                 ends[x] = word
-                words.update((word, x[len(word) :]))
+                for part in (word, x[len(word) :]):
+                    if part in known:
+                        out[part] = known[part]
+                    else:
+                        words.add(part)
             else:
                 words.add(x)
         plain = list(words)
@@ -102,6 +106,7 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             starts = [0, *(4 * (cuts + 1)).tolist()]
             stops = [*(4 * cuts).tolist(), len(raw)]
             out.update((x, raw[a:b]) for x, a, b in zip(some, starts, stops, strict=True))
+        known.update((w, out[w]) for w in ends.values() if len(w) <= 48)
         return [out[w] + out[x[len(w) :]] if (w := ends.get(x)) is not None else out[x] for x in new]
 
     return encode

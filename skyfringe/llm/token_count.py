@@ -88,7 +88,7 @@ class RankMerger:
 def _memo(path: str) -> Memo:
     merger = RankMerger(path)
 
-    def encode(new: list[str]) -> list[int]:
+    def encode(new: list[str], known: dict[str, int]) -> list[int]:
         pieces = [[] if x == SPECIAL else [x] if x.isspace() else PIECE.findall(x) for x in new]
         words = list(set().union(*pieces))
         n = dict(zip(words, merger.counts([w.encode("utf-8", "surrogatepass") for w in words]).tolist(), strict=True))
