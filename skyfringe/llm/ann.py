@@ -8,7 +8,7 @@ all, are kept. Inner products are reduced to angles by one more coordinate, sqrt
 
 Equal vectors are indexed once, with the ``k + 1`` smallest ids that carry them, which is all that any answer can
 hold; so a vector that fills a third of the table costs one entry. A unit of work is a stretch of a tree's leaves
-and a salt, in proportion to the rows, so no leaf outgrows a task.
+and a salt, of about ``unit_rows`` vectors, so no leaf outgrows a task; large units also mean few partial answers.
 
 ``probe`` is set for the worst case, vectors without any structure, where neighbours are hardly nearer than others.
 
@@ -104,7 +104,7 @@ def _matrix(cells) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: str, *, k: int = 20, trees: int = 4, probe: float = 0.35, leaf_rows: int = 64, sample_rows: int = 65_536, unit_rows: int = 8192
+    vectors: DataFrame, queries: str, *, k: int = 20, trees: int = 4, probe: float = 0.35, leaf_rows: int = 64, sample_rows: int = 65_536, unit_rows: int = 65_536
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` candidates of largest inner product for each row where the SQL condition
     ``queries`` on vec_id holds."""
@@ -173,18 +173,19 @@ def nearest(
         m, leaf, cls = _matrix(l_rows["v"]), l_rows["leaf"].to_numpy(), l_rows["cls"].to_numpy()
         parts = [empty]
         low = int(leaf.min())
-        for at in range(0, len(q_rows), 256):
-            q = q_rows.iloc[at : at + 256]
+        for at in range(0, len(q_rows), 64):
+            q = q_rows.iloc[at : at + 64]
             open_ = np.zeros((len(q), int(leaf.max()) - low + 1), bool)
-            for k_row, x in enumerate(q["leaves"]):
+            for n, x in enumerate(q["leaves"]):
                 x = np.asarray(x) - low
-                open_[k_row, x[(x >= 0) & (x < open_.shape[1])]] = True
+                open_[n, x[(x >= 0) & (x < open_.shape[1])]] = True
             s = np.where(open_[:, leaf - low], _matrix(q["v"]) @ m.T, -np.inf)
-            # A stable sort on rows in id order: ties go to the smaller id.
-            best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-            got = np.take_along_axis(s, best, 1)
-            ok = np.isfinite(got)
-            parts.append(pd.DataFrame({"query": np.repeat(q["cls"].to_numpy(), ok.sum(1)), "cls": cls[best[ok]], "score": got[ok]}))
+            least = np.partition(s, max(0, len(cls) - k - 1), axis=1)[:, max(0, len(cls) - k - 1)]
+            for name, row, edge in zip(q["cls"], s, least, strict=True):
+                # All that reach the last place, in id order; the sort keeps that order among equals.
+                near = np.flatnonzero((row >= edge) & np.isfinite(row))
+                near = near[np.argsort(-row[near], kind="stable")][: k + 1]
+                parts.append(pd.DataFrame({"query": name, "cls": cls[near], "score": row[near]}))
         return pd.concat(parts)
 
     unit = ["tree", "stretch", "salt"]
