@@ -133,7 +133,7 @@ class PartEnum:
             sizes = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
             without = sizes.sum(1, keepdims=True) - sizes
             values = mix(sums.sum(1, dtype=U)[:, None] - sums + without.astype(U) * _P)
-            values = mix(values + (np.arange(n1 * n2, dtype=U).reshape(n1, n2) + U(1)) * U(0xD6E8FEB86659FD93) + U(band) * U(0xA0761D6478BD642F))
+            values = mix(values + (np.arange(n1 * n2, dtype=U).reshape(n1, n2) + U(1)) * U(0xD6E8FEB86659FD93) + U(band * 0xA0761D6478BD642F % 2**64))
             out.append(values[without > 0])
             if (without == 0).any(1).sum() >= n1 - k // 2:
                 out.append(mix(np.array([band + 1], U) * U(0xE7037ED1A0B428DB)))

@@ -10,12 +10,13 @@ SPACE = r"[\x20\x09-\x0D]"
 _LINES = rf"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE[1:]}'))"
 _N = "(length(x) - length(replace(x, ' ', '')) + 1)"
 _COUNT = "length(regexp_replace(x, '[^{0}]', '', 'g'))"
+_END = "[.!?:;,…。！？\"''”’»)\\]]" + SPACE + "*$"  # SQL writes an apostrophe twice
 _FAILS = (
     f"({_COUNT.format(SYMBOLS)} > 0.5 * {_N} OR NOT regexp_matches(x, '\\p{{L}}')"
-    rf" OR ({_N} <= 4 AND NOT regexp_matches(x, '[.!?:;,…。！？""''”’»)\]]{SPACE}*$'))"
+    f" OR ({_N} <= 4 AND NOT regexp_matches(x, '{_END}'))"
     f" OR {_COUNT.format('|»›•')} * 3 > {_N}"
     f" OR ({_N} <= 30 AND regexp_matches(x, '(?i){'|'.join(BOILERPLATE)}')))"
-).replace('""', '"')
+)
 
 #: The rows that quality rules keep or reject, with every figure; ``docs`` is the table to judge.
 QUALITY_CTES = f"""
