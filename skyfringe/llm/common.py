@@ -52,3 +52,9 @@ def text_rows(docs: DataFrame, *more: str) -> DataFrame:
 def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str, *, rows: int) -> DataFrame:
     """Join with ``small``: broadcast when it has at most ``rows`` rows by count, by shuffle otherwise."""
     return df.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """Rows that fulfil a condition on computed columns, each computed once: a filter that can be pushed below them
+    would put their expressions in place of their names, as often as they are used."""
+    return df.withColumn("__row_id", F.monotonically_increasing_id()).where(f"({condition}) AND __row_id >= 0").drop("__row_id")
