@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfringe.llm import jaccard, mixing, packing, quality, secret_scan
-from skyfringe.llm.common import join_small, materialize, read_table
+from skyfringe.llm.common import join_small, materialize, read_table, where_computed
 from skyfringe.llm.queries import byte_bpe
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
-    return quality.quality_rules(rows, "__doc").where("kept").select("__doc.*")
+    return where_computed(quality.quality_rules(rows, "__doc"), "kept").select("__doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
