@@ -42,6 +42,11 @@ def weight_uniform(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:
     return joined.withColumn("imaging_weight", F.when(F.col("__d") != 0, F.col("imaging_weight") / F.col("__d")).otherwise(F.col("imaging_weight"))).select(*vis.columns)
 
 
+def grid_weights_both_halves(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:
+    """Weights of the cells when each visibility also counts at (-u, -v): the rows twice, one aggregation."""
+    return grid_weights(vis.unionByName(vis.withColumns({"u": -F.col("u"), "v": -F.col("v")})), npixel, cellsize, by_channel=False)
+
+
 def weight_natural(vis: DataFrame) -> DataFrame:
     return vis
 

@@ -167,3 +167,22 @@ def clean_threshold(image: DataFrame, fraction: float, least: float) -> DataFram
     """max(fraction * peak of the channel mean, least), one row."""
     mean = image.groupBy("pol", "y", "x").agg(F.avg("value").alias("value"))
     return mean.agg(F.greatest(F.max(F.abs("value")) * fraction, F.lit(float(least))).alias("threshold"))
+
+
+def reproject(image: DataFrame, dy: float, dx: float, scale: float, npixel: int) -> DataFrame:
+    """Bilinear resampling onto npixel pixels: (y, x) takes the value at (y * scale + dy, x * scale + dx); footprint is
+    the sum of the weights of the pixels that are there. Each old pixel is sent to the new ones that it reaches."""
+    spark = image.sparkSession
+    axis = lambda c, d: spark.range(npixel).select(F.col("id").alias(c), (F.col("id") * scale + d).alias(f"{c}0"))
+    new = axis("y", dy).crossJoin(axis("x", dx))
+    corner = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
+    near = new.withColumn("c", F.explode(corner)).withColumns({"__y": F.floor("y0") + F.col("c.a"), "__x": F.floor("x0") + F.col("c.b")})
+    weight = (1 - F.abs(F.col("y0") - F.col("__y"))) * (1 - F.abs(F.col("x0") - F.col("__x")))
+    near = near.select("y", "x", "__y", "__x", weight.alias("__wt")).where("__wt > 0")
+    old = image.select("chan", "pol", F.col("y").alias("__y"), F.col("x").alias("__x"), "value")
+    return near.join(old, ["__y", "__x"]).groupBy(*PIXEL).agg(F.sum(F.col("value") * F.col("__wt")).alias("value"), F.sum("__wt").alias("footprint"))
+
+
+def restore(model: DataFrame, residual: DataFrame, width: float) -> DataFrame:
+    """The model convolved with a Gaussian beam of that width, and the residual added."""
+    return add_images(smooth(add_images(model, residual.withColumn("value", F.lit(0.0))), width), residual)

@@ -127,3 +127,10 @@ def cross_subtract(models: DataFrame, observed: DataFrame) -> DataFrame:
     rest = models.withColumns({f"__{x}": F.sum(f"m_{x}").over(over) - F.col(f"m_{x}") for x in ("re", "im")})
     joined = rest.join(observed.select(*KEY, "vis_re", "vis_im"), KEY)
     return joined.select("model_id", *KEY, (F.col("vis_re") - F.col("__re")).alias("vis_re"), (F.col("vis_im") - F.col("__im")).alias("vis_im"))
+
+
+def apply_beam(components: DataFrame, beam: DataFrame, npixel: int, cellsize: float) -> DataFrame:
+    """Components (chan, pol, l, m, flux) with the flux times the beam at their nearest pixel; those outside go."""
+    place = components.withColumns({"x": F.floor(npixel // 2 - F.col("l") / cellsize + 0.5), "y": F.floor(npixel // 2 + F.col("m") / cellsize + 0.5)})
+    joined = place.join(beam.select("chan", "pol", "y", "x", F.col("value").alias("__b")), ["chan", "pol", "y", "x"])
+    return joined.withColumn("flux", F.col("flux") * F.col("__b")).drop("__b")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
-from skyfringe.functions.coordinates import sky_to_lmn
+from skyfringe.functions.coordinates import hadec_to_azel, sky_to_lmn
 
 KEY = ["time", "a1", "a2", "chan", "pol"]
 
@@ -43,6 +43,12 @@ def limit_radius(antennas: DataFrame, most: float) -> DataFrame:
     return rows.where(F.sqrt(d2) < most).select(*antennas.columns)
 
 
+def above_elevation(df: DataFrame, ha: Column, dec: Column, latitude: float, limit: float) -> DataFrame:
+    """Rows whose direction is higher than ``limit`` (radians)."""
+    _, el = hadec_to_azel(ha, dec, F.lit(latitude))
+    return df.where(el > limit)
+
+
 # --- slices ----------------------------------------------------------------------------------------------------
 
 
@@ -206,3 +212,45 @@ def remove_continuum(df: DataFrame, keys: list[str], x: Column, value: str, weig
     fits = rows.groupBy(*keys).agg(slope.alias("__b"), F.when(s["1"] > 0, s["y"] / s["1"]).otherwise(F.lit(0.0)).alias("__my"), F.when(s["1"] > 0, s["x"] / s["1"]).otherwise(F.lit(0.0)).alias("__mx"))
     fitted = F.col("__my") + F.col("__b") * (F.col("__x") - F.col("__mx"))
     return rows.join(fits, keys).withColumn(value, F.col(value) - fitted).select(*df.columns)
+
+
+def to_wavelengths(vis: DataFrame) -> DataFrame:
+    """u, v, w from metres to wavelengths of each row's frequency."""
+    return vis.withColumns({c: F.col(c) * F.col("frequency") / 299792458.0 for c in "uvw"})
+
+
+def shift(vis: DataFrame, dl: float, dm: float) -> DataFrame:
+    """V exp(-2 pi i (u dl + v dm))."""
+    re, im = cx.mul(cx.pair("vis"), cx.phasor(F.col("u") * dl + F.col("v") * dm))
+    return vis.withColumns({"vis_re": re, "vis_im": im})
+
+
+def transform_uv(vis: DataFrame, matrix: tuple[tuple[float, float], tuple[float, float]], dl: float = 0.0, dm: float = 0.0) -> DataFrame:
+    """(u, v) by a 2 x 2 matrix, after (u - w dl, v - w dm)."""
+    u, v = F.col("u") - F.col("w") * dl, F.col("v") - F.col("w") * dm
+    (a, b), (c, d) = matrix
+    return vis.withColumns({"u": a * u + b * v, "v": c * u + d * v})
+
+
+def frequency_map(vis: DataFrame, channels: int) -> DataFrame:
+    """image_chan: the place of each row's frequency among the distinct ones, or 0 in an image of one channel."""
+    if channels == 1:
+        return vis.withColumn("image_chan", F.lit(0))
+    known = vis.select("frequency").distinct().withColumn("image_chan", F.dense_rank().over(Window.orderBy(F.round("frequency"))) - 1)
+    return vis.join(known, "frequency")
+
+
+def running_mean(vis: DataFrame, samples: int) -> DataFrame:
+    """mean_re: the mean over a sample and the ``samples`` - 1 before it, along time, for each baseline, channel and product."""
+    over = Window.partitionBy("a1", "a2", "chan", "pol").orderBy("time").rowsBetween(-(samples - 1), 0)
+    return vis.withColumn("mean_re", F.avg("vis_re").over(over))
+
+
+def scatter(vis: DataFrame, slices: int) -> list[DataFrame]:
+    """The time slices as tables of their own."""
+    cut = time_slices(vis, slices)
+    return [cut.where(F.col("slice") == k).drop("slice") for k in range(slices)]
+
+
+def gather(pieces: list[DataFrame]) -> DataFrame:
+    return reduce(append, pieces)

@@ -580,5 +580,83 @@ def _(t: Views) -> DataFrame:
     return rows.withColumn("day", F.unix_date(F.col("start").cast("date")))
 
 
+# --- further rows, grids and images ------------------------------------------------------------------------------------
+
+
+@register("f07_above_elevation", "comp_id", "ra dec", "SELECT comp_id, ra, dec FROM fx_component WHERE asin(sin(-47e-2) * sin(dec) + cos(-47e-2) * cos(dec) * cos(ra)) > 14e-1")
+def _(t: Views) -> DataFrame:
+    return vi.above_elevation(t("fx_component"), F.col("ra"), F.col("dec"), -0.47, 1.4)
+
+
+@register("a02_to_wavelengths", KEY, "u v w", f"SELECT {K}, u * frequency / 299792458e0 AS u, v * frequency / 299792458e0 AS v, w * frequency / 299792458e0 AS w FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return vi.to_wavelengths(t("fx_vis"))
+
+
+@register("x09_shift", KEY, "vis_re vis_im", f"SELECT {K}, vis_re * cos({PI2} * a) + vis_im * sin({PI2} * a) AS vis_re, vis_im * cos({PI2} * a) - vis_re * sin({PI2} * a) AS vis_im FROM (SELECT *, u * 3e-3 + v * -2e-3 AS a FROM fx_vis)")
+def _(t: Views) -> DataFrame:
+    return vi.shift(t("fx_vis"), 0.003, -0.002)
+
+
+@register("x10_transform_uv", KEY, "u v", f"SELECT {K}, 8e-1 * (u - w * 1e-2) + 1e-1 * (v - w * 2e-2) AS u, -1e-1 * (u - w * 1e-2) + 9e-1 * (v - w * 2e-2) AS v FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return vi.transform_uv(t("fx_vis"), ((0.8, 0.1), (-0.1, 0.9)), 0.01, 0.02)
+
+
+@register("x16_frequency_map", KEY + " image_chan", "frequency", f"SELECT {K}, frequency, dense_rank() OVER (ORDER BY round(frequency)) - 1 AS image_chan FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return vi.frequency_map(t("fx_vis"), 7)
+
+
+@register("w05_running_mean", KEY, "mean_re", f"SELECT {K}, avg(vis_re) OVER (PARTITION BY a1, a2, chan, pol ORDER BY time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean_re FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return vi.running_mean(t("fx_vis"), 5)
+
+
+@register("u04_scatter_gather", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return vi.gather(vi.scatter(t("fx_vis"), 3))
+
+
+@register("g09_weights_both_halves", "pol gv gu", "weight", f"SELECT pol, gv, gu, sum(imaging_weight) AS weight FROM (SELECT pol, imaging_weight, {GU.replace('(u', '(s * u')} AS gu, {GV.replace('(v', '(s * v')} AS gv FROM fx_vis, (SELECT unnest([1, -1]) AS s)) WHERE gu >= 0 AND gu < {NPIXEL} AND gv >= 0 AND gv < {NPIXEL} GROUP BY pol, gv, gu")
+def _(t: Views) -> DataFrame:
+    return gr.grid_weights_both_halves(t("fx_vis"), NPIXEL, CELL)
+
+
+@register("j10_apply_beam", "comp_id y x", "flux", f"SELECT comp_id, c.y, c.x, flux0 * value AS flux FROM (SELECT comp_id, flux0, floor(32 + {M} / 5e-3 + 5e-1) AS y, floor(32 - ({L}) / 5e-3 + 5e-1) AS x FROM fx_component) c JOIN (SELECT * FROM fx_pixel WHERE chan = 1) p ON p.y = c.y AND p.x = c.x")
+def _(t: Views) -> DataFrame:
+    c = sk.to_lm(t("fx_component"), RA0, DEC0).select("comp_id", F.lit(1).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
+    return jo.apply_beam(c, t("fx_pixel"), 64, 0.005)
+
+
+@register("i06_from_moments", "chan pol y x", "value", f"SELECT c.chan, pol, y, x, sum(value * pow((1e8 + c.chan * 1e6 - 5e7) / 5e7, k)) AS value FROM (SELECT k, pol, y, x, sum(value * pow(({FREQ} - 50e6) / 50e6, k)) AS value FROM fx_pixel, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k, pol, y, x), (SELECT unnest(range(5)) AS chan) c GROUP BY c.chan, pol, y, x")
+def _(t: Views) -> DataFrame:
+    p = t("fx_pixel")
+    channels = p.sparkSession.range(5).select(F.col("id").alias("chan"), (1e8 + F.col("id") * 1e6).alias("frequency"))
+    return im.from_frequency_moments(im.frequency_moments(p, 1e8 + F.col("chan") * 1e6, 50e6, 3), channels, 50e6)
+
+
+@register("i14_reproject", "chan pol y x", "value footprint", "SELECT chan, pol, n.y, n.x, sum(value * wt) AS value, sum(wt) AS footprint FROM (SELECT y, x, floor(y0) + a AS oy, floor(x0) + b AS ox, (1 - abs(y0 - floor(y0) - a)) * (1 - abs(x0 - floor(x0) - b)) AS wt FROM (SELECT y, x, y * 75e-2 + 25e-2 AS y0, x * 75e-2 + 5e-1 AS x0 FROM (SELECT unnest(range(48)) AS y), (SELECT unnest(range(48)) AS x)), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) n JOIN fx_pixel p ON p.y = oy AND p.x = ox WHERE wt > 0 GROUP BY chan, pol, n.y, n.x")
+def _(t: Views) -> DataFrame:
+    return im.reproject(t("fx_pixel"), 0.25, 0.5, 0.75, 48)
+
+
+@register("i17_restore", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    p = t("fx_pixel")
+    return im.restore(p.where("value > 3"), p.withColumn("value", F.col("value") / 10), 1.5)
+
+
+@register("t03_sliding_counts", "day a1 a2 samples", "", "SELECT epoch(date_trunc('day', ts)) / 86400 - o AS day, a1, a2, count(*) AS samples FROM fx_stream, (SELECT unnest([0, 1]) AS o) GROUP BY 1, a1, a2")
+def _(t: Views) -> DataFrame:
+    rows = st.sliding_counts(t("fx_stream").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.withColumn("day", F.unix_date(F.col("start").cast("date")))
+
+
+@register("t03_scans", "second a1 samples", "", "SELECT floor(epoch(min(ts))) AS second, a1, count(*) AS samples FROM (SELECT *, sum(fresh) OVER (PARTITION BY a1 ORDER BY ts) AS scan FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY a1 ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM fx_stream)) GROUP BY a1, scan")
+def _(t: Views) -> DataFrame:
+    return st.scans(t("fx_stream").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("second", F.unix_seconds("start"))
+
+
 QUERIES = {name: q.run for name, q in ALL.items()}
 ORACLE_SQL = {name: q.oracle for name, q in ALL.items() if q.sql is not None}

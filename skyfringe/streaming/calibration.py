@@ -32,3 +32,17 @@ def antenna_power(stream: DataFrame, *, width: str = "1 day", late: str = "2 day
     power = F.col("x_re") * F.col("x_re") + F.col("x_im") * F.col("x_im")
     out = each.groupBy(F.window("ts", width).alias("win"), "ant").agg(F.avg(power).alias("power"), F.count(F.lit(1)).alias("samples"))
     return out.select(F.col("win.start").alias("start"), "ant", "power", "samples")
+
+
+def sliding_counts(stream: DataFrame, *, width: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
+    """(start, a1, a2, samples) in overlapping windows."""
+    rows = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    out = rows.groupBy(F.window("ts", width, step).alias("win"), "a1", "a2").agg(F.count(F.lit(1)).alias("samples"))
+    return out.select(F.col("win.start").alias("start"), "a1", "a2", "samples")
+
+
+def scans(stream: DataFrame, *, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
+    """(start, a1, samples): runs of an antenna's rows without a gap, as session windows."""
+    rows = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    out = rows.groupBy(F.session_window("ts", gap).alias("win"), "a1").agg(F.count(F.lit(1)).alias("samples"))
+    return out.select(F.col("win.start").alias("start"), "a1", "samples")
