@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfringe.functions import complexmath as cx
 from skyfringe.functions.coordinates import separation, sky_to_lmn
 
 from .images import PIXEL
 from .joins import _cells
+from .visibility import KEY
 
 
 def filter_by_flux(components: DataFrame, flux: Column, low: float, high: float) -> DataFrame:
@@ -64,3 +66,16 @@ def update_from_gains(model_gains: DataFrame, gains: DataFrame, damping: float)
     re = F.col("g_re") * F.cos(turn) - F.col("g_im") * F.sin(turn)
     im = F.col("g_re") * F.sin(turn) + F.col("g_im") * F.cos(turn)
     return joined.withColumns({"g_re": re, "g_im": im}).drop("__re", "__im")
+
+
+def expand_by_component(components: DataFrame) -> DataFrame:
+    """One model for each component, numbered from 1 by id; 0 is left for the image."""
+    return components.withColumn("model_id", F.row_number().over(Window.orderBy("comp_id")).cast("long"))
+
+
+def predict_models(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, flux: Column) -> DataFrame:
+    """(model_id, key, m_re, m_im): component predictions of every model, in one aggregation."""
+    rows = to_lm(components, ra0, dec0).withColumnsRenamed({"l": "__l", "m": "__m", "n": "__n"})
+    p = cx.phasor(F.col("u") * F.col("__l") + F.col("v") * F.col("__m") + F.col("w") * F.col("__n"))
+    re, im = cx.scale(p, flux)
+    return vis.crossJoin(rows).groupBy("model_id", *KEY).agg(F.sum(re).alias("m_re"), F.sum(im).alias("m_im"))

@@ -14,6 +14,7 @@ from skyfringe.operators import calibration as ca
 from skyfringe.operators import gridding as gr
 from skyfringe.operators import images as im
 from skyfringe.operators import joins as jo
+from skyfringe.operators import screens as sc
 from skyfringe.operators import skymodel as sk
 from skyfringe.operators import visibility as vi
 from skyfringe.streaming import calibration as st
@@ -658,5 +659,41 @@ def _(t: Views) -> DataFrame:
     return st.scans(t("fx_stream").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("second", F.unix_seconds("start"))
 
 
+# --- screens and models ---------------------------------------------------------------------------------------------------
+
+PIERCED = f"""SELECT comp_id, ant, pu - avg(pu) OVER (PARTITION BY comp_id) + 3e5 * l AS px, pv - avg(pv) OVER (PARTITION BY comp_id) + 3e5 * m AS py
+    FROM (SELECT comp_id, ant, x * cos(ra) - y * sin(ra) AS pu, z * cos(dec) + (x * sin(ra) + y * cos(ra)) * sin(dec) AS pv, {L} AS l, {M} AS m FROM fx_target, fx_antenna)"""
+
+
+def _points(t: Views) -> DataFrame:
+    return sc.pierce_points(t("fx_antenna"), t("fx_target"), 3e5, RA0, DEC0)
+
+
+@register("i20_pierce_points", "comp_id ant", "px py", PIERCED)
+def _(t: Views) -> DataFrame:
+    return _points(t)
+
+
+@register("i18_grid_gains_to_screen", "time sy sx", "value weight", f"SELECT g.time, sy, sx, CASE WHEN sum(weight) > 0 THEN sum(weight * (1e8 + chan * 1e6) / -8.44797245e9 * atan2(g_im, g_re)) / sum(weight) ELSE 0 END AS value, sum(weight) AS weight FROM (SELECT ant, floor(px / 4e3 + 32) AS sx, floor(py / 4e3 + 32) AS sy FROM ({PIERCED})) p JOIN fx_gain g USING (ant) WHERE sx >= 0 AND sx < 64 AND sy >= 0 AND sy < 64 GROUP BY g.time, sy, sx")
+def _(t: Views) -> DataFrame:
+    return sc.grid_gains(_points(t), t("fx_gain"), 1e8 + F.col("chan") * 1e6, 4e3, 64)
+
+
+@register("i20_sample_screen", "comp_id ant", "g_re g_im", f"SELECT comp_id, ant, cos(a) AS g_re, sin(a) AS g_im FROM (SELECT comp_id, ant, coalesce(value, 0) * -8.44797245e1 AS a FROM (SELECT comp_id, ant, floor(px / 4e3 + 32) AS sx, floor(py / 4e3 + 32) AS sy FROM ({PIERCED})) p LEFT JOIN (SELECT * FROM fx_pixel WHERE chan = 2) s ON s.y = p.sy AND s.x = p.sx)")
+def _(t: Views) -> DataFrame:
+    return sc.sample_screen(_points(t), t("fx_pixel").where("chan = 2"), 1e8, 4e3, 64)
+
+
+@register("m08_predict_models", "model_id " + KEY, "m_re m_im", f"SELECT model_id, {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns, comp_id % 2 AS model_id FROM (SELECT * FROM fx_vis WHERE pol = 0 AND chan = 1) v, fx_target) GROUP BY model_id, {K}")
+def _(t: Views) -> DataFrame:
+    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
+    return sk.predict_models(t("fx_vis").where("pol = 0 AND chan = 1"), t("fx_target").withColumn("model_id", F.col("comp_id") % 2), RA0, DEC0, flux)
+
+
+@register("m07_expand_by_component", "comp_id model_id", "flux0", "SELECT comp_id, row_number() OVER (ORDER BY comp_id) AS model_id, flux0 FROM fx_component")
+def _(t: Views) -> DataFrame:
+    return sk.expand_by_component(t("fx_component"))
+
+
 QUERIES = {name: q.run for name, q in ALL.items()}
 ORACLE_SQL = {name: q.oracle for name, q in ALL.items() if q.sql is not None}
