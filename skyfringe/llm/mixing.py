@@ -102,7 +102,7 @@ def mix_sources(
     at_end = F.coalesce((F.col("__band") >= F.col("__end")) & (F.col("__band") <= F.col("__last")), F.lit(False))
     edge = planned.where(at_end).select("__s", "__row", "__key", "size", (F.col("__rest") - F.col("__before")).alias("room"))
     filled = materialize(edge.groupBy("__s").applyInPandas(_fill_edge, "__row long, __in boolean"))
-    chosen = join_small(planned, filled, "__row", "left", rows=2_000_000)
+    chosen = join_small(planned, filled, "__row", "left", rows=500_000)
     # A source whose budget ends in no band has nothing left to fill.
     inside = F.coalesce(F.col("__in"), F.col("__band") < F.col("__end"), F.lit(False))
     copies = (F.col("__epochs") + inside.cast("int")).cast("int")

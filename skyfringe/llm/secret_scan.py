@@ -107,7 +107,7 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 
 
 def find_secrets(
-    docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, block_rows: int = 4096, broadcast_rows: int = 2_000_000
+    docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, block_rows: int = 4096, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """The columns in ``keep``, doc_id, text and spans: array of (start, number, end, kind) by start, then rule.
 
