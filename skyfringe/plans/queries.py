@@ -30,14 +30,14 @@ PI2 = "6.283185307179586e0"
 # --- selection, slices, set operations ---------------------------------------------------------------------------
 
 
-@register("f02_uvrange", KEY, "u v vis_re", f"SELECT {K}, u, v, vis_re FROM fx_vis WHERE sqrt(u * u + v * v) > 20 AND sqrt(u * u + v * v) <= 60")
+@register("f02_uvrange", KEY, "u v vis_re", f"SELECT {K}, u, v, vis_re FROM fx_vis WHERE sqrt(u * u + v * v) > 203e-1 AND sqrt(u * u + v * v) <= 607e-1")
 def _(t: Views) -> DataFrame:
-    return vi.select_uvrange(t("fx_vis"), 20, 60)
+    return vi.select_uvrange(t("fx_vis"), 20.3, 60.7)
 
 
-@register("f03_wrange", KEY, "w vis_re", f"SELECT {K}, w, vis_re FROM fx_vis WHERE abs(w) <= 20")
+@register("f03_wrange", KEY, "w vis_re", f"SELECT {K}, w, vis_re FROM fx_vis WHERE abs(w) <= 213e-1")
 def _(t: Views) -> DataFrame:
-    return vi.select_wrange(t("fx_vis"), 20)
+    return vi.select_wrange(t("fx_vis"), 21.3)
 
 
 @register("f01_rows_with_weight", KEY, "vis_re vis_im weight", f"SELECT {K}, vis_re, vis_im, weight FROM fx_vis WHERE weight > 0 AND chan = 2")
