@@ -9,7 +9,8 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two sets
    groups of n2 parts. With more than k // 2 groups, some group differs in at most one part, so two linked sets agree
    on some n2 - 1 parts of some group: these subsets, with their elements' sum, are the signatures. There are more
    groups than needed, so empty subsets, which say nothing, give no signature as long as the groups that have one are too
-   few to hold all the agreement; the rare set with more of them gives one signature for emptiness too.
+   few to hold all the agreement; the rare set with more of them gives signatures for emptiness too. In the larger
+   bands groups are so many that linked sets share at least two signatures; one alone is no candidate there.
 3. Of the texts that share a signature, the one with most such company is the pivot, and all others are compared
    with it. Links give first components.
 4. Where a signature still has several components, every text outside its largest component is compared with every
@@ -113,7 +114,7 @@ class PartEnum:
         k = 2 * top * (self.den - self.num) // (self.den + self.num)
         if k <= 8:
             return k, k // 2 + 2, 3
-        return k, k // 2 + 3 + k // 16, 2
+        return k, k // 2 + 4 + k // 16, 2
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The 64-bit signatures of a sorted set of hashes."""
@@ -134,9 +135,13 @@ class PartEnum:
             without = sizes.sum(1, keepdims=True) - sizes
             values = mix(sums.sum(1, dtype=U)[:, None] - sums + without.astype(U) * _P)
             values = mix(values + (np.arange(n1 * n2, dtype=U).reshape(n1, n2) + U(1)) * U(0xD6E8FEB86659FD93) + U(band * 0xA0761D6478BD642F % 2**64))
-            out.append(values[without > 0])
-            if (without == 0).any(1).sum() >= n1 - k // 2:
-                out.append(mix(np.array([band + 1], U) * U(0xE7037ED1A0B428DB)))
+            # The last bit says what sharing one signature means: all that is sure (1), or one of two that are (0).
+            sure = n2 == 3
+            found = values[without > 0]
+            if (without == 0).any(1).sum() >= n1 - k // 2 - (not sure):
+                marks = np.array([band + 1] if sure else [band + 1, -band - 1], np.int64).view(U)
+                found = np.append(found, mix(marks * U(0xE7037ED1A0B428DB)))
+            out.append(found | U(1) if sure else found & ~U(1))
         return np.concatenate(out)
 
 
@@ -250,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000, few_components: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = text_rows(docs).select(F.col("doc_id").cast("long"), "text")
     known = materialize(_class_rows(rows, n))
@@ -269,19 +274,32 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     sets = materialize(_set_rows(join_small(rows, wanted.where("doc_id IS NOT NULL"), "doc_id", "left_semi", rows=broadcast_rows).unionByName(unnamed), n).dropDuplicates(["node"]))
 
     # First links: everything against its signatures' pivots.
+    says = F.when(F.col("signature") % 2 == 0, 1).otherwise(2)
     company = shared.groupBy("node").agg(F.sum("company").alias("all_company"))
     ranked = shared.select("signature", "node").join(company, "node")
     pivots = ranked.groupBy("signature").agg(F.max(F.struct("all_company", "node"))["node"].alias("hub"))
-    star = materialize(shared.select("signature", "node").join(pivots, "signature").where("hub <> node").select("hub", "node").distinct())
+    star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.sum(says).alias("says"))
+    star = materialize(star.where("says > 1").select("hub", "node"))
     first_links = materialize(_compare(star.select("hub", F.col("hub").alias("node")).distinct(), star, sets, num, den))
 
-    # The rest: only where a signature still has several components.
+    # The rest: only where a signature still has several components. Of few components, the pairs that share enough
+    # signatures; of many, all against the largest. Either way rows are gathered by the larger component.
     comps = components(first_links)
-    placed = shared.select("signature", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = materialize(shared.select("signature", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     per = placed.groupBy("signature", "comp").agg(F.count(F.lit(1)).alias("here"))
-    hubs = per.groupBy("signature").agg(F.max(F.struct("here", "comp"))["comp"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    open_rows = materialize(placed.join(hubs, "signature").groupBy("hub", "node").agg(F.max(F.col("comp") != F.col("hub")).alias("outside")))
-    more_links = _compare(open_rows.where("outside").select("hub", "node"), open_rows.select("hub", "node"), sets, num, den)
+    several = materialize(per.groupBy("signature").agg(F.max(F.struct("here", "comp"))["comp"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = per.join(several.where(F.col("n") <= few_components).select("signature"), "signature")
+    pairs = few.select("signature", F.col("comp").alias("a")).join(few.select("signature", F.col("comp").alias("b")), "signature").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.sum(says).alias("says")).where("says > 1").select("a", "b")
+    members = placed.select("comp", "node").distinct()
+    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    sized = pairs.join(size.select(F.col("comp").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("comp").alias("b"), F.col("size").alias("nb")), "b")
+    first = F.col("na") >= F.col("nb")
+    faced = materialize(sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("comp")))
+    many = materialize(placed.join(several.where(F.col("n") > few_components).select("signature", "hub"), "signature").select("hub", "node", "comp").distinct())
+    left = faced.join(members, "comp").select("hub", "node").unionByName(many.where("comp <> hub").select("hub", "node")).distinct()
+    right = members.join(faced.select("hub").distinct(), F.col("comp") == F.col("hub")).select("hub", "node").unionByName(many.select("hub", "node")).distinct()
+    more_links = _compare(materialize(left), materialize(right), sets, num, den)
     links = materialize(first_links.unionByName(more_links))
 
     comps = components(links)
