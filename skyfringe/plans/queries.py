@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -351,13 +352,13 @@ def _(t: Views) -> DataFrame:
 
 @register("g05_grid_kernel", "chan pol gv gu", "re im weight")
 def _(t: Views) -> DataFrame:
-    v = t("fx_vis").where("pol = 0")
+    v = t("fx_vis")
     return gr.grid_visibility(v, gr.spheroidal_kernel(v.sparkSession, 3, 8), NPIXEL, CELL, 8)
 
 
 @register("g07_degrid", KEY, "vis_re vis_im")
 def _(t: Views) -> DataFrame:
-    v = t("fx_vis").where("pol = 0 AND chan < 2")
+    v = t("fx_vis")
     kernel = gr.spheroidal_kernel(v.sparkSession, 2, 4)
     return gr.degrid_visibility(v, gr.grid_visibility_fast(v, NPIXEL, CELL), kernel, NPIXEL, CELL, 4)
 
@@ -369,7 +370,7 @@ def _(t: Views) -> DataFrame:
 
 @register("g13_invert", "chan pol y x", "value")
 def _(t: Views) -> DataFrame:
-    return gr.invert(t("fx_vis").where("pol = 0"), NPIXEL, CELL)
+    return gr.invert(t("fx_vis"), NPIXEL, CELL)
 
 
 @register("g17_direct_image", "chan pol y x", "value", f"SELECT chan, pol, y, x, CASE WHEN sum(imaging_weight) > 0 THEN sum(imaging_weight * (vis_re * cos({PI2} * turns) - vis_im * sin({PI2} * turns))) / sum(imaging_weight) ELSE 0 END AS value FROM (SELECT *, u * (x - 4) * 1e-2 + v * (y - 4) * 1e-2 AS turns FROM (SELECT * FROM fx_vis WHERE pol = 0) v, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) GROUP BY chan, pol, y, x")
@@ -379,7 +380,7 @@ def _(t: Views) -> DataFrame:
 
 @register("d02_hogbom", "chan pol y x", "model residual")
 def _(t: Views) -> DataFrame:
-    v = t("fx_vis").where("pol = 0 AND chan < 3")
+    v = t("fx_vis")
     return gr.hogbom(gr.invert(v, 32, 2 * CELL), gr.invert(v, 32, 2 * CELL, psf=True))
 
 
@@ -695,5 +696,48 @@ def _(t: Views) -> DataFrame:
     return sk.expand_by_component(t("fx_component"))
 
 
+# --- whole tables -------------------------------------------------------------------------------------------------------
+
+#: The views over a few rows, and those over whole tables in their place.
+WHOLE = {"fx_antenna": "fx_antenna_all", "fx_gain": "fx_gain_all", "fx_target": "fx_target_all"}
+#: Pairs of all antennas are too many for DuckDB's side of the comparison.
+NO_SQL = ("j11_baselines", "c12_station_correlations")
+
+
+def _register_whole(name: str) -> None:
+    q = ALL[name]
+    sql = None if name in NO_SQL else re.sub(r"\bfx_(antenna|gain|target)\b", lambda m: WHOLE[m[0]], q.sql)
+    register(f"{name}_all", " ".join(q.keys), " ".join(q.figures), sql)(lambda t: q.plan(lambda view: t(WHOLE.get(view, view))))
+
+
+for _name in (
+    "f05_limit_radius", "f09_listed_components", "j07_separations", "j08_nearest_target", "j11_baselines", "x01_xyz_at_latitude", "x02_xyz_to_uvw", "a07_gain_quality",
+    "c12_station_correlations", "m06_update_from_gains", "i20_pierce_points", "i18_grid_gains_to_screen", "i20_sample_screen",
+):
+    _register_whole(_name)
+
+
+@register("j06_matches_all", "id1 id2", "separation", f"SELECT id1, id2, separation FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY separation, id2) AS r FROM (SELECT a.comp_id AS id1, b.comp_id AS id2, {PAIR_SEP} AS separation FROM fx_component a, fx_target_all b) WHERE separation < 1e-2) WHERE r = 1")
+def _(t: Views) -> DataFrame:
+    return jo.matches(t("fx_component"), t("fx_target_all"), 0.01)
+
+
+@register("j12_predict_components_all", KEY, "m_re m_im", f"SELECT {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns FROM fx_vis, fx_target_all) GROUP BY {K}")
+def _(t: Views) -> DataFrame:
+    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
+    return jo.predict_components(t("fx_vis"), t("fx_target_all"), RA0, DEC0, flux)
+
+
+@register("m08_predict_models_all", "model_id " + KEY, "m_re m_im", f"SELECT model_id, {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns, comp_id % 2 AS model_id FROM fx_vis, fx_target_all) GROUP BY model_id, {K}")
+def _(t: Views) -> DataFrame:
+    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
+    return sk.predict_models(t("fx_vis"), t("fx_target_all").withColumn("model_id", F.col("comp_id") % 2), RA0, DEC0, flux)
+
+
+@register("g17_direct_image_all", "chan pol y x", "value", f"SELECT chan, pol, y, x, CASE WHEN sum(imaging_weight) > 0 THEN sum(imaging_weight * (vis_re * cos({PI2} * turns) - vis_im * sin({PI2} * turns))) / sum(imaging_weight) ELSE 0 END AS value FROM (SELECT *, u * (x - 4) * 1e-2 + v * (y - 4) * 1e-2 AS turns FROM fx_vis, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) GROUP BY chan, pol, y, x")
+def _(t: Views) -> DataFrame:
+    return gr.direct_image(t("fx_vis"), 8, 0.01)
+
+
 QUERIES = {name: q.run for name, q in ALL.items()}
 ORACLE_SQL = {name: q.oracle for name, q in ALL.items() if q.sql is not None}

@@ -43,6 +43,19 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey AS comp_id, radians((p_partkey % 360) * 5e-2) AS ra, radians(-35 + p_size * 1e-1) AS "dec", CAST(p_retailprice AS DOUBLE) / 1e3 AS flux0
         FROM {part}""",
     "fx_target": "SELECT * FROM fx_component WHERE comp_id % 97 = 0",
+    # Whole tables for the same shapes: every customer, and every supplier as a second catalogue.
+    "fx_antenna_all": """
+        SELECT c_custkey AS ant, CAST(c_acctbal AS DOUBLE) AS x, c_nationkey * 40e0 AS y, (c_custkey % 7) * 10e0 AS z, 35e0 AS diameter
+        FROM {customer}""",
+    "fx_gain_all": """
+        SELECT 75e0 + 160 * k.k AS time, 160e0 AS "interval", ant, c.chan AS chan, (1 + ant % 50 / 100e0) * cos(1e-1 * ant + 1e-2 * k.k) AS g_re,
+               (1 + ant % 50 / 100e0) * sin(1e-1 * ant + 1e-2 * k.k) AS g_im, CASE WHEN ant % 15 = 13 THEN 0e0 ELSE 1e0 END AS weight
+        FROM fx_antenna_all CROSS JOIN (SELECT DISTINCT CAST(floor((DAYS(l_shipdate) % 64) / 16e0) AS INT) AS k FROM {lineitem}) k
+        CROSS JOIN (SELECT DISTINCT l_linenumber - 1 AS chan FROM {lineitem}) c""",
+    "fx_target_all": """
+        SELECT s_suppkey AS comp_id, radians((s_suppkey * 7 % 360) * 5e-2 + 13e-3) AS ra, radians(-35 + s_nationkey * 2e-1 + 3e-3) AS "dec",
+               1 + abs(CAST(s_acctbal AS DOUBLE)) / 1e4 AS flux0
+        FROM {supplier}""",
     "fx_pixel": """
         SELECT CAST(month(o_orderdate) % 5 AS BIGINT) AS chan, 0 AS pol, o_orderkey % 64 AS y, o_custkey % 64 AS x, sum(CAST(o_totalprice AS DOUBLE)) / 1e5 AS value
         FROM {orders} GROUP BY month(o_orderdate) % 5, o_orderkey % 64, o_custkey % 64""",
