@@ -2,7 +2,7 @@
 
 Observed and model visibilities become point-source ratios by one join and one aggregation. What is left for a solution
 interval and channel is a table of antenna pairs, bounded by the square of the antennas, which one Python call solves;
-intervals and channels are the units of work and spread over the cluster.
+intervals, channels and feeds are the units of work and spread over the cluster.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
 
+from .joins import product_feeds
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the folder of spark.checkpoint.dir (a temporary one where that isn't set) and read back."""
@@ -40,15 +42,15 @@ def gain_intervals(vis: DataFrame, antennas: DataFrame, timeslice: float) -> Dat
 
 
 def point_ratios(vis: DataFrame, model: DataFrame, timeslice: float) -> DataFrame:
-    """(slot, a1, a2, chan, x_re, x_im, weight): the weighted mean of V / M over a solution interval, both parallel
-    products together. The ratio's weight is |M| ** 2 * weight, so no division is needed before the sums."""
+    """(slot, a1, a2, chan, pol, x_re, x_im, weight): the weighted mean of V / M over a solution interval, for each
+    product. The ratio's weight is |M| ** 2 * weight, so no division is needed before the sums."""
     slot = F.floor(F.col("time") / timeslice)
-    rows = vis.where(F.col("pol") == 0).join(model.where(F.col("pol") == 0), ["time", "a1", "a2", "chan", "pol"])
+    rows = vis.join(model, ["time", "a1", "a2", "chan", "pol"])
     v, m = cx.pair("vis"), cx.pair("m")
     re, im = cx.mul(v, cx.conj(m))
     total = F.sum(cx.abs2(m) * F.col("weight"))
     mean = lambda c: F.when(total > 0, F.sum(c * F.col("weight")) / total).otherwise(F.lit(0.0))
-    return rows.groupBy(slot.alias("slot"), "a1", "a2", "chan").agg(mean(re).alias("x_re"), mean(im).alias("x_im"), total.alias("weight"))
+    return rows.groupBy(slot.alias("slot"), "a1", "a2", "chan", "pol").agg(mean(re).alias("x_re"), mean(im).alias("x_im"), total.alias("weight"))
 
 
 def solve_scalar(x: np.ndarray, wt: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-9, phase_only: bool = False, reference: int = 0, damping: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +73,17 @@ def solve_scalar(x: np.ndarray, wt: np.ndarray, *, rounds: int = 200, tolerance:
     return gain, weight
 
 
-def solve_gains(ratios: DataFrame, antennas: int, **options) -> DataFrame:
-    """(slot, chan, ant, g_re, g_im, weight) from the ratios of each (slot, chan)."""
+def _with_pol(ratios: DataFrame) -> DataFrame:
+    """Ratios without products are those of product 0."""
+    return ratios if "pol" in ratios.columns else ratios.withColumn("pol", F.lit(0))
+
+
+def solve_gains(ratios: DataFrame, antennas: int, *, cross: bool = True, **options) -> DataFrame:
+    """(slot, chan, feed, ant, g_re, g_im, weight) from the ratios of each (slot, chan, feed).
+
+    A product of a feed with itself solves that feed: 0 and 3 of four products, 0 and 1 of a frame without cross
+    products (``cross=False``). Cross products take no part.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         x, wt = np.zeros((antennas, antennas), complex), np.zeros((antennas, antennas))
@@ -81,15 +92,19 @@ def solve_gains(ratios: DataFrame, antennas: int, **options) -> DataFrame:
         wt[i, j] = pdf["weight"]
         x, wt = x + x.conj().T, wt + wt.T
         g, weight = solve_scalar(x, wt, **options)
-        return pd.DataFrame({"slot": pdf["slot"].iloc[0], "chan": pdf["chan"].iloc[0], "ant": np.arange(antennas), "g_re": g.real, "g_im": g.imag, "weight": weight})
+        return pd.DataFrame({"slot": pdf["slot"].iloc[0], "chan": pdf["chan"].iloc[0], "feed": pdf["feed"].iloc[0], "ant": np.arange(antennas), "g_re": g.real, "g_im": g.imag, "weight": weight})
 
-    return ratios.groupBy("slot", "chan").applyInPandas(solve, "slot long, chan long, ant long, g_re double, g_im double, weight double")
+    f1, f2 = product_feeds(F.col("pol"), cross)
+    parallel = _with_pol(ratios).where(f1 == f2).withColumn("feed", f1)
+    return parallel.groupBy("slot", "chan", "feed").applyInPandas(solve, "slot long, chan long, feed long, ant long, g_re double, g_im double, weight double")
 
 
-def gain_residual(ratios: DataFrame, gains: DataFrame) -> DataFrame:
-    """(slot, chan, residual): the weighted root mean square of x - g1 conj(g2)."""
-    side = lambda n: gains.select("slot", "chan", F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"))
-    rows = ratios.join(side(1), ["slot", "chan", "a1"]).join(side(2), ["slot", "chan", "a2"])
+def gain_residual(ratios: DataFrame, gains: DataFrame, *, cross: bool = True) -> DataFrame:
+    """(slot, chan, residual): the weighted root mean square of x - g1 conj(g2) over all products, each with the gains
+    of its two feeds."""
+    side = lambda n: gains.select("slot", "chan", F.col("feed").alias(f"f{n}"), F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"))
+    rows = _with_pol(ratios).withColumns(dict(zip(("f1", "f2"), product_feeds(F.col("pol"), cross), strict=True)))
+    rows = rows.join(side(1), ["slot", "chan", "f1", "a1"]).join(side(2), ["slot", "chan", "f2", "a2"])
     off = cx.abs2(cx.sub(cx.pair("x"), cx.mul(cx.pair("g1"), cx.conj(cx.pair("g2")))))
     total = F.sum("weight")
     return rows.groupBy("slot", "chan").agg(F.when(total > 0, F.sqrt(F.sum(F.col("weight") * off) / total)).otherwise(F.lit(0.0)).alias("residual"))

@@ -47,17 +47,27 @@ def divide_matrix(vis: DataFrame, model: DataFrame) -> DataFrame:
     return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
-def apply_gains(vis: DataFrame, gains: DataFrame, *, interval: float, first: float, inverse: bool = False) -> DataFrame:
+def product_feeds(pol: Column, cross: bool) -> tuple[Column, Column]:
+    """The feeds of a product's two antennas: pol // 2 and pol % 2 of four products, pol itself of two parallel ones."""
+    return (F.floor(pol / 2), pol % 2) if cross else (pol, pol)
+
+
+def apply_gains(vis: DataFrame, gains: DataFrame, *, interval: float, first: float, inverse: bool = False, cross: bool = True) -> DataFrame:
     """V g1 conj(g2), or V / (g1 conj(g2)) where that isn't 0, with the gains of the interval that holds the time.
 
     Intervals have one length and centres first, first + interval, ...; a row whose time is in none is left out.
-    V and weight are 0 where an antenna's gain has no weight.
+    V and weight are 0 where an antenna's gain has no weight. Gains with a ``feed`` join the feeds of the product, in a
+    frame with cross products or without (``cross=False``); gains without one hold for all products.
     """
+    by_feed = "feed" in gains.columns
     number = lambda t: F.round((F.col(t) - first) / interval).cast("long")
-    table = gains.withColumn("__k", number("time")).select("__k", "ant", "chan", "g_re", "g_im", F.col("weight").alias("gw"))
-    side = lambda n: table.select("__k", "chan", F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"), F.col("gw").alias(f"gw{n}"))
+    table = gains.withColumn("__k", number("time")).select("__k", "ant", "chan", *(["feed"] if by_feed else []), "g_re", "g_im", F.col("weight").alias("gw"))
+    feed = lambda n: [F.col("feed").alias(f"__f{n}")] if by_feed else []
+    side = lambda n: table.select("__k", "chan", *feed(n), F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"), F.col("gw").alias(f"gw{n}"))
     rows = vis.withColumn("__k", number("time")).where(F.abs(F.col("time") - (F.col("__k") * interval + first)) < interval / 2)
-    rows = rows.join(side(1), ["__k", "chan", "a1"]).join(side(2), ["__k", "chan", "a2"])
+    rows = rows.withColumns(dict(zip(("__f1", "__f2"), product_feeds(F.col("pol"), cross), strict=True))) if by_feed else rows
+    on = lambda n: ["__k", "chan", f"a{n}", *([f"__f{n}"] if by_feed else [])]
+    rows = rows.join(side(1), on(1)).join(side(2), on(2))
     g = cx.mul(cx.pair("g1"), cx.conj(cx.pair("g2")))
     re, im = cx.div(cx.pair("vis"), g) if inverse else cx.mul(cx.pair("vis"), g)
     if inverse:

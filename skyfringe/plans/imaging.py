@@ -40,9 +40,9 @@ def continuum_imaging(vis: DataFrame, npixel: int, cellsize: float, *, cycles: i
     return model, image
 
 
-def self_calibrate(vis: DataFrame, model: DataFrame, antennas: int, interval: float) -> tuple[DataFrame, DataFrame]:
+def self_calibrate(vis: DataFrame, model: DataFrame, antennas: int, interval: float, *, cross: bool = True) -> tuple[DataFrame, DataFrame]:
     """(gains, corrected visibilities): solve against predicted visibilities, then apply the inverse."""
-    solved = calibration.solve_gains(calibration.point_ratios(vis, model, interval), antennas)
-    gains = solved.select((F.col("slot") * interval + interval / 2).alias("time"), "ant", "chan", "g_re", "g_im", "weight")
+    solved = calibration.solve_gains(calibration.point_ratios(vis, model, interval), antennas, cross=cross)
+    gains = solved.select((F.col("slot") * interval + interval / 2).alias("time"), "ant", "chan", "feed", "g_re", "g_im", "weight")
     gains = materialize(gains)
-    return gains, joins.apply_gains(vis, gains, interval=interval, first=interval / 2, inverse=True)
+    return gains, joins.apply_gains(vis, gains, interval=interval, first=interval / 2, inverse=True, cross=cross)

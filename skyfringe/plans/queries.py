@@ -487,17 +487,22 @@ RATIOS = "SELECT floor(time / 16e1) AS slot, a1, a2, chan, CASE WHEN wt > 0 THEN
 
 
 @register("c02_point_ratios", "slot a1 a2 chan", "x_re x_im weight", RATIOS)
+def _(t: Views) -> DataFrame:
+    return ca.point_ratios(t("fx_vis"), t("fx_model"), 160.0).where("pol = 0")  # as its SQL; all products below
+
+
+@register("c02_point_ratios_all", "slot a1 a2 chan pol", "x_re x_im weight", "SELECT slot, a1, a2, chan, pol, CASE WHEN wt > 0 THEN sr / wt ELSE 0 END AS x_re, CASE WHEN wt > 0 THEN si / wt ELSE 0 END AS x_im, wt AS weight FROM (SELECT floor(time / 16e1) AS slot, a1, a2, chan, pol, sum(weight * (vis_re * m_re + vis_im * m_im)) AS sr, sum(weight * (vis_im * m_re - vis_re * m_im)) AS si, sum(weight * (m_re * m_re + m_im * m_im)) AS wt FROM fx_vis JOIN fx_model USING (time, a1, a2, chan, pol) GROUP BY floor(time / 16e1), a1, a2, chan, pol)")
 def _(t: Views) -> DataFrame:
     return ca.point_ratios(t("fx_vis"), t("fx_model"), 160.0)
 
 
 def _corrupted(t: Views) -> DataFrame:
-    model = t("fx_model").where("pol = 0 AND chan < 6")
+    model = t("fx_model")
     as_vis = model.select(*vi.KEY, F.col("m_re").alias("vis_re"), F.col("m_im").alias("vis_im"), F.lit(1.0).alias("weight"))
     return jo.apply_gains(as_vis, t("fx_gain"), interval=160.0, first=75.0)
 
 
-@register("c03_solve_gains", "slot chan ant", "g_re g_im")
+@register("c03_solve_gains", "slot chan feed ant", "g_re g_im")
 def _(t: Views) -> DataFrame:
     return ca.solve_gains(ca.point_ratios(_corrupted(t), t("fx_model"), 160.0), 15)
 
