@@ -80,8 +80,9 @@ def _fit(likely: np.ndarray, n: np.ndarray, starts: np.ndarray, owner: np.ndarra
     return share, np.add.reduceat(n * np.log(all_parts), starts)
 
 
-def mixtures(texts: list[str], likelihood: np.ndarray, *, rounds: int = 8, penalty: float = 3.0, most: int = 3) -> np.ndarray:
-    """The shares of the chosen language set of each text, 0 for languages outside it."""
+def mixtures(texts: list[str], likelihood: np.ndarray, *, rounds: int = 8, penalty: float = 3.0) -> np.ndarray:
+    """The shares of the chosen language set of each text, 0 for languages outside it. Sets grow up to all languages;
+    a text is left once even the likeliest language of each trigram would not pay for a larger set."""
     buckets, langs = likelihood.shape
     owner, bucket, count = trigram_counts(texts, buckets)
     out = np.zeros((len(texts), langs), np.float32)
@@ -98,10 +99,20 @@ def mixtures(texts: list[str], likelihood: np.ndarray, *, rounds: int = 8, penal
     best = np.zeros_like(everything)
     best[np.arange(len(best)), alone.argmax(1)] = 1
     value = alone.max(1) - price
-    for size in range(2, min(most, langs) + 1):
-        share, fit = _fit(likely, n, starts, local, (rank < size).astype(np.float32), rounds)
-        better = fit - size * price > value
-        best[better], value[better] = share[better], (fit - size * price)[better]
+    # No set is likelier than each trigram's likeliest language.
+    bound = np.add.reduceat(n * np.log(likely.max(1)), starts)
+    for size in range(2, langs + 1):
+        open_texts = bound - size * price > value
+        if not open_texts.any():
+            break
+        rows = open_texts[local]
+        some = n[rows]
+        owners = (np.cumsum(open_texts) - 1)[local[rows]]
+        begins = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+        share, fit = _fit(likely[rows], some, begins, owners, (rank[open_texts] < size).astype(np.float32), rounds)
+        at = np.flatnonzero(open_texts)
+        better = fit - size * price[at] > value[at]
+        best[at[better]], value[at[better]] = share[better], (fit - size * price[at])[better]
     out[number] = best
     return out
 

@@ -273,6 +273,15 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_language_mixes_of_all_languages(spark):
+    words = {"aa": "kata mora tika ", "bb": "huld vorn stec ", "cc": "piqu xeli zoun ", "dd": "brym glaf jysk ", "ee": "quon wexi fyzo "}
+    model = langid.train(spark.createDataFrame([(w * k, lang) for lang, w in words.items() for k in range(2, 9)], "text string, lang string"))
+    df = spark.createDataFrame([(k, "".join(w * 20 for w in list(words.values())[:k])) for k in range(1, 6)], "doc_id long, text string")
+    for r in langid.identify(df, model).collect():
+        assert {x.lang for x in r.languages} == set(list(words)[: r.doc_id])
+        assert abs(r.score - 1 / r.doc_id) < 0.05
+
+
 def test_lm_base_and_probability(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = {(r.doc_id, r.n_tokens): r for r in lm_mixing.score_documents(docs, held, frequent=2).collect()}
