@@ -11,9 +11,11 @@ from skyfringe.llm.queries import byte_bpe
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their failing lines; n_chars follows."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
-    return where_computed(quality.quality_rules(rows, "__doc"), "kept").select("__doc.*")
+    kept = where_computed(quality.quality_rules(rows, "__doc"), "kept")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*(new.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

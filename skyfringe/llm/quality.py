@@ -44,7 +44,7 @@ def line_fails(line: Column, *, furniture: bool = True, max_symbols_per_word: fl
     boilerplate: a known phrase in a line of at most ``furniture_words`` words; ``furniture=False``
     leaves that rule out, for texts known to have no such phrase.
     """
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    n = F.regexp_count(line, F.lit(f"[^{SPACES[1:]}+"))
     punctuation = (_count(line, SYMBOLS) > max_symbols_per_word * n) | ~line.rlike(r"\p{L}")
     navigation = ((n <= short_words) & ~line.rlike(SENTENCE_END)) | (_count(line, "|»›•") * 3 > n)
     fails = punctuation | navigation

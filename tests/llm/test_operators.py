@@ -62,6 +62,19 @@ def test_quality_against_python(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_line_rules_count_words_not_blanks(spark):
+    tabbed, menu = "some\twords\tin\ta\trow\twithout\tan\tend", "  Home    About   Us  "
+    r = quality.clean_lines(spark.createDataFrame([(1, f"{tabbed}\n{menu}")], "doc_id long, text string"), max_lost=0.9).first()
+    assert r.clean_text == tabbed and r.n_lines_removed == 1
+
+
+def test_quality_stage_passes_clean_text_on(spark):
+    body = " ".join(f"word{k}" for k in range(80)) + "."
+    df = spark.createDataFrame([(1, f"{body}\nHome | About | Contact", "en", "a", 999)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = corpus_pipeline.quality_stage(spark, df, "").first()
+    assert r.text == body and r.n_chars == len(body)
+
+
 def test_clean_lines_drop_furniture(spark):
     text = PROSE * 2 + "\nHome | About | Contact | Login\nAll rights reserved\n" + PROSE
     r = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
