@@ -19,13 +19,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one that names the group.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least doc_id,
+    null ids last, and of repeated rows one.
 
-    Documents without a doc_id stay.
+    Documents without a word stay.
     """
-    known = materialize(jaccard.jaccard_components(docs, n=5, num=80, den=100))
-    copies = known.where("doc_id <> component_id").select("doc_id").distinct()
-    return join_small(docs, copies, "doc_id", "left_anti", rows=1_000_000)
+    known = materialize(jaccard.jaccard_rows(docs, n=5, num=80, den=100))
+    copies = known.where("row <> keeper").select(F.col("row").alias("__row")).distinct()
+    kept = join_small(docs.withColumn("__row", jaccard.row_key(docs)), copies, "__row", "left_anti", rows=1_000_000)
+    again = materialize(known.where("n_shingles > 0 AND row = keeper").groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"))
+    single = join_small(kept, again, "__row", "left_anti", rows=1_000_000).drop("__row")
+    repeated = join_small(kept, again, "__row", "left_semi", rows=1_000_000)
+    one = repeated.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__doc")).select("__doc.*")
+    return single.unionByName(one)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

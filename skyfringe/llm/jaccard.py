@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, text_rows
+from .common import join_small, materialize
 from .pretoken import portions
 
 U = np.uint64
@@ -146,17 +146,17 @@ class PartEnum:
 
 
 def _class_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and node: the hash that equal sets share."""
+    """doc_id, row, n_shingles and node: the hash that equal sets share."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, at = batch["doc_id"].astype("Int64"), 0
             for some in portions(batch["text"]):
                 sets = shingle_sets(some, n)
-                yield pd.DataFrame({"doc_id": ids.iloc[at : at + len(some)].array, "n_shingles": [len(s) for s in sets], "node": _fingerprints(sets)})
+                yield pd.DataFrame({"doc_id": ids.iloc[at : at + len(some)].array, "row": batch["row"].iloc[at : at + len(some)].array, "n_shingles": [len(s) for s in sets], "node": _fingerprints(sets)})
                 at += len(some)
 
-    return docs.mapInPandas(made, "doc_id long, n_shingles long, node long")
+    return docs.mapInPandas(made, "doc_id long, row long, n_shingles long, node long")
 
 
 def _signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -255,23 +255,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000, few_components: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    rows = text_rows(docs).select(F.col("doc_id").cast("long"), "text")
+def row_key(docs: DataFrame) -> Column:
+    """A row's own hash, of doc_id and text: the same whenever it is read, and shared by repeated rows only."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["doc_id"].isNull(), F.coalesce(docs["text"], F.lit("")))
+
+
+def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = 1_000_000, few_components: int = 8) -> DataFrame:
+    """doc_id, row (``row_key``), n_shingles, component_id and keeper of every document: the keeper is the row of its
+    component with the least (doc_id, row), null ids last; null where a document links with nothing."""
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     known = materialize(_class_rows(rows, n))
-    classes = materialize(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = materialize(known.where("n_shingles > 0").groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
 
-    # One text of each class: the others are left out by their ids.
-    again = known.where("n_shingles > 0").join(classes.where("copies > 1"), "node").where(F.col("doc_id") != F.col("first_id")).select("doc_id")
-    alone = join_small(rows, again, "doc_id", "left_anti", rows=broadcast_rows)
+    # One text of each class: the others are left out by their rows.
+    again = known.where("n_shingles > 0").join(classes.where("copies > 1"), "node").where(F.col("row") != F.col("first.row")).select("row")
+    alone = join_small(rows, again, "row", "left_anti", rows=broadcast_rows)
     signed = _signature_rows(alone, n, num, den)
     of_one = Window.partitionBy("signature")
     shared = signed.withColumn("lo", F.min("node").over(of_one)).withColumn("hi", F.max("node").over(of_one)).withColumn("company", F.count(F.lit(1)).over(of_one))
     shared = materialize(shared.where("lo < hi").select("signature", "node", "company"))
 
-    wanted = shared.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id"))
-    unnamed = rows.where("doc_id IS NULL")
-    sets = materialize(_set_rows(join_small(rows, wanted.where("doc_id IS NOT NULL"), "doc_id", "left_semi", rows=broadcast_rows).unionByName(unnamed), n).dropDuplicates(["node"]))
+    wanted = shared.select("node").distinct().join(classes, "node").select("first.row")
+    sets = materialize(_set_rows(join_small(rows, wanted, "row", "left_semi", rows=broadcast_rows), n).dropDuplicates(["node"]))
 
     # First links: everything against its signatures' pivots.
     says = F.when(F.col("signature") % 2 == 0, 1).otherwise(2)
@@ -303,10 +309,16 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     links = materialize(first_links.unionByName(more_links))
 
     comps = components(links)
-    least = comps.join(classes, "node", "left").groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    linked = comps.join(least, "comp").select("node", "component_id")
-    copied = classes.where("copies > 1").join(linked, "node", "left_anti").select("node", F.col("first_id").alias("component_id"))
-    named = materialize(linked.unionByName(copied))
+    least = comps.join(classes, "node").groupBy("comp").agg(F.min("first").alias("first"))
+    linked = comps.join(least, "comp").select("node", "first")
+    copied = classes.where("copies > 1").join(linked, "node", "left_anti").select("node", "first")
+    named = materialize(linked.unionByName(copied).select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keeper")))
     out = join_small(known, named, "node", "left", rows=broadcast_rows)
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    has = F.col("n_shingles") > 0
+    component = F.when(has, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.when(has, F.col("keeper")).alias("keeper"))
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return jaccard_rows(docs, **options).select("doc_id", "n_shingles", "component_id")

@@ -371,3 +371,14 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     empty_dir = tmp_path / "none"
     spark.createDataFrame([], names).write.parquet(str(empty_dir / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(empty_dir)).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    other, near = b + " end", c + " end"
+    data = [(1, a), (1, a), (2, a), (None, a), (3, b), (5, b), (5, c), (None, near), (None, "x y z u v w"), (None, "x y z u v w"), (8, ""), (8, ""), (9, other)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())
+    assert got == sorted([(1, a), (3, b), (5, c), (0, "x y z u v w"), (8, ""), (8, "")])
+    linked = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert (None, 57, 5) in linked and (5, 56, 3) in linked and (5, 56, 5) in linked
