@@ -64,7 +64,8 @@ STAGES = [
     ("source_mixing", mixing_stage),
     ("best_fit_packing", packing_stage),
 ]
-#: SQL can't express tokenizing or packing; tests hold the stages against brute force.
+#: SQL can't express tokenizing or packing; tests hold the operators against brute force, and of the stages only the
+#: first two against what must come out.
 ORACLE_SQL = None
 
 
