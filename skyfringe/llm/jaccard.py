@@ -11,14 +11,21 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two sets
    groups than needed, so empty subsets, which say nothing, give no signature as long as the groups that have one are too
    few to hold all the agreement; the rare set with more of them gives signatures for emptiness too. In the larger
    bands groups are so many that linked sets share at least two signatures; one alone is no candidate there.
-3. Of the texts that share a signature, the one with most such company is the pivot, and all others are compared
-   with it. Links give first components.
+3. Of the texts that share a signature, the one with most such company is the pivot. Every text is compared with the
+   pivot that it shares most signatures with, and where that leaves it apart from another of its pivots, with that one.
+   Links give first components.
 4. Where a signature still has several components, every text outside its largest component is compared with every
    text of the signature, gathered by that component.
 
 Comparing works on blocks: (hub, block of left, block of right) is a unit of work whose rows are sets, so its rows
 grow with a group's size and not with its square, and a hot group is spread over many tasks. A block emits no more
-links than it takes to connect what it found linked, which is all that components need.
+links than it takes to connect what it found linked, which is all that components need. Blocks hold sketches first:
+a set's size and, for each of 1,024 numbers, whether an odd count of its elements hash to it. Two sets differ in at
+least as many elements as their sketches do in bits, so a pair that differs in too many bits can't link; only sets
+with a partner left in their block are sent. Written tables are deleted after their last reader.
+
+Words are told apart by 64-bit hashes that mix every eight bytes with their place, so texts made of one another's
+pieces don't share them.
 
 Defined results: null or empty text, or text without a word, has an empty set, links with nothing and is its own
 component; with fewer than n words the whole sequence is the one n-gram; repeated rows and equal texts share a
@@ -28,14 +35,14 @@ empty table; further columns are left behind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import discard, join_small, materialize
 from .pretoken import portions
 
 U = np.uint64
@@ -53,12 +60,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, U), np.full(max(n - 1, 0), _P, U)]))
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word, in order; A-Z count as a-z."""
+    """(hash, text number) of every word, in order; A-Z count as a-z. Each eight bytes of a word are mixed by
+    themselves, then with their place, and a word's hash is the mixed sum of those and its length."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     space = _SPACE[data]
@@ -67,9 +71,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, np.int64)
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    terms = (data[~space].astype(U) + U(1)) * _powers(int(lengths.max()))[place]
+    pieces = (lengths + 7) // 8
+    first = np.cumsum(pieces) - pieces
+    padded = np.zeros(8 * int(pieces.sum()), np.uint8)
+    padded[np.arange(int(lengths.sum())) + np.repeat(8 * first - (np.cumsum(lengths) - lengths), lengths)] = data[~space]
+    place = np.arange(len(padded) // 8) - np.repeat(first, pieces)
+    terms = mix(mix(padded.view("<u8")) + (place.astype(U) + U(1)) * _P)
     cuts = np.cumsum([len(x) + 1 for x in raw])
     return mix(np.add.reduceat(terms, first) + lengths.astype(U)), np.searchsorted(cuts, starts, "right")
 
@@ -78,7 +85,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     words, owner = word_hashes(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    factors = _powers(n + 1)[1:]
+    factors = np.cumprod(np.full(n, _P, U))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         w, size = words[a:b], min(n, b - a)
@@ -93,7 +100,16 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([mix(mix(s).sum(dtype=U) + U(len(s))) for s in sets], U).view(np.int64)
+    return mix(np.array([mix(s).sum(dtype=U) for s in sets], U) + np.array([len(s) for s in sets], U)).view(np.int64)
+
+
+#: Bits of a set's sketch.
+SKETCH = 1024
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """For each of ``SKETCH`` numbers, whether an odd count of the set's elements hash to it."""
+    return np.packbits(np.bincount((mix(s + _P) >> U(54)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 class PartEnum:
@@ -173,6 +189,18 @@ def _signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInPandas(made, "signature long, node long")
 
 
+def _sketch_rows(docs: DataFrame, n: int) -> DataFrame:
+    """(node, size, sketch) of every set."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some in portions(batch["text"]):
+                sets = shingle_sets(some, n)
+                yield pd.DataFrame({"node": _fingerprints(sets), "size": [len(s) for s in sets], "sketch": [_sketch(s) for s in sets]})
+
+    return docs.mapInPandas(made, "node long, size long, sketch binary")
+
+
 def _set_rows(docs: DataFrame, n: int) -> DataFrame:
     """(node, elements): the sets themselves, as little-endian unsigned 64-bit integers."""
 
@@ -214,27 +242,64 @@ def _block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.n
     return out
 
 
-def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, num: int, den: int, *, block: int = 512, unit_rows: int = 1024) -> DataFrame:
-    """Links (a, b) among left x right of each hub; both sides have distinct (hub, node)."""
-    count = lambda side, name: side.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    blocks = count(left, "nl").join(count(right, "nr"), "hub")
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l_rows = left.join(blocks, "hub").select("hub", "node", dealt("nl").alias("i"), F.lit(0).alias("side"), every("nr").alias("j"))
-    r_rows = right.join(blocks, "hub").select("hub", "node", every("nl").alias("i"), F.lit(1).alias("side"), dealt("nr").alias("j"))
-    rows = l_rows.unionByName(r_rows).join(sets, "node")
-    units = max(1, -(-(left.count() + right.count()) // unit_rows))
+def _may_link(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two blocks of sketches have another set on the other side that they may link with."""
+    bits = [np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1) for x in (left, right)]
+    size = [x["size"].to_numpy() for x in (left, right)]
+    node = [x["node"].to_numpy() for x in (left, right)]
+    keep = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for k in range(len(left)):
+        both = size[0][k] + size[1]
+        apart = np.bitwise_count(bits[0][k] ^ bits[1]).sum(1, dtype=np.int64)
+        may = ((den + num) * apart <= (den - num) * both) & (den * np.minimum(size[0][k], size[1]) >= num * np.maximum(size[0][k], size[1])) & (node[0][k] != node[1])
+        keep[0][k] = may.any()
+        keep[1][may] = True
+    return keep
+
+
+def _compare(left: DataFrame, right: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, *, block: int = 512, unit_rows: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+    """Links (a, b) among left x right of each hub; both sides have distinct (hub, node). ``sets`` gives the sets of a
+    table of nodes."""
+
+    def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        """Each row with its own block and every block of the other side."""
+        rows = side
+        for sizes, n in ((left_blocks, "nl"), (right_blocks, "nr")):
+            rows = join_small(rows, sizes, "hub", "left", rows=broadcast_rows).withColumn(n, F.coalesce(n, F.lit(1)))
+        mine, theirs = ("nl", "nr") if number == 0 else ("nr", "nl")
+        every = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
+        return rows.select("hub", "node", F.pmod(F.xxhash64("node"), F.col(mine)).cast("int").alias(own), F.lit(number).alias("side"), every.alias(other))
+
+    # Only hubs of more than a block need their number of blocks, a row for at least ``block`` rows.
+    blocks = lambda side, name: side.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)).where(F.col(name) > 1)
+    left_blocks, right_blocks = blocks(left, "nl"), blocks(right, "nr")
+    rows = dealt(left, 0, "i", "j").unionByName(dealt(right, 1, "j", "i"))
+    units = lambda n: F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, -(-n // unit_rows)))).alias("unit")
+
+    def blocks_of(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        for _, g in pdf.groupby(["hub", "i", "j"], sort=False):
+            g = g.drop_duplicates(["side", "node"])
+            yield g[g["side"] == 0], g[g["side"] == 1]
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = [side[keep] for pair in blocks_of(pdf) for side, keep in zip(pair, _may_link(*pair, num, den), strict=True)]
+        return pd.concat([pdf[:0], *kept])[["hub", "i", "j", "side", "node"]]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        for _, g in pdf.groupby(["hub", "i", "j"], sort=False):
-            sides = [[(int(x), np.frombuffer(e, "<u8")) for x, e in zip(p["node"], p["elements"], strict=True)] for p in (g[g["side"] == 0], g[g["side"] == 1])]
+        for pair in blocks_of(pdf):
+            sides = [[(int(x), np.frombuffer(e, "<u8")) for x, e in zip(p["node"], p["elements"], strict=True)] for p in pair]
             if sides[0] and sides[1]:
                 found += _block_links(sides[0], sides[1], num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     # Small hubs share a unit; each block pair of a large one goes its own way.
-    return rows.withColumn("unit", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(units))).groupBy("unit").applyInPandas(work, "a long, b long").distinct()
+    sketched = rows.join(sketches, "node").withColumn("unit", units(left.count() + right.count()))
+    open_rows = materialize(sketched.groupBy("unit").applyInPandas(narrow, "hub long, i int, j int, side int, node long"))
+    joined = open_rows.join(sets(open_rows.select("node").distinct()), "node").withColumn("unit", units(open_rows.count()))
+    links = materialize(joined.groupBy("unit").applyInPandas(work, "a long, b long").distinct())
+    discard(open_rows)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,9 +315,11 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         moved = materialize(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")))
-        labels = moved.select("node", "comp")
+        discard(labels)
+        labels = moved
         if not moved.where("old <> comp").limit(1).count():
-            return labels
+            discard(edges)
+            return labels.select("node", "comp")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -266,7 +333,7 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     known = materialize(_class_rows(rows, n))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = materialize(known.where("n_shingles > 0").groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
+    classes = materialize(known.where("n_shingles > 0").groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")))
 
     # One text of each class: the others are left out by their rows.
     again = known.where("n_shingles > 0").join(classes.where("copies > 1"), "node").where(F.col("row") != F.col("first.row")).select("row")
@@ -277,16 +344,34 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     shared = materialize(shared.where("lo < hi").select("signature", "node", "company"))
 
     wanted = shared.select("node").distinct().join(classes, "node").select("first.row")
-    sets = materialize(_set_rows(join_small(rows, wanted, "row", "left_semi", rows=broadcast_rows), n).dropDuplicates(["node"]))
+    sketches = materialize(_sketch_rows(join_small(rows, wanted, "row", "left_semi", rows=broadcast_rows), n))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return _set_rows(join_small(rows, nodes.join(classes, "node").select("first.row"), "row", "left_semi", rows=broadcast_rows), n)
+
+    def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+        return _compare(left, right, sketches, sets, num, den)
 
-    # First links: everything against its signatures' pivots.
+    # First links: everything against the pivot it shares most signatures with, then against others not yet joined.
     says = F.when(F.col("signature") % 2 == 0, 1).otherwise(2)
     company = shared.groupBy("node").agg(F.sum("company").alias("all_company"))
     ranked = shared.select("signature", "node").join(company, "node")
     pivots = ranked.groupBy("signature").agg(F.max(F.struct("all_company", "node"))["node"].alias("hub"))
-    star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.sum(says).alias("says"))
-    star = materialize(star.where("says > 1").select("hub", "node"))
-    first_links = materialize(_compare(star.select("hub", F.col("hub").alias("node")).distinct(), star, sets, num, den))
+    star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.sum(says).alias("says")).where("says > 1")
+    size = classes.select("node", "size")
+    star = star.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
+    possible = den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")
+    star = materialize(star.where(possible).select("hub", "node", "says"))
+    hubs = lambda some: some.select("hub", F.col("hub").alias("node")).distinct()
+    best = materialize(star.groupBy("node").agg(F.max(F.struct("says", "hub"))["hub"].alias("hub")))
+    best_links = compare(hubs(best), best)
+    comps = materialize(components(best_links))
+    placed_star = star.join(comps, "node", "left").withColumn("own", F.coalesce("comp", "node")).drop("comp")
+    placed_star = placed_star.join(comps.select(F.col("node").alias("hub"), "comp"), "hub", "left").withColumn("others", F.coalesce("comp", "hub")).join(best.withColumn("done", F.lit(True)), ["hub", "node"], "left")
+    rest = materialize(placed_star.where("own <> others AND done IS NULL").select("hub", "node"))
+    rest_links = compare(hubs(rest), rest)
+    first_links = materialize(best_links.unionByName(rest_links))
+    discard(star, best, best_links, rest, rest_links, comps)
 
     # The rest: only where a signature still has several components. Of few components, the pairs that share enough
     # signatures; of many, all against the largest. Either way rows are gathered by the larger component.
@@ -305,14 +390,17 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     many = materialize(placed.join(several.where(F.col("n") > few_components).select("signature", "hub"), "signature").select("hub", "node", "comp").distinct())
     left = faced.join(members, "comp").select("hub", "node").unionByName(many.where("comp <> hub").select("hub", "node")).distinct()
     right = members.join(faced.select("hub").distinct(), F.col("comp") == F.col("hub")).select("hub", "node").unionByName(many.select("hub", "node")).distinct()
-    more_links = _compare(materialize(left), materialize(right), sets, num, den)
+    left, right = materialize(left), materialize(right)
+    more_links = compare(left, right)
     links = materialize(first_links.unionByName(more_links))
+    discard(sketches, shared, placed, several, faced, many, left, right, first_links, more_links)
 
     comps = components(links)
     least = comps.join(classes, "node").groupBy("comp").agg(F.min("first").alias("first"))
     linked = comps.join(least, "comp").select("node", "first")
     copied = classes.where("copies > 1").join(linked, "node", "left_anti").select("node", "first")
     named = materialize(linked.unionByName(copied).select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keeper")))
+    discard(links, classes)
     out = join_small(known, named, "node", "left", rows=broadcast_rows)
     has = F.col("n_shingles") > 0
     component = F.when(has, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -230,7 +231,7 @@ def test_jaccard_against_brute_force(spark, n, num, limit):
     for base in range(12):
         w = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(5, 260)))]
         texts.append(" ".join(w))
-        for _ in range(int(rng.integers(0, 9))):
+        for _ in range(int(rng.integers(0, 12))):
             v = list(w)
             for k in rng.integers(0, len(v), int(rng.integers(0, 1 + len(v) // 25))):
                 v[k] = f"z{rng.integers(0, 9)}"
@@ -250,18 +251,32 @@ def test_jaccard_odd_rows(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("size", [6, 13, 40, 100, 333, 1000])
-def test_linked_sets_share_a_signature(size):
+@pytest.mark.parametrize("size", [6, 13, 40, 100, 333, 1000, 2500])
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_signatures(size, num):
+    """One that stands for all that is sure, or two of the others; and sketches that don't rule the link out."""
     rng = np.random.default_rng(size)
-    scheme = jaccard.PartEnum(85, 100)
-    for _ in range(60):
+    scheme = jaccard.PartEnum(num, 100)
+    for _ in range(40):
         a = rng.integers(0, 2**63, size).astype(np.uint64)
-        drop = int(rng.integers(0, size // 6 + 1))
-        b = np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, size // 6 + 1))).astype(np.uint64)])
+        drop = int(rng.integers(0, size // 5 + 1))
+        b = np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, size // 5 + 1))).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         common = len(np.intersect1d(a, b))
-        if 100 * common >= 85 * (len(a) + len(b) - common) and (len(a) != len(b) or (a != b).any()):
-            assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+        if 100 * common >= num * (len(a) + len(b) - common) and (len(a) != len(b) or (a != b).any()):
+            shared = np.intersect1d(scheme.signatures(a), scheme.signatures(b))
+            assert sum(2 if x % 2 else 1 for x in shared.tolist()) > 1
+            rows = [pd.DataFrame({"node": [k], "size": [len(x)], "sketch": [jaccard._sketch(x)]}) for k, x in enumerate((a, b))]
+            assert all(k.all() for k in jaccard._may_link(*rows, num, 100))
+
+
+def test_words_of_the_same_pieces_differ():
+    """The Thue-Morse word and its complement, and words of the same eight-byte pieces in another order."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    pieces = "abcdefgh" + "ijklmnop", "ijklmnop" + "abcdefgh", "abcdefgh" * 2, "abcdefgh"
+    hashes, owner = jaccard.word_hashes([word, other, " ".join(pieces), "A a\x00 a"])
+    assert len(set(hashes.tolist())) == 8 and owner.tolist() == [0, 1, 2, 2, 2, 2, 3, 3, 3]
 
 
 def test_block_links_connect_all():
