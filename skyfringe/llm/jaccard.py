@@ -7,10 +7,10 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two sets
 2. PartEnum: sizes fall into bands so that linked sets are in the same band or the next; a set takes part in its own
    band and the one above. In a band, linked sets differ in at most k elements. Elements are dealt by hash into n1
    groups of n2 parts. With more than k // 2 groups, some group differs in at most one part, so two linked sets agree
-   on some n2 - 1 parts of some group: these subsets, with their elements' sum, are the signatures. There are more
-   groups than needed, so empty subsets, which say nothing, give no signature as long as the groups that have one are too
-   few to hold all the agreement; the rare set with more of them gives signatures for emptiness too. In the larger
-   bands groups are so many that linked sets share at least two signatures; one alone is no candidate there.
+   on some n2 - 1 parts of some group: these subsets, with their elements' sum, are the signatures. Two of three parts
+   make one (n2 = 3), so that texts which only have a passage in common seldom share one. There are more groups than
+   needed, so empty subsets, which say nothing, give no signature as long as the groups that have one are too few to
+   hold all the agreement; the rare set with more of them gives a signature for emptiness too.
 3. Of the texts that share a signature, the one with most such company is the pivot. Every text is compared with the
    pivot that it shares most signatures with, and where that leaves it apart from another of its pivots, with that one.
    Links give first components.
@@ -128,9 +128,7 @@ class PartEnum:
         """(k, n1, n2) of a band; k = 0 needs no signature, as equal sets are one class."""
         top = self.lows[band + 1] - 1
         k = 2 * top * (self.den - self.num) // (self.den + self.num)
-        if k <= 8:
-            return k, k // 2 + 2, 3
-        return k, k // 2 + 4 + k // 16, 2
+        return k, k // 2 + (2 if k <= 8 else 4 + k // 16), 3
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The 64-bit signatures of a sorted set of hashes."""
@@ -151,13 +149,9 @@ class PartEnum:
             without = sizes.sum(1, keepdims=True) - sizes
             values = mix(sums.sum(1, dtype=U)[:, None] - sums + without.astype(U) * _P)
             values = mix(values + (np.arange(n1 * n2, dtype=U).reshape(n1, n2) + U(1)) * U(0xD6E8FEB86659FD93) + U(band * 0xA0761D6478BD642F % 2**64))
-            # The last bit says what sharing one signature means: all that is sure (1), or one of two that are (0).
-            sure = n2 == 3
-            found = values[without > 0]
-            if (without == 0).any(1).sum() >= n1 - k // 2 - (not sure):
-                marks = np.array([band + 1] if sure else [band + 1, -band - 1], np.int64).view(U)
-                found = np.append(found, mix(marks * U(0xE7037ED1A0B428DB)))
-            out.append(found | U(1) if sure else found & ~U(1))
+            out.append(values[without > 0])
+            if (without == 0).any(1).sum() >= n1 - k // 2:
+                out.append(mix(np.array([band + 1], U) * U(0xE7037ED1A0B428DB)))
         return np.concatenate(out)
 
 
@@ -277,9 +271,9 @@ def _compare(left: DataFrame, right: DataFrame, sketches: DataFrame, sets: Calla
     units = lambda n: F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, -(-n // unit_rows)))).alias("unit")
 
     def blocks_of(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-        for _, g in pdf.groupby(["hub", "i", "j"], sort=False):
-            g = g.drop_duplicates(["side", "node"])
-            yield g[g["side"] == 0], g[g["side"] == 1]
+        for _, g in pdf.drop_duplicates(["hub", "i", "j", "side", "node"]).groupby(["hub", "i", "j"], sort=False):
+            left = (g["side"] == 0).to_numpy()
+            yield g[left], g[~left]
 
     def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = [side[keep] for pair in blocks_of(pdf) for side, keep in zip(pair, _may_link(*pair, num, den), strict=True)]
@@ -353,17 +347,16 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
         return _compare(left, right, sketches, sets, num, den)
 
     # First links: everything against the pivot it shares most signatures with, then against others not yet joined.
-    says = F.when(F.col("signature") % 2 == 0, 1).otherwise(2)
     company = shared.groupBy("node").agg(F.sum("company").alias("all_company"))
     ranked = shared.select("signature", "node").join(company, "node")
     pivots = ranked.groupBy("signature").agg(F.max(F.struct("all_company", "node"))["node"].alias("hub"))
-    star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.sum(says).alias("says")).where("says > 1")
+    star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("shares"))
     size = classes.select("node", "size")
     star = star.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
     possible = den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")
-    star = materialize(star.where(possible).select("hub", "node", "says"))
+    star = materialize(star.where(possible).select("hub", "node", "shares"))
     hubs = lambda some: some.select("hub", F.col("hub").alias("node")).distinct()
-    best = materialize(star.groupBy("node").agg(F.max(F.struct("says", "hub"))["hub"].alias("hub")))
+    best = materialize(star.groupBy("node").agg(F.max(F.struct("shares", "hub"))["hub"].alias("hub")))
     best_links = compare(hubs(best), best)
     comps = materialize(components(best_links))
     placed_star = star.join(comps, "node", "left").withColumn("own", F.coalesce("comp", "node")).drop("comp")
@@ -373,15 +366,15 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     first_links = materialize(best_links.unionByName(rest_links))
     discard(star, best, best_links, rest, rest_links, comps)
 
-    # The rest: only where a signature still has several components. Of few components, the pairs that share enough
-    # signatures; of many, all against the largest. Either way rows are gathered by the larger component.
+    # The rest: only where a signature still has several components. Of few components, all pairs of components; of many,
+    # all against the largest. Either way rows are gathered by the larger component.
     comps = components(first_links)
     placed = materialize(shared.select("signature", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     per = placed.groupBy("signature", "comp").agg(F.count(F.lit(1)).alias("here"))
     several = materialize(per.groupBy("signature").agg(F.max(F.struct("here", "comp"))["comp"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     few = per.join(several.where(F.col("n") <= few_components).select("signature"), "signature")
     pairs = few.select("signature", F.col("comp").alias("a")).join(few.select("signature", F.col("comp").alias("b")), "signature").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.sum(says).alias("says")).where("says > 1").select("a", "b")
+    pairs = pairs.select("a", "b").distinct()
     members = placed.select("comp", "node").distinct()
     size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     sized = pairs.join(size.select(F.col("comp").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("comp").alias("b"), F.col("size").alias("nb")), "b")
