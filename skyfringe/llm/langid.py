@@ -15,18 +15,18 @@ first by code point; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_rows
 from .pretoken import portions
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # Bytes that are no letters become blanks; bytes of longer characters stay.
 _PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str, *
                     if not langs or not share[top] or not _LETTER.search(text):
                         rows.append(("und", 0.0, []))
                     else:
-                        order = sorted(np.flatnonzero(share > 0.01).tolist(), key=lambda k: -share[k])
+                        order = sorted(np.flatnonzero(share).tolist(), key=lambda k: -share[k])
                         rows.append((langs[top], min(1.0, float(share[top])), [{"lang": langs[k], "share": float(share[k])} for k in order]))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
 
