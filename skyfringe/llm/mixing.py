@@ -3,12 +3,12 @@
 Sizes are words. Sources, by code point and null last, take the weights in turn and share a budget of all words by
 weight; a target stops at ``most`` times its source's size and the excess is shared again by weight. A target's whole
 multiples of the source's size are complete epochs of all its documents; what is left is filled in the order of the
-keys -ln(u) / quality, u being a hash of the document, as far as the prefix sum stays within it; a document that
-would pass it is left out for later ones that don't, and one last document may pass it if that comes nearer.
+keys -ln(u) / quality, u being a hash of the document, as far as the prefix sum stays within it. One last document
+beyond the prefix, the one whose size is nearest to what is left then, is taken if that comes nearer to the target.
 
 No source is ever sorted whole: keys fall into narrow bands of their logarithm (about ``band_rows`` documents each),
-bands are summed, and only where a source's budget ends (one band, or some that hold no more) are rows sorted. So a source that holds most
-of the rows is spread like any other.
+bands are summed, and only the band where a source's budget ends is sorted. So a source that holds most of the rows is
+spread like any other. The result doesn't depend on the bands.
 
 Defined results: null text has size 0 and is never an obstacle; null sources form one source; equal rows have equal
 keys and are interchangeable; documents with a null or repeated doc_id are kept apart as rows; an empty table gives
@@ -17,8 +17,6 @@ an empty table. Reruns agree, as keys depend on the row and the seed alone.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
     return sources.withColumn("target", F.least(F.col("weight") * level, most * F.col("source_size")).cast("double"))
 
 
-def _fill_edge(rows: pd.DataFrame) -> pd.DataFrame:
-    """In key order, take what still fits; then one more if that comes nearer. About a band of a source."""
-    rows = rows.sort_values(["__key", "__row"])
-    sizes, room = rows["size"].to_numpy(), float(rows["room"].iloc[0])
-    taken = np.zeros(len(rows), bool)
-    for k, size in enumerate(sizes.tolist()):
-        if size <= room:
-            taken[k] = True
-            room -= size
-    if not taken.all():
-        over = np.where(taken, np.inf, np.abs(sizes - room))
-        if over.min() < room:
-            taken[over.argmin()] = True
-    return pd.DataFrame({"__row": rows["__row"], "__in": taken})
-
-
 def mix_sources(
-    docs: DataFrame, *keep: str, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, quality: Column | None = None, seed: int = 20, band_rows: int = 20_000
+    docs: DataFrame, *keep: str, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, quality: Column | None = None, seed: int = 20, band_rows: int = 4_000
 ) -> DataFrame:
     """``keep``, doc_id, source, size, source_size, target, copies (how often the mix holds the document) and taken."""
     rows = text_rows(docs, "source", *keep).withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
@@ -86,22 +68,24 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = targets.withColumn("__epochs", epochs).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
 
-    bands = materialize(banded.groupBy("__s", "__band").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
-    upto = lambda x: F.sum(x).over(Window.partitionBy("__s").orderBy("__band"))
-    running = join_small(bands.withColumn("upto", upto("words")).withColumn("rows_upto", upto("rows")), plan.select("__s", "__rest"), "__s", "inner", rows=100_000)
+    bands = banded.groupBy("__s", "__band").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("__s").orderBy("__band"))
+    running = join_small(bands.withColumn("upto", upto), plan.select("__s", "__rest"), "__s", "inner", rows=100_000)
     ends = (
         running.where((F.col("upto") > F.col("__rest")) & (F.col("upto") - F.col("words") <= F.col("__rest")) & (F.col("words") > 0))
         .groupBy("__s")
-        .agg(F.min("__band").alias("__end"), F.min(F.col("upto") - F.col("words")).alias("__before"), F.min(F.col("rows_upto") - F.col("rows")).alias("rows_before"))
+        .agg(F.min("__band").alias("__end"), F.min(F.col("upto") - F.col("words")).alias("__before"))
     )
-    # What fills the end may come from later bands too, while all of them together are no more than one band may hold.
-    near = (F.col("__band") >= F.col("__end")) & ((F.col("rows_upto") - F.col("rows_before") <= band_rows) | (F.col("__band") == F.col("__end")))
-    ends = running.join(ends, "__s").where(near).groupBy("__s", "__end", "__before").agg(F.max("__band").alias("__last"))
     plan = materialize(plan.select("__s", "source_size", "target", "__epochs", "__rest").join(ends, "__s", "left"))
     planned = join_small(banded, plan, "__s", "left", rows=100_000)
-    at_end = F.coalesce((F.col("__band") >= F.col("__end")) & (F.col("__band") <= F.col("__last")), F.lit(False))
-    edge = planned.where(at_end).select("__s", "__row", "__key", "size", (F.col("__rest") - F.col("__before")).alias("room"))
-    filled = materialize(edge.groupBy("__s").applyInPandas(_fill_edge, "__row long, __in boolean"))
+    edge = planned.where("__band = __end").withColumn("__upto", F.col("__before") + F.sum("size").over(Window.partitionBy("__s").orderBy("__key", "__row")))
+    inside = materialize(edge.where("__upto <= __rest").select("__s", "__row", "__upto"))
+    reached = plan.where("__end IS NOT NULL").join(inside.groupBy("__s").agg(F.max("__upto").alias("__upto")), "__s", "left")
+    gaps = reached.select("__s", (F.col("__rest") - F.coalesce("__upto", "__before")).alias("__gap"))
+    outside = join_small(planned.where("__band >= __end"), inside.select("__row"), "__row", "left_anti", rows=500_000)
+    off = F.abs(F.col("size") - F.col("__gap"))
+    last = join_small(outside, gaps, "__s", "inner", rows=100_000).where(off < F.col("__gap")).groupBy("__s").agg(F.min(F.struct(off.alias("off"), "__key", "__row"))["__row"].alias("__row"))
+    filled = materialize(inside.select("__row").unionByName(last.select("__row")).withColumn("__in", F.lit(True)))
     chosen = join_small(planned, filled, "__row", "left", rows=500_000)
     # A source whose budget ends in no band has nothing left to fill.
     inside = F.coalesce(F.col("__in"), F.col("__band") < F.col("__end"), F.lit(False))
