@@ -2,19 +2,24 @@
 
 Trees are complete and binary: each node splits along the difference of two random vectors at the median of a sample
 of at most ``sample_rows`` vectors; every row is then indexed in every tree. For a query one priority queue over all
-trees gives the next leaf, that with the smallest margin on its path, until ``probe`` of all leaves are visited.
-Candidates of visited leaves are scored exactly, in double precision, and the best of each unit of work, and then of
-all, are kept. Inner products are reduced to angles by one more coordinate, sqrt(max norm ** 2 - norm ** 2).
+trees gives the next leaf, that with the least sum of squared margins on its path. Candidates of visited leaves, and
+no others, are scored in double precision; the best of each unit of work, and then of all, are kept, and scored again
+term by term, so that a score doesn't depend on who else was in a unit. Inner products are reduced to angles by one more
+coordinate, sqrt(max norm ** 2 - norm ** 2).
+
+How many leaves a query visits is measured and not set: up to ``tests`` queries, chosen by hash, are answered exactly
+over all rows, and the number of leaves is the least by which ``recall`` of their true neighbours were met. Vectors
+with structure take few leaves; vectors without any, whose neighbours are hardly nearer than others, take most of them.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest ids that carry them, which is all that any answer can
 hold; so a vector that fills a third of the table costs one entry. A unit of work is a stretch of a tree's leaves
 and a salt, of about ``unit_rows`` vectors, so no leaf outgrows a task; large units also mean few partial answers.
+A forest has at most ``sample_rows / 8`` leaves a tree, so that its broadcast is bounded; beyond, leaves grow.
 
-``probe`` is set for the worst case, vectors without any structure, where neighbours are hardly nearer than others.
-
-Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
-take no part, nor do rows without an id; repeated rows count once; fewer candidates than ``k`` give fewer rows; ties
-go to the smaller id; an empty table gives an empty table.
+Defined results: vectors that are null, zero, or that hold null or non-finite components take no part, nor do rows
+without an id; a vector shorter than the longest counts as if filled up with zeros; repeated rows count once; fewer
+candidates than ``k`` give fewer rows; ties go to the smaller id; further columns are left behind; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -69,12 +74,12 @@ class Forest:
             queue = [(0.0, t, 0) for t in range(len(m))]
             found = []
             while queue and len(found) < visit:
-                worst, t, node = heapq.heappop(queue)
+                cost, t, node = heapq.heappop(queue)
                 row = m[t]
                 while node < inner:
                     gap = row[node]
                     near = 2 * node + 1 + (gap > 0)
-                    heapq.heappush(queue, (max(worst, abs(gap)), t, 4 * node + 3 - near))
+                    heapq.heappush(queue, (cost + gap * gap, t, 4 * node + 3 - near))
                     node = near
                 found.append((t, node - inner))
             out.append(found)
@@ -103,19 +108,86 @@ def _matrix(cells) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<f8") for x in cells]) if len(cells) else np.zeros((0, 0))
 
 
+def _best(query: np.ndarray, cls: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` largest finite scores of each row, ties to the smaller class."""
+    parts = [pd.DataFrame({"query": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    place = max(0, scores.shape[1] - k)
+    least = np.partition(scores, place, axis=1)[:, place] if scores.shape[1] else np.zeros(len(scores))
+    for name, row, edge in zip(query, scores, least, strict=True):
+        near = np.flatnonzero((row >= edge) & np.isfinite(row))
+        near = near[np.lexsort((cls[near], -row[near]))][:k]
+        parts.append(pd.DataFrame({"query": name, "cls": cls[near], "score": row[near]}))
+    return pd.concat(parts)
+
+
+def score_leaves(members: pd.DataFrame, asked: pd.DataFrame, k: int, *, at_once: int = 64) -> pd.DataFrame:
+    """(query, cls, score): for each row of ``asked`` the best of the leaves it names, and nothing else is scored."""
+    members = members.sort_values(["leaf", "cls"])
+    leaf, cls, m = members["leaf"].to_numpy(), members["cls"].to_numpy(), _matrix(members["v"])
+    names, begin = np.unique(leaf, return_index=True)
+    end = np.append(begin, len(leaf))[1:]
+    # Queries that start in one leaf go together: they share most of what they visit.
+    asked = asked.iloc[np.argsort([min(x) for x in asked["leaves"]], kind="stable")]
+    parts = []
+    for at in range(0, len(asked), at_once):
+        some = asked.iloc[at : at + at_once]
+        q = _matrix(some["v"])
+        opened = np.zeros((len(some), len(names)), bool)
+        for n, x in enumerate(some["leaves"]):
+            opened[n, np.searchsorted(names, np.intersect1d(x, names))] = True
+        used = np.flatnonzero(opened.any(0))
+        columns = np.concatenate([np.arange(begin[j], end[j]) for j in used]) if len(used) else np.zeros(0, np.int64)
+        scores, at_column = np.full((len(some), len(columns)), -np.inf), 0
+        for j in used:
+            who, width = np.flatnonzero(opened[:, j]), end[j] - begin[j]
+            scores[who, at_column : at_column + width] = q[who] @ m[begin[j] : end[j]].T
+            at_column += width
+        parts.append(_best(some["cls"].to_numpy(), cls[columns], scores, k))
+    return pd.concat(parts)
+
+
+def exact_nearest(classes: DataFrame, asked: list[tuple[int, bytes]], k: int) -> DataFrame:
+    """(query, cls, score): the ``k`` best of all rows for a few queries, one pass with partial answers."""
+    shared = classes.sparkSession.sparkContext.broadcast(asked)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = np.array([x for x, _ in shared.value], np.int64), _matrix([v for _, v in shared.value])
+        for b in batches:
+            if len(b):
+                yield _best(names, b["cls"].to_numpy(), q @ _matrix(b["v"]).T, k)
+
+    found = classes.select("cls", "v").mapInPandas(score, "query long, cls long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
+def leaves_to_visit(classes: DataFrame, forest: Forest, asked: list[tuple[int, bytes]], k: int, recall: float) -> int:
+    """The least number of leaves by which ``recall`` of the true neighbours of some queries are met."""
+    if not asked:
+        return 1
+    true = exact_nearest(classes, asked, k).join(classes.select("cls", "v"), "cls").toPandas()  # k rows a query
+    at = forest.leaves(_matrix(true["v"]))
+    turn: dict[int, dict[tuple[int, int], int]] = {}
+    for (name, _), order in zip(asked, forest.search(_matrix([v for _, v in asked]), len(forest.normals) << forest.depth), strict=True):
+        turn[name] = {x: n + 1 for n, x in enumerate(order)}
+    met = sorted(min(turn[q][t, int(x)] for t, x in enumerate(row)) for q, row in zip(true["query"], at, strict=True))
+    return met[min(len(met), int(np.ceil(recall * len(met)))) - 1]
+
+
 def nearest(
-    vectors: DataFrame, queries: str, *, k: int = 20, trees: int = 4, probe: float = 0.35, leaf_rows: int = 64, sample_rows: int = 65_536, unit_rows: int = 65_536
+    vectors: DataFrame, queries: str, *, k: int = 20, trees: int = 3, recall: float = 0.95, tests: int = 64, leaf_rows: int = 32, sample_rows: int = 65_536, unit_rows: int = 65_536
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` candidates of largest inner product for each row where the SQL condition
     ``queries`` on vec_id holds."""
+    spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(
         "vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)"
     )
-    dims = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
+    longest, top = usable.agg(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = usable.where(F.size("v") == dims["d"])
+    if longest is None:
+        return spark.createDataFrame([], schema)
+    rows = usable.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
 
     # The filter on row_number keeps k + 1 rows of a vector in each task before anything is sent.
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -127,15 +199,21 @@ def nearest(
 
     grouped = some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = materialize(grouped.select(F.element_at("ids", 1).alias("cls"), "ids", "v").mapInPandas(pack, "cls long, ids array<long>, v binary"))
+    # Equal queries are searched once, as their class.
+    of_query = rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    by_class = materialize(of_query.join(some.where("n = 1").select("v", F.col("vec_id").alias("cls")), "v").select("query_id", "cls"))
+    asking = by_class.select("cls").distinct().join(classes, "cls").select("cls", "v")
 
     total = classes.count()
     share = min(1.0, sample_rows / total)
     drawn = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("cls", "v").toPandas()
     sample = _matrix(drawn.sort_values("cls")["v"])
-    top = float(rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0])
     depth = max(0, min(int(np.log2(max(1, total / leaf_rows))), int(np.log2(max(1, len(sample) / 8)))))
-    forest = vectors.sparkSession.sparkContext.broadcast(grow_forest(sample, top, trees, depth))
-    leaves, visit = 2**depth, max(1, int(np.ceil(probe * trees * 2**depth)))
+    grown = grow_forest(sample, float(top), trees, depth)
+    forest = spark.sparkContext.broadcast(grown)
+    tested = [(r["cls"], bytes(r["v"])) for r in asking.orderBy(F.xxhash64("cls"), "cls").limit(tests).collect()]
+    visit = leaves_to_visit(classes, grown, tested, k + 1, recall)
+    leaves = 2**depth
     stretch = max(1, int(leaves * unit_rows / total))  # leaves in a unit
     salts = max(1, -(-total * stretch // (leaves * unit_rows)))
 
@@ -159,40 +237,31 @@ def nearest(
 
     members = classes.select("cls", "v").mapInPandas(index, "tree long, leaf long, cls long, v binary")
     members = members.withColumn("stretch", F.floor(F.col("leaf") / stretch)).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(salts)))
-    # Equal queries are searched once, as their class.
-    of_query = materialize(rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct())
-    by_class = materialize(of_query.join(some.where("n = 1").select("v", F.col("vec_id").alias("cls")), "v").select("query_id", "cls"))
-    ask = by_class.select("cls").distinct().join(classes, "cls").select("cls", "v").mapInPandas(probes, "tree long, stretch long, cls long, v binary, leaves array<long>")
+    ask = asking.mapInPandas(probes, "tree long, stretch long, cls long, v binary, leaves array<long>")
     ask = ask.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
     def score(l_rows: pd.DataFrame, q_rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(l_rows) or not len(q_rows):
-            return empty
-        l_rows = l_rows.sort_values("cls")
-        m, leaf, cls = _matrix(l_rows["v"]), l_rows["leaf"].to_numpy(), l_rows["cls"].to_numpy()
-        parts = [empty]
-        low = int(leaf.min())
-        for at in range(0, len(q_rows), 64):
-            q = q_rows.iloc[at : at + 64]
-            open_ = np.zeros((len(q), int(leaf.max()) - low + 1), bool)
-            for n, x in enumerate(q["leaves"]):
-                x = np.asarray(x) - low
-                open_[n, x[(x >= 0) & (x < open_.shape[1])]] = True
-            s = np.where(open_[:, leaf - low], _matrix(q["v"]) @ m.T, -np.inf)
-            least = np.partition(s, max(0, len(cls) - k - 1), axis=1)[:, max(0, len(cls) - k - 1)]
-            for name, row, edge in zip(q["cls"], s, least, strict=True):
-                # All that reach the last place, in id order; the sort keeps that order among equals.
-                near = np.flatnonzero((row >= edge) & np.isfinite(row))
-                near = near[np.argsort(-row[near], kind="stable")][: k + 1]
-                parts.append(pd.DataFrame({"query": name, "cls": cls[near], "score": row[near]}))
-        return pd.concat(parts)
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return score_leaves(l_rows, q_rows, k + 1)
 
     unit = ["tree", "stretch", "salt"]
     found = members.groupBy(*unit).cogroup(ask.groupBy(*unit)).applyInPandas(score, "query long, cls long, score double")
     merged = found.groupBy("query", "cls").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1)
-    pairs = by_class.withColumnRenamed("cls", "query").join(best.drop("r"), "query").join(classes.select("cls", "ids"), "cls")
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = _matrix(b["v"]), _matrix(b["w"])
+                terms = np.zeros(len(b))
+                for j in range(x.shape[1]):
+                    terms += x[:, j] * y[:, j]
+                yield pd.DataFrame({"query": b["query"], "ids": b["ids"], "score": terms})
+
+    vector = classes.select(F.col("cls").alias("query"), F.col("v").alias("w"))
+    rescored = best.select("query", "cls").join(classes, "cls").join(vector, "query").select("query", "ids", "v", "w").mapInPandas(again, "query long, ids array<long>, score double")
+    pairs = by_class.withColumnRenamed("cls", "query").join(rescored, "query")
     each = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
