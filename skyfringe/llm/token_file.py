@@ -45,7 +45,7 @@ def _planes(ids: np.ndarray, kind: int, width: int) -> list[bytes]:
     return [np.packbits((p >> k) & 1).tobytes() for p in by_byte for k in range(8)]
 
 
-def encode_segment(ids: np.ndarray, *, block: int = 65_536, kind: int = BYTES, level: int = 3) -> bytes:
+def encode_segment(ids: np.ndarray, *, block: int = 65_536, kind: int = BYTES, level: int = 1) -> bytes:
     """A segment of unsigned 32-bit ids."""
     top = int(ids.max()) if len(ids) else 0
     width = max(1, (top.bit_length() + 7) // 8)
@@ -112,7 +112,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2,
             yield segment()
 
     schema = "part int, number int, n_ids long, doc_ids array<long>, sizes array<long>, data binary"
-    ordered.mapInPandas(encode, schema).write.parquet(f"{path}/segments")
+    # Planes are compressed already.
+    ordered.mapInPandas(encode, schema).write.option("compression", "none").parquet(f"{path}/segments")
     light = docs.sparkSession.read.schema(schema).parquet(f"{path}/segments").select("part", "number", "n_ids")
     parts = light.groupBy("part").agg(F.sum("n_ids").alias("all"))  # a row for each written part
     before = F.sum("all").over(Window.orderBy("part")) - F.col("all")
