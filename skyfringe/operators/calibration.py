@@ -21,10 +21,13 @@ from .joins import product_feeds
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir (a temporary one where that isn't set) and read back."""
+    """Write below spark.checkpoint.dir and read back. Where that isn't set, a temporary folder will do for a master on
+    this machine (tests); on a cluster it is an error."""
     sc = df.sparkSession.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/skyfringe-{uuid.uuid4().hex}"
@@ -32,6 +35,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def linked_groups(links: DataFrame) -> DataFrame:
+    """(node, group) for every node of ``links`` (a, b): the least node of those it is linked with, directly or not.
+
+    Each round takes the least label among neighbours and then the label's own, so rounds grow with the logarithm of a
+    chain's length; each ends in a written table.
+    """
+    edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
+    while True:
+        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("group").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("group").alias("old"), F.least("group", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("group").alias("far"))
+        moved = materialize(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("group")))
+        labels = moved.select("node", "group")
+        if not moved.where("old <> group").limit(1).count():
+            return labels
+
+
 def gain_intervals(vis: DataFrame, antennas: DataFrame, timeslice: float) -> DataFrame:
     """Identity gains: intervals by rounded time x antennas x channels."""
     start = vis.agg(F.min("time").alias("__t0"))
@@ -119,7 +140,10 @@ def station_correlations(signals: DataFrame) -> DataFrame:
 
 
 def gain_quality(gains: DataFrame) -> DataFrame:
-    """Extremes and deviation of amplitude and phase where there is weight; one row."""
+    """Extremes, deviation and median of amplitude and phase where there is weight, and the largest residual where gains
+    have one; one row. Medians are exact: their histogram is one row a distinct value, summed before it is sent."""
     g = gains.where(F.col("weight") > 0)
     amp, phase = cx.magnitude(cx.pair("g")), F.atan2(F.col("g_im"), F.col("g_re"))
-    return g.agg(*(f(c).alias(f"{n}_{k}") for n, c in (("amp", amp), ("phase", phase)) for k, f in (("max", F.max), ("min", F.min), ("std", F.stddev_pop))))
+    figures = {"max": F.max, "min": F.min, "std": F.stddev_pop, "median": F.median}
+    more = [F.max("residual").alias("residual")] if "residual" in gains.columns else []
+    return g.agg(*(f(c).alias(f"{n}_{k}") for n, c in (("amp", amp), ("phase", phase)) for k, f in figures.items()), *more)

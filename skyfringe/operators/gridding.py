@@ -47,17 +47,18 @@ def grid_weights_both_halves(vis: DataFrame, npixel: int, cellsize: float) -> Da
     return grid_weights(vis.unionByName(vis.withColumns({"u": -F.col("u"), "v": -F.col("v")})), npixel, cellsize, by_channel=False)
 
 
-def weight_natural(vis: DataFrame) -> DataFrame:
-    return vis
+def kernel_axis(spark: SparkSession, support: int, oversampling: int) -> DataFrame:
+    """(o, s, k): the kernel along one axis by sub-cell and offset in cells; each sub-cell's adds up to 1."""
+    one = spark.range(oversampling).select(F.col("id").alias("o")).crossJoin(spark.range(-support, support + 1).select(F.col("id").alias("s")))
+    x = F.abs(F.col("s") - ((F.col("o") + 0.5) / oversampling - 0.5)) / (support + 0.5)
+    k = one.withColumn("k", F.greatest((1 - x * x) * spheroidal(x), F.lit(0.0)))
+    total = k.groupBy("o").agg(F.sum("k").alias("t"))
+    return k.join(total, "o").select("o", "s", (F.col("k") / F.col("t")).alias("k"))
 
 
 def spheroidal_kernel(spark: SparkSession, support: int, oversampling: int) -> DataFrame:
-    """(sv, su, ov, ou, kernel): the separable kernel by offset in cells and sub-cell, each axis adding up to 1."""
-    one = spark.range(oversampling).select(F.col("id").alias("o")).crossJoin(spark.range(-support, support + 1).select(F.col("id").alias("s")))
-    x = F.abs(F.col("s") - (F.col("o") - oversampling // 2) / oversampling) / (support + 0.5)
-    k = one.withColumn("k", (1 - x * x) * spheroidal(x)).withColumn("k", F.greatest("k", F.lit(0.0)))
-    total = k.groupBy("o").agg(F.sum("k").alias("t"))
-    axis = k.join(total, "o").select("o", "s", (F.col("k") / F.col("t")).alias("k"))
+    """(ov, ou, sv, su, kernel): the separable kernel by sub-cell and offset in cells."""
+    axis = kernel_axis(spark, support, oversampling)
     v, u = axis.select(F.col("o").alias("ov"), F.col("s").alias("sv"), F.col("k").alias("kv")), axis.select(F.col("o").alias("ou"), F.col("s").alias("su"), F.col("k").alias("ku"))
     return v.crossJoin(u).select("ov", "ou", "sv", "su", (F.col("kv") * F.col("ku")).alias("kernel"))
 
@@ -70,10 +71,12 @@ def _footprint(vis: DataFrame, kernel: DataFrame, npixel: int, cellsize: float,
     return rows.where((F.col("gu") >= 0) & (F.col("gu") < npixel) & (F.col("gv") >= 0) & (F.col("gv") < npixel))
 
 
-def grid_visibility(vis: DataFrame, kernel: DataFrame, npixel: int, cellsize: float, oversampling: int) -> DataFrame:
-    """(chan, pol, gv, gu, re, im, weight): sums of V * imaging weight * kernel over the footprints."""
+def grid_visibility(vis: DataFrame, kernel: DataFrame, npixel: int, cellsize: float, oversampling: int, *, keys: list[str] | None = None) -> DataFrame:
+    """(keys, gv, gu, re, im, weight): sums of V * imaging weight * kernel over the footprints; keys are chan and pol
+    where none are given."""
     wt = F.col("imaging_weight") * F.col("kernel")
-    return _footprint(vis, kernel, npixel, cellsize, oversampling).groupBy(*CELL).agg(F.sum(F.col("vis_re") * wt).alias("re"), F.sum(F.col("vis_im") * wt).alias("im"), F.sum(wt).alias("weight"))
+    cells = _footprint(vis, kernel, npixel, cellsize, oversampling).groupBy(*(keys or CELL[:2]), "gv", "gu")
+    return cells.agg(F.sum(F.col("vis_re") * wt).alias("re"), F.sum(F.col("vis_im") * wt).alias("im"), F.sum(wt).alias("weight"))
 
 
 def grid_visibility_fast(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:
@@ -82,10 +85,11 @@ def grid_visibility_fast(vis: DataFrame, npixel: int, cellsize: float) -> DataFr
     return grid_cells(vis, npixel, cellsize).groupBy(*CELL).agg(F.sum(F.col("vis_re") * iw).alias("re"), F.sum(F.col("vis_im") * iw).alias("im"), F.sum(iw).alias("weight"))
 
 
-def degrid_visibility(vis: DataFrame, grid: DataFrame, kernel: DataFrame, npixel: int, cellsize: float, oversampling: int) -> DataFrame:
+def degrid_visibility(vis: DataFrame, grid: DataFrame, kernel: DataFrame, npixel: int, cellsize: float, oversampling: int, *, keys: list[str] | None = None) -> DataFrame:
     """Key, vis_re, vis_im: the grid's values under each row's footprint; absent cells are 0."""
-    rows = _footprint(vis.drop("vis_re", "vis_im"), kernel, npixel, cellsize, oversampling)
-    joined = rows.join(grid.select(*CELL, "re", "im"), CELL)
+    cell = [*(keys or CELL[:2]), "gv", "gu"]
+    rows = _footprint(vis.select(*dict.fromkeys([*KEY, *cell[:-2], "u", "v"])), kernel, npixel, cellsize, oversampling)
+    joined = rows.join(grid.select(*cell, "re", "im"), cell)
     return joined.groupBy(*KEY).agg(F.sum(F.col("re") * F.col("kernel")).alias("vis_re"), F.sum(F.col("im") * F.col("kernel")).alias("vis_im"))
 
 
@@ -104,26 +108,30 @@ def direct_image(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:
     return vis.crossJoin(F.broadcast(pixels)).groupBy("chan", "pol", "y", "x").agg(F.when(total > 0, F.sum(re * iw) / total).otherwise(F.lit(0.0)).alias("value"))
 
 
-def _fft_axis(lines: DataFrame, keys: list[str], line: str, place: str, npixel: int, inverse: bool) -> DataFrame:
-    """Centred 1-D transform of each line; a line of npixel cells is the unit of work."""
+def _fft_axis(lines: DataFrame, keys: list[str], line: str, place: str, npixel: int, inverse: bool, *, block: int = 64) -> DataFrame:
+    """Centred 1-D transform of each line; ``block`` lines of npixel cells are the unit of work."""
     columns = [*keys, line, place, "re", "im"]
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(npixel, complex)
-        np.add.at(a, pdf[place].to_numpy(np.int64), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-        f = (np.fft.ifft if inverse else np.fft.fft)(np.fft.ifftshift(a))
-        f = np.fft.fftshift(f)
-        out = {c: np.repeat(pdf[c].iloc[0], npixel) for c in [*keys, line]}
-        return pd.DataFrame(out | {place: np.arange(npixel), "re": f.real, "im": f.imag})[columns]
+        names, at = np.unique(pdf[line].to_numpy(np.int64), return_inverse=True)
+        a = np.zeros((len(names), npixel), complex)
+        np.add.at(a, (at, pdf[place].to_numpy(np.int64)), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
+        f = (np.fft.ifft if inverse else np.fft.fft)(np.fft.ifftshift(a, axes=1), axis=1)
+        f = np.fft.fftshift(f, axes=1).reshape(-1)
+        out = {c: np.repeat(pdf[c].iloc[0], len(f)) for c in keys} | {line: np.repeat(names, npixel), place: np.tile(np.arange(npixel), len(names))}
+        return pd.DataFrame(out | {"re": f.real, "im": f.imag})[columns]
 
     schema = ", ".join(f"{c} long" for c in [*keys, line, place]) + ", re double, im double"
-    return lines.select(*(F.col(c).cast("long") for c in [*keys, line, place]), "re", "im").groupBy(*keys, line).applyInPandas(transform, schema)
+    rows = lines.select(*(F.col(c).cast("long") for c in [*keys, line, place]), "re", "im")
+    return rows.groupBy(*keys, F.floor(F.col(line) / block)).applyInPandas(transform, schema)
 
 
-def fft_plane(grid: DataFrame, npixel: int, *, inverse: bool = True) -> DataFrame:
-    """Centred 2-D transform of each (chan, pol) plane, rows first and then columns; no task holds a plane."""
-    rows = _fft_axis(grid, ["chan", "pol"], "gv", "gu", npixel, inverse)
-    return _fft_axis(rows, ["chan", "pol"], "gu", "gv", npixel, inverse).withColumnRenamed("gv", "y").withColumnRenamed("gu", "x")
+def fft_plane(grid: DataFrame, npixel: int, *, inverse: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Centred 2-D transform of each plane (chan and pol where no keys are given), rows first and then columns; no task
+    holds a plane."""
+    keys = keys or CELL[:2]
+    rows = _fft_axis(grid, keys, "gv", "gu", npixel, inverse)
+    return _fft_axis(rows, keys, "gu", "gv", npixel, inverse).withColumnRenamed("gv", "y").withColumnRenamed("gu", "x")
 
 
 def invert(vis: DataFrame, npixel: int, cellsize: float, *, psf: bool = False) -> DataFrame:
@@ -133,36 +141,3 @@ def invert(vis: DataFrame, npixel: int, cellsize: float, *, psf: bool = False) -
     total = grid.groupBy("chan", "pol").agg(F.sum("weight").alias("total"))
     image = fft_plane(grid, npixel).join(total, ["chan", "pol"])
     return image.select("chan", "pol", "y", "x", F.when(F.col("total") > 0, F.col("re") * npixel**2 / F.col("total")).otherwise(F.lit(0.0)).alias("value"))
-
-
-def hogbom(pixels: DataFrame, psf: DataFrame, *, gain: float = 0.1, threshold: float = 0.0, fraction: float = 0.1, most: int = 100) -> DataFrame:
-    """CLEAN of each (chan, pol) plane: (chan, pol, y, x, model, residual) of the pixels given.
-
-    Planes, or facets of them given as planes of their own, are the units of work; cut large images into facets.
-    """
-    both = pixels.select("chan", "pol", "y", "x", F.col("value").alias("value"), F.lit(0).alias("kind")).unionByName(psf.select("chan", "pol", "y", "x", "value", F.lit(1).alias("kind")))
-
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        y0, x0 = int(d["y"].min()), int(d["x"].min())
-        res = np.zeros((int(d["y"].max()) - y0 + 1, int(d["x"].max()) - x0 + 1))
-        res[d["y"] - y0, d["x"] - x0] = d["value"]
-        model = np.zeros_like(res)
-        if len(p):
-            beam = np.zeros((int(p["y"].max()) + 1, int(p["x"].max()) + 1))
-            beam[p["y"], p["x"]] = p["value"]
-            py, px = np.unravel_index(np.abs(beam).argmax(), beam.shape)
-            stop = max(threshold, fraction * np.abs(res).max())
-            for _ in range(most):
-                ky, kx = np.unravel_index(np.abs(res).argmax(), res.shape)
-                if abs(res[ky, kx]) < 0.9 * stop or not beam[py, px]:
-                    break
-                step = gain * res[ky, kx] / beam[py, px]
-                model[ky, kx] += step
-                top, left = max(0, ky - py), max(0, kx - px)
-                bottom, right = min(res.shape[0], ky - py + beam.shape[0]), min(res.shape[1], kx - px + beam.shape[1])
-                res[top:bottom, left:right] -= step * beam[top - ky + py : bottom - ky + py, left - kx + px : right - kx + px]
-        return d[["chan", "pol", "y", "x"]].assign(model=model[d["y"] - y0, d["x"] - x0], residual=res[d["y"] - y0, d["x"] - x0])
-
-    return both.groupBy("chan", "pol").applyInPandas(clean, "chan long, pol long, y long, x long, model double, residual double")
-

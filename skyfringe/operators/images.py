@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calibration import materialize
+from skyfringe.functions.windows import lanczos_kernel, sinc_kernel
+
+from .calibration import linked_groups, materialize
+from .visibility import exact_median
 
 PIXEL = ["chan", "pol", "y", "x"]
 
@@ -66,17 +69,27 @@ def from_frequency_moments(moments: DataFrame, channels: DataFrame, reference: f
 
 
 def scatter_facets(image: DataFrame, npixel: int, facets: int, overlap: int) -> DataFrame:
-    """Each pixel with every facet (fy, fx) that holds it and its taper, 1 on the facet; facets overlap."""
+    """Each pixel with every facet (fy, fx) that holds it, and its taper there: 1 on the facet's inner part, falling
+    linearly over what it shares with a neighbour, so that overlapping facets can be averaged without an edge."""
     step = npixel // facets
     starts = F.array(*(F.lit(k * step) for k in range(facets)))
     cover = lambda c: F.filter(starts, lambda s: (F.col(c) >= s - overlap) & (F.col(c) < s + step + overlap))
     rows = image.withColumn("sy", F.explode(cover("y"))).withColumn("sx", F.explode(cover("x")))
-    return rows.select(*PIXEL, "value", (F.col("sy") / step).cast("long").alias("fy"), (F.col("sx") / step).cast("long").alias("fx"))
+
+    def fall(c: str) -> Column:
+        if not overlap:
+            return F.lit(1.0)
+        inside = F.least(F.col(c) - (F.col(f"s{c}") - overlap), F.col(f"s{c}") + step + overlap - 1 - F.col(c)) + 1
+        return F.least(F.lit(1.0), inside / (2.0 * overlap + 1))
+
+    return rows.select(*PIXEL, "value", (F.col("sy") / step).cast("long").alias("fy"), (F.col("sx") / step).cast("long").alias("fx"), (fall("y") * fall("x")).alias("taper"))
 
 
 def gather_facets(facets: DataFrame) -> DataFrame:
-    """The mean over facets of each pixel."""
-    return facets.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
+    """The mean over facets of each pixel, by their taper where they have one."""
+    if "taper" not in facets.columns:
+        return facets.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
+    return facets.groupBy(*PIXEL).agg((F.sum(F.col("value") * F.col("taper")) / F.sum("taper")).alias("value"))
 
 
 def map_facets(image: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], npixel: int, facets: int, overlap: int) -> DataFrame:
@@ -94,13 +107,55 @@ def channel_slabs(image: DataFrame, nchan: int, slabs: int) -> DataFrame:
     return image.withColumn("slab", F.least(F.lit(slabs - 1), F.floor(F.col("chan") / (nchan // slabs))).cast("long"))
 
 
-def insert_components(image: DataFrame, components: DataFrame, npixel: int, cellsize: float) -> DataFrame:
-    """The image with components (chan, pol, l, m, flux) added at their nearest pixels; those outside are left out."""
-    place = components.select("chan", "pol", F.floor(npixel // 2 + F.col("m") / cellsize + 0.5).alias("y"), F.floor(npixel // 2 - F.col("l") / cellsize + 0.5).alias("x"), F.col("flux").alias("value"))
-    inside = place.where((F.col("y") >= 0) & (F.col("y") < npixel) & (F.col("x") >= 0) & (F.col("x") < npixel))
+def insert_components(image: DataFrame, components: DataFrame, npixel: int, cellsize: float, *, method: str = "nearest", reach: int = 4) -> DataFrame:
+    """The image with components (chan, pol, l, m, flux) added; those outside are left out.
+
+    ``nearest`` takes the pixel; ``sinc`` and ``lanczos`` spread a component that lies between pixels over ``reach`` on
+    each side, by weights that add up to 1.
+    """
+    at = {"y": npixel // 2 + F.col("m") / cellsize, "x": npixel // 2 - F.col("l") / cellsize}
+    place = components.select("chan", "pol", *(F.floor(c + 0.5).alias(n) for n, c in at.items()), *((c - F.floor(c + 0.5)).alias(f"d{n}") for n, c in at.items()), F.col("flux").alias("value"))
+    if method != "nearest":
+        kernel = sinc_kernel if method == "sinc" else (lambda x: lanczos_kernel(x, reach + 1))
+        for n in at:
+            off = F.col(f"d{n}")
+            taps = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.struct(k.alias("k"), kernel(k - off).alias("w")))  # noqa: B023
+            total = F.aggregate(F.col("t"), F.lit(0.0), lambda acc, t: acc + t["w"])
+            place = place.withColumn("t", taps).withColumn("s", total).withColumn("o", F.explode("t"))
+            place = place.withColumns({n: F.col(n) + F.col("o.k"), "value": F.col("value") * F.col("o.w") / F.col("s")}).drop("t", "s", "o")
+    inside = place.where((F.col("y") >= 0) & (F.col("y") < npixel) & (F.col("x") >= 0) & (F.col("x") < npixel)).select(*PIXEL, "value")
     return add_images(image, inside)
 
 
+def pad(image: DataFrame, npixel: int, size: int) -> DataFrame:
+    """The image of npixel pixels in the middle of one of ``size``; absent pixels are 0."""
+    off = size // 2 - npixel // 2
+    return image.withColumns({"y": F.col("y") + off, "x": F.col("x") + off})
+
+
+def extract(image: DataFrame, npixel: int, size: int) -> DataFrame:
+    """The middle ``size`` pixels of an image of npixel."""
+    off = npixel // 2 - size // 2
+    inside = image.where((F.col("y") >= off) & (F.col("y") < off + size) & (F.col("x") >= off) & (F.col("x") < off + size))
+    return inside.withColumns({"y": F.col("y") - off, "x": F.col("x") - off})
+
+
+def bounding_box(image: DataFrame, fraction: float) -> DataFrame:
+    """(chan, pol, y_min, y_max, x_min, x_max) of the pixels of each plane above a fraction of its largest."""
+    peak = image.groupBy("chan", "pol").agg((F.max(F.abs("value")) * fraction).alias("__least"))
+    seen = image.join(peak, ["chan", "pol"]).where(F.abs("value") > F.col("__least"))
+    return seen.groupBy("chan", "pol").agg(*(f(c).alias(f"{c}_{n}") for c in "yx" for n, f in (("min", F.min), ("max", F.max))))
+
+
+def structure_function(image: DataFrame, most: int) -> DataFrame:
+    """(chan, pol, lag, value, pairs): the mean squared difference of pixels ``lag`` apart along x, for lags up to ``most``."""
+    shifted = image.select("chan", "pol", "y", F.col("x").alias("__x"), F.col("value").alias("__v"))
+    rows = image.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("__x", F.col("x") + F.col("lag"))
+    met = rows.join(shifted, ["chan", "pol", "y", "__x"])
+    off = F.col("value") - F.col("__v")
+    return met.groupBy("chan", "pol", "lag").agg(F.avg(off * off).alias("value"), F.count(F.lit(1)).alias("pairs"))
+
+
 def window_mask(image: DataFrame, kind: str, npixel: int, edge: int = 0, threshold: float = 10.0) -> DataFrame:
     """Pixels with mask: ``quarter`` (the inner quarter), ``no_edge`` or ``threshold`` (above so many deviations)."""
     within = lambda low, high: (F.col("y") >= low) & (F.col("y") < high) & (F.col("x") >= low) & (F.col("x") < high)
@@ -112,20 +167,27 @@ def window_mask(image: DataFrame, kind: str, npixel: int, edge: int = 0, thresho
 
 
 def statistics(image: DataFrame) -> DataFrame:
-    """max, min, maxabs, std, sum, median, medianabs and the mean-free deviation madmed; one row."""
-    middle = image.agg(F.percentile("value", F.lit(0.5)).alias("__median"))
-    rows = image.crossJoin(F.broadcast(middle))
-    return rows.agg(
-        F.max("value").alias("max"), F.min("value").alias("min"), F.max(F.abs("value")).alias("maxabs"), F.stddev_pop("value").alias("std"), F.sum("value").alias("sum"),
-        F.first("__median").alias("median"), F.percentile(F.abs("value"), F.lit(0.5)).alias("medianabs"), F.percentile(F.abs(F.col("value") - F.col("__median")), F.lit(0.5)).alias("madmed"),
-    )
-
-
-def voronoi(image: DataFrame, centres: DataFrame) -> DataFrame:
-    """Each pixel with the id of the nearest centre (id, cy, cx), ties to the smaller id; centres are a short list."""
+    """max, min, maxabs, std, sum, median, medianabs and the mean-free deviation madmed; one row. Medians are found by
+    narrowing bins, so no task holds all values."""
+    x = image.select(F.col("value").cast("double").alias("x"))
+    one = x.agg(F.max("x").alias("max"), F.min("x").alias("min"), F.max(F.abs("x")).alias("maxabs"), F.stddev_pop("x").alias("std"), F.sum("x").alias("sum"))
+    middle = exact_median(x, "x")
+    off = x.crossJoin(F.broadcast(middle)).select(F.abs(F.col("x") - F.col("median")).alias("x"))
+    named = {"median": middle, "medianabs": exact_median(x.select(F.abs("x").alias("x")), "x"), "madmed": exact_median(off, "x")}
+    for name, value in named.items():
+        one = one.crossJoin(F.broadcast(value.withColumnRenamed("median", name)))
+    return one
+
+
+def voronoi(image: DataFrame, centres: DataFrame, *, array_rows: int = 20_000) -> DataFrame:
+    """Each pixel with the id of the nearest centre (id, cy, cx), ties to the smaller id. Centres go as one array up to
+    ``array_rows`` by count, and beyond in blocks of that size."""
     places = image.select("y", "x").distinct()
-    d2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
-    best = places.crossJoin(centres).groupBy("y", "x").agg(F.min(F.struct(d2.alias("d2"), "id"))["id"].alias("model_id"))
+    blocks = max(1, -(-centres.count() // array_rows))
+    packed = centres.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct("id", "cy", "cx")).alias("__c")).drop("__b")
+    d2 = lambda c: (F.col("y") - c["cy"]) * (F.col("y") - c["cy"]) + (F.col("x") - c["cx"]) * (F.col("x") - c["cx"])
+    near = places.crossJoin(F.broadcast(packed) if blocks == 1 else packed).select("y", "x", F.array_min(F.transform("__c", lambda c: F.struct(d2(c).alias("d2"), c["id"].alias("id")))).alias("m"))
+    best = near.groupBy("y", "x").agg(F.min("m")["id"].alias("model_id"))
     return image.join(best, ["y", "x"])
 
 
@@ -138,26 +200,34 @@ def generic_beam(radius: Column) -> Column:
     return total * total
 
 
-def mosaic_beam(image: DataFrame, pointings: DataFrame, per_pixel: float) -> DataFrame:
-    """Root sum of squares of the beams of all pointings (py, px)."""
-    r = F.sqrt((F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))) * per_pixel
-    b = generic_beam(r)
-    return image.crossJoin(pointings).groupBy(*PIXEL).agg(F.sqrt(F.sum(b * b)).alias("value"))
+def mosaic_beam(image: DataFrame, pointings: DataFrame, per_pixel: float, *, array_rows: int = 20_000) -> DataFrame:
+    """Root sum of squares of the beams of all pointings (py, px); pointings go as arrays of at most ``array_rows``."""
+    blocks = max(1, -(-pointings.count() // array_rows))
+    packed = pointings.groupBy(F.pmod(F.xxhash64("py", "px"), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct("py", "px")).alias("__p")).drop("__b")
+
+    def power(p: Column) -> Column:
+        r = F.sqrt((F.col("y") - p["py"]) * (F.col("y") - p["py"]) + (F.col("x") - p["px"]) * (F.col("x") - p["px"])) * per_pixel
+        b = generic_beam(r)
+        return b * b
+
+    # The beams of a place hold for all its channels and products.
+    places = image.select("y", "x").distinct()
+    rows = places.crossJoin(F.broadcast(packed) if blocks == 1 else packed).withColumn("__s", F.aggregate("__p", F.lit(0.0), lambda acc, p: acc + power(p)))
+    beams = rows.groupBy("y", "x").agg(F.sqrt(F.sum("__s")).alias("value"))
+    return image.drop("value").join(beams, ["y", "x"]).select(*PIXEL, "value")
 
 
 def find_sources(image: DataFrame, threshold: float, least: int) -> DataFrame:
     """Connected regions (8 neighbours) of the channel-mean above ``threshold`` with at least so many pixels:
-    (source_id, pixels, y, x, peak, flux). Labels spread until none changes; each round ends at a written table."""
+    (source_id, pixels, y, x, peak, flux). Labels spread to neighbours and
+    then jump to the label's own, so rounds grow with the logarithm of a region's width."""
     mean = image.where("pol = 0").groupBy("y", "x").agg(F.avg("value").alias("value")).where(F.col("value") > threshold)
-    cells = materialize(mean.withColumn("label", F.col("y") * F.lit(1 << 31) + F.col("x")))
-    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    while True:
-        sent = cells.withColumn("o", F.explode(offsets)).select((F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"), F.col("label").alias("near"))
-        least_near = sent.groupBy("y", "x").agg(F.min("near").alias("near"))
-        moved = materialize(cells.join(least_near, ["y", "x"]).select("y", "x", "value", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        cells = moved.drop("old")
-        if not moved.where("old <> label").limit(1).count():
-            break
+    cells = materialize(mean.withColumn("id", F.col("y") * F.lit(1 << 31) + F.col("x")))
+    # Half of the neighbours, as a link has no direction; a cell without one links with itself.
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    sent = cells.withColumn("o", F.explode(steps)).select(F.col("id").alias("a"), (F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"))
+    links = sent.join(cells.select("y", "x", F.col("id").alias("b")), ["y", "x"]).select("a", "b").union(cells.select("id", "id"))
+    cells = cells.join(linked_groups(links).select(F.col("node").alias("id"), F.col("group").alias("label")), "id")
     weigh = lambda c: (F.sum(F.col(c) * F.col("value")) / F.sum("value")).alias(c)
     out = cells.groupBy(F.col("label").alias("source_id")).agg(F.count(F.lit(1)).alias("pixels"), weigh("y"), weigh("x"), F.max("value").alias("peak"), F.sum("value").alias("flux"))
     return out.where(F.col("pixels") >= least)

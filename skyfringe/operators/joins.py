@@ -8,6 +8,8 @@ no all-pairs step.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,43 +94,96 @@ def separations(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("id1", "id2", separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2"))).alias("separation"))
 
 
-def _cells(df: DataFrame, size: float, spread: bool) -> DataFrame:
-    """Declination bands of ``size``; with ``spread``, a copy in each neighbouring band."""
-    band = F.floor(F.col("dec") / size)
-    return df.withColumn("__band", F.explode(F.array(band - 1, band, band + 1)) if spread else band)
+def near_pairs(first: DataFrame, second: DataFrame, distance: float) -> DataFrame:
+    """(id1, id2, separation) of all pairs nearer than ``distance`` (radians, below a quarter turn).
 
+    Rows meet in cells of the unit sphere's space, cubes of that side, each row of the first looking at its own and the
+    26 around it. Cubes have no poles and no seam, so a crowded band of the sky is still many cells.
+    """
 
-def matches(tests: DataFrame, references: DataFrame, tolerance: float) -> DataFrame:
-    """For each test component the nearest reference nearer than ``tolerance``: (id1, id2, separation).
+    def cells(df: DataFrame, n: int) -> DataFrame:
+        x, y, z = F.cos("dec") * F.cos("ra"), F.cos("dec") * F.sin("ra"), F.sin("dec")
+        cell = lambda c: F.floor(c / distance).cast("long")
+        return df.select(F.col("comp_id").alias(f"id{n}"), F.col("ra").alias(f"ra{n}"), F.col("dec").alias(f"dec{n}"), cell(x).alias("cx"), cell(y).alias("cy"), cell(z).alias("cz"))
 
-    Rows meet in bands of declination ``tolerance`` high; the band of right ascension is a filter on the pairs. Ties go
-    to the smaller id.
-    """
-    a = _cells(tests, tolerance, True).select(F.col("comp_id").alias("id1"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), "__band")
-    b = _cells(references, tolerance, False).select(F.col("comp_id").alias("id2"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "__band")
-    pairs = a.join(b, "__band").withColumn("separation", separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")))).where(F.col("separation") < tolerance)
-    return pairs.groupBy("id1").agg(F.min(F.struct("separation", "id2")).alias("m")).select("id1", "m.id2", "m.separation")
+    around = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((i, j, k), "abc", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    a = cells(first, 1).withColumn("o", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b"), "cz": F.col("cz") + F.col("o.c")}).drop("o")
+    met = a.join(cells(second, 2), ["cx", "cy", "cz"])
+    return met.select("id1", "id2", separation(*(F.col(c) for c in ("ra1", "dec1", "ra2", "dec2"))).alias("separation")).where(F.col("separation") < distance)
 
 
-def nearest(components: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every component with its nearest target, ties to the smaller id. Targets are few: a list of centres to which a
-    catalogue is dealt; their size decides whether they are broadcast."""
-    t = targets.select(F.col("comp_id").alias("target_id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"))
-    pairs = components.crossJoin(t).withColumn("separation", separation(F.col("ra"), F.col("dec"), F.col("__ra"), F.col("__dec")))
-    best = pairs.groupBy("comp_id").agg(F.min(F.struct("separation", "target_id")).alias("m"))
-    return best.select("comp_id", "m.target_id", "m.separation")
+def matches(tests: DataFrame, references: DataFrame, tolerance: float) -> DataFrame:
+    """For each test component the nearest reference nearer than ``tolerance``: (id1, id2, separation). Ties go to the
+    smaller id."""
+    return near_pairs(tests, references, tolerance).groupBy("id1").agg(F.min(F.struct("separation", "id2")).alias("m")).select("id1", "m.id2", "m.separation")
 
 
-def predict_components(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, flux: Column) -> DataFrame:
-    """Model visibilities: the sum over components of flux * exp(-2 pi i (u l + v m + w n)).
+def nearest(components: DataFrame, targets: DataFrame, *, array_rows: int = 20_000) -> DataFrame:
+    """Every component with its nearest target, ties to the smaller id.
 
-    ``flux`` may use the row's frequency and the component's columns. Partial sums come before the shuffle.
+    Up to ``array_rows`` targets, by count, go as one array with every row. More are met in cells, whose size doubles
+    until every component has a target nearer than it, at last the whole sky.
+    """
+    t = targets.select(F.col("comp_id").alias("target_id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"))
+    if targets.count() <= array_rows:
+        every = t.agg(F.collect_list(F.struct("target_id", "__ra", "__dec")).alias("__t"))
+        at = F.transform("__t", lambda x: F.struct(separation(F.col("ra"), F.col("dec"), x["__ra"], x["__dec"]).alias("separation"), x["target_id"].alias("target_id")))
+        rows = components.crossJoin(F.broadcast(every)).select("comp_id", F.array_min(at).alias("m")).where("m IS NOT NULL")
+        return rows.select("comp_id", "m.target_id", "m.separation")
+    found, left, distance = None, components, 0.01
+    while distance < 2.0:
+        near = matches(left, targets, distance)
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near.select(F.col("id1").alias("comp_id")), "comp_id", "left_anti")
+        if not left.limit(1).count():
+            break
+        distance *= 2
+    else:
+        far = left.crossJoin(t).select(F.col("comp_id").alias("id1"), F.col("target_id").alias("id2"), separation(F.col("ra"), F.col("dec"), F.col("__ra"), F.col("__dec")).alias("separation"))
+        found = found.unionByName(far.groupBy("id1").agg(F.min(F.struct("separation", "id2")).alias("m")).select("id1", "m.id2", "m.separation"))
+    return found.select(F.col("id1").alias("comp_id"), F.col("id2").alias("target_id"), "separation")
+
+
+@dataclass
+class Listed:
+    """Components as arrays in a small table; ``whole`` says that all of a list are in one row."""
+
+    table: DataFrame
+    whole: bool
+    columns: list[str]
+
+    def sums(self, vis: DataFrame, flux: Column) -> cx.Pair:
+        """The sum over the array of flux * exp(-2 pi i (u l + v m + w n)), within the row."""
+
+        def summed(which: int) -> Column:
+            def term(c: Column) -> Column:
+                return cx.phasor(F.col("u") * c["l"] + F.col("v") * c["m"] + F.col("w") * c["n"])[which] * c["flux"] * flux
+
+            return F.aggregate("__c", F.lit(0.0), lambda acc, c: acc + term(c))
+
+        return summed(0), summed(1)
+
+
+def components_as_array(components: DataFrame, *, by: list[str] | None = None, flux: str = "flux0", array_rows: int = 20_000) -> Listed:
+    """Components (l, m, n, flux) as arrays of at most ``array_rows``: one where a count says that all fit, else blocks."""
+    n = components.count()
+    blocks = max(1, -(-n // array_rows))
+    rows = components.withColumn("__block", F.pmod(F.xxhash64("comp_id"), F.lit(blocks)))
+    packed = rows.groupBy(*(by or []), "__block").agg(F.collect_list(F.struct("l", "m", "n", F.col(flux).cast("double").alias("flux"))).alias("__c")).drop("__block")
+    return Listed(F.broadcast(packed) if blocks == 1 else packed, blocks == 1, components.columns)
+
+
+def predict_components(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, spectrum: Column) -> DataFrame:
+    """Model visibilities: the sum over components of flux0 * spectrum * exp(-2 pi i (u l + v m + w n)).
+
+    ``spectrum`` may use the row's columns. All components go with every row as one array, so nothing is shuffled; lists
+    beyond a counted size go in blocks, whose sums are added.
     """
     l, m, n = sky_to_lmn(F.col("ra"), F.col("dec"), F.lit(ra0), F.lit(dec0))  # noqa: E741
-    c = components.select(*components.columns, l.alias("__l"), m.alias("__m"), n.alias("__n"))
-    p = cx.phasor(F.col("u") * F.col("__l") + F.col("v") * F.col("__m") + F.col("w") * F.col("__n"))
-    re, im = cx.scale(p, flux)
-    return vis.crossJoin(c).groupBy(*KEY).agg(F.sum(re).alias("m_re"), F.sum(im).alias("m_im"))
+    listed = components_as_array(components.withColumns({"l": l, "m": m, "n": n}))
+    re, im = listed.sums(vis, spectrum)
+    out = vis.crossJoin(listed.table).select(*KEY, re.alias("m_re"), im.alias("m_im"))
+    return out if listed.whole else out.groupBy(*KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
 
 
 def cross_subtract(models: DataFrame, observed: DataFrame) -> DataFrame:

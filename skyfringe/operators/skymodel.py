@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
 from skyfringe.functions.coordinates import separation, sky_to_lmn
 
-from .images import PIXEL
-from .joins import _cells
-from .visibility import KEY
+from .calibration import linked_groups, materialize
+from . import imaging
+from .images import PIXEL, smooth
+from .joins import components_as_array, near_pairs
+from .visibility import KEY, with_places
 
 
 def filter_by_flux(components: DataFrame, flux: Column, low: float, high: float) -> DataFrame:
@@ -27,13 +30,31 @@ def brightest(components: DataFrame, flux: str, k: int) -> DataFrame:
 
 
 def remove_neighbours(components: DataFrame, distance: float, flux: str) -> DataFrame:
-    """Components without a brighter one nearer than ``distance``; of equals the smaller id stays. Pairs meet in bands
-    of declination."""
-    a = _cells(components, distance, True)
-    b = _cells(components, distance, False).select(F.col("comp_id").alias("__id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"), F.col(flux).alias("__flux"), "__band")
-    beaten = (F.col("__flux") > F.col(flux)) | ((F.col("__flux") == F.col(flux)) & (F.col("__id") < F.col("comp_id")))
-    near = separation(F.col("ra"), F.col("dec"), F.col("__ra"), F.col("__dec")) < distance
-    losers = a.join(b, "__band").where(beaten & near & (F.col("__id") != F.col("comp_id"))).select("comp_id").distinct()
+    """Components without near neighbours: in the order of comp_id, each that is still there meets the first later one
+    that is still there and nearer than ``distance``, and the fainter of the two goes (of equals the earlier).
+
+    Only near pairs matter to each other, so the order is kept within the groups that they link; a group is the unit of
+    work, bounded by how many components crowd together.
+    """
+    pairs = near_pairs(components, components, distance).where("id1 < id2")
+    pairs = materialize(pairs.select("id1", "id2"))
+    groups = linked_groups(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+    levels = components.select(F.col("comp_id").alias("id1"), F.col(flux).alias("f1"))
+    rows = pairs.join(levels, "id1").join(levels.toDF("id2", "f2"), "id2").join(groups.withColumnRenamed("node", "id1"), "id1")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        pdf = pdf.sort_values(["id1", "id2"])
+        for first, later in pdf.groupby("id1", sort=True):
+            if first in gone:
+                continue
+            for other, f1, f2 in zip(later["id2"].tolist(), later["f1"].tolist(), later["f2"].tolist(), strict=True):
+                if other not in gone:
+                    gone.add(other if f1 > f2 else first)
+                    break
+        return pd.DataFrame({"comp_id": sorted(gone)}, dtype="int64")
+
+    losers = rows.groupBy("group").applyInPandas(meet, "comp_id long")
     return components.join(losers, "comp_id", "left_anti")
 
 
@@ -69,13 +90,36 @@ def update_from_gains(model_gains: DataFrame, gains: DataFrame, damping: float)
 
 
 def expand_by_component(components: DataFrame) -> DataFrame:
-    """One model for each component, numbered from 1 by id; 0 is left for the image."""
-    return components.withColumn("model_id", F.row_number().over(Window.orderBy("comp_id")).cast("long"))
+    """One model for each component, numbered from 1 by id; 0 is left for the image. Ranges of ids are numbered side by
+    side: each counts its own rows, and the counts of those before it (a row a range) are added."""
+    spark = components.sparkSession
+    ranges = max(components.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = materialize(components.repartitionByRange(ranges, "comp_id").sortWithinPartitions("comp_id").withColumn("__part", F.spark_partition_id()))
+    return with_places(parts, ["comp_id"]).withColumnRenamed("place", "model_id")
 
 
 def predict_models(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, flux: Column) -> DataFrame:
-    """(model_id, key, m_re, m_im): component predictions of every model, in one aggregation."""
-    rows = to_lm(components, ra0, dec0).withColumnsRenamed({"l": "__l", "m": "__m", "n": "__n"})
-    p = cx.phasor(F.col("u") * F.col("__l") + F.col("v") * F.col("__m") + F.col("w") * F.col("__n"))
-    re, im = cx.scale(p, flux)
-    return vis.crossJoin(rows).groupBy("model_id", *KEY).agg(F.sum(re).alias("m_re"), F.sum(im).alias("m_im"))
+    """(model_id, key, m_re, m_im): component predictions of every model. A model's components are one array, so its sum
+    is made within the row and nothing is shuffled; lists beyond a counted size go in blocks that are summed."""
+    listed = components_as_array(to_lm(components, ra0, dec0), by=["model_id"])
+    rows = vis.crossJoin(listed.table)
+    re, im = listed.sums(vis, flux)
+    out = rows.select("model_id", *KEY, re.alias("m_re"), im.alias("m_im"))
+    return out if listed.whole else out.groupBy("model_id", *KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
+
+
+def invert_models(vis: DataFrame, models: DataFrame, npixel: int, cellsize: float) -> DataFrame:
+    """(model_id, chan, pol, y, x, value): the dirty image of each model's own visibilities (model_id and key), within
+    the model's mask where ``models`` has one for the pixel."""
+    image = imaging.invert(vis, npixel, cellsize, keys=["model_id", "chan", "pol"])
+    masked = image.join(models.select("model_id", *PIXEL, "mask"), ["model_id", *PIXEL], "left")
+    return masked.withColumn("value", F.col("value") * F.coalesce("mask", F.lit(1.0))).drop("mask")
+
+
+def convolve_models(models: DataFrame, width: float) -> DataFrame:
+    """(model_id, pixel, value): each model's image smoothed by a Gaussian of that width; the mask is applied first."""
+    rows = models.withColumn("value", F.col("value") * F.col("mask"))
+    # A model is a product of its own to the smoothing.
+    coded = rows.select("chan", (F.col("model_id") * 16 + F.col("pol")).alias("pol"), "y", "x", "value")
+    out = smooth(coded, width)
+    return out.select(F.floor(F.col("pol") / 16).cast("long").alias("model_id"), "chan", (F.col("pol") % 16).alias("pol"), "y", "x", "value")

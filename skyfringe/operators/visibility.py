@@ -73,6 +73,15 @@ def sort_visibility(vis: DataFrame, order: list[str]) -> DataFrame:
     return vis.orderBy(*order)
 
 
+def with_places(parts: DataFrame, order: list[str]) -> DataFrame:
+    """``place`` from 1 of every row of a written table whose ranges (``__part``) are in order: the place in the range
+    and the rows of the ranges before it, of which there is one row each."""
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(F.broadcast(before), "__part").withColumn("place", (within + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
 # --- set operations --------------------------------------------------------------------------------------------
 
 
@@ -105,9 +114,10 @@ def weighted_mean(value: str, weight: str = "weight") -> Column:
 
 
 def integrate_channels(vis: DataFrame) -> DataFrame:
-    """One row for each (time, a1, a2, pol): weighted mean, weights and bandwidths added, mean frequency."""
+    """One row for each (time, a1, a2, pol): weighted mean, weights and bandwidths added, mean frequency and uvw."""
     return vis.groupBy("time", "a1", "a2", "pol").agg(
-        weighted_mean("vis_re").alias("vis_re"), weighted_mean("vis_im").alias("vis_im"), F.sum("weight").alias("weight"),
+        weighted_mean("vis_re").alias("vis_re"), weighted_mean("vis_im").alias("vis_im"), F.sum("weight").alias("weight"), F.sum("imaging_weight").alias("imaging_weight"),
+        *(F.avg(c).alias(c) for c in "uvw"),
         F.avg("frequency").alias("frequency"), F.sum("channel_bandwidth").alias("channel_bandwidth"),
     )
 
@@ -123,9 +133,47 @@ def sum_towards(vis: DataFrame, l: float, m: float) -> DataFrame:  # noqa: E741
 
 
 def quality(df: DataFrame, value: Column) -> DataFrame:
-    """max, min, population standard deviation and median of a value, one row."""
-    v = df.select(value.alias("x"))
-    return v.agg(F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_pop("x").alias("std"), F.percentile("x", F.lit(0.5)).alias("median"))
+    """max, min, population standard deviation and median of a value, one row.
+
+    The median is exact and never sorts all values: they are counted in bins first, and only the bin or two that hold the
+    middle are looked at one by one.
+    """
+    v = df.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    one = v.agg(F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_pop("x").alias("std"))
+    return one.crossJoin(F.broadcast(exact_median(v, "x")))
+
+
+def exact_median(df: DataFrame, column: str, *, bins: int = 4096) -> DataFrame:
+    """(median): the mean of the middle one or two values; one row. Bins are equal in width between the extremes, and
+    ``bins`` rows at most are gathered; where one bin holds most values it is cut again until few are left."""
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    spark = df.sparkSession
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "median double")
+    ranks, found = sorted({(n - 1) // 2, n // 2}), []
+    for rank in ranks:
+        lo, hi, below = low, high, 0
+        while True:
+            width = (hi - lo) / bins
+            if width <= 0 or lo + width == lo:
+                found.append(lo)
+                break
+            inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            counts = inside.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / width)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+            for r in sorted(counts, key=lambda r: r["b"]):
+                if below + r["n"] > rank:
+                    break
+                below += r["n"]
+            if r["n"] <= 100_000:
+                values = sorted(x["x"] for x in inside.where((F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"])).collect())
+                found.append(values[rank - below])
+                break
+            if (lo, hi) == (r["lo"], r["hi"]):
+                found.append(lo)
+                break
+            lo, hi = r["lo"], r["hi"]
+    return spark.createDataFrame([(sum(found) / len(found),)], "median double")
 
 
 def visibility_quality(vis: DataFrame) -> DataFrame:
@@ -147,11 +195,9 @@ def coalescing(vis: DataFrame, time_factor: float, most_times: int, chan_factor:
         return F.when(F.lit(factor <= 0) | (F.col("wt") <= 0), F.lit(1)).when(F.col("far") > 0, n).otherwise(F.lit(most))
 
     runs = per.select("a1", "a2", run(time_factor, most_times).alias("nt"), run(chan_factor, most_chans).alias("nf"))
-    # The order of a baseline's times and channels, from its distinct ones.
+    # A baseline's rows come together once; the order of its times and channels are windows over that one exchange.
     order = lambda c: F.dense_rank().over(Window.partitionBy("a1", "a2").orderBy(c)) - 1
-    times = vis.select("a1", "a2", "time").distinct().withColumn("t", order("time"))
-    chans = vis.select("a1", "a2", "chan").distinct().withColumn("f", order("chan"))
-    placed = vis.join(times, ["a1", "a2", "time"]).join(chans, ["a1", "a2", "chan"]).join(runs, ["a1", "a2"])
+    placed = vis.join(runs, ["a1", "a2"]).withColumn("t", order("time")).withColumn("f", order("chan"))
     return placed.withColumn("tchunk", F.floor(F.col("t") / F.col("nt"))).withColumn("fchunk", F.floor(F.col("f") / F.col("nf"))).drop("t", "f", "nt", "nf")
 
 
@@ -159,14 +205,19 @@ def coalesce_visibility(vis: DataFrame, time_factor: float, most_times: int, cha
     """Baseline-dependent averages: weighted means, weights added."""
     chunks = coalescing(vis, time_factor, most_times, chan_factor, most_chans)
     mean = [weighted_mean(c).alias(c) for c in ("time", "frequency", "u", "v", "w", "vis_re", "vis_im")]
-    return chunks.groupBy("a1", "a2", "tchunk", "fchunk", "pol").agg(*mean, F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples"))
+    times, width = F.countDistinct("time"), F.max("integration_time")
+    return chunks.groupBy("a1", "a2", "tchunk", "fchunk", "pol").agg(
+        *mean, F.sum("weight").alias("weight"), F.sum("imaging_weight").alias("imaging_weight"), (times * width).alias("integration_time"), F.count(F.lit(1)).alias("samples")
+    )
 
 
 def decoalesce_visibility(vis: DataFrame, time_factor: float, most_times: int, chan_factor: float, most_chans: int) -> DataFrame:
-    """Every sample with the average that it went into."""
+    """Every sample with the average that it went into; averages are windows over the baselines' own exchange."""
     chunks = coalescing(vis, time_factor, most_times, chan_factor, most_chans)
-    mean = chunks.groupBy("a1", "a2", "tchunk", "fchunk", "pol").agg(weighted_mean("vis_re").alias("vis_re"), weighted_mean("vis_im").alias("vis_im"))
-    return chunks.drop("vis_re", "vis_im").join(mean, ["a1", "a2", "tchunk", "fchunk", "pol"]).drop("tchunk", "fchunk")
+    over = Window.partitionBy("a1", "a2", "tchunk", "fchunk", "pol")
+    total = F.sum("weight").over(over)
+    mean = lambda c: F.when(total > 0, F.sum(F.col("weight") * F.col(c)).over(over) / total).otherwise(F.lit(0.0))
+    return chunks.withColumns({"vis_re": mean("vis_re"), "vis_im": mean("vis_im")}).drop("tchunk", "fchunk")
 
 
 def fit_uv_plane(vis: DataFrame) -> DataFrame:
@@ -182,16 +233,25 @@ def remove_uv_plane(vis: DataFrame) -> DataFrame:
 
 
 def advise_wide_field(vis: DataFrame, diameter: float, *, del_a: float = 0.02, guard: float = 6.0, oversampling: float = 3.0) -> DataFrame:
-    """Sizes for imaging from the longest baseline and the longest wavelength; one row."""
-    longest = F.max(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
-    one = vis.agg(longest.alias("longest_baseline"), F.max(F.abs("w")).alias("largest_w"), (F.lit(299792458.0) / F.min("frequency")).alias("wavelength"))
+    """Sizes for imaging; one row. The longest baseline is the largest of |u|, |v| and |w|, in wavelengths; the w
+    sampling loses at most ``del_a`` of coherence, in the image's field or in the primary beam's."""
+    longest = F.greatest(*(F.max(F.abs(c)) for c in "uvw"))
+    one = vis.agg(longest.alias("longest_baseline"), F.max(F.abs("w")).alias("largest_w"), (F.lit(299792458.0) / F.min("frequency")).alias("wavelength"), F.max("frequency").alias("top"))
+    pi = 3.141592653589793
     beam = 1 / F.col("longest_baseline")
-    fov = F.col("wavelength") / diameter * guard
+    primary = F.col("wavelength") / diameter
+    fov = primary * guard
     cell = beam / oversampling
-    side = F.ceil(fov / cell)
+    side = F.rint(fov / cell)
+    power2 = F.pow(F.lit(2.0), F.ceil(F.log2(side)))
+    steps = {"image": F.sqrt(F.lit(2 * del_a)) / (pi * fov * fov), "primary_beam": F.sqrt(F.lit(2 * del_a)) / (pi * primary * primary)}
     return one.select(
-        "longest_baseline", "largest_w", "wavelength", beam.alias("synthesised_beam"), fov.alias("image_fov"), cell.alias("cellsize"), side.alias("npixel"),
-        F.pow(F.lit(2.0), F.ceil(F.log2(side))).alias("npixel_power_of_2"), (F.sqrt(F.lit(2 * del_a)) / (3.141592653589793 * fov * fov)).alias("w_sampling"),
+        "longest_baseline", "largest_w", "wavelength", beam.alias("synthesised_beam"), primary.alias("primary_beam_fov"), fov.alias("image_fov"), cell.alias("cellsize"), side.alias("npixel"),
+        power2.alias("npixel_power_of_2"), F.when(power2 * 3 / 4 >= side, power2 * 3 / 4).otherwise(power2).alias("npixel_power_of_2_3"),
+        *(w.alias(f"w_sampling_{n}") for n, w in steps.items()),
+        *((86400.0 * w / (pi * F.col("longest_baseline"))).alias(f"time_sampling_{n}") for n, w in steps.items()),
+        *((F.col("top") * w / (pi * F.col("longest_baseline"))).alias(f"freq_sampling_{n}") for n, w in steps.items()),
+        F.greatest(F.lit(1), F.floor(2 * F.col("largest_w") / steps["primary_beam"])).alias("vis_slices"),
     )
 
 
@@ -246,11 +306,20 @@ def running_mean(vis: DataFrame, samples: int) -> DataFrame:
     return vis.withColumn("mean_re", F.avg("vis_re").over(over))
 
 
-def scatter(vis: DataFrame, slices: int) -> list[DataFrame]:
-    """The time slices as tables of their own."""
-    cut = time_slices(vis, slices)
-    return [cut.where(F.col("slice") == k).drop("slice") for k in range(slices)]
+def scatter(vis: DataFrame, slices: int) -> DataFrame:
+    """The time slices of a table as a column; a slice is read alone by a filter on it."""
+    return time_slices(vis, slices)
+
+
+def gather(scattered: DataFrame) -> DataFrame:
+    return scattered.drop("slice")
 
 
-def gather(pieces: list[DataFrame]) -> DataFrame:
-    return reduce(append, pieces)
+def time_chunks(vis: DataFrame, antennas_latitude: float, dec: float, chunk: float, limit: float, *, day: float = 86_400.0) -> DataFrame:
+    """Rows with ``time_chunk``, the number of their stretch of ``chunk`` in time, in chunks during which a source at
+    ``dec`` is never below ``limit``; time counts from its culmination."""
+    number = F.floor(F.col("time") / chunk)
+    _, el = hadec_to_azel(F.col("time") * (6.283185307179586 / day), F.lit(dec), F.lit(antennas_latitude))
+    rows = vis.withColumns({"time_chunk": number.cast("long"), "__el": el})
+    seen = rows.groupBy("time_chunk").agg(F.min("__el").alias("__least")).where(F.col("__least") >= limit).select("time_chunk")
+    return rows.join(seen, "time_chunk", "left_semi").drop("__el")

@@ -5,38 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfringe.functions import complexmath as cx
-from skyfringe.operators import calibration, gridding, joins
+from skyfringe.operators import calibration, clean, imaging, joins
 from skyfringe.operators.calibration import materialize
-from skyfringe.operators.visibility import KEY
-
-
-def predict_image(vis: DataFrame, image: DataFrame, npixel: int, cellsize: float) -> DataFrame:
-    """Key, m_re, m_im: the direct sum over the image's non-zero pixels; pixels join on (chan, pol)."""
-    bright = image.where(F.col("value") != 0).select("chan", "pol", ((F.col("x") - npixel // 2) * cellsize).alias("__l"), ((F.col("y") - npixel // 2) * cellsize).alias("__m"), "value")
-    joined = vis.select(*KEY, "u", "v").join(bright, ["chan", "pol"])
-    re, im = cx.scale(cx.phasor(F.col("u") * F.col("__l") + F.col("v") * F.col("__m")), F.col("value"))
-    return joined.groupBy(*KEY).agg(F.sum(re).alias("m_re"), F.sum(im).alias("m_im"))
-
-
-def residual(vis: DataFrame, model: DataFrame, npixel: int, cellsize: float) -> tuple[DataFrame, DataFrame]:
-    """(visibilities less the model image's, their dirty image). Rows that the model doesn't reach stay as they are."""
-    predicted = predict_image(vis, model, npixel, cellsize)
-    zero = F.lit(0.0)
-    left = vis.join(predicted, KEY, "left").withColumns({"vis_re": F.col("vis_re") - F.coalesce("m_re", zero), "vis_im": F.col("vis_im") - F.coalesce("m_im", zero)}).drop("m_re", "m_im")
-    return left, gridding.invert(left, npixel, cellsize)
 
 
 def continuum_imaging(vis: DataFrame, npixel: int, cellsize: float, *, cycles: int = 3, gain: float = 0.1, most: int = 100) -> tuple[DataFrame, DataFrame]:
     """(model image, residual image) after so many CLEAN cycles; each cycle ends in written tables."""
-    psf = materialize(gridding.invert(vis, npixel, cellsize, psf=True))
-    image = materialize(gridding.invert(vis, npixel, cellsize))
+    psf = materialize(imaging.invert(vis, npixel, cellsize, psf=True))
+    image = materialize(imaging.invert(vis, npixel, cellsize))
     model = None
     for _ in range(cycles):
-        found = gridding.hogbom(image, psf, gain=gain, most=most).select("chan", "pol", "y", "x", F.col("model").alias("value"))
+        found = clean.clean(image, psf, gain=gain, most=most).select("chan", "pol", "y", "x", F.col("model").alias("value"))
         both = found if model is None else model.unionByName(found)
         model = materialize(both.groupBy("chan", "pol", "y", "x").agg(F.sum("value").alias("value")))
-        image = materialize(residual(vis, model, npixel, cellsize)[1])
+        image = materialize(imaging.residual(vis, model, npixel, cellsize)[1])
     return model, image
 
 
@@ -46,3 +28,30 @@ def self_calibrate(vis: DataFrame, model: DataFrame, antennas: int, interval: fl
     gains = solved.select((F.col("slot") * interval + interval / 2).alias("time"), "ant", "chan", "feed", "g_re", "g_im", "weight")
     gains = materialize(gains)
     return gains, joins.apply_gains(vis, gains, interval=interval, first=interval / 2, inverse=True, cross=cross)
+
+
+def imaging_cycle(vis: DataFrame, npixel: int, cellsize: float, antennas: int, interval: float, *, cycles: int = 2, gain: float = 0.1, most: int = 100, cross: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(model image, residual image, gains) of self-calibration within an imaging cycle: image and clean, predict from
+    the model, solve and take off the gains, and again."""
+    fixed, gains = vis, None
+    for _ in range(cycles):
+        model, left = continuum_imaging(fixed, npixel, cellsize, cycles=1, gain=gain, most=most)
+        predicted = materialize(imaging.predict(vis, model, npixel, cellsize))
+        gains, fixed = self_calibrate(vis, predicted, antennas, interval, cross=cross)
+        fixed = materialize(fixed)
+    return model, left, gains
+
+
+def spectral_line(vis: DataFrame, npixel: int, cellsize: float, *, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(continuum model, line cube): the continuum is cleaned on all channels together and taken off each, and what is
+    left is imaged channel by channel."""
+    flat = materialize(vis.withColumn("chan", F.lit(0)))
+    # Channels of a sample share its coordinates in wavelengths; together they are one sample of the continuum.
+    key = ["time", "a1", "a2", "chan", "pol"]
+    total = F.sum("weight")
+    mean = lambda c: F.when(total > 0, F.sum(F.col(c) * F.col("weight")) / total).otherwise(F.lit(0.0)).alias(c)
+    flat = materialize(flat.groupBy(*key).agg(mean("u"), mean("v"), mean("w"), mean("vis_re"), mean("vis_im"), total.alias("weight"), F.sum("imaging_weight").alias("imaging_weight")))
+    model, _ = continuum_imaging(flat, npixel, cellsize, cycles=1, most=most)
+    chans = vis.select("chan").distinct()
+    cube = model.drop("chan").crossJoin(F.broadcast(chans)).select("chan", "pol", "y", "x", "value")
+    return model, imaging.residual(vis, cube, npixel, cellsize)[1]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +11,18 @@ from skyfringe.functions import coordinates as co
 from skyfringe.functions import polarisation as po
 from skyfringe.functions import windows as wi
 from skyfringe.operators import calibration as ca
+from skyfringe.operators import clean as cl
 from skyfringe.operators import gridding as gr
 from skyfringe.operators import images as im
+from skyfringe.operators import imaging as ig
+from skyfringe.operators import jones as jn
 from skyfringe.operators import joins as jo
 from skyfringe.operators import screens as sc
 from skyfringe.operators import skymodel as sk
 from skyfringe.operators import visibility as vi
 from skyfringe.streaming import calibration as st
 
+from . import imaging as cycles
 from .registry import ALL, Views, register
 
 KEY = "time a1 a2 chan pol"
@@ -41,9 +44,9 @@ def _(t: Views) -> DataFrame:
     return vi.select_wrange(t("fx_vis"), 21.3)
 
 
-@register("f01_rows_with_weight", KEY, "vis_re vis_im weight", f"SELECT {K}, vis_re, vis_im, weight FROM fx_vis WHERE weight > 0 AND chan = 2")
+@register("f01_rows_with_weight", KEY, "vis_re vis_im weight", f"SELECT {K}, vis_re, vis_im, weight FROM fx_vis WHERE weight > 0")
 def _(t: Views) -> DataFrame:
-    return t("fx_vis").where("weight > 0 AND chan = 2")
+    return t("fx_vis").where("weight > 0")
 
 
 @register("f05_limit_radius", "ant", "x y z", "SELECT a.* FROM fx_antenna a, (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM fx_antenna) m WHERE sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) < 3000")
@@ -51,9 +54,9 @@ def _(t: Views) -> DataFrame:
     return vi.limit_radius(t("fx_antenna"), 3000)
 
 
-@register("f08_flux_range", "comp_id", "flux0", "SELECT comp_id, flux0 FROM fx_component WHERE flux0 > 1.2e0 AND flux0 < 1.6e0")
+@register("f08_flux_range", "comp_id", "flux0", "SELECT comp_id, flux0 FROM fx_component WHERE flux0 > 91e-2 AND flux0 < 96e-2")
 def _(t: Views) -> DataFrame:
-    return sk.filter_by_flux(t("fx_component"), F.col("flux0"), 1.2, 1.6)
+    return sk.filter_by_flux(t("fx_component"), F.col("flux0"), 0.91, 0.96)
 
 
 @register("f09_listed_components", "comp_id", "flux0", "SELECT comp_id, flux0 FROM fx_component WHERE comp_id IN (SELECT comp_id FROM fx_target)")
@@ -84,16 +87,16 @@ def _(t: Views) -> DataFrame:
     return t("fx_vis").agg(F.countDistinct("time").alias("times"), F.countDistinct("chan").alias("chans"), F.countDistinct("a1", "a2").alias("baselines"))
 
 
-@register("u01_append", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis WHERE chan = 0 UNION ALL SELECT {K}, vis_re FROM fx_vis WHERE chan = 3")
+@register("u01_append", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis UNION ALL SELECT time + 1e3, a1, a2, chan, pol, -vis_re FROM fx_vis")
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
-    return vi.append(v.where("chan = 0"), v.where("chan = 3"))
+    return vi.append(v, v.withColumns({"time": F.col("time") + 1e3, "vis_re": -F.col("vis_re")}))
 
 
-@register("u03_concatenate_frequency", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis WHERE chan < 3 UNION ALL SELECT time, a1, a2, chan + 3, pol, vis_re FROM fx_vis WHERE chan < 2")
+@register("u03_concatenate_frequency", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis UNION ALL SELECT time, a1, a2, chan + (SELECT max(chan) + 1 FROM fx_vis), pol, vis_re FROM fx_vis")
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
-    return vi.concatenate_frequency(v.where("chan < 3"), v.where("chan < 2"))
+    return vi.concatenate_frequency(v, v)
 
 
 @register("o03_brightest", "comp_id", "flux0", "SELECT comp_id, flux0 FROM fx_component ORDER BY flux0 DESC, comp_id LIMIT 25")
@@ -125,7 +128,32 @@ def _(t: Views) -> DataFrame:
     return jo.divide(t("fx_vis"), t("fx_model"))
 
 
-@register("j02_divide_matrix", KEY, "vis_re vis_im")
+def _cmul(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+    return f"({a[0]} * {b[0]} - {a[1]} * {b[1]})", f"({a[0]} * {b[1]} + {a[1]} * {b[0]})"
+
+
+def _cadd(a: tuple[str, str], b: tuple[str, str], sign: str = "+") -> tuple[str, str]:
+    return f"({a[0]} {sign} {b[0]})", f"({a[1]} {sign} {b[1]})"
+
+
+def _divided_matrix() -> str:
+    """inverse(M) V of each sample's four products; 0 where M has no inverse or a product is missing."""
+    v, m = ([(f"{n}{k}_re", f"{n}{k}_im") for k in range(4)] for n in "vm")
+    det = _cadd(_cmul(m[0], m[3]), _cmul(m[1], m[2]), "-")
+    size = f"({det[0]} * {det[0]} + {det[1]} * {det[1]})"
+    adj = [m[3], (f"(-{m[1][0]})", f"(-{m[1][1]})"), (f"(-{m[2][0]})", f"(-{m[2][1]})"), m[0]]
+    out = []
+    for r in (0, 1):
+        for c in (0, 1):
+            x = _cadd(_cmul(adj[2 * r], v[c]), _cmul(adj[2 * r + 1], v[2 + c]))
+            q = _cmul(x, (det[0], f"(-{det[1]})"))
+            out.append([f"coalesce(CASE WHEN {size} > 0 THEN {p} / {size} ELSE 0 END, 0)" for p in q])
+    wide = ", ".join(f"max(CASE WHEN pol = {k} THEN {a} END) AS {n}{k}_{p}" for n, cols in (("v", ("vis_re", "vis_im")), ("m", ("m_re", "m_im"))) for k in range(4) for p, a in zip(("re", "im"), cols, strict=True))
+    model = f"SELECT {K}, CASE WHEN pol IN (0, 3) THEN m_re ELSE 1e0 END AS m_re, m_im FROM fx_model"
+    return f"SELECT time, a1, a2, chan, unnest([0, 1, 2, 3]) AS pol, unnest([{', '.join(x[0] for x in out)}]) AS vis_re, unnest([{', '.join(x[1] for x in out)}]) AS vis_im FROM (SELECT time, a1, a2, chan, {wide} FROM fx_vis JOIN ({model}) m USING ({K}) GROUP BY time, a1, a2, chan)"
+
+
+@register("j02_divide_matrix", KEY, "vis_re vis_im", _divided_matrix())
 def _(t: Views) -> DataFrame:
     m = t("fx_model").withColumn("m_re", F.when(F.col("pol").isin(0, 3), F.col("m_re")).otherwise(F.lit(1.0)))
     return jo.divide_matrix(t("fx_vis"), m)
@@ -154,10 +182,9 @@ def _(t: Views) -> DataFrame:
 PAIR_SEP = SEP.format(r1="a.ra", d1="a.dec", r2="b.ra", d2="b.dec")
 
 
-@register("j06_matches", "id1 id2", "separation", f"SELECT id1, id2, separation FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY separation, id2) AS r FROM (SELECT a.comp_id AS id1, b.comp_id AS id2, {PAIR_SEP} AS separation FROM fx_component a, (SELECT * FROM fx_component WHERE comp_id % 3 = 0) b) WHERE separation < 1e-2) WHERE r = 1")
+@register("j06_matches", "id1 id2", "separation", f"SELECT id1, id2, separation FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY separation, id2) AS r FROM (SELECT a.comp_id AS id1, b.comp_id AS id2, {PAIR_SEP} AS separation FROM fx_component a, fx_target b) WHERE separation < 1e-2) WHERE r = 1")
 def _(t: Views) -> DataFrame:
-    c = t("fx_component")
-    return jo.matches(c, c.where("comp_id % 3 = 0"), 0.01)
+    return jo.matches(t("fx_component"), t("fx_target"), 0.01)
 
 
 @register("j07_separations", "id1 id2", "separation", f"SELECT a.comp_id AS id1, b.comp_id AS id2, {PAIR_SEP} AS separation FROM fx_target a, fx_component b")
@@ -186,19 +213,19 @@ N = "(sin(dec) * sin(-5e-1) + cos(dec) * cos(-5e-1) * cos(ra - 1e-1) - 1)"
 FLUX = "flux0 * pow(frequency / 1e8, -7e-1)"
 
 
-@register("j12_predict_components", KEY, "m_re m_im", f"SELECT {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns FROM (SELECT * FROM fx_vis WHERE pol = 0) v, fx_target) GROUP BY {K}")
+@register("j12_predict_components", KEY, "m_re m_im", f"SELECT {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns FROM fx_vis, fx_target) GROUP BY {K}")
 def _(t: Views) -> DataFrame:
-    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
-    return jo.predict_components(t("fx_vis").where("pol = 0"), t("fx_target"), RA0, DEC0, flux)
+    spectrum = F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
+    return jo.predict_components(t("fx_vis"), t("fx_target"), RA0, DEC0, spectrum)
 
 
 # --- aggregation ------------------------------------------------------------------------------------------------------
 
 MEAN = "CASE WHEN sum(weight) > 0 THEN sum(weight * {0}) / sum(weight) ELSE 0e0 END AS {0}"
-INTEGRATED = f"SELECT time, a1, a2, pol, {MEAN.format('vis_re')}, {MEAN.format('vis_im')}, sum(weight) AS weight, avg(frequency) AS frequency, sum(channel_bandwidth) AS channel_bandwidth FROM fx_vis GROUP BY time, a1, a2, pol"
+INTEGRATED = f"SELECT time, a1, a2, pol, {MEAN.format('vis_re')}, {MEAN.format('vis_im')}, sum(weight) AS weight, sum(imaging_weight) AS imaging_weight, avg(u) AS u, avg(v) AS v, avg(w) AS w, avg(frequency) AS frequency, sum(channel_bandwidth) AS channel_bandwidth FROM fx_vis GROUP BY time, a1, a2, pol"
 
 
-@register("a04_integrate_channels", "time a1 a2 pol", "vis_re vis_im weight frequency channel_bandwidth", INTEGRATED)
+@register("a04_integrate_channels", "time a1 a2 pol", "vis_re vis_im weight imaging_weight u v w frequency channel_bandwidth", INTEGRATED)
 def _(t: Views) -> DataFrame:
     return vi.integrate_channels(t("fx_vis"))
 
@@ -223,10 +250,10 @@ CHUNKED = f"""
     placed AS (SELECT d.*, dense_rank() OVER (PARTITION BY d.a1, d.a2 ORDER BY time) - 1 AS t, dense_rank() OVER (PARTITION BY d.a1, d.a2 ORDER BY chan) - 1 AS f, nt, nf
         FROM d JOIN runs ON d.a1 = runs.a1 AND d.a2 = runs.a2),
     chunks AS (SELECT *, floor(t / nt) AS tchunk, floor(f / nf) AS fchunk FROM placed)"""
-COALESCED = f"SELECT * FROM ({CHUNKED} SELECT a1, a2, tchunk, fchunk, pol, {MEAN.format('time')}, {MEAN.format('frequency')}, {MEAN.format('u')}, {MEAN.format('vis_re')}, {MEAN.format('vis_im')}, sum(weight) AS weight, count(*) AS samples FROM chunks GROUP BY a1, a2, tchunk, fchunk, pol)"
+COALESCED = f"SELECT * FROM ({CHUNKED} SELECT a1, a2, tchunk, fchunk, pol, {MEAN.format('time')}, {MEAN.format('frequency')}, {MEAN.format('u')}, {MEAN.format('vis_re')}, {MEAN.format('vis_im')}, sum(weight) AS weight, sum(imaging_weight) AS imaging_weight, count(DISTINCT time) * max(integration_time) AS integration_time, count(*) AS samples FROM chunks GROUP BY a1, a2, tchunk, fchunk, pol)"
 
 
-@register("a01_coalesce", "a1 a2 tchunk fchunk pol samples", "time frequency u vis_re vis_im weight", COALESCED)
+@register("a01_coalesce", "a1 a2 tchunk fchunk pol samples", "time frequency u vis_re vis_im weight imaging_weight integration_time", COALESCED)
 def _(t: Views) -> DataFrame:
     return vi.coalesce_visibility(t("fx_vis"), 2.0, 8, 1.5, 4)
 
@@ -267,12 +294,24 @@ def _(t: Views) -> DataFrame:
     return both.groupBy(*vi.KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
 
 
-@register("a14_advise", "npixel", "longest_baseline largest_w wavelength synthesised_beam image_fov npixel_power_of_2 w_sampling", "SELECT *, ceil(image_fov / (synthesised_beam / 3)) AS npixel, pow(2e0, ceil(log2(ceil(image_fov / (synthesised_beam / 3))))) AS npixel_power_of_2, sqrt(4e-2) / (3.141592653589793e0 * image_fov * image_fov) AS w_sampling FROM (SELECT longest_baseline, largest_w, wavelength, 1 / longest_baseline AS synthesised_beam, wavelength / 35e0 * 6 AS image_fov FROM (SELECT max(sqrt(u * u + v * v)) AS longest_baseline, max(abs(w)) AS largest_w, 299792458e0 / min(frequency) AS wavelength FROM fx_vis))")
+ADVICE = """SELECT *, CASE WHEN p2 * 75e-2 >= npixel THEN p2 * 75e-2 ELSE p2 END AS npixel_power_of_2_3, p2 AS npixel_power_of_2,
+    864e2 * w_sampling_image / (PI * longest_baseline) AS time_sampling_image, top * w_sampling_primary_beam / (PI * longest_baseline) AS freq_sampling_primary_beam,
+    greatest(1, floor(2 * largest_w / w_sampling_primary_beam)) AS vis_slices
+    FROM (SELECT *, pow(2e0, ceil(log2(npixel))) AS p2 FROM (SELECT *, 1 / longest_baseline AS synthesised_beam, wavelength / 35e0 * 6 AS image_fov,
+        round_even(wavelength / 35e0 * 6 / (1 / longest_baseline / 3), 0) AS npixel, sqrt(4e-2) / (PI * (wavelength / 35e0 * 6) * (wavelength / 35e0 * 6)) AS w_sampling_image,
+        sqrt(4e-2) / (PI * (wavelength / 35e0) * (wavelength / 35e0)) AS w_sampling_primary_beam
+        FROM (SELECT greatest(max(abs(u)), max(abs(v)), max(abs(w))) AS longest_baseline, max(abs(w)) AS largest_w, 299792458e0 / min(frequency) AS wavelength, max(frequency) AS top FROM fx_vis)))"""
+
+
+@register("a14_advise", "npixel npixel_power_of_2 npixel_power_of_2_3 vis_slices", "longest_baseline largest_w wavelength synthesised_beam image_fov w_sampling_image w_sampling_primary_beam time_sampling_image freq_sampling_primary_beam", ADVICE.replace("PI", f"{math.pi!r}"))
 def _(t: Views) -> DataFrame:
     return vi.advise_wide_field(t("fx_vis"), 35.0)
 
 
-@register("i07_remove_continuum", KEY, "vis_re")
+X = "(chan / 6e0 - 5e-1)"
+
+
+@register("i07_remove_continuum", KEY, "vis_re", f"SELECT {K}, vis_re - (my + b * ({X} - mx)) AS vis_re FROM fx_vis JOIN (SELECT time, a1, a2, pol, CASE WHEN s1 > 0 THEN sy / s1 ELSE 0 END AS my, CASE WHEN s1 > 0 THEN sx / s1 ELSE 0 END AS mx, CASE WHEN abs(s1 * sxx - sx * sx) > 1e-12 THEN (s1 * sxy - sx * sy) / (s1 * sxx - sx * sx) ELSE 0 END AS b FROM (SELECT time, a1, a2, pol, sum(weight) AS s1, sum(weight * {X}) AS sx, sum(weight * ({X} * {X})) AS sxx, sum(weight * vis_re) AS sy, sum(weight * ({X} * vis_re)) AS sxy FROM fx_vis GROUP BY time, a1, a2, pol)) f USING (time, a1, a2, pol)", grid=4096.0)
 def _(t: Views) -> DataFrame:
     return vi.remove_continuum(t("fx_vis"), ["time", "a1", "a2", "pol"], F.col("chan") / 6 - 0.5, "vis_re", F.col("weight"))
 
@@ -309,7 +348,18 @@ def _(t: Views) -> DataFrame:
     return t("fx_component").select("comp_id", co.compass_bearing(F.lit(DEC0), F.lit(RA0), F.col("dec"), F.col("ra")).alias("bearing"))
 
 
-@register("x11_phase_rotate", KEY, "vis_re vis_im")
+def _towards(ra: float, dec: float) -> str:
+    """Turns of a row towards a direction, as SQL."""
+    l = math.cos(dec) * math.sin(ra - RA0)  # noqa: E741
+    m = math.sin(dec) * math.cos(DEC0) - math.cos(dec) * math.sin(DEC0) * math.cos(ra - RA0)
+    n = math.sin(dec) * math.sin(DEC0) + math.cos(dec) * math.cos(DEC0) * math.cos(ra - RA0) - 1
+    return f"(u * {l!r} + v * {m!r} + w * {n!r})"
+
+
+TURNS = _towards(RA0 + 0.01, DEC0 - 0.005)
+
+
+@register("x11_phase_rotate", KEY, "vis_re vis_im", f"SELECT {K}, vis_re * cos({PI2} * {TURNS}) - vis_im * sin({PI2} * {TURNS}) AS vis_re, vis_im * cos({PI2} * {TURNS}) + vis_re * sin({PI2} * {TURNS}) AS vis_im FROM fx_vis")
 def _(t: Views) -> DataFrame:
     return vi.phase_rotate(t("fx_vis"), RA0, DEC0, RA0 + 0.01, DEC0 - 0.005)
 
@@ -350,13 +400,70 @@ def _(t: Views) -> DataFrame:
     return gr.grid_visibility_fast(t("fx_vis"), NPIXEL, CELL)
 
 
-@register("g05_grid_kernel", "chan pol gv gu", "re im weight")
+def _spheroidal(nu: float) -> float:
+    if abs(nu) > 1:
+        return 0.0
+    k, end = (0, 0.75) if abs(nu) < 0.75 else (1, 1.0)
+    d = nu * nu - end * end
+    return sum(c * d**i for i, c in enumerate(wi.SPHEROIDAL_P[k])) / sum(c * d**i for i, c in enumerate(wi.SPHEROIDAL_Q[k]))
+
+
+def _kernel(support: int, oversampling: int) -> list[tuple[int, int, float]]:
+    """(sub-cell, offset, weight) along one axis."""
+    out = []
+    for o in range(oversampling):
+        x = [abs(s - ((o + 0.5) / oversampling - 0.5)) / (support + 0.5) for s in range(-support, support + 1)]
+        k = [max(0.0, (1 - a * a) * _spheroidal(a)) for a in x]
+        out += [(o, s, v / sum(k)) for s, v in zip(range(-support, support + 1), k, strict=True)]
+    return out
+
+
+def _kernel_sql(support: int, oversampling: int) -> str:
+    return "(VALUES " + ", ".join(f"({o}, {s}, {k!r}e0)" if "e" not in repr(k) else f"({o}, {s}, {k!r})" for o, s, k in _kernel(support, oversampling)) + ")"
+
+
+def _footprint_sql(support: int, oversampling: int, rows: str = "fx_vis") -> str:
+    """Every row with the cells under its kernel and their weights k."""
+    sub = lambda c: f"least({oversampling - 1}, floor(({c} + 5e-1) * {oversampling}))"
+    at = lambda c: f"({c} * {NPIXEL * CELL!r} + {NPIXEL // 2})"
+    near = f"SELECT *, {GU} AS nu, {GV} AS nv, {at('u')} - {GU} AS du, {at('v')} - {GV} AS dv FROM {rows}"
+    ker = _kernel_sql(support, oversampling)
+    return f"(SELECT * FROM (SELECT c.*, nu + a.s AS gu, nv + b.s AS gv, a.k * b.k AS k FROM (SELECT *, {sub('du')} AS ou, {sub('dv')} AS ov FROM ({near}) WHERE nu >= 0 AND nu < {NPIXEL} AND nv >= 0 AND nv < {NPIXEL}) c JOIN {ker} a(o, s, k) ON a.o = ou JOIN {ker} b(o, s, k) ON b.o = ov) WHERE gu >= 0 AND gu < {NPIXEL} AND gv >= 0 AND gv < {NPIXEL})"
+
+
+def _gridded_sql(support: int, oversampling: int) -> str:
+    return f"SELECT chan, pol, gv, gu, sum(vis_re * (imaging_weight * k)) AS re, sum(vis_im * (imaging_weight * k)) AS im, sum(imaging_weight * k) AS weight FROM {_footprint_sql(support, oversampling)} GROUP BY chan, pol, gv, gu"
+
+
+def _transform_sql(grid: str, sign: str, n: int = NPIXEL) -> str:
+    """The centred transform of a grid (chan, pol, gv, gu, re, im) by lines: (chan, pol, y, x, re, im), not scaled."""
+    turn = lambda a, b: f"({sign}{PI2} * ({a} - {n // 2}) * ({b} - {n // 2}) / {n})"
+
+    def along(source: str, keep: str, old: str, new: str) -> str:
+        t = turn(old, new)
+        return f"SELECT chan, pol, {keep}, {new}, sum(re * cos{t} - im * sin{t}) AS re, sum(re * sin{t} + im * cos{t}) AS im FROM ({source}), (SELECT unnest(range({n})) AS {new}) GROUP BY chan, pol, {keep}, {new}"
+
+    return f"SELECT chan, pol, y, x, re, im FROM ({along(along(grid, 'gv', 'gu', 'x'), 'x', 'gv', 'y')})"
+
+
+def _correction_sql(support: int, oversampling: int, n: int = NPIXEL) -> str:
+    rows = []
+    for p in range(n):
+        c = sum(k * math.cos(2 * math.pi * (s - ((o + 0.5) / oversampling - 0.5)) * (p - n // 2) / n) for o, s, k in _kernel(support, oversampling)) / oversampling
+        rows.append(f"({p}, {c!r})")
+    return "(VALUES " + ", ".join(rows) + ")"
+
+
+@register("g05_grid_kernel", "chan pol gv gu", "re im weight", _gridded_sql(3, 8), grid=64.0)
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
     return gr.grid_visibility(v, gr.spheroidal_kernel(v.sparkSession, 3, 8), NPIXEL, CELL, 8)
 
 
-@register("g07_degrid", KEY, "vis_re vis_im")
+FAST = f"SELECT chan, pol, gv, gu, sum(vis_re * imaging_weight) AS re, sum(vis_im * imaging_weight) AS im, sum(imaging_weight) AS weight FROM {CELLS} GROUP BY chan, pol, gv, gu"
+
+
+@register("g07_degrid", KEY, "vis_re vis_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS vis_re, sum(im * k) AS vis_im FROM {_footprint_sql(2, 4)} f JOIN ({FAST}) g ON g.chan = f.chan AND g.pol = f.pol AND g.gv = f.gv AND g.gu = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=64.0)
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
     kernel = gr.spheroidal_kernel(v.sparkSession, 2, 4)
@@ -368,20 +475,20 @@ def _(t: Views) -> DataFrame:
     return gr.weight_uniform(t("fx_vis"), NPIXEL, CELL)
 
 
-@register("g13_invert", "chan pol y x", "value")
+@register("g13_invert", "chan pol y x", "value", f"SELECT i.chan, i.pol, y, x, CASE WHEN total > 0 THEN re / total ELSE 0 END AS value FROM ({_transform_sql(FAST, '')}) i JOIN (SELECT chan, pol, sum(weight) AS total FROM ({FAST}) GROUP BY chan, pol) t ON t.chan = i.chan AND t.pol = i.pol", grid=1024.0)
 def _(t: Views) -> DataFrame:
     return gr.invert(t("fx_vis"), NPIXEL, CELL)
 
 
-@register("g17_direct_image", "chan pol y x", "value", f"SELECT chan, pol, y, x, CASE WHEN sum(imaging_weight) > 0 THEN sum(imaging_weight * (vis_re * cos({PI2} * turns) - vis_im * sin({PI2} * turns))) / sum(imaging_weight) ELSE 0 END AS value FROM (SELECT *, u * (x - 4) * 1e-2 + v * (y - 4) * 1e-2 AS turns FROM (SELECT * FROM fx_vis WHERE pol = 0) v, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) GROUP BY chan, pol, y, x")
+@register("g17_direct_image", "chan pol y x", "value", f"SELECT chan, pol, y, x, CASE WHEN sum(imaging_weight) > 0 THEN sum(imaging_weight * (vis_re * cos({PI2} * turns) - vis_im * sin({PI2} * turns))) / sum(imaging_weight) ELSE 0 END AS value FROM (SELECT *, u * (x - 4) * 1e-2 + v * (y - 4) * 1e-2 AS turns FROM fx_vis, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) GROUP BY chan, pol, y, x")
 def _(t: Views) -> DataFrame:
-    return gr.direct_image(t("fx_vis").where("pol = 0"), 8, 0.01)
+    return gr.direct_image(t("fx_vis"), 8, 0.01)
 
 
 @register("d02_hogbom", "chan pol y x", "model residual")
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
-    return gr.hogbom(gr.invert(v, 32, 2 * CELL), gr.invert(v, 32, 2 * CELL, psf=True))
+    return cl.clean(gr.invert(v, 32, 2 * CELL), gr.invert(v, 32, 2 * CELL, psf=True))
 
 
 # --- images ----------------------------------------------------------------------------------------------------------
@@ -465,7 +572,15 @@ def _(t: Views) -> DataFrame:
     return im.voronoi(t("fx_pixel"), c)
 
 
-@register("i16_mosaic_beam", "chan pol y x", "value")
+def _beam_sql(r2: str) -> str:
+    """The square of the power beam of a disk, by the series of ``generic_beam``."""
+    total = "1e0"
+    for k in range(12, 0, -1):
+        total = f"(1 - q / {k * (k + 1)}e0 * {total})"
+    return f"pow({total}, 4)", f"{r2} / 4"
+
+
+@register("i16_mosaic_beam", "chan pol y x", "value", "SELECT chan, pol, p.y, p.x, s AS value FROM fx_pixel p JOIN (SELECT y, x, sqrt(sum({0})) AS s FROM (SELECT y, x, {1} AS q FROM (SELECT DISTINCT y, x FROM fx_pixel), (SELECT (ant * 7) % 64 AS py, (ant * 13) % 64 AS px FROM fx_antenna)) GROUP BY y, x) b ON b.y = p.y AND b.x = p.x".format(*_beam_sql("((y - py) * (y - py) + (x - px) * (x - px)) * 1e-2")), grid=4096.0)
 def _(t: Views) -> DataFrame:
     c = t("fx_antenna").select((F.col("ant") * 7 % 64).alias("py"), (F.col("ant") * 13 % 64).alias("px"))
     return im.mosaic_beam(t("fx_pixel"), c, 0.1)
@@ -483,15 +598,7 @@ def _(t: Views) -> DataFrame:
 
 # --- calibration -------------------------------------------------------------------------------------------------------
 
-RATIOS = "SELECT floor(time / 16e1) AS slot, a1, a2, chan, CASE WHEN wt > 0 THEN sr / wt ELSE 0 END AS x_re, CASE WHEN wt > 0 THEN si / wt ELSE 0 END AS x_im, wt AS weight FROM (SELECT time, a1, a2, chan, weight, floor(time / 16e1) AS slot, sum(weight * (vis_re * m_re + vis_im * m_im)) OVER w AS sr, sum(weight * (vis_im * m_re - vis_re * m_im)) OVER w AS si, sum(weight * (m_re * m_re + m_im * m_im)) OVER w AS wt, row_number() OVER (PARTITION BY floor(time / 16e1), a1, a2, chan ORDER BY time) AS r FROM fx_vis JOIN fx_model USING (time, a1, a2, chan, pol) WHERE pol = 0 WINDOW w AS (PARTITION BY floor(time / 16e1), a1, a2, chan)) WHERE r = 1"
-
-
-@register("c02_point_ratios", "slot a1 a2 chan", "x_re x_im weight", RATIOS)
-def _(t: Views) -> DataFrame:
-    return ca.point_ratios(t("fx_vis"), t("fx_model"), 160.0).where("pol = 0")  # as its SQL; all products below
-
-
-@register("c02_point_ratios_all", "slot a1 a2 chan pol", "x_re x_im weight", "SELECT slot, a1, a2, chan, pol, CASE WHEN wt > 0 THEN sr / wt ELSE 0 END AS x_re, CASE WHEN wt > 0 THEN si / wt ELSE 0 END AS x_im, wt AS weight FROM (SELECT floor(time / 16e1) AS slot, a1, a2, chan, pol, sum(weight * (vis_re * m_re + vis_im * m_im)) AS sr, sum(weight * (vis_im * m_re - vis_re * m_im)) AS si, sum(weight * (m_re * m_re + m_im * m_im)) AS wt FROM fx_vis JOIN fx_model USING (time, a1, a2, chan, pol) GROUP BY floor(time / 16e1), a1, a2, chan, pol)")
+@register("c02_point_ratios", "slot a1 a2 chan pol", "x_re x_im weight", "SELECT slot, a1, a2, chan, pol, CASE WHEN wt > 0 THEN sr / wt ELSE 0 END AS x_re, CASE WHEN wt > 0 THEN si / wt ELSE 0 END AS x_im, wt AS weight FROM (SELECT floor(time / 16e1) AS slot, a1, a2, chan, pol, sum(weight * (vis_re * m_re + vis_im * m_im)) AS sr, sum(weight * (vis_im * m_re - vis_re * m_im)) AS si, sum(weight * (m_re * m_re + m_im * m_im)) AS wt FROM fx_vis JOIN fx_model USING (time, a1, a2, chan, pol) GROUP BY floor(time / 16e1), a1, a2, chan, pol)")
 def _(t: Views) -> DataFrame:
     return ca.point_ratios(t("fx_vis"), t("fx_model"), 160.0)
 
@@ -518,20 +625,20 @@ def _(t: Views) -> DataFrame:
     return ca.gain_intervals(t("fx_vis"), t("fx_antenna"), 160.0)
 
 
-@register("a07_gain_quality", "", "amp_max amp_min amp_std phase_max phase_min phase_std", "SELECT max(a) AS amp_max, min(a) AS amp_min, stddev_pop(a) AS amp_std, max(p) AS phase_max, min(p) AS phase_min, stddev_pop(p) AS phase_std FROM (SELECT sqrt(g_re * g_re + g_im * g_im) AS a, atan2(g_im, g_re) AS p FROM fx_gain WHERE weight > 0)")
+@register("a07_gain_quality", "", "amp_max amp_min amp_std amp_median phase_max phase_min phase_std phase_median", "SELECT max(a) AS amp_max, min(a) AS amp_min, stddev_pop(a) AS amp_std, median(a) AS amp_median, max(p) AS phase_max, min(p) AS phase_min, stddev_pop(p) AS phase_std, median(p) AS phase_median FROM (SELECT sqrt(g_re * g_re + g_im * g_im) AS a, atan2(g_im, g_re) AS p FROM fx_gain WHERE weight > 0)")
 def _(t: Views) -> DataFrame:
     return ca.gain_quality(t("fx_gain"))
 
 
-@register("c12_station_correlations", "time chan a1 a2", "re im", "SELECT a.time, a.chan, a.ant AS a1, b.ant AS a2, a.g_re * b.g_re + a.g_im * b.g_im AS re, a.g_im * b.g_re - a.g_re * b.g_im AS im FROM fx_gain a JOIN fx_gain b ON a.time = b.time AND a.chan = b.chan AND b.ant >= a.ant")
+@register("c12_station_correlations", "time chan a1 a2", "re im", "SELECT a.time, a.chan, a.ant AS a1, b.ant AS a2, a.s_re * b.s_re + a.s_im * b.s_im AS re, a.s_im * b.s_re - a.s_re * b.s_im AS im FROM fx_signal a JOIN fx_signal b ON a.time = b.time AND a.chan = b.chan AND b.ant >= a.ant")
 def _(t: Views) -> DataFrame:
-    return ca.station_correlations(t("fx_gain").select("time", "chan", "ant", F.col("g_re").alias("s_re"), F.col("g_im").alias("s_im")))
+    return ca.station_correlations(t("fx_signal"))
 
 
 # --- sky models ---------------------------------------------------------------------------------------------------------
 
 
-@register("m02_remove_neighbours", "comp_id", "flux0", f"SELECT comp_id, flux0 FROM fx_component WHERE comp_id NOT IN (SELECT a.comp_id FROM fx_component a JOIN fx_component b ON a.comp_id <> b.comp_id AND (b.flux0 > a.flux0 OR (b.flux0 = a.flux0 AND b.comp_id < a.comp_id)) WHERE {PAIR_SEP} < 3e-3)")
+@register("m02_remove_neighbours", "comp_id", "flux0")
 def _(t: Views) -> DataFrame:
     return sk.remove_neighbours(t("fx_component"), 0.003, "flux0")
 
@@ -630,9 +737,9 @@ def _(t: Views) -> DataFrame:
     return gr.grid_weights_both_halves(t("fx_vis"), NPIXEL, CELL)
 
 
-@register("j10_apply_beam", "comp_id y x", "flux", f"SELECT comp_id, c.y, c.x, flux0 * value AS flux FROM (SELECT comp_id, flux0, floor(32 + {M} / 5e-3 + 5e-1) AS y, floor(32 - ({L}) / 5e-3 + 5e-1) AS x FROM fx_component) c JOIN (SELECT * FROM fx_pixel WHERE chan = 1) p ON p.y = c.y AND p.x = c.x")
+@register("j10_apply_beam", "comp_id chan y x", "flux", f"SELECT comp_id, chan, c.y, c.x, flux0 * value AS flux FROM (SELECT comp_id, flux0, floor(32 + {M} / 5e-3 + 5e-1) AS y, floor(32 - ({L}) / 5e-3 + 5e-1) AS x FROM fx_component) c JOIN fx_pixel p ON p.y = c.y AND p.x = c.x")
 def _(t: Views) -> DataFrame:
-    c = sk.to_lm(t("fx_component"), RA0, DEC0).select("comp_id", F.lit(1).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
+    c = sk.to_lm(t("fx_component"), RA0, DEC0).select("comp_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
     return jo.apply_beam(c, t("fx_pixel"), 64, 0.005)
 
 
@@ -648,7 +755,7 @@ def _(t: Views) -> DataFrame:
     return im.reproject(t("fx_pixel"), 0.25, 0.5, 0.75, 48)
 
 
-@register("i17_restore", "chan pol y x", "value")
+@register("i17_restore", "chan pol y x", "value", f"SELECT p.chan, p.pol, p.y, p.x, p.value / 10 + coalesce(s.value, 0) AS value FROM fx_pixel p LEFT JOIN (SELECT p.chan, p.pol, p.y, p.x, sum(q.value * a.k * b.k) AS value FROM fx_pixel p JOIN (VALUES {GK}) a(d, k) ON true JOIN (VALUES {GK}) b(d, k) ON true JOIN (SELECT * FROM fx_pixel WHERE value > 3) q ON q.chan = p.chan AND q.pol = p.pol AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY p.chan, p.pol, p.y, p.x) s ON s.chan = p.chan AND s.pol = p.pol AND s.y = p.y AND s.x = p.x")
 def _(t: Views) -> DataFrame:
     p = t("fx_pixel")
     return im.restore(p.where("value > 3"), p.withColumn("value", F.col("value") / 10), 1.5)
@@ -685,15 +792,15 @@ def _(t: Views) -> DataFrame:
     return sc.grid_gains(_points(t), t("fx_gain"), 1e8 + F.col("chan") * 1e6, 4e3, 64)
 
 
-@register("i20_sample_screen", "comp_id ant", "g_re g_im", f"SELECT comp_id, ant, cos(a) AS g_re, sin(a) AS g_im FROM (SELECT comp_id, ant, coalesce(value, 0) * -8.44797245e1 AS a FROM (SELECT comp_id, ant, floor(px / 4e3 + 32) AS sx, floor(py / 4e3 + 32) AS sy FROM ({PIERCED})) p LEFT JOIN (SELECT * FROM fx_pixel WHERE chan = 2) s ON s.y = p.sy AND s.x = p.sx)")
+@register("i20_sample_screen", "comp_id ant", "g_re g_im", f"SELECT comp_id, ant, cos(a) AS g_re, sin(a) AS g_im FROM (SELECT comp_id, ant, coalesce(value, 0) * -8.44797245e1 AS a FROM (SELECT comp_id, ant, floor(px / 4e3 + 32) AS sx, floor(py / 4e3 + 32) AS sy FROM ({PIERCED})) p LEFT JOIN (SELECT y, x, sum(value) AS value FROM fx_pixel GROUP BY y, x) s ON s.y = p.sy AND s.x = p.sx)")
 def _(t: Views) -> DataFrame:
-    return sc.sample_screen(_points(t), t("fx_pixel").where("chan = 2"), 1e8, 4e3, 64)
+    return sc.sample_screen(_points(t), t("fx_pixel").groupBy("y", "x").agg(F.sum("value").alias("value")), 1e8, 4e3, 64)
 
 
-@register("m08_predict_models", "model_id " + KEY, "m_re m_im", f"SELECT model_id, {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns, comp_id % 2 AS model_id FROM (SELECT * FROM fx_vis WHERE pol = 0 AND chan = 1) v, fx_target) GROUP BY model_id, {K}")
+@register("m08_predict_models", "model_id " + KEY, "m_re m_im", f"SELECT model_id, {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns, comp_id % 2 AS model_id FROM fx_vis, fx_target) GROUP BY model_id, {K}")
 def _(t: Views) -> DataFrame:
-    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
-    return sk.predict_models(t("fx_vis").where("pol = 0 AND chan = 1"), t("fx_target").withColumn("model_id", F.col("comp_id") % 2), RA0, DEC0, flux)
+    spectrum = F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
+    return sk.predict_models(t("fx_vis"), t("fx_target").withColumn("model_id", F.col("comp_id") % 2), RA0, DEC0, spectrum)
 
 
 @register("m07_expand_by_component", "comp_id model_id", "flux0", "SELECT comp_id, row_number() OVER (ORDER BY comp_id) AS model_id, flux0 FROM fx_component")
@@ -701,47 +808,235 @@ def _(t: Views) -> DataFrame:
     return sk.expand_by_component(t("fx_component"))
 
 
-# --- whole tables -------------------------------------------------------------------------------------------------------
+# --- imaging with kernels, w stacks, slices and facets --------------------------------------------------------------------
 
-#: The views over a few rows, and those over whole tables in their place.
-WHOLE = {"fx_antenna": "fx_antenna_all", "fx_gain": "fx_gain_all", "fx_target": "fx_target_all"}
-#: Pairs of all antennas are too many for DuckDB's side of the comparison.
-NO_SQL = ("j11_baselines", "c12_station_correlations")
+KSUP, KOVER = 3, 16
+GRIDDED = _gridded_sql(KSUP, KOVER)
+CORR = _correction_sql(KSUP, KOVER)
 
 
-def _register_whole(name: str) -> None:
-    q = ALL[name]
-    sql = None if name in NO_SQL else re.sub(r"\bfx_(antenna|gain|target)\b", lambda m: WHOLE[m[0]], q.sql)
-    register(f"{name}_all", " ".join(q.keys), " ".join(q.figures), sql)(lambda t: q.plan(lambda view: t(WHOLE.get(view, view))))
+@register("g13_invert_kernel", "chan pol y x", "value", f"SELECT i.chan, i.pol, y, x, CASE WHEN total > 0 THEN re / (cy.c * cx.c) / total ELSE 0 END AS value FROM ({_transform_sql(GRIDDED, '')}) i JOIN (SELECT chan, pol, sum(weight) AS total FROM ({GRIDDED}) GROUP BY chan, pol) t ON t.chan = i.chan AND t.pol = i.pol JOIN {CORR} cy(p, c) ON cy.p = y JOIN {CORR} cx(p, c) ON cx.p = x", grid=1024.0)
+def _(t: Views) -> DataFrame:
+    return ig.invert(t("fx_vis"), NPIXEL, CELL)
 
 
-for _name in (
-    "f05_limit_radius", "f09_listed_components", "j07_separations", "j08_nearest_target", "j11_baselines", "x01_xyz_at_latitude", "x02_xyz_to_uvw", "a07_gain_quality",
-    "c12_station_correlations", "m06_update_from_gains", "i20_pierce_points", "i18_grid_gains_to_screen", "i20_sample_screen",
-):
-    _register_whole(_name)
+IMAGE_CELLS = f"SELECT chan, pol, y AS gv, x AS gu, value / (cy.c * cx.c) AS re, 0e0 AS im FROM fx_pixel JOIN {CORR} cy(p, c) ON cy.p = y JOIN {CORR} cx(p, c) ON cx.p = x"
 
 
-@register("j06_matches_all", "id1 id2", "separation", f"SELECT id1, id2, separation FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY separation, id2) AS r FROM (SELECT a.comp_id AS id1, b.comp_id AS id2, {PAIR_SEP} AS separation FROM fx_component a, fx_target_all b) WHERE separation < 1e-2) WHERE r = 1")
+@register("g14_predict", KEY, "m_re m_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=4096.0)
 def _(t: Views) -> DataFrame:
-    return jo.matches(t("fx_component"), t("fx_target_all"), 0.01)
+    return ig.predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL)
 
 
-@register("j12_predict_components_all", KEY, "m_re m_im", f"SELECT {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns FROM fx_vis, fx_target_all) GROUP BY {K}")
+@register("g15_wstack_invert", "chan pol y x", "value")
 def _(t: Views) -> DataFrame:
-    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
-    return jo.predict_components(t("fx_vis"), t("fx_target_all"), RA0, DEC0, flux)
+    return ig.wstack_invert(t("fx_vis"), 32, 2 * CELL, 10.0)
 
 
-@register("m08_predict_models_all", "model_id " + KEY, "m_re m_im", f"SELECT model_id, {K}, sum({FLUX} * cos({PI2} * turns)) AS m_re, -sum({FLUX} * sin({PI2} * turns)) AS m_im FROM (SELECT *, u * {L} + v * {M} + w * {N} AS turns, comp_id % 2 AS model_id FROM fx_vis, fx_target_all) GROUP BY model_id, {K}")
+@register("g15_wstack_predict", KEY, "m_re m_im")
 def _(t: Views) -> DataFrame:
-    flux = F.col("flux0") * F.pow(F.col("frequency") / 1e8, F.lit(-0.7))
-    return sk.predict_models(t("fx_vis"), t("fx_target_all").withColumn("model_id", F.col("comp_id") % 2), RA0, DEC0, flux)
+    return ig.wstack_predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, 20.0)
 
 
-@register("g17_direct_image_all", "chan pol y x", "value", f"SELECT chan, pol, y, x, CASE WHEN sum(imaging_weight) > 0 THEN sum(imaging_weight * (vis_re * cos({PI2} * turns) - vis_im * sin({PI2} * turns))) / sum(imaging_weight) ELSE 0 END AS value FROM (SELECT *, u * (x - 4) * 1e-2 + v * (y - 4) * 1e-2 AS turns FROM fx_vis, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)) GROUP BY chan, pol, y, x")
+@register("g16_timeslice_invert", "chan pol y x", "value")
 def _(t: Views) -> DataFrame:
-    return gr.direct_image(t("fx_vis"), 8, 0.01)
+    return ig.timeslice_invert(t("fx_vis"), 32, 2 * CELL, 160.0)
+
+
+@register("q02_invert_facets", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return ig.facets_invert(t("fx_vis"), 32, 2 * CELL, 2)
+
+
+@register("q03_residual", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return ig.residual(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL)[1]
+
+
+@register("q05_zeroed", KEY, "vis_re vis_im weight", f"SELECT {K}, 0e0 AS vis_re, 0e0 AS vis_im, weight FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    return ig.zeroed(t("fx_vis"))
+
+
+@register("q06_continuum_imaging", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return cycles.continuum_imaging(t("fx_vis"), 32, 2 * CELL, cycles=2, most=30)[1]
+
+
+@register("q07_imaging_cycle", "time ant chan feed", "g_re g_im")
+def _(t: Views) -> DataFrame:
+    return cycles.imaging_cycle(t("fx_vis"), 32, 2 * CELL, 15, 160.0, cycles=1, most=20)[2]
+
+
+@register("q08_spectral_line", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return cycles.spectral_line(t("fx_vis"), 32, 2 * CELL, most=30)[1]
+
+
+@register("x24_w_beam", "chan pol y x", "beam_re beam_im", f"SELECT chan, pol, y, x, cos({PI2} * turns) AS beam_re, -sin({PI2} * turns) AS beam_im FROM (SELECT *, 25e1 * (sqrt(greatest(1 - (x - 32) * 5e-3 * ((x - 32) * 5e-3) - (y - 32) * 5e-3 * ((y - 32) * 5e-3), 0e0)) - 1) AS turns FROM fx_pixel)")
+def _(t: Views) -> DataFrame:
+    return ig.w_beam(t("fx_pixel"), F.lit(250.0), 64, 0.005)
+
+
+# --- CLEAN with windows, products, scales and facets -----------------------------------------------------------------------
+
+
+def _dirty(t: Views) -> tuple[DataFrame, DataFrame]:
+    v = t("fx_vis")
+    return ca.materialize(gr.invert(v, 32, 2 * CELL)), ca.materialize(gr.invert(v, 32, 2 * CELL, psf=True))
+
+
+@register("f12_clean_in_window", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    return cl.clean(dirty, psf, window=im.window_mask(dirty, "quarter", 32), most=50)
+
+
+@register("d03_complex_clean", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    return cl.clean_complex(dirty, psf, most=50)
+
+
+@register("d04_clean_scales", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    return cl.clean(dirty, psf, method=cl.clean_scales, most=30)
+
+
+@register("d07_clean_facets", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    return cl.clean_facets(dirty, psf, 32, 2, 4, most=30)
+
+
+# --- gain tables, Jones terms and fits -----------------------------------------------------------------------------------
+
+
+@register("f04_gain_rows", "time ant chan", "g_re g_im", "SELECT time, ant, chan, g_re, g_im FROM fx_gain WHERE time > 1e2 AND weight > 0")
+def _(t: Views) -> DataFrame:
+    return jn.gain_rows(t("fx_gain"), (F.col("time") > 100.0) & (F.col("weight") > 0))
+
+
+@register("w03_gain_slices", "time ant chan slice", "g_re", 'SELECT time, ant, chan, floor((time - (SELECT min(time) FROM fx_gain)) / "interval" + 5e-1) AS slice, g_re FROM fx_gain')
+def _(t: Views) -> DataFrame:
+    return jn.gain_slices(t("fx_gain"))
+
+
+def _doubled(first: str, second: str) -> str:
+    re, im = "(g1.g_re * g2.g_re + g1.g_im * g2.g_im)", "(g1.g_im * g2.g_re - g1.g_re * g2.g_im)"
+    r2, i2 = f"({re} * {re} - {im} * {im})", f"(2 * {re} * {im})"
+    good = "g1.weight > 0 AND g2.weight > 0"
+    return f"""SELECT v.time, a1, a2, v.chan, pol, CASE WHEN {good} THEN vis_re * {r2} - vis_im * {i2} ELSE 0 END AS vis_re, CASE WHEN {good} THEN vis_re * {i2} + vis_im * {r2} ELSE 0 END AS vis_im
+        FROM {first} v JOIN {second} g1 ON g1.ant = a1 AND g1.chan = v.chan AND abs(v.time - g1.time) < g1."interval" / 2
+        JOIN {second} g2 ON g2.ant = a2 AND g2.chan = v.chan AND abs(v.time - g2.time) < g2."interval" / 2"""
+
+
+@register("j04_sequence_of_terms", KEY, "vis_re vis_im", f"SELECT s.time, s.a1, s.a2, s.chan, s.pol, coalesce(vis_re, 0) AS vis_re, coalesce(vis_im, 0) AS vis_im FROM (SELECT DISTINCT time, a1, a2, chan, unnest([0, 1, 2, 3]) AS pol FROM ({_doubled('fx_vis', 'fx_gain')})) s LEFT JOIN ({_doubled('fx_vis', 'fx_gain')}) g USING ({K})", grid=4096.0)
+def _(t: Views) -> DataFrame:
+    both = t("fx_gain").withColumn("feed", F.explode(F.array(F.lit(0), F.lit(1))))
+    term = jn.as_matrices(both)
+    return jn.apply_sequence(t("fx_vis"), [term, term], interval=160.0, first=75.0)
+
+
+@register("c03_solve_jones", "slot chan ant", " ".join(jn.NAMES))
+def _(t: Views) -> DataFrame:
+    return jn.solve_jones(ca.point_ratios(_corrupted(t), t("fx_model"), 160.0), 15, rounds=60)
+
+
+@register("c05_bandpass", "time feed ant chan", "b_re b_im", "SELECT time, 0 AS feed, ant, chan, CASE WHEN n > 0 THEN (g_re * m_re + g_im * m_im) / n ELSE 0 END AS b_re, CASE WHEN n > 0 THEN (g_im * m_re - g_re * m_im) / n ELSE 0 END AS b_im FROM (SELECT *, m_re * m_re + m_im * m_im AS n FROM fx_gain JOIN (SELECT time, ant, CASE WHEN sum(weight) > 0 THEN sum(g_re * weight) / sum(weight) ELSE 0 END AS m_re, CASE WHEN sum(weight) > 0 THEN sum(g_im * weight) / sum(weight) ELSE 0 END AS m_im FROM fx_gain GROUP BY time, ant) USING (time, ant))")
+def _(t: Views) -> DataFrame:
+    gains = t("fx_gain").withColumns({"slot": F.col("time"), "feed": F.lit(0)})
+    return jn.bandpass(gains).withColumnRenamed("slot", "time")
+
+
+@register("c07_calibrate_by_terms", KEY, "vis_re vis_im weight")
+def _(t: Views) -> DataFrame:
+    terms = [jn.Term("T", 160.0, phase_only=True, all_channels=True), jn.Term("G", 320.0)]
+    return jn.calibrate_terms(_corrupted(t), t("fx_model"), terms, 15)[1]
+
+
+@register("c09_fit_component", "", "flux l m")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    p = v.withColumns(dict(zip(("vis_re", "vis_im"), (F.cos((F.col("u") * 0.004 - F.col("v") * 0.003) * 6.283185307179586) * 7, -F.sin((F.col("u") * 0.004 - F.col("v") * 0.003) * 6.283185307179586) * 7), strict=True))).withColumn("w", F.lit(0.0))
+    return v.sparkSession.createDataFrame([jn.fit_component(p, 5.0, 0.0035, -0.0026)], "flux double, l double, m double")
+
+
+@register("f06_time_chunks", KEY + " time_chunk", "vis_re", f"SELECT {K}, vis_re, floor(time / 5e1) AS time_chunk FROM fx_vis WHERE floor(time / 5e1) IN (SELECT floor(time / 5e1) FROM (SELECT time, asin(sin(-47e-2) * sin(-5e-1) + cos(-47e-2) * cos(-5e-1) * cos(time * {2 * math.pi / 864.0!r})) AS el FROM fx_vis) GROUP BY 1 HAVING min(el) >= 3e-1)")
+def _(t: Views) -> DataFrame:
+    return vi.time_chunks(t("fx_vis"), -0.47, -0.5, 50.0, 0.3, day=864.0)
+
+
+@register("x03_baselines_over_hour_angles", "ant step", "u v w", "SELECT ant, step, x * cos(h) - y * sin(h) AS u, z * cos(-5e-1) + (x * sin(h) + y * cos(h)) * sin(-5e-1) AS v, z * sin(-5e-1) - (x * sin(h) + y * cos(h)) * cos(-5e-1) AS w FROM (SELECT *, step * 2e-1 - 6e-1 AS h FROM fx_antenna, (SELECT unnest(range(7)) AS step))")
+def _(t: Views) -> DataFrame:
+    rows = t("fx_antenna").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    u, v, w = co.xyz_to_uvw(F.col("x"), F.col("y"), F.col("z"), F.col("step") * 0.2 - 0.6, F.lit(-0.5))
+    return rows.select("ant", "step", u.alias("u"), v.alias("v"), w.alias("w"))
+
+
+# --- further images and models ---------------------------------------------------------------------------------------------
+
+
+@register("g11_pad_extract", "chan pol y x", "value", "SELECT chan, pol, y - 16 AS y, x - 16 AS x, value FROM fx_pixel WHERE y >= 16 AND y < 48 AND x >= 16 AND x < 48")
+def _(t: Views) -> DataFrame:
+    return im.extract(im.pad(t("fx_pixel"), 64, 128), 128, 32)
+
+
+@register("g03_bounding_box", "chan pol y_min y_max x_min x_max", "", "SELECT chan, pol, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM fx_pixel p JOIN (SELECT chan AS c, pol AS o, max(abs(value)) * 8e-1 AS least FROM fx_pixel GROUP BY chan, pol) m ON c = chan AND o = pol WHERE abs(value) > least GROUP BY chan, pol")
+def _(t: Views) -> DataFrame:
+    return im.bounding_box(t("fx_pixel"), 0.8)
+
+
+@register("i19_structure_function", "chan pol lag pairs", "value", "SELECT a.chan, a.pol, lag, avg((a.value - b.value) * (a.value - b.value)) AS value, count(*) AS pairs FROM fx_pixel a, (SELECT unnest(range(1, 6)) AS lag), fx_pixel b WHERE b.chan = a.chan AND b.pol = a.pol AND b.y = a.y AND b.x = a.x + lag GROUP BY a.chan, a.pol, lag")
+def _(t: Views) -> DataFrame:
+    return im.structure_function(t("fx_pixel"), 5)
+
+
+@register("i11_insert_lanczos", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    c = sk.to_lm(t("fx_component"), RA0, DEC0).select(F.lit(0).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
+    return im.insert_components(t("fx_pixel"), c, 64, 0.005, method="lanczos")
+
+
+@register("m09_invert_models", "model_id chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    both = v.withColumn("model_id", F.lit(0)).unionByName(v.withColumns({"model_id": F.lit(1), "vis_re": F.col("vis_im")}))
+    return sk.invert_models(both, _models(t).select("model_id", *im.PIXEL, "mask"), 32, 2 * CELL)
+
+
+@register("m11_convolve_models", "model_id chan pol y x", "value", f"SELECT model_id, p.chan, p.pol, p.y, p.x, sum(q.value * q.mask * a.k * b.k) AS value FROM (SELECT * FROM ({MODELS})) p JOIN (VALUES {GK}) a(d, k) ON true JOIN (VALUES {GK}) b(d, k) ON true JOIN (SELECT model_id AS qm, chan, pol, y, x, value, mask FROM ({MODELS})) q ON q.qm = p.model_id AND q.chan = p.chan AND q.pol = p.pol AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY model_id, p.chan, p.pol, p.y, p.x", grid=4096.0)
+def _(t: Views) -> DataFrame:
+    return sk.convolve_models(_models(t), 1.5)
+
+
+@register("o01_sort", "place " + KEY, "vis_re", f"SELECT row_number() OVER (ORDER BY a1, a2, time, chan, pol) AS place, {K}, vis_re FROM fx_vis WHERE weight > 0")
+def _(t: Views) -> DataFrame:
+    rows = vi.sort_visibility(t("fx_vis").where("weight > 0"), ["a1", "a2", "time", "chan", "pol"])
+    # The place of a row in the sorted table: ranges are sorted, so their rows and those before them are counted.
+    parts = ca.materialize(rows.withColumn("__part", F.spark_partition_id()))
+    return vi.with_places(parts, ["a1", "a2", "time", "chan", "pol"])
+
+
+@register("u02_concatenate", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis UNION ALL SELECT time + 1e3, a1, a2, chan, pol, vis_re FROM fx_vis UNION ALL SELECT time + 2e3, a1, a2, chan, pol, vis_re FROM fx_vis")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    return vi.concatenate([v, *(v.withColumn("time", F.col("time") + k) for k in (1e3, 2e3))])
+
+
+# --- streams: a solution for each window, and what came late ---------------------------------------------------------------
+
+
+@register("t01_window_gains", "day ant", "g_re g_im")
+def _(t: Views) -> DataFrame:
+    rows = st.window_gains(t("fx_stream").withColumn("ts", F.col("ts").cast("timestamp")), 15)
+    return rows.withColumn("day", F.unix_date(F.col("start").cast("date")))
+
+
+@register("t05_late_rows", "a1 late", "", "SELECT a1, sum(CASE WHEN ts < seen - INTERVAL 2 HOUR THEN 1 ELSE 0 END) AS late FROM (SELECT a1, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM (SELECT event_id, ts, least(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a1 FROM {events})) GROUP BY a1")
+def _(t: Views) -> DataFrame:
+    return st.late_rows(t("fx_arrival").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours")
 
 
 QUERIES = {name: q.run for name, q in ALL.items()}

@@ -32,27 +32,19 @@ VIEWS: dict[str, str] = {
         SELECT time, a1, a2, chan, pol, CASE WHEN chan = 6 THEN 0e0 ELSE 50e0 + a1 END AS m_re, CASE WHEN chan = 6 THEN 0e0 ELSE CAST(a2 - chan AS DOUBLE) END AS m_im
         FROM fx_vis""",
     "fx_antenna": """
-        SELECT c_custkey AS ant, CAST(c_acctbal AS DOUBLE) AS x, c_nationkey * 40e0 AS y, (c_custkey % 7) * 10e0 AS z, 35e0 AS diameter
-        FROM {customer} WHERE c_custkey < 15""",
-    "fx_gain": """
-        SELECT 75e0 + 160 * k.k AS time, 160e0 AS "interval", ant, c.chan AS chan, (1 + ant / 100e0) * cos(1e-1 * ant + 1e-2 * k.k) AS g_re,
-               (1 + ant / 100e0) * sin(1e-1 * ant + 1e-2 * k.k) AS g_im, CASE WHEN ant = 13 THEN 0e0 ELSE 1e0 END AS weight
-        FROM fx_antenna CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k
-        CROSS JOIN (SELECT 0 AS chan UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) c""",
-    "fx_component": """
-        SELECT p_partkey AS comp_id, radians((p_partkey % 360) * 5e-2) AS ra, radians(-35 + p_size * 1e-1) AS "dec", CAST(p_retailprice AS DOUBLE) / 1e3 AS flux0
-        FROM {part}""",
-    "fx_target": "SELECT * FROM fx_component WHERE comp_id % 97 = 0",
-    # Whole tables for the same shapes: every customer, and every supplier as a second catalogue.
-    "fx_antenna_all": """
         SELECT c_custkey AS ant, CAST(c_acctbal AS DOUBLE) AS x, c_nationkey * 40e0 AS y, (c_custkey % 7) * 10e0 AS z, 35e0 AS diameter
         FROM {customer}""",
-    "fx_gain_all": """
+    "fx_gain": """
         SELECT 75e0 + 160 * k.k AS time, 160e0 AS "interval", ant, c.chan AS chan, (1 + ant % 50 / 100e0) * cos(1e-1 * ant + 1e-2 * k.k) AS g_re,
                (1 + ant % 50 / 100e0) * sin(1e-1 * ant + 1e-2 * k.k) AS g_im, CASE WHEN ant % 15 = 13 THEN 0e0 ELSE 1e0 END AS weight
-        FROM fx_antenna_all CROSS JOIN (SELECT DISTINCT CAST(floor((DAYS(l_shipdate) % 64) / 16e0) AS INT) AS k FROM {lineitem}) k
+        FROM fx_antenna CROSS JOIN (SELECT DISTINCT CAST(floor((DAYS(l_shipdate) % 64) / 16e0) AS INT) AS k FROM {lineitem}) k
         CROSS JOIN (SELECT DISTINCT l_linenumber - 1 AS chan FROM {lineitem}) c""",
-    "fx_target_all": """
+    "fx_signal": """
+        SELECT time, chan, a1 AS ant, avg(vis_re) AS s_re, avg(vis_im) AS s_im FROM fx_vis WHERE weight > 0 GROUP BY time, chan, a1""",
+    "fx_component": """
+        SELECT p_partkey AS comp_id, radians((p_partkey % 360) * 5e-2) AS ra, radians(-35 + p_size * 1e-1) AS "dec", CAST(p_retailprice AS DOUBLE) / 1e3 AS flux0
+        FROM {part}""",
+    "fx_target": """
         SELECT s_suppkey AS comp_id, radians((s_suppkey * 7 % 360) * 5e-2 + 13e-3) AS ra, radians(-35 + s_nationkey * 2e-1 + 3e-3) AS "dec",
                1 + abs(CAST(s_acctbal AS DOUBLE)) / 1e4 AS flux0
         FROM {supplier}""",
@@ -64,6 +56,9 @@ VIEWS: dict[str, str] = {
         SELECT ts, least(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a1, greatest(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a2,
                CAST(value AS DOUBLE) AS x_re, CAST(event_id % 11 - 5 AS DOUBLE) AS x_im, 1e0 AS weight
         FROM {events}""",
+    # The same rows with the order in which they came.
+    "fx_arrival": """
+        SELECT event_id, ts, least(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a1 FROM {events}""",
 }
 
 
@@ -79,9 +74,9 @@ def _needed(body: str) -> list[str]:
     return [v for v in VIEWS if v in used]
 
 
-def with_views(body: str, *, days: str, tables: dict[str, str], quote: str) -> str:
+def with_views(body: str, *, days: str, tables: dict[str, str], quote: str, hint: str = "") -> str:
     """``body`` after WITH clauses for the views that it uses."""
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body))
+    ctes = ", ".join(f"{v} AS {hint}({VIEWS[v]})" for v in _needed(body))
     text = f"WITH {ctes} {body}" if ctes else body
     text = re.sub(r"DAYS\((\w+)\)", days, text).replace('"', quote)
     return text.format(**tables)
@@ -96,5 +91,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duckdb_sql(body: str) -> str:
-    """The DuckDB statement of ``body`` with its views."""
-    return with_views(body, days=r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", tables={t: t for t in TABLES}, quote='"')
+    """The DuckDB statement of ``body`` with its views, each computed once."""
+    return with_views(body, days=r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", tables={t: t for t in TABLES}, quote='"', hint="MATERIALIZED ")
