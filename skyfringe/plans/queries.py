@@ -588,7 +588,7 @@ def _(t: Views) -> DataFrame:
 
 @register("i12_find_sources", "source_id pixels", "y x peak flux")
 def _(t: Views) -> DataFrame:
-    return im.find_sources(t("fx_pixel"), 3.0, 3)
+    return im.find_sources(t("fx_pixel"), 4.5, 3)
 
 
 @register("d01_clean_threshold", "", "threshold", "SELECT greatest(max(abs(value)) * 1e-1, 1e-2) AS threshold FROM (SELECT avg(value) AS value FROM fx_pixel GROUP BY pol, y, x)")
@@ -823,7 +823,7 @@ def _(t: Views) -> DataFrame:
 IMAGE_CELLS = f"SELECT chan, pol, y AS gv, x AS gu, value / (cy.c * cx.c) AS re, 0e0 AS im FROM fx_pixel JOIN {CORR} cy(p, c) ON cy.p = y JOIN {CORR} cx(p, c) ON cx.p = x"
 
 
-@register("g14_predict", KEY, "m_re m_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=4096.0)
+@register("g14_predict", KEY, "m_re m_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=64.0)
 def _(t: Views) -> DataFrame:
     return ig.predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL)
 
