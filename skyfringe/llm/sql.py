@@ -8,7 +8,7 @@ from .quality import BOILERPLATE, SYMBOLS
 SPACE = r"[\x20\x09-\x0D]"
 
 _LINES = rf"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE[1:]}'))"
-_N = "(length(x) - length(replace(x, ' ', '')) + 1)"
+_N = f"len(regexp_extract_all(x, '[^{SPACE[1:]}+'))"
 _COUNT = "length(regexp_replace(x, '[^{0}]', '', 'g'))"
 _END = "[.!?:;,…。！？\"''”’»)\\]]" + SPACE + "*$"  # SQL writes an apostrophe twice
 _FAILS = (

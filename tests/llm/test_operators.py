@@ -534,6 +534,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty_dir)).count() == 0
 
 
+def test_pipeline_carries_clashing_and_missing_columns(spark, tmp_path):
+    body = " ".join(f"word{k}" for k in range(80)) + ". token=abcdefgh12345"
+    names = "doc_id long, text string, source string, n_words long, spans string, __row string, kept boolean, size string"
+    rows_ = [(k, f"{body} nr{k} " * (k + 1), "s", 7, "x", "y", False, None) for k in range(3)]
+    docs = spark.createDataFrame(rows_, names)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.secrets_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r.n_words, r.spans, r.kept) for r in out.collect()} <= {(7, "x", False)}
+    assert "[assign]" in corpus_pipeline.secrets_stage(spark, docs, "").first().text
+
+
 def test_near_duplicates_keep_one_row_of_each_group(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     other, near = b + " end", c + " end"
