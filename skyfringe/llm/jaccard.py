@@ -251,6 +251,22 @@ def _may_link(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> tu
     return keep
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The (hub, node, shares) whose sketches don't rule a link out."""
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("sketch", "hub_sketch"))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                least, most = np.minimum(b["size"], b["hub_size"]), np.maximum(b["size"], b["hub_size"])
+                may = ((den + num) * apart <= (den - num) * (least + most)) & (den * least >= num * most)
+                yield b.loc[may, ["hub", "node", "shares"]]
+
+    rows = pairs.join(sketches, "node").join(sketches.toDF("hub", "hub_size", "hub_sketch"), "hub")
+    return rows.mapInPandas(narrow, "hub long, node long, shares long").distinct()
+
+
 def _compare(left: DataFrame, right: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, *, block: int = 512, unit_rows: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
     """Links (a, b) among left x right of each hub; both sides have distinct (hub, node). ``sets`` gives the sets of a
     table of nodes."""
@@ -351,10 +367,7 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     ranked = shared.select("signature", "node").join(company, "node")
     pivots = ranked.groupBy("signature").agg(F.max(F.struct("all_company", "node"))["node"].alias("hub"))
     star = shared.select("signature", "node").join(pivots, "signature").where("hub <> node").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("shares"))
-    size = classes.select("node", "size")
-    star = star.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
-    possible = den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")
-    star = materialize(star.where(possible).select("hub", "node", "shares"))
+    star = materialize(_possible(materialize(star), sketches, num, den))
     hubs = lambda some: some.select("hub", F.col("hub").alias("node")).distinct()
     best = materialize(star.groupBy("node").agg(F.max(F.struct("shares", "hub"))["hub"].alias("hub")))
     best_links = compare(hubs(best), best)
@@ -381,12 +394,20 @@ def jaccard_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100,
     first = F.col("na") >= F.col("nb")
     faced = materialize(sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("comp")))
     many = materialize(placed.join(several.where(F.col("n") > few_components).select("signature", "hub"), "signature").select("hub", "node", "comp").distinct())
-    left = faced.join(members, "comp").select("hub", "node").unionByName(many.where("comp <> hub").select("hub", "node")).distinct()
-    right = members.join(faced.select("hub").distinct(), F.col("comp") == F.col("hub")).select("hub", "node").unionByName(many.select("hub", "node")).distinct()
-    left, right = materialize(left), materialize(right)
+    outside = faced.join(members, "comp").select("hub", "node").unionByName(many.where("comp <> hub").select("hub", "node")).distinct()
+    # A text stays only if its size could link with some size of the hub's component or of the signature's texts.
+    sizes = classes.select("node", "size")
+    inside = members.join(faced.select("hub").distinct(), F.col("comp") == F.col("hub")).select("hub", "node").unionByName(many.select("hub", "node")).distinct()
+    inside = materialize(inside.join(sizes, "node"))
+    spans = inside.groupBy("hub").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    placed_sizes = outside.join(sizes, "node")
+    fits = (placed_sizes["hub"] == spans["hub"]) & (den * F.col("hi") >= num * F.col("size")) & (den * F.col("size") >= num * F.col("lo"))
+    left = materialize(placed_sizes.join(spans, fits, "left_semi").select("hub", "node"))
+    right = inside.join(left.select("hub").distinct(), "hub", "left_semi").select("hub", "node")
+    right = materialize(right)
     more_links = compare(left, right)
     links = materialize(first_links.unionByName(more_links))
-    discard(sketches, shared, placed, several, faced, many, left, right, first_links, more_links)
+    discard(sketches, shared, placed, several, faced, many, inside, left, right, first_links, more_links)
 
     comps = components(links)
     least = comps.join(classes, "node").groupBy("comp").agg(F.min("first").alias("first"))
