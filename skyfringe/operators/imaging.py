@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyfringe.functions import complexmath as cx
 
 from .gridding import degrid_visibility, fft_plane, grid_visibility, kernel_axis, spheroidal_kernel
+from .images import extract, pad
 from .visibility import KEY, w_slices
 
 PLANE = ["chan", "pol"]
@@ -65,24 +66,28 @@ def _normalised(image: DataFrame, grid: DataFrame, npixel: int, keys: list[str],
     return joined.select(*keys, "y", "x", value.alias("value"))
 
 
-def invert(vis: DataFrame, npixel: int, cellsize: float, *, psf: bool = False, keys: list[str] | None = None, **kernel: int) -> DataFrame:
-    """(chan, pol, y, x, value): the dirty image, or the point-spread function, with kernel and grid correction."""
-    keys = keys or PLANE
-    grid = _gridded(vis, npixel, cellsize, keys, psf, kernel)
-    image = fft_plane(grid, npixel, keys=keys).withColumnRenamed("re", "value")
-    return _normalised(image, grid, npixel, keys, kernel)
+def invert(vis: DataFrame, npixel: int, cellsize: float, *, psf: bool = False, keys: list[str] | None = None, padding: int = 1, **kernel: int) -> DataFrame:
+    """(chan, pol, y, x, value): the dirty image, or the point-spread function, with kernel and grid correction.
+
+    The correction is large near the edge of what is transformed, and so is what folds over there; with ``padding`` 2 a
+    field of twice the size is made and its middle kept.
+    """
+    keys, size = keys or PLANE, npixel * padding
+    grid = _gridded(vis, size, cellsize, keys, psf, kernel)
+    image = _normalised(fft_plane(grid, size, keys=keys).withColumnRenamed("re", "value"), grid, size, keys, kernel)
+    return extract(image, size, npixel) if padding > 1 else image
 
 
-def predict(vis: DataFrame, image: DataFrame, npixel: int, cellsize: float, *, keys: list[str] | None = None, **kernel: int) -> DataFrame:
+def predict(vis: DataFrame, image: DataFrame, npixel: int, cellsize: float, *, keys: list[str] | None = None, padding: int = 1, **kernel: int) -> DataFrame:
     """Key, m_re, m_im: the model visibilities of an image (value, or re and im), by transform and degridding. Rows off
-    the grid are left out."""
-    keys = keys or PLANE
+    the grid are left out. ``padding`` as for ``invert``."""
+    keys, size = keys or PLANE, npixel * padding
     rows = image if "re" in image.columns else image.withColumn("re", F.col("value")).withColumn("im", F.lit(0.0))
-    cells = _corrected(rows, npixel, ["re", "im"], **kernel).select(*keys, F.col("y").alias("gv"), F.col("x").alias("gu"), "re", "im")
-    grid = fft_plane(cells, npixel, inverse=False, keys=keys).withColumnRenamed("y", "gv").withColumnRenamed("x", "gu")
+    cells = _corrected(pad(rows, npixel, size), size, ["re", "im"], **kernel).select(*keys, F.col("y").alias("gv"), F.col("x").alias("gu"), "re", "im")
+    grid = fft_plane(cells, size, inverse=False, keys=keys).withColumnRenamed("y", "gv").withColumnRenamed("x", "gu")
     oversampling = kernel.get("oversampling", OVERSAMPLING)
     k = spheroidal_kernel(vis.sparkSession, kernel.get("support", SUPPORT), oversampling)
-    return degrid_visibility(vis, grid, k, npixel, cellsize, oversampling, keys=keys).withColumnsRenamed({"vis_re": "m_re", "vis_im": "m_im"})
+    return degrid_visibility(vis, grid, k, size, cellsize, oversampling, keys=keys).withColumnsRenamed({"vis_re": "m_re", "vis_im": "m_im"})
 
 
 # --- w stacks ---------------------------------------------------------------------------------------------------------
@@ -171,7 +176,8 @@ def facets_invert(vis: DataFrame, npixel: int, cellsize: float, facets: int, *,
 
 
 def residual(vis: DataFrame, model: DataFrame, npixel: int, cellsize: float, *, width: float | None = None, **kernel: int) -> tuple[DataFrame, DataFrame]:
-    """(visibilities less those of the model image, their dirty image); with ``width`` by w slices."""
+    """(visibilities less those of the model image, their dirty image); with ``width`` by w slices. ``padding`` may be
+    given without them."""
     predicted = predict(vis, model, npixel, cellsize, **kernel) if width is None else wstack_predict(vis, model, npixel, cellsize, width, **kernel)
     zero = F.lit(0.0)
     left = vis.join(predicted, KEY, "left").withColumns({"vis_re": F.col("vis_re") - F.coalesce("m_re", zero), "vis_im": F.col("vis_im") - F.coalesce("m_im", zero)}).drop("m_re", "m_im")

@@ -11,14 +11,14 @@ from skyfringe.operators.calibration import materialize
 
 def continuum_imaging(vis: DataFrame, npixel: int, cellsize: float, *, cycles: int = 3, gain: float = 0.1, most: int = 100) -> tuple[DataFrame, DataFrame]:
     """(model image, residual image) after so many CLEAN cycles; each cycle ends in written tables."""
-    psf = materialize(imaging.invert(vis, npixel, cellsize, psf=True))
-    image = materialize(imaging.invert(vis, npixel, cellsize))
+    psf = materialize(imaging.invert(vis, npixel, cellsize, psf=True, padding=2))
+    image = materialize(imaging.invert(vis, npixel, cellsize, padding=2))
     model = None
     for _ in range(cycles):
         found = clean.clean(image, psf, gain=gain, most=most).select("chan", "pol", "y", "x", F.col("model").alias("value"))
         both = found if model is None else model.unionByName(found)
         model = materialize(both.groupBy("chan", "pol", "y", "x").agg(F.sum("value").alias("value")))
-        image = materialize(imaging.residual(vis, model, npixel, cellsize)[1])
+        image = materialize(imaging.residual(vis, model, npixel, cellsize, padding=2)[1])
     return model, image
 
 
@@ -36,7 +36,7 @@ def imaging_cycle(vis: DataFrame, npixel: int, cellsize: float, antennas: int, i
     fixed, gains = vis, None
     for _ in range(cycles):
         model, left = continuum_imaging(fixed, npixel, cellsize, cycles=1, gain=gain, most=most)
-        predicted = materialize(imaging.predict(vis, model, npixel, cellsize))
+        predicted = materialize(imaging.predict(vis, model, npixel, cellsize, padding=2))
         gains, fixed = self_calibrate(vis, predicted, antennas, interval, cross=cross)
         fixed = materialize(fixed)
     return model, left, gains
@@ -54,4 +54,4 @@ def spectral_line(vis: DataFrame, npixel: int, cellsize: float, *, most: int = 1
     model, _ = continuum_imaging(flat, npixel, cellsize, cycles=1, most=most)
     chans = vis.select("chan").distinct()
     cube = model.drop("chan").crossJoin(F.broadcast(chans)).select("chan", "pol", "y", "x", "value")
-    return model, imaging.residual(vis, cube, npixel, cellsize)[1]
+    return model, imaging.residual(vis, cube, npixel, cellsize, padding=2)[1]

@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SOME = [
     "f02_uvrange", "w02_w_slices", "u03_concatenate_frequency", "o02_peak_pixel", "j02_divide", "j03_apply_gains_inverse", "j06_matches", "j08_nearest_target",
     "j12_predict_components", "a01_coalesce", "a03_decoalesce", "a05_sum_towards", "a08_image_quality", "g08_uniform_weights", "g17_direct_image", "i04_smooth",
-    "i11_insert_components", "i13_voronoi", "c02_point_ratios", "m02_remove_neighbours", "m10_cross_subtract", "x05_azimuth_elevation", "x12_linear_to_stokes", "t01_window_ratios",
+    "i11_insert_components", "i13_voronoi", "c02_point_ratios", "g07_degrid", "g13_invert", "g14_predict", "j04_sequence_of_terms", "m10_cross_subtract", "x05_azimuth_elevation", "x12_linear_to_stokes", "t01_window_ratios",
 ]
 
 
