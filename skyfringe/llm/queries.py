@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, lm_mixing, mixing, packing, quality, secret_scan, token_count, token_file
-from .common import read_table
-from .sql import QUALITY_SQL
+from . import ann, chat, hard_negatives, jaccard, langid, lm_mixing, mixing, packing, periodic, quality, secret_scan, token_count, token_file
+from .common import materialize, read_table, word_array
+from .sql import CHAT_SQL, NEGATIVES_SQL, QUALITY_SQL, RUNS_SQL
 
 def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -76,5 +76,38 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, word_array(F.col("text"))).alias("words"), F.floor(h / 10).cast("long").alias("g"))
+    at = docs.withColumn("a", F.col("g") % F.size("words"))
+    rows = at.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
+    rewritten = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    text = F.when(F.size("words") > 0, F.array_join(rewritten, " ")).otherwise(F.col("text"))
+    found = periodic.find_runs(rows.select("doc_id", text.alias("text"))).withColumn("best", periodic.greatest_run(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    best = lambda c: F.col("best")[c]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(best(c).alias(c) for c in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), digest(F.array_join(line, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    written = materialize(chat.format_conversations(turns))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = chat.read_conversations(written).withColumn("loss", F.array_join("losses", ""))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(told).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output, op11_hard_negatives, op12_periodic_runs, op13_chat_formatting)}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_periodic_runs": RUNS_SQL, "op13_chat_formatting": CHAT_SQL}

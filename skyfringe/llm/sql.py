@@ -51,3 +51,75 @@ QUALITY_SQL = f"""
 WITH docs AS (SELECT * FROM documents), {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM quality
 """
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"""
+
+#: Every pair of equal words within a text is a row; stretches of them at one distance are runs.
+RUNS_SQL = f"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS words,
+         CASE WHEN doc_id IS NOT NULL THEN xor({_CRC}, 4294967295) END AS h
+  FROM documents
+), places AS (
+  SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN h // 10 % len(words) END AS a FROM base
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM places
+), word AS (
+  SELECT r, i, CASE WHEN i >= a THEN words[1 + a + (i - a) % p] ELSE words[1 + i] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM periods)
+), pair AS (
+  SELECT x.r, y.i - x.i AS q, x.i AS i FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND y.i > x.i
+), stretch AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pair) GROUP BY r, q, island
+), run AS (
+  SELECT r, s, len, min(q) AS q FROM stretch WHERE len >= 24 AND len >= 3 * q GROUP BY r, s, len
+), listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM run GROUP BY r
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) AS k FROM run) WHERE k = 1
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM run
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM base LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+#: Every anchor against every row.
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER o AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positive JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER o <= 3
+"""
+
+_SAID = r"'\### Assistant: </turn> ok'"
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '</', '<\/'), '##', '#\#')"
+
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM turns
+), sized AS (
+  SELECT *, length({_ESCAPED.format("text")}) + 7 + CASE WHEN before IS DISTINCT FROM role THEN 6 + length(replace({_ESCAPED.format("role")}, ': ', ':\\ ')) ELSE 0 END AS chars FROM marked
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
