@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ def spheroidal(nu: Column) -> Column:
     return F.when(F.abs(nu) < 0.75, part(0, 0.75)).when(F.abs(nu) <= 1.0, part(1, 1.0)).otherwise(F.lit(0.0))
 
 
+def spheroidal_values(nu: np.ndarray) -> np.ndarray:
+    """``spheroidal`` of numbers, for kernels that are made in a task."""
+    part = lambda k, end: np.polynomial.polynomial.polyval(nu * nu - end * end, SPHEROIDAL_P[k]) / np.polynomial.polynomial.polyval(nu * nu - end * end, SPHEROIDAL_Q[k])
+    return np.where(np.abs(nu) < 0.75, part(0, 0.75), np.where(np.abs(nu) <= 1.0, part(1, 1.0), 0.0))
+
+
 def gaussian_taper(u: Column, v: Column, beam: float) -> Column:
     return F.exp(-(math.pi**2) * beam**2 / (4 * math.log(2)) * (u * u + v * v))
 

@@ -910,6 +910,19 @@ def _(t: Views) -> DataFrame:
     return cl.clean_facets(dirty, psf, 32, 2, 4, most=30)
 
 
+@register("d05_clean_moments", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    channels = t("fx_vis").groupBy("chan").agg(F.max("frequency").alias("frequency"))
+    return cl.clean_moment_facets(dirty, psf, 32, 1e8 + F.col("chan") * 1e6, 1.03e8, channels, n=3, facets=2, overlap=4, most=30)
+
+
+@register("d06_clean_psf_support", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    dirty, psf = _dirty(t)
+    return cl.clean_facets(dirty, psf, 32, 1, 0, psf_support=8, most=30)
+
+
 # --- gain tables, Jones terms and fits -----------------------------------------------------------------------------------
 
 
