@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skyfringe.functions import complexmath as cx
 from skyfringe.functions.windows import spheroidal
 
-from .visibility import KEY
+from .kernels import Kernel, degrid_with
 
 CELL = ["chan", "pol", "gv", "gu"]
 
@@ -28,6 +28,19 @@ def grid_cells(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:
     return rows.where((F.col("gu") >= 0) & (F.col("gu") < npixel) & (F.col("gv") >= 0) & (F.col("gv") < npixel))
 
 
+def cell_mapping(vis: DataFrame, npixel: int, cellsize: float, *, oversampling: int, w_step: float | None = None, first: float | None = None, width: float = 1.0, tolerance: float = 1e-8) -> DataFrame:
+    """Where each visibility goes: cell (gu, gv), sub-cell of the kernel (ou, ov), w plane about 0 and channel of the grid.
+
+    ``w_step`` is the distance of w planes. With ``first`` and ``width`` the grid's channels are those frequencies, ``grid_chan``
+    the nearest and ``aligned`` whether it lies within ``tolerance`` of a channel's width of it."""
+    sub = lambda c: F.least(F.lit(oversampling - 1), F.floor((F.col(c) + 0.5) * oversampling)).cast("long")
+    rows = grid_cells(vis, npixel, cellsize).withColumns({"ou": sub("du"), "ov": sub("dv"), "w_plane": (F.rint(F.col("w") / w_step) if w_step else F.lit(0)).cast("long")})
+    if first is None:
+        return rows
+    at = (F.col("frequency") - first) / width
+    return rows.withColumns({"grid_chan": F.rint(at).cast("long"), "aligned": F.abs(at - F.rint(at)) <= tolerance})
+
+
 def grid_weights(vis: DataFrame, npixel: int, cellsize: float, *, by_channel: bool = True) -> DataFrame:
     """Imaging weight in each touched cell; without ``by_channel``, over all channels."""
     keys = CELL if by_channel else CELL[1:]
@@ -85,12 +98,9 @@ def grid_visibility_fast(vis: DataFrame, npixel: int, cellsize: float) -> DataFr
     return grid_cells(vis, npixel, cellsize).groupBy(*CELL).agg(F.sum(F.col("vis_re") * iw).alias("re"), F.sum(F.col("vis_im") * iw).alias("im"), F.sum(iw).alias("weight"))
 
 
-def degrid_visibility(vis: DataFrame, grid: DataFrame, kernel: DataFrame, npixel: int, cellsize: float, oversampling: int, *, keys: list[str] | None = None) -> DataFrame:
-    """Key, vis_re, vis_im: the grid's values under each row's footprint; absent cells are 0."""
-    cell = [*(keys or CELL[:2]), "gv", "gu"]
-    rows = _footprint(vis.select(*dict.fromkeys([*KEY, *cell[:-2], "u", "v"])), kernel, npixel, cellsize, oversampling)
-    joined = rows.join(grid.select(*cell, "re", "im"), cell)
-    return joined.groupBy(*KEY).agg(F.sum(F.col("re") * F.col("kernel")).alias("vis_re"), F.sum(F.col("im") * F.col("kernel")).alias("vis_im"))
+def degrid_visibility(vis: DataFrame, grid: DataFrame, npixel: int, cellsize: float, *, support: int, oversampling: int, keys: list[str] | None = None) -> DataFrame:
+    """Key, further keys, vis_re, vis_im of every row: the grid's values under its kernel; absent cells are 0."""
+    return degrid_with(vis, grid, Kernel(support, oversampling), npixel, cellsize, keys=keys)
 
 
 def direct_image(vis: DataFrame, npixel: int, cellsize: float) -> DataFrame:

@@ -8,6 +8,8 @@ which are counted before.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from skyfringe.functions import complexmath as cx
 
 from .gridding import degrid_visibility, fft_plane, grid_visibility, kernel_axis, spheroidal_kernel
 from .images import extract, pad
+from .kernels import AWKernel, degrid_with, grid_with, image_taper
 from .visibility import KEY, w_slices
 
 PLANE = ["chan", "pol"]
@@ -79,15 +82,57 @@ def invert(vis: DataFrame, npixel: int, cellsize: float, *, psf: bool = False, k
 
 
 def predict(vis: DataFrame, image: DataFrame, npixel: int, cellsize: float, *, keys: list[str] | None = None, padding: int = 1, **kernel: int) -> DataFrame:
-    """Key, m_re, m_im: the model visibilities of an image (value, or re and im), by transform and degridding. Rows off
-    the grid are left out. ``padding`` as for ``invert``."""
+    """Key, m_re, m_im of every row (and keys beyond chan and pol): the model visibilities of an image (value, or re and
+    im), by transform and degridding. Rows off the grid, or whose plane the image lacks, are 0. ``padding`` as for
+    ``invert``."""
     keys, size = keys or PLANE, npixel * padding
     rows = image if "re" in image.columns else image.withColumn("re", F.col("value")).withColumn("im", F.lit(0.0))
     cells = _corrected(pad(rows, npixel, size), size, ["re", "im"], **kernel).select(*keys, F.col("y").alias("gv"), F.col("x").alias("gu"), "re", "im")
     grid = fft_plane(cells, size, inverse=False, keys=keys).withColumnRenamed("y", "gv").withColumnRenamed("x", "gu")
-    oversampling = kernel.get("oversampling", OVERSAMPLING)
-    k = spheroidal_kernel(vis.sparkSession, kernel.get("support", SUPPORT), oversampling)
-    return degrid_visibility(vis, grid, k, size, cellsize, oversampling, keys=keys).withColumnsRenamed({"vis_re": "m_re", "vis_im": "m_im"})
+    found = degrid_visibility(vis, grid, size, cellsize, support=kernel.get("support", SUPPORT), oversampling=kernel.get("oversampling", OVERSAMPLING), keys=keys)
+    return found.withColumnsRenamed({"vis_re": "m_re", "vis_im": "m_im"})
+
+
+# --- w projection ------------------------------------------------------------------------------------------------------
+
+
+def _tapered(image: DataFrame, npixel: int, columns: list[str]) -> DataFrame:
+    """``columns`` by the taper that the kernels of ``AWKernel`` carry; npixel numbers, joined by broadcast. It is 0 at no
+    pixel but may be far down at the edge of the field."""
+    axis = image.sparkSession.createDataFrame([(k, float(t)) for k, t in enumerate(image_taper(npixel))], "p long, t double")
+    side = lambda c: F.broadcast(axis.select(F.col("p").alias(c), F.col("t").alias(f"__{c}")))
+    rows = image.join(side("y"), "y").join(side("x"), "x")
+    return rows.withColumns({c: F.col(c) / (F.col("__y") * F.col("__x")) for c in columns}).drop("__y", "__x")
+
+
+def aw_kernel(npixel: int, cellsize: float, step: float, *, support: int = 8, oversampling: int = 8, beam: Callable | None = None) -> AWKernel:
+    return AWKernel(support, oversampling, npixel * cellsize, step, beam, max(128, 8 * (2 * support + 1)))
+
+
+def aw_invert(vis: DataFrame, npixel: int, cellsize: float, step: float, *, psf: bool = False, padding: int = 2, keys: list[str] | None = None, **kernel: object) -> DataFrame:
+    """The dirty image with the w term, and a beam where one is given, in the gridding kernels: one grid for all w.
+
+    ``step`` is the distance of w planes in wavelengths; kernels are conjugated for predicting. A beam multiplies the image."""
+    keys, size = keys or PLANE, npixel * padding
+    k = aw_kernel(size, cellsize, step, **kernel)
+    if psf:
+        # The response to a point at the centre, where the w term is 1.
+        vis = vis.withColumns({"vis_re": F.lit(1.0), "vis_im": F.lit(0.0)})
+    grid = grid_with(vis, k, size, cellsize, keys=keys)
+    total = grid.groupBy(*keys).agg(F.sum("weight").alias("total"))
+    image = _tapered(fft_plane(grid, size, keys=keys).withColumnRenamed("re", "value"), size, ["value"]).join(total, keys)
+    value = F.when(F.col("total") > 0, F.col("value") * size**2 / F.col("total")).otherwise(F.lit(0.0))
+    return extract(image.select(*keys, "y", "x", value.alias("value")), size, npixel)
+
+
+def aw_predict(vis: DataFrame, image: DataFrame, npixel: int, cellsize: float, step: float, *, padding: int = 2, keys: list[str] | None = None, **kernel: object) -> DataFrame:
+    """Key, m_re, m_im of every row: model visibilities of an image with the w term, and a beam, in the kernels."""
+    keys, size = keys or PLANE, npixel * padding
+    rows = image.withColumn("re", F.col("value")).withColumn("im", F.lit(0.0))
+    cells = _tapered(pad(rows, npixel, size), size, ["re", "im"]).select(*keys, F.col("y").alias("gv"), F.col("x").alias("gu"), "re", "im")
+    grid = fft_plane(cells, size, inverse=False, keys=keys).withColumnRenamed("y", "gv").withColumnRenamed("x", "gu")
+    found = degrid_with(vis, grid, aw_kernel(size, cellsize, step, **kernel), size, cellsize, keys=keys)
+    return found.withColumnsRenamed({"vis_re": "m_re", "vis_im": "m_im"})
 
 
 # --- w stacks ---------------------------------------------------------------------------------------------------------
@@ -119,7 +164,7 @@ def wstack_predict(vis: DataFrame, image: DataFrame, npixel: int, cellsize: floa
     rows, slices = _with_slices(vis, width)
     beamed = w_beam(image.crossJoin(F.broadcast(slices)), F.col("slice_w"), npixel, cellsize)
     cells = beamed.select(*PLANE, "slice", "y", "x", (F.col("value") * F.col("beam_re")).alias("re"), (F.col("value") * F.col("beam_im")).alias("im"))
-    return predict(rows, cells, npixel, cellsize, keys=[*PLANE, "slice"], **kernel)
+    return predict(rows, cells, npixel, cellsize, keys=[*PLANE, "slice"], **kernel).drop("slice")
 
 
 # --- time slices and facets -------------------------------------------------------------------------------------------

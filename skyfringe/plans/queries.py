@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from skyfringe.operators import images as im
 from skyfringe.operators import imaging as ig
 from skyfringe.operators import jones as jn
 from skyfringe.operators import joins as jo
+from skyfringe.operators import kernels as ke
 from skyfringe.operators import screens as sc
 from skyfringe.operators import skymodel as sk
 from skyfringe.operators import visibility as vi
@@ -463,11 +465,15 @@ def _(t: Views) -> DataFrame:
 FAST = f"SELECT chan, pol, gv, gu, sum(vis_re * imaging_weight) AS re, sum(vis_im * imaging_weight) AS im, sum(imaging_weight) AS weight FROM {CELLS} GROUP BY chan, pol, gv, gu"
 
 
-@register("g07_degrid", KEY, "vis_re vis_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS vis_re, sum(im * k) AS vis_im FROM {_footprint_sql(2, 4)} f JOIN ({FAST}) g ON g.chan = f.chan AND g.pol = f.pol AND g.gv = f.gv AND g.gu = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=64.0)
+def _every_row(found: str, *figures: str) -> str:
+    """All rows of fx_vis with ``figures`` of those that ``found`` answers, 0 for the others."""
+    return f"SELECT {K}, {', '.join(f'coalesce({c}, 0e0) AS {c}' for c in figures)} FROM fx_vis LEFT JOIN ({found}) found USING ({K})"
+
+
+@register("g07_degrid", KEY, "vis_re vis_im", _every_row(f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS d_re, sum(im * k) AS d_im FROM {_footprint_sql(2, 4)} f JOIN ({FAST}) g ON g.chan = f.chan AND g.pol = f.pol AND g.gv = f.gv AND g.gu = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", "d_re", "d_im").replace("AS d_", "AS vis_", 2), grid=64.0)
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
-    kernel = gr.spheroidal_kernel(v.sparkSession, 2, 4)
-    return gr.degrid_visibility(v, gr.grid_visibility_fast(v, NPIXEL, CELL), kernel, NPIXEL, CELL, 4)
+    return gr.degrid_visibility(v, gr.grid_visibility_fast(v, NPIXEL, CELL), NPIXEL, CELL, support=2, oversampling=4)
 
 
 @register("g08_uniform_weights", KEY, "imaging_weight", f"SELECT {K}, CASE WHEN d <> 0 THEN imaging_weight / d ELSE imaging_weight END AS imaging_weight FROM {CELLS} c JOIN (SELECT pol AS p, gv AS y, gu AS x, sum(imaging_weight) AS d FROM {CELLS} GROUP BY pol, gv, gu) ON pol = p AND gv = y AND gu = x")
@@ -808,6 +814,11 @@ def _(t: Views) -> DataFrame:
     return sk.expand_by_component(t("fx_component"))
 
 
+def _disk_beam(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A beam for kernels: a Gaussian of about that of a 35 m dish at 100 MHz."""
+    return np.exp(-(x * x + y * y) / (2 * 0.04**2))
+
+
 # --- imaging with kernels, w stacks, slices and facets --------------------------------------------------------------------
 
 KSUP, KOVER = 3, 16
@@ -823,7 +834,7 @@ def _(t: Views) -> DataFrame:
 IMAGE_CELLS = f"SELECT chan, pol, y AS gv, x AS gu, value / (cy.c * cx.c) AS re, 0e0 AS im FROM fx_pixel JOIN {CORR} cy(p, c) ON cy.p = y JOIN {CORR} cx(p, c) ON cx.p = x"
 
 
-@register("g14_predict", KEY, "m_re m_im", f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", grid=64.0)
+@register("g14_predict", KEY, "m_re m_im", _every_row(f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol", "m_re", "m_im"), grid=64.0)
 def _(t: Views) -> DataFrame:
     return ig.predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL)
 
@@ -838,6 +849,31 @@ def _(t: Views) -> DataFrame:
     return ig.wstack_predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, 20.0)
 
 
+@register("g02_w_projection_invert", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return ig.aw_invert(t("fx_vis"), 32, 2 * CELL, 10.0)
+
+
+@register("g02_aw_projection_invert", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return ig.aw_invert(t("fx_vis"), 32, 2 * CELL, 10.0, beam=_disk_beam)
+
+
+@register("g02_w_projection_predict", KEY, "m_re m_im")
+def _(t: Views) -> DataFrame:
+    return ig.aw_predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, 10.0)
+
+
+@register("g04_cells_with_w", KEY + " gu gv ou ov w_plane", "", f"SELECT {K}, gu, gv, least(7, floor((u * {NPIXEL * CELL!r} + {NPIXEL // 2} - gu + 5e-1) * 8)) AS ou, least(7, floor((v * {NPIXEL * CELL!r} + {NPIXEL // 2} - gv + 5e-1) * 8)) AS ov, round_even(w / 73e-1, 0) AS w_plane FROM {CELLS}")
+def _(t: Views) -> DataFrame:
+    return gr.cell_mapping(t("fx_vis"), NPIXEL, CELL, oversampling=8, w_step=7.3)
+
+
+@register("g01_box_grid", "chan pol gv gu", "re im weight", FAST)
+def _(t: Views) -> DataFrame:
+    return ke.grid_with(t("fx_vis"), ke.BoxKernel(), NPIXEL, CELL)
+
+
 @register("g16_timeslice_invert", "chan pol y x", "value")
 def _(t: Views) -> DataFrame:
     return ig.timeslice_invert(t("fx_vis"), 32, 2 * CELL, 160.0)

@@ -82,7 +82,8 @@ def test_kernel_sums_to_one_and_degrid_recovers_a_constant(spark):
     assert len(sums) == 16 and all(abs(r.s - 1) < 1e-12 for r in sums)
     vis = view(spark, SF, "fx_vis").where("pol = 0 AND chan = 0")
     grid = spark.range(64).select(F.col("id").alias("gv")).crossJoin(spark.range(64).select(F.col("id").alias("gu"))).selectExpr("0 AS chan", "0 AS pol", "gv", "gu", "2.0D AS re", "-1.0D AS im")
-    out = gridding.degrid_visibility(vis, grid, kernel, 64, 0.002, 4).toPandas()
+    out = gridding.degrid_visibility(vis, grid, 64, 0.002, support=2, oversampling=4).toPandas()
+    assert len(out) == vis.count()
     assert np.allclose(out["vis_re"], 2) and np.allclose(out["vis_im"], -1)
 
 
