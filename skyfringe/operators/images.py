@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfringe.functions.coordinates import lmn_to_sky, sky_to_lmn
 from skyfringe.functions.windows import lanczos_kernel, sinc_kernel
 
 from .calibration import linked_groups, materialize
+from .fourier import fft_plane
 from .visibility import exact_median
 
 PIXEL = ["chan", "pol", "y", "x"]
@@ -141,19 +145,30 @@ def extract(image: DataFrame, npixel: int, size: int) -> DataFrame:
 
 
 def bounding_box(image: DataFrame, fraction: float) -> DataFrame:
-    """(chan, pol, y_min, y_max, x_min, x_max) of the pixels of each plane above a fraction of its largest."""
+    """(chan, pol, y_min, y_max, x_min, x_max) of the pixels of each plane above a fraction of its largest; that of a
+    convolution kernel is ``kernels.bounding_box``."""
     peak = image.groupBy("chan", "pol").agg((F.max(F.abs("value")) * fraction).alias("__least"))
     seen = image.join(peak, ["chan", "pol"]).where(F.abs("value") > F.col("__least"))
     return seen.groupBy("chan", "pol").agg(*(f(c).alias(f"{c}_{n}") for c in "yx" for n, f in (("min", F.min), ("max", F.max))))
 
 
-def structure_function(image: DataFrame, most: int) -> DataFrame:
-    """(chan, pol, lag, value, pairs): the mean squared difference of pixels ``lag`` apart along x, for lags up to ``most``."""
-    shifted = image.select("chan", "pol", "y", F.col("x").alias("__x"), F.col("value").alias("__v"))
-    rows = image.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("__x", F.col("x") + F.col("lag"))
-    met = rows.join(shifted, ["chan", "pol", "y", "__x"])
-    off = F.col("value") - F.col("__v")
-    return met.groupBy("chan", "pol", "lag").agg(F.avg(off * off).alias("value"), F.count(F.lit(1)).alias("pairs"))
+def structure_function(screens: DataFrame, npixel: int, keys: list[str]) -> DataFrame:
+    """(keys, dy, dx, value): 1 - a / max(a) for lags of up to a quarter of the screen, a being the autocorrelation summed
+    over all screens (times, products) of a key.
+
+    Screens are padded to twice their size and transformed by lines; squares are summed over screens before they are
+    transformed back, so nothing is ever joined by lag.
+    """
+    one = [c for c in screens.columns if c not in ("y", "x", "value")]
+    size = 2 * npixel
+    cells = screens.select(*one, F.col("y").alias("gv"), F.col("x").alias("gu"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    power = fft_plane(cells, size, inverse=False, keys=one).groupBy(*keys, "y", "x").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"))
+    back = fft_plane(power.select(*keys, F.col("y").alias("gv"), F.col("x").alias("gu"), "re", F.lit(0.0).alias("im")), size, keys=keys)
+    top = back.groupBy(*keys).agg(F.max("re").alias("__top"))
+    # The zero lag stands in the middle.
+    lag = {"dy": F.col("y") - npixel, "dx": F.col("x") - npixel}
+    near = back.withColumns(lag).where((F.abs(F.col("dy") + 0.5) <= npixel // 4) & (F.abs(F.col("dx") + 0.5) <= npixel // 4))
+    return near.join(top, keys).select(*keys, "dy", "dx", F.when(F.col("__top") > 0, 1 - F.col("re") / F.col("__top")).otherwise(F.lit(0.0)).alias("value"))
 
 
 def window_mask(image: DataFrame, kind: str, npixel: int, edge: int = 0, threshold: float = 10.0) -> DataFrame:
@@ -191,55 +206,44 @@ def voronoi(image: DataFrame, centres: DataFrame, *, array_rows: int = 20_000) -
     return image.join(best, ["y", "x"])
 
 
-def generic_beam(radius: Column) -> Column:
-    """Power beam of a uniform disk: (2 J1(r) / r) ** 2 by the first terms of its series."""
-    q = radius * radius / 4
-    total = F.lit(1.0)
-    for k in range(12, 0, -1):  # nested, so that the expression stays short
-        total = 1 - q / (k * (k + 1)) * total
-    return total * total
-
-
-def mosaic_beam(image: DataFrame, pointings: DataFrame, per_pixel: float, *, array_rows: int = 20_000) -> DataFrame:
-    """Root sum of squares of the beams of all pointings (py, px); pointings go as arrays of at most ``array_rows``."""
-    blocks = max(1, -(-pointings.count() // array_rows))
-    packed = pointings.groupBy(F.pmod(F.xxhash64("py", "px"), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct("py", "px")).alias("__p")).drop("__b")
-
-    def power(p: Column) -> Column:
-        r = F.sqrt((F.col("y") - p["py"]) * (F.col("y") - p["py"]) + (F.col("x") - p["px"]) * (F.col("x") - p["px"])) * per_pixel
-        b = generic_beam(r)
-        return b * b
-
-    # The beams of a place hold for all its channels and products.
-    places = image.select("y", "x").distinct()
-    rows = places.crossJoin(F.broadcast(packed) if blocks == 1 else packed).withColumn("__s", F.aggregate("__p", F.lit(0.0), lambda acc, p: acc + power(p)))
-    beams = rows.groupBy("y", "x").agg(F.sqrt(F.sum("__s")).alias("value"))
-    return image.drop("value").join(beams, ["y", "x"]).select(*PIXEL, "value")
-
-
-def find_sources(image: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Connected regions (8 neighbours) of the channel-mean above ``threshold`` with at least so many pixels:
-    (source_id, pixels, y, x, peak, flux). Labels spread to neighbours and
+def label_sources(image: DataFrame, threshold: float, *, width: float | None = None) -> DataFrame:
+    """(pol, y, x, value, label) of the pixels of each product whose mean over channels, smoothed by a Gaussian of ``width``
+    pixels where one is given, is above ``threshold``; connected pixels (8 neighbours) share a label. Labels spread to neighbours and
     then jump to the label's own, so rounds grow with the logarithm of a region's width."""
-    mean = image.where("pol = 0").groupBy("y", "x").agg(F.avg("value").alias("value")).where(F.col("value") > threshold)
-    cells = materialize(mean.withColumn("id", F.col("y") * F.lit(1 << 31) + F.col("x")))
+    shown = image if width is None else smooth(image, width).withColumn("value", F.col("value") / (2 * math.pi * width * width))
+    mean = shown.groupBy("pol", "y", "x").agg(F.avg("value").alias("value")).where(F.col("value") > threshold)
+    cells = materialize(mean.withColumn("id", (F.col("pol") * F.lit(1 << 28) + F.col("y")) * F.lit(1 << 28) + F.col("x")))
     # Half of the neighbours, as a link has no direction; a cell without one links with itself.
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    sent = cells.withColumn("o", F.explode(steps)).select(F.col("id").alias("a"), (F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"))
-    links = sent.join(cells.select("y", "x", F.col("id").alias("b")), ["y", "x"]).select("a", "b").union(cells.select("id", "id"))
-    cells = cells.join(linked_groups(links).select(F.col("node").alias("id"), F.col("group").alias("label")), "id")
+    sent = cells.withColumn("o", F.explode(steps)).select(F.col("id").alias("a"), "pol", (F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"))
+    links = sent.join(cells.select("pol", "y", "x", F.col("id").alias("b")), ["pol", "y", "x"]).select("a", "b").union(cells.select("id", "id"))
+    return cells.join(linked_groups(links).select(F.col("node").alias("id"), F.col("group").alias("label")), "id").drop("id")
+
+
+def find_sources(image: DataFrame, threshold: float, least: int, *, width: float | None = None) -> DataFrame:
+    """(pol, source_id, pixels, y, x, peak, flux) of the connected regions of ``label_sources`` with at least so many pixels;
+    places are weighed by value."""
     weigh = lambda c: (F.sum(F.col(c) * F.col("value")) / F.sum("value")).alias(c)
-    out = cells.groupBy(F.col("label").alias("source_id")).agg(F.count(F.lit(1)).alias("pixels"), weigh("y"), weigh("x"), F.max("value").alias("peak"), F.sum("value").alias("flux"))
+    cells = label_sources(image, threshold, width=width)
+    out = cells.groupBy("pol", F.col("label").alias("source_id")).agg(F.count(F.lit(1)).alias("pixels"), weigh("y"), weigh("x"), F.max("value").alias("peak"), F.sum("value").alias("flux"))
     return out.where(F.col("pixels") >= least)
 
 
+def source_spectra(image: DataFrame, threshold: float, least: int, *, width: float | None = None) -> DataFrame:
+    """(pol, source_id, chan, flux): each source's peak in each channel of the image itself, over the source's pixels."""
+    cells = materialize(label_sources(image, threshold, width=width))
+    large = cells.groupBy("pol", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pol", "label")
+    met = image.join(cells.join(large, ["pol", "label"]).select("pol", "y", "x", "label"), ["pol", "y", "x"])
+    return met.groupBy("pol", F.col("label").alias("source_id"), "chan").agg(F.max("value").alias("flux"))
+
+
 def clean_threshold(image: DataFrame, fraction: float, least: float) -> DataFrame:
     """max(fraction * peak of the channel mean, least), one row."""
     mean = image.groupBy("pol", "y", "x").agg(F.avg("value").alias("value"))
     return mean.agg(F.greatest(F.max(F.abs("value")) * fraction, F.lit(float(least))).alias("threshold"))
 
 
-def reproject(image: DataFrame, dy: float, dx: float, scale: float, npixel: int) -> DataFrame:
+def resample(image: DataFrame, dy: float, dx: float, scale: float, npixel: int) -> DataFrame:
     """Bilinear resampling onto npixel pixels: (y, x) takes the value at (y * scale + dy, x * scale + dx); footprint is
     the sum of the weights of the pixels that are there. Each old pixel is sent to the new ones that it reaches."""
     spark = image.sparkSession
@@ -249,10 +253,73 @@ def reproject(image: DataFrame, dy: float, dx: float, scale: float, npixel: int)
     near = new.withColumn("c", F.explode(corner)).withColumns({"__y": F.floor("y0") + F.col("c.a"), "__x": F.floor("x0") + F.col("c.b")})
     weight = (1 - F.abs(F.col("y0") - F.col("__y"))) * (1 - F.abs(F.col("x0") - F.col("__x")))
     near = near.select("y", "x", "__y", "__x", weight.alias("__wt")).where("__wt > 0")
+    return _looked_up(image, near)
+
+
+def _looked_up(image: DataFrame, near: DataFrame) -> DataFrame:
     old = image.select("chan", "pol", F.col("y").alias("__y"), F.col("x").alias("__x"), "value")
     return near.join(old, ["__y", "__x"]).groupBy(*PIXEL).agg(F.sum(F.col("value") * F.col("__wt")).alias("value"), F.sum("__wt").alias("footprint"))
 
 
-def restore(model: DataFrame, residual: DataFrame, width: float) -> DataFrame:
-    """The model convolved with a Gaussian beam of that width, and the residual added."""
+def _cubic(d: Column) -> Column:
+    """Weight of a pixel at distance d in cubic convolution; those of four pixels add up to 1."""
+    near = (1.5 * d - 2.5) * d * d + 1
+    far = ((-0.5 * d + 2.5) * d - 4) * d + 2
+    return F.when(d < 1, near).when(d < 2, far).otherwise(F.lit(0.0))
+
+
+def reproject(image: DataFrame, npixel: int, cellsize: float, centre: tuple[float, float], *, to_npixel: int, to_cellsize: float, to_centre: tuple[float, float]) -> DataFrame:
+    """An image about one tangent point of the sky (ra, dec) on the pixels of another, by cubic convolution: (chan, pol, y, x,
+    value, footprint).
+
+    Each new pixel becomes a direction, that a place in the old image, and the 16 pixels about it are found by equality.
+    Pixels beyond the old image, on the far side of the sky or without a direction have no row; footprint is the weight of
+    the pixels that are there, 1 inside. Longitude rises towards smaller x, as for components."""
+    spark = image.sparkSession
+    axis = lambda c: spark.range(to_npixel).select(F.col("id").alias(c))
+    l, m = -(F.col("x") - to_npixel // 2) * to_cellsize, (F.col("y") - to_npixel // 2) * to_cellsize  # noqa: E741
+    new = axis("y").crossJoin(axis("x")).withColumns({"__l": l, "__m": m}).where("__l * __l + __m * __m < 1")
+    ra, dec = lmn_to_sky(F.col("__l"), F.col("__m"), *(F.lit(float(c)) for c in to_centre))
+    sky = new.withColumns({"__ra": ra, "__dec": dec})
+    l0, m0, n0 = sky_to_lmn(F.col("__ra"), F.col("__dec"), *(F.lit(float(c)) for c in centre))
+    at = sky.withColumns({"y0": npixel // 2 + m0 / cellsize, "x0": npixel // 2 - l0 / cellsize, "__n": n0}).where("__n > -1")
+    at = at.where((F.col("y0") >= 0) & (F.col("y0") <= npixel - 1) & (F.col("x0") >= 0) & (F.col("x0") <= npixel - 1))
+    taps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-1, 3) for b in range(-1, 3)))
+    near = at.select("y", "x", "y0", "x0", F.explode(taps).alias("c")).withColumns({"__y": F.floor("y0") + F.col("c.a"), "__x": F.floor("x0") + F.col("c.b")})
+    weight = _cubic(F.abs(F.col("y0") - F.col("__y"))) * _cubic(F.abs(F.col("x0") - F.col("__x")))
+    # At the border the pixels that are missing would be 0; the nearest ones stand for them.
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(npixel - 1), F.col(c)))
+    near = near.select("y", "x", inside("__y").alias("__y"), inside("__x").alias("__x"), weight.alias("__wt")).where("__wt <> 0")
+    return _looked_up(image, near)
+
+
+def fitted_width(psf: DataFrame, npixel: int) -> float:
+    """The larger deviation of a Gaussian fitted to the middle 15 x 15 pixels of the first plane of a point-spread function;
+    1 pixel where none fits. The logarithm is fitted by a paraboloid, weighed by the square of the value: one
+    aggregation of fixed size."""
+    first = psf.agg(F.min(F.struct("chan", "pol")).alias("f")).select("f.*")
+    y, x = F.col("y") - npixel // 2, F.col("x") - npixel // 2
+    rows = psf.join(F.broadcast(first), ["chan", "pol"]).where((F.abs(y) <= 7) & (F.abs(x) <= 7) & (F.col("value") > 0))
+    terms = [F.lit(1.0), y, x, y * y, x * x]
+    w, g = F.col("value") * F.col("value"), F.log("value")
+    sums = [F.sum(w * a * b) for k, a in enumerate(terms) for b in terms[k:]] + [F.sum(w * a * g) for a in terms]
+    found = [0.0 if v is None else float(v) for v in rows.agg(*sums).first()]
+    matrix, right = np.zeros((5, 5)), np.array(found[15:])
+    matrix[np.triu_indices(5)] = found[:15]
+    matrix = matrix + np.triu(matrix, 1).T
+    if np.linalg.matrix_rank(matrix) < 5:
+        return 1.0
+    *_, a, b = np.linalg.solve(matrix, right)
+    return float(max(1 / math.sqrt(-2 * a), 1 / math.sqrt(-2 * b))) if a < 0 and b < 0 else 1.0
+
+
+def restore(model: DataFrame, residual: DataFrame | None = None, width: float | None = None, *, psf: DataFrame | None = None, npixel: int | None = None) -> DataFrame:
+    """The model convolved with a Gaussian beam of peak 1 and that width, or the one fitted to ``psf``, and the residual added.
+    The result has the pixels of the residual, or those of the model where there is none."""
+    if width is None:
+        if psf is None or npixel is None:
+            raise ValueError("a width, or a point-spread function and its pixels, must be given")
+        width = fitted_width(psf, npixel)
+    if residual is None:
+        return smooth(model, width)
     return add_images(smooth(add_images(model, residual.withColumn("value", F.lit(0.0))), width), residual)

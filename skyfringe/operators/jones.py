@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
@@ -144,13 +144,47 @@ def calibrate_terms(vis: DataFrame, model: DataFrame, terms: list[Term], antenna
     return solved, vis
 
 
-def bandpass(gains: DataFrame) -> DataFrame:
-    """(slot, feed, ant, chan, b_re, b_im): gains by their weighted mean over channels; 0 where that is 0."""
-    total = F.sum("weight")
-    mean = lambda c: F.when(total > 0, F.sum(F.col(f"g_{c}") * F.col("weight")) / total).otherwise(F.lit(0.0)).alias(f"m_{c}")
-    means = gains.groupBy("slot", "feed", "ant").agg(mean("re"), mean("im"))
-    re, im = cx.div(cx.pair("g"), cx.pair("m"))
-    return gains.join(means, ["slot", "feed", "ant"]).select("slot", "feed", "ant", "chan", re.alias("b_re"), im.alias("b_im"))
+def bandpass(gains: DataFrame, *, trim: float = 0.25, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(slot, feed, ant, chan, b_re, b_im, delay_phase): the bandpass of each antenna, and the phase common to all of them.
+
+    delay_phase adds up, along the channels from ``first`` to ``last``, the mean over antennas of the phase steps from the
+    channel before, without the ``trim`` share of the smallest and of the largest; it is the delay's slope, and 0 outside of those
+    channels' steps but for what has added up. Gains are divided by the trimmed mean of their
+    amplitudes over antennas and turned by the phase of their medians. Steps are put between -pi and pi; antennas are ranked in a
+    window of one (slot, feed, chan), nothing else is.
+    """
+    group = ["slot", "feed", "chan"]
+    amp, phase = F.sqrt(F.col("g_re") * F.col("g_re") + F.col("g_im") * F.col("g_im")), F.atan2(F.col("g_im"), F.col("g_re"))
+    rows = gains.withColumns({"__a": amp, "__p": phase})
+    before = F.lag("__p").over(Window.partitionBy("slot", "feed", "ant").orderBy("chan"))
+    turn = 2 * math.pi
+    step = F.col("__p") - before
+    step = F.when(step > math.pi, step - turn).when(step < -math.pi, step + turn).otherwise(step)
+    rows = rows.withColumn("__d", step)
+
+    def ranked(df: DataFrame, value: str) -> DataFrame:
+        """Rows in order of a value within their channel, with the channel's number of antennas and how many to leave out."""
+        over = Window.partitionBy(*group)
+        numbered = df.withColumns({"__k": F.row_number().over(over.orderBy(value, "ant")), "__n": F.count(F.lit(1)).over(over)})
+        return numbered.withColumn("__off", F.rint(F.col("__n") * trim))
+
+    kept = (F.col("__k") > F.col("__off")) & (F.col("__k") <= F.col("__n") - F.col("__off"))
+    trimmed = lambda value, name: ranked(rows.where(F.col(value).isNotNull()), value).where(kept).groupBy(*group).agg(F.avg(value).alias(name))
+    middle = (F.col("__k") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__k") == F.floor(F.col("__n") / 2) + 1)
+    median = lambda value, name: ranked(rows, value).where(middle).groupBy(*group).agg(F.avg(value).alias(name))
+    common = trimmed("__a", "__amp").join(median("g_re", "__re"), group).join(median("g_im", "__im"), group).join(trimmed("__d", "__slope"), group, "left")
+    counted = F.lit(True)
+    if first is not None:
+        counted = counted & (F.col("chan") > first)
+    if last is not None:
+        counted = counted & (F.col("chan") < last)
+    along = Window.partitionBy("slot", "feed").orderBy("chan")
+    common = common.withColumn("delay_phase", F.sum(F.when(counted, F.coalesce("__slope", F.lit(0.0))).otherwise(F.lit(0.0))).over(along))
+    met = gains.join(common, group)
+    angle = F.atan2(F.col("__im"), F.col("__re"))
+    re, im = cx.mul(cx.pair("g"), (F.cos(angle), -F.sin(angle)))
+    by = lambda v: F.when(F.col("__amp") > 0, v / F.col("__amp")).otherwise(F.lit(0.0))
+    return met.select("slot", "feed", "ant", "chan", by(re).alias("b_re"), by(im).alias("b_im"), "delay_phase")
 
 
 def fit_component(vis: DataFrame, flux: float, l: float, m: float, *, rounds: int = 6) -> tuple[float, float, float]:  # noqa: E741

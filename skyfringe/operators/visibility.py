@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,15 +265,41 @@ def phase_rotate(vis: DataFrame, ra0: float, dec0: float, ra1: float, dec1: floa
     return vis.withColumns({"vis_re": re, "vis_im": im})
 
 
-def remove_continuum(df: DataFrame, keys: list[str], x: Column, value: str, weight: Column) -> DataFrame:
-    """``value`` less its weighted straight-line fit along x within ``keys``: one aggregation, joined back."""
+def remove_continuum(df: DataFrame, keys: list[str], x: Column, value: str | list[str], weight: Column, *, degree: int = 1) -> DataFrame:
+    """``value`` (or each of several) less its weighted polynomial fit of ``degree`` along x within ``keys``: one aggregation,
+    joined back. Rows without weight take no part in the fit; where a fit has too few points, the smallest solution is taken.
+
+    For spectra of images the keys are (pol, y, x). x should be scaled to about -1 to 1."""
+    values = [value] if isinstance(value, str) else value
     rows = df.withColumn("__x", x).withColumn("__w", weight)
-    s = {n: F.sum(F.col("__w") * f) for n, f in {"1": F.lit(1.0), "x": F.col("__x"), "xx": F.col("__x") * F.col("__x"), "y": F.col(value), "xy": F.col("__x") * F.col(value)}.items()}
-    det = s["1"] * s["xx"] - s["x"] * s["x"]
-    slope = F.when(F.abs(det) > 1e-12, (s["1"] * s["xy"] - s["x"] * s["y"]) / det).otherwise(F.lit(0.0))
-    fits = rows.groupBy(*keys).agg(slope.alias("__b"), F.when(s["1"] > 0, s["y"] / s["1"]).otherwise(F.lit(0.0)).alias("__my"), F.when(s["1"] > 0, s["x"] / s["1"]).otherwise(F.lit(0.0)).alias("__mx"))
-    fitted = F.col("__my") + F.col("__b") * (F.col("__x") - F.col("__mx"))
-    return rows.join(fits, keys).withColumn(value, F.col(value) - fitted).select(*df.columns)
+    if degree == 1:
+        s = {n: F.sum(F.col("__w") * f) for n, f in {"1": F.lit(1.0), "x": F.col("__x"), "xx": F.col("__x") * F.col("__x")}.items()}
+        det = s["1"] * s["xx"] - s["x"] * s["x"]
+        fits = [F.when(s["1"] > 0, s["x"] / s["1"]).otherwise(F.lit(0.0)).alias("__mx")]
+        for k, v in enumerate(values):
+            y, xy = F.sum(F.col("__w") * F.col(v)), F.sum(F.col("__w") * (F.col("__x") * F.col(v)))
+            slope = F.when(F.abs(det) > 1e-12, (s["1"] * xy - s["x"] * y) / det).otherwise(F.lit(0.0))
+            fits += [slope.alias(f"__b{k}"), F.when(s["1"] > 0, y / s["1"]).otherwise(F.lit(0.0)).alias(f"__m{k}")]
+        fitted = lambda k: F.col(f"__m{k}") + F.col(f"__b{k}") * (F.col("__x") - F.col("__mx"))
+        out = rows.join(rows.groupBy(*keys).agg(*fits), keys)
+        return out.withColumns({v: F.col(v) - fitted(k) for k, v in enumerate(values)}).select(*df.columns)
+    power = lambda k: F.pow(F.col("__x"), F.lit(float(k))) if k else F.lit(1.0)
+    n = degree + 1
+    moments = F.array(*(F.sum(F.col("__w") * power(k)) for k in range(2 * degree + 1)))
+    sides = [F.array(*(F.sum(F.col("__w") * power(k) * F.col(v)) for k in range(n))) for v in values]
+
+    @F.pandas_udf("array<double>")
+    def solve(s: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(s):
+            return pd.Series([], dtype=object)
+        s, b = np.stack(s.to_list()), np.stack(b.to_list())
+        normal = s[:, np.add.outer(np.arange(n), np.arange(n))]
+        return pd.Series(list(np.einsum("rij,rj->ri", np.linalg.pinv(normal, rcond=1e-12, hermitian=True), b)))
+
+    sums = rows.groupBy(*keys).agg(moments.alias("__s"), *(b.alias(f"__r{k}") for k, b in enumerate(sides)))
+    fits = sums.select(*keys, *(solve("__s", f"__r{k}").alias(f"__c{k}") for k in range(len(values))))
+    fitted = lambda k: sum((F.col(f"__c{k}")[i] * power(i) for i in range(n)), F.lit(0.0))
+    return rows.join(fits, keys).withColumns({v: F.col(v) - fitted(k) for k, v in enumerate(values)}).select(*df.columns)
 
 
 def to_wavelengths(vis: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyfringe.functions import coordinates as co
 from skyfringe.functions import polarisation as po
 from skyfringe.functions import windows as wi
+from skyfringe.operators import beams as be
 from skyfringe.operators import calibration as ca
 from skyfringe.operators import clean as cl
 from skyfringe.operators import gridding as gr
@@ -21,6 +22,7 @@ from skyfringe.operators import joins as jo
 from skyfringe.operators import kernels as ke
 from skyfringe.operators import screens as sc
 from skyfringe.operators import skymodel as sk
+from skyfringe.operators import spectra as ss
 from skyfringe.operators import visibility as vi
 from skyfringe.streaming import calibration as st
 
@@ -578,25 +580,54 @@ def _(t: Views) -> DataFrame:
     return im.voronoi(t("fx_pixel"), c)
 
 
-def _beam_sql(r2: str) -> str:
-    """The square of the power beam of a disk, by the series of ``generic_beam``."""
-    total = "1e0"
-    for k in range(12, 0, -1):
-        total = f"(1 - q / {k * (k + 1)}e0 * {total})"
-    return f"pow({total}, 4)", f"{r2} / 4"
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    total = repr(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        total = f"({total} * {x} + {c!r}::DOUBLE)"
+    return total
 
 
-@register("i16_mosaic_beam", "chan pol y x", "value", "SELECT chan, pol, p.y, p.x, s AS value FROM fx_pixel p JOIN (SELECT y, x, sqrt(sum({0})) AS s FROM (SELECT y, x, {1} AS q FROM (SELECT DISTINCT y, x FROM fx_pixel), (SELECT (ant * 7) % 64 AS py, (ant * 13) % 64 AS px FROM fx_antenna)) GROUP BY y, x) b ON b.y = p.y AND b.x = p.x".format(*_beam_sql("((y - py) * (y - py) + (x - px) * (x - px)) * 1e-2")), grid=4096.0)
+def _disk_sql(r: str) -> str:
+    """2 J1(r) / r of a column."""
+    t = f"(3e0 / greatest({r}, 3e0))"
+    return f"CASE WHEN {r} < 3e0 THEN 2 * {_horner(be.J1_NEAR, f'({r} * {r} / 9e0)')} ELSE 2 * {_horner(be.J1_MODULUS, t)} * cos({r} + {_horner(be.J1_PHASE, t)}) / ({r} * sqrt({r})) END"
+
+
+@register("i16_mosaic_beam", "chan pol y x", "value", f"SELECT chan, pol, p.y, p.x, s AS value FROM fx_pixel p JOIN (SELECT y, x, sqrt(sum(v * v * (v * v))) AS s FROM (SELECT y, x, {_disk_sql('r')} AS v FROM (SELECT y, x, sqrt((y - py) * (y - py) + (x - px) * (x - px)) * 7e-1 AS r FROM (SELECT DISTINCT y, x FROM fx_pixel), (SELECT (ant * 7) % 64 AS py, (ant * 13) % 64 AS px FROM fx_antenna))) GROUP BY y, x) b ON b.y = p.y AND b.x = p.x")
 def _(t: Views) -> DataFrame:
     c = t("fx_antenna").select((F.col("ant") * 7 % 64).alias("py"), (F.col("ant") * 13 % 64).alias("px"))
-    return im.mosaic_beam(t("fx_pixel"), c, 0.1)
+    return be.mosaic_beam(t("fx_pixel"), c, 0.7)
+
+
+_VLA = f"(1e8 + chan * 1e6) / {be.C!r}"
+
+
+@register("i15_primary_beam", "chan pol y x", "value", f"SELECT chan, pol, y, x, pow({_disk_sql('d')} - {(1.8 / 25.0) ** 2!r} * {_disk_sql('b')}, 2) AS value FROM (SELECT *, r * {math.pi * 25.0!r} * {_VLA} AS d, r * {math.pi * 1.8!r} * {_VLA} AS b FROM (SELECT *, sqrt((y - 32) * (y - 32) + (x - 32) * (x - 32)) * 45e-3 AS r FROM fx_pixel))")
+def _(t: Views) -> DataFrame:
+    return be.primary_beam(t("fx_pixel"), 64, 0.045, 1e8 + F.col("chan") * 1e6, "VLA")
+
+
+@register("i15_tapered_beam", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return be.tapered_beam(t("fx_pixel"), 64, 0.01, 1e8 + F.col("chan") * 1e6, 15.0)
 
 
-@register("i12_find_sources", "source_id pixels", "y x peak flux")
+LABELLED = """WITH RECURSIVE cell AS (SELECT pol, y, x, avg(value) AS value FROM fx_pixel GROUP BY pol, y, x HAVING avg(value) > 45e-1),
+  reach AS (SELECT pol, y, x, y AS ry, x AS rx FROM cell UNION SELECT r.pol, r.y, r.x, c.y, c.x FROM reach r JOIN cell c ON c.pol = r.pol AND abs(c.y - r.ry) <= 1 AND abs(c.x - r.rx) <= 1),
+  named AS (SELECT pol, y, x, min((pol * 268435456 + ry) * 268435456 + rx) AS label FROM reach GROUP BY pol, y, x)
+  SELECT pol, y, x, value, label FROM cell JOIN named USING (pol, y, x)"""
+
+
+@register("i12_find_sources", "pol source_id pixels", "y x peak flux", f"SELECT pol, label AS source_id, count(*) AS pixels, sum(y * value) / sum(value) AS y, sum(x * value) / sum(value) AS x, max(value) AS peak, sum(value) AS flux FROM ({LABELLED}) GROUP BY pol, label HAVING count(*) >= 3")
 def _(t: Views) -> DataFrame:
     return im.find_sources(t("fx_pixel"), 4.5, 3)
 
 
+@register("i12_source_spectra", "pol source_id chan", "flux", f"SELECT pol, label AS source_id, chan, max(p.value) AS flux FROM fx_pixel p JOIN (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM ({LABELLED})) c USING (pol, y, x) WHERE n >= 3 GROUP BY pol, label, chan")
+def _(t: Views) -> DataFrame:
+    return im.source_spectra(t("fx_pixel"), 4.5, 3)
+
+
 @register("d01_clean_threshold", "", "threshold", "SELECT greatest(max(abs(value)) * 1e-1, 1e-2) AS threshold FROM (SELECT avg(value) AS value FROM fx_pixel GROUP BY pol, y, x)")
 def _(t: Views) -> DataFrame:
     return im.clean_threshold(t("fx_pixel"), 0.1, 0.01)
@@ -756,9 +787,9 @@ def _(t: Views) -> DataFrame:
     return im.from_frequency_moments(im.frequency_moments(p, 1e8 + F.col("chan") * 1e6, 50e6, 3), channels, 50e6)
 
 
-@register("i14_reproject", "chan pol y x", "value footprint", "SELECT chan, pol, n.y, n.x, sum(value * wt) AS value, sum(wt) AS footprint FROM (SELECT y, x, floor(y0) + a AS oy, floor(x0) + b AS ox, (1 - abs(y0 - floor(y0) - a)) * (1 - abs(x0 - floor(x0) - b)) AS wt FROM (SELECT y, x, y * 75e-2 + 25e-2 AS y0, x * 75e-2 + 5e-1 AS x0 FROM (SELECT unnest(range(48)) AS y), (SELECT unnest(range(48)) AS x)), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) n JOIN fx_pixel p ON p.y = oy AND p.x = ox WHERE wt > 0 GROUP BY chan, pol, n.y, n.x")
+@register("i14_resample", "chan pol y x", "value footprint", "SELECT chan, pol, n.y, n.x, sum(value * wt) AS value, sum(wt) AS footprint FROM (SELECT y, x, floor(y0) + a AS oy, floor(x0) + b AS ox, (1 - abs(y0 - floor(y0) - a)) * (1 - abs(x0 - floor(x0) - b)) AS wt FROM (SELECT y, x, y * 75e-2 + 25e-2 AS y0, x * 75e-2 + 5e-1 AS x0 FROM (SELECT unnest(range(48)) AS y), (SELECT unnest(range(48)) AS x)), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) n JOIN fx_pixel p ON p.y = oy AND p.x = ox WHERE wt > 0 GROUP BY chan, pol, n.y, n.x")
 def _(t: Views) -> DataFrame:
-    return im.reproject(t("fx_pixel"), 0.25, 0.5, 0.75, 48)
+    return im.resample(t("fx_pixel"), 0.25, 0.5, 0.75, 48)
 
 
 @register("i17_restore", "chan pol y x", "value", f"SELECT p.chan, p.pol, p.y, p.x, p.value / 10 + coalesce(s.value, 0) AS value FROM fx_pixel p LEFT JOIN (SELECT p.chan, p.pol, p.y, p.x, sum(q.value * a.k * b.k) AS value FROM fx_pixel p JOIN (VALUES {GK}) a(d, k) ON true JOIN (VALUES {GK}) b(d, k) ON true JOIN (SELECT * FROM fx_pixel WHERE value > 3) q ON q.chan = p.chan AND q.pol = p.pol AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY p.chan, p.pol, p.y, p.x) s ON s.chan = p.chan AND s.pol = p.pol AND s.y = p.y AND s.x = p.x")
@@ -993,9 +1024,25 @@ def _(t: Views) -> DataFrame:
     return jn.solve_jones(ca.point_ratios(_corrupted(t), t("fx_model"), 160.0), 15, rounds=60)
 
 
-@register("c05_bandpass", "time feed ant chan", "b_re b_im", "SELECT time, 0 AS feed, ant, chan, CASE WHEN n > 0 THEN (g_re * m_re + g_im * m_im) / n ELSE 0 END AS b_re, CASE WHEN n > 0 THEN (g_im * m_re - g_re * m_im) / n ELSE 0 END AS b_im FROM (SELECT *, m_re * m_re + m_im * m_im AS n FROM fx_gain JOIN (SELECT time, ant, CASE WHEN sum(weight) > 0 THEN sum(g_re * weight) / sum(weight) ELSE 0 END AS m_re, CASE WHEN sum(weight) > 0 THEN sum(g_im * weight) / sum(weight) ELSE 0 END AS m_im FROM fx_gain GROUP BY time, ant) USING (time, ant))")
+def _bandpass_sql() -> str:
+    """Trimmed means and medians over antennas by rank."""
+    rank = "SELECT time, chan, avg({0}) AS {1} FROM (SELECT *, row_number() OVER (PARTITION BY time, chan ORDER BY {0}, ant) AS k, count(*) OVER (PARTITION BY time, chan) AS n FROM steps{3}) WHERE {2} GROUP BY time, chan"
+    kept, middle = "k > round_even(n * 25e-2, 0) AND k <= n - round_even(n * 25e-2, 0)", "k = (n + 1) // 2 OR k = n // 2 + 1"
+    return f"""WITH turned AS (SELECT time, ant, chan, g_re * cos(t) - g_im * sin(t) AS g_re, g_im * cos(t) + g_re * sin(t) AS g_im FROM (SELECT *, 3e-1 * chan * (1 + ant % 3) AS t FROM fx_gain)),
+      polar AS (SELECT *, sqrt(g_re * g_re + g_im * g_im) AS a, atan2(g_im, g_re) AS p FROM turned),
+      stepped AS (SELECT *, p - lag(p) OVER (PARTITION BY time, ant ORDER BY chan) AS d0 FROM polar),
+      steps AS (SELECT *, CASE WHEN d0 > pi() THEN d0 - 2 * pi() WHEN d0 < -pi() THEN d0 + 2 * pi() ELSE d0 END AS d FROM stepped),
+      amp AS ({rank.format('a', 'amp', kept, '')}), re AS ({rank.format('g_re', 're', middle, '')}), im AS ({rank.format('g_im', 'im', middle, '')}), slope AS ({rank.format('d', 'slope', kept, ' WHERE d IS NOT NULL')}),
+      common AS (SELECT *, sum(coalesce(slope, 0)) OVER (PARTITION BY time ORDER BY chan) AS delay_phase, atan2(im, re) AS angle FROM amp JOIN re USING (time, chan) JOIN im USING (time, chan) LEFT JOIN slope USING (time, chan))
+      SELECT g.time, 0 AS feed, ant, g.chan, (g_re * cos(angle) + g_im * sin(angle)) / amp AS b_re, (g_im * cos(angle) - g_re * sin(angle)) / amp AS b_im, delay_phase FROM polar g JOIN common USING (time, chan)"""
+
+
+@register("c05_bandpass", "time feed ant chan", "b_re b_im delay_phase", _bandpass_sql())
 def _(t: Views) -> DataFrame:
-    gains = t("fx_gain").withColumns({"slot": F.col("time"), "feed": F.lit(0)})
+    # Antennas of three kinds, each with a delay: a phase that turns with the channel.
+    turn = 0.3 * F.col("chan") * (1 + F.col("ant") % 3)
+    re, im_ = F.col("g_re") * F.cos(turn) - F.col("g_im") * F.sin(turn), F.col("g_im") * F.cos(turn) + F.col("g_re") * F.sin(turn)
+    gains = t("fx_gain").withColumns({"slot": F.col("time"), "feed": F.lit(0), "g_re": re, "g_im": im_})
     return jn.bandpass(gains).withColumnRenamed("slot", "time")
 
 
@@ -1037,9 +1084,58 @@ def _(t: Views) -> DataFrame:
     return im.bounding_box(t("fx_pixel"), 0.8)
 
 
-@register("i19_structure_function", "chan pol lag pairs", "value", "SELECT a.chan, a.pol, lag, avg((a.value - b.value) * (a.value - b.value)) AS value, count(*) AS pairs FROM fx_pixel a, (SELECT unnest(range(1, 6)) AS lag), fx_pixel b WHERE b.chan = a.chan AND b.pol = a.pol AND b.y = a.y AND b.x = a.x + lag GROUP BY a.chan, a.pol, lag")
+CUBIC = "CASE WHEN d{0} < 1 THEN (15e-1 * d{0} - 25e-1) * d{0} * d{0} + 1 WHEN d{0} < 2 THEN ((-5e-1 * d{0} + 25e-1) * d{0} - 4) * d{0} + 2 ELSE 0e0 END"
+
+
+def _reproject_sql(ra0: float, dec0: float, ra1: float, dec1: float) -> str:
+    s0, c0, s1, c1 = (repr(f(d)) for d in (dec0, dec1) for f in (math.sin, math.cos))
+    new = "SELECT y, x, -(x - 24) * 4e-3 AS l, (y - 24) * 4e-3 AS m FROM (SELECT unnest(range(48)) AS y), (SELECT unnest(range(48)) AS x)"
+    sky = f"SELECT *, {ra1!r} + atan2(l, n * {c1} - m * {s1}) AS ra, asin(m * {c1} + n * {s1}) AS dec FROM (SELECT *, sqrt(1 - l * l - m * m) AS n FROM ({new}))"
+    old = f"SELECT y, x, 32 + (sin(dec) * {c0} - cos(dec) * {s0} * cos(ra - {ra0!r})) / 4e-3 AS y0, 32 - cos(dec) * sin(ra - {ra0!r}) / 4e-3 AS x0 FROM ({sky})"
+    taps = f"SELECT y, x, floor(y0) + a AS oy, floor(x0) + b AS ox, abs(y0 - floor(y0) - a) AS dy, abs(x0 - floor(x0) - b) AS dx FROM ({old}), (SELECT unnest([-1, 0, 1, 2]) AS a), (SELECT unnest([-1, 0, 1, 2]) AS b) WHERE y0 >= 0 AND y0 <= 63 AND x0 >= 0 AND x0 <= 63"
+    near = f"SELECT y, x, greatest(0, least(63, oy)) AS oy, greatest(0, least(63, ox)) AS ox, ({CUBIC.format('y')}) * ({CUBIC.format('x')}) AS wt FROM ({taps})"
+    return f"SELECT chan, pol, n.y, n.x, sum(value * wt) AS value, sum(wt) AS footprint FROM ({near}) n JOIN fx_pixel p ON p.y = oy AND p.x = ox WHERE wt <> 0 GROUP BY chan, pol, n.y, n.x"
+
+
+@register("i14_reproject", "chan pol y x", "value footprint", _reproject_sql(RA0, DEC0, RA0 + 0.02, DEC0 - 0.03))
+def _(t: Views) -> DataFrame:
+    return im.reproject(t("fx_pixel"), 64, 0.004, (RA0, DEC0), to_npixel=48, to_cellsize=0.004, to_centre=(RA0 + 0.02, DEC0 - 0.03))
+
+
+@register("i17_restore_fitted", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    psf = ca.materialize(gr.invert(v, 32, 2 * CELL, psf=True))
+    dirty = ca.materialize(gr.invert(v, 32, 2 * CELL))
+    found = ca.materialize(cl.clean(dirty, psf, most=30))
+    return im.restore(found.select(*im.PIXEL, F.col("model").alias("value")), found.select(*im.PIXEL, F.col("residual").alias("value")), psf=psf, npixel=32)
+
+
+@register("i19_structure_function", "chan dy dx", "value", "SELECT chan, dy, dx, 1 - a / max(a) OVER (PARTITION BY chan) AS value FROM (SELECT p.chan, q.y - p.y AS dy, q.x - p.x AS dx, sum(p.value * q.value) AS a FROM fx_pixel p JOIN fx_pixel q ON q.chan = p.chan AND q.pol = p.pol WHERE q.y - p.y BETWEEN -16 AND 15 AND q.x - p.x BETWEEN -16 AND 15 GROUP BY p.chan, q.y - p.y, q.x - p.x)", grid=float(1 << 16))
+def _(t: Views) -> DataFrame:
+    return im.structure_function(t("fx_pixel"), 64, ["chan"])
+
+
+@register("i07_image_continuum", "chan pol y x", "value", "SELECT p.chan, pol, y, x, value - (my + b * (p.chan / 2e0 - 1 - mx)) AS value FROM fx_pixel p JOIN (SELECT pol, y, x, sy / s1 AS my, sx / s1 AS mx, CASE WHEN abs(s1 * sxx - sx * sx) > 1e-12 THEN (s1 * sxy - sx * sy) / (s1 * sxx - sx * sx) ELSE 0 END AS b FROM (SELECT pol, y, x, count(*) * 1e0 AS s1, sum(chan / 2e0 - 1) AS sx, sum((chan / 2e0 - 1) * (chan / 2e0 - 1)) AS sxx, sum(value) AS sy, sum((chan / 2e0 - 1) * value) AS sxy FROM fx_pixel GROUP BY pol, y, x)) f USING (pol, y, x)", grid=4096.0)
+def _(t: Views) -> DataFrame:
+    return vi.remove_continuum(t("fx_pixel"), ["pol", "y", "x"], F.col("chan") / 2.0 - 1, "value", F.lit(1.0))
+
+
+@register("i07_remove_cubic", KEY, "vis_re vis_im")
+def _(t: Views) -> DataFrame:
+    return vi.remove_continuum(t("fx_vis"), ["time", "a1", "a2", "pol"], F.col("chan") / 3 - 1, ["vis_re", "vis_im"], F.col("weight"), degree=3)
+
+
+@register("x22_spline_spectra", "vec_id half_chan", "value")
+def _(t: Views) -> DataFrame:
+    rows = t("fx_spectrum").select("vec_id", F.col("chan").cast("double").alias("frequency"), "value")
+    return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.5 for k in range(63)]).withColumn("half_chan", F.floor("frequency"))
+
+
+@register("x22_linear_spectra", "vec_id half_chan", "value", "SELECT a.vec_id, a.chan AS half_chan, (a.value + b.value) / 2 AS value FROM fx_spectrum a JOIN fx_spectrum b ON b.vec_id = a.vec_id AND b.chan = a.chan + 1")
 def _(t: Views) -> DataFrame:
-    return im.structure_function(t("fx_pixel"), 5)
+    rows = t("fx_spectrum").select("vec_id", F.col("chan").cast("double").alias("frequency"), "value")
+    return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.5 for k in range(63)], kind="linear").withColumn("half_chan", F.floor("frequency"))
 
 
 @register("i11_insert_lanczos", "chan pol y x", "value")

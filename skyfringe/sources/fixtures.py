@@ -1,6 +1,6 @@
 """Views over the star-schema test tables that stand in for observations.
 
-The statements run unchanged in Spark and DuckDB but for the number of days since a date, so both sides of a
+The statements run unchanged in Spark and DuckDB but for the number of days since a date and the place in an array, so both sides of a
 comparison start from one text. Spark reads the tables named in braces; DuckDB has them as views of that name.
 """
 
@@ -52,6 +52,8 @@ VIEWS: dict[str, str] = {
         SELECT CAST(month(o_orderdate) % 5 AS BIGINT) AS chan, 0 AS pol, o_orderkey % 64 AS y, o_custkey % 64 AS x, sum(CAST(o_totalprice AS DOUBLE)) / 1e5 AS value
         FROM {orders} GROUP BY month(o_orderdate) % 5, o_orderkey % 64, o_custkey % 64""",
     "fx_mask": "SELECT *, CASE WHEN (x - 32) * (x - 32) + (y - 32) * (y - 32) < 400 THEN 1e0 ELSE 0e0 END AS mask FROM fx_pixel",
+    "fx_spectrum": f"""
+        SELECT vec_id, CAST(k - 1 AS BIGINT) AS chan, CAST(AT(embedding, k) AS DOUBLE) AS value FROM {{embeddings}} CROSS JOIN (VALUES {", ".join(f"({k})" for k in range(1, 65))}) AS c(k)""",
     "fx_stream": """
         SELECT ts, least(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a1, greatest(user_id % 15, (user_id % 15 + 1 + event_id % 14) % 15) AS a2,
                CAST(value AS DOUBLE) AS x_re, CAST(event_id % 11 - 5 AS DOUBLE) AS x_im, 1e0 AS weight
@@ -74,22 +76,22 @@ def _needed(body: str) -> list[str]:
     return [v for v in VIEWS if v in used]
 
 
-def with_views(body: str, *, days: str, tables: dict[str, str], quote: str, hint: str = "") -> str:
+def with_views(body: str, *, days: str, at: str, tables: dict[str, str], quote: str, hint: str = "") -> str:
     """``body`` after WITH clauses for the views that it uses."""
     ctes = ", ".join(f"{v} AS {hint}({VIEWS[v]})" for v in _needed(body))
     text = f"WITH {ctes} {body}" if ctes else body
-    text = re.sub(r"DAYS\((\w+)\)", days, text).replace('"', quote)
+    text = re.sub(r"\bAT\(", f"{at}(", re.sub(r"DAYS\((\w+)\)", days, text)).replace('"', quote)
     return text.format(**tables)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables of ``sf_dir``."""
     body = f"SELECT * FROM {name}"
-    text = with_views(body, days=r"datediff(\1, DATE'1995-01-01')", tables={t: "{" + t + "}" for t in TABLES}, quote="`")
+    text = with_views(body, days=r"datediff(\1, DATE'1995-01-01')", at="element_at", tables={t: "{" + t + "}" for t in TABLES}, quote="`")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
 def duckdb_sql(body: str) -> str:
     """The DuckDB statement of ``body`` with its views, each computed once."""
-    return with_views(body, days=r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", tables={t: t for t in TABLES}, quote='"', hint="MATERIALIZED ")
+    return with_views(body, days=r"date_diff('day', DATE '1995-01-01', CAST(\1 AS DATE))", at="list_extract", tables={t: t for t in TABLES}, quote='"', hint="MATERIALIZED ")
