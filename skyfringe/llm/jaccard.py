@@ -273,16 +273,15 @@ def _compare(left: DataFrame, right: DataFrame, sketches: DataFrame, sets: Calla
 
     def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
         """Each row with its own block and every block of the other side."""
-        rows = side
-        for sizes, n in ((left_blocks, "nl"), (right_blocks, "nr")):
-            rows = join_small(rows, sizes, "hub", "left", rows=broadcast_rows).withColumn(n, F.coalesce(n, F.lit(1)))
+        rows = join_small(side, sizes, "hub", "left", rows=broadcast_rows).withColumns({n: F.coalesce(n, F.lit(1)) for n in ("nl", "nr")})
         mine, theirs = ("nl", "nr") if number == 0 else ("nr", "nl")
         every = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
         return rows.select("hub", "node", F.pmod(F.xxhash64("node"), F.col(mine)).cast("int").alias(own), F.lit(number).alias("side"), every.alias(other))
 
     # Only hubs of more than a block need their number of blocks, a row for at least ``block`` rows.
-    blocks = lambda side, name: side.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)).where(F.col(name) > 1)
-    left_blocks, right_blocks = blocks(left, "nl"), blocks(right, "nr")
+    counted = left.select("hub", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("hub", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    blocks = lambda c, name: F.greatest(F.lit(1), F.ceil(F.sum(c) / block)).cast("int").alias(name)
+    sizes = counted.groupBy("hub").agg(blocks("l", "nl"), blocks("r", "nr")).where("nl > 1 OR nr > 1")
     rows = dealt(left, 0, "i", "j").unionByName(dealt(right, 1, "j", "i"))
     units = lambda n: F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, -(-n // unit_rows)))).alias("unit")
 
