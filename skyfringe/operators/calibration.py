@@ -7,9 +7,6 @@ intervals, channels and feeds are the units of work and spread over the cluster.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,21 +15,8 @@ from pyspark.sql import functions as F
 from skyfringe.functions import complexmath as cx
 
 from .joins import product_feeds
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write below spark.checkpoint.dir and read back. Where that isn't set, a temporary folder will do for a master on
-    this machine (tests); on a cluster it is an error."""
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/skyfringe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .tables import discard, materialize
+from .visibility import exact_median
 
 
 def linked_groups(links: DataFrame) -> DataFrame:
@@ -48,9 +32,11 @@ def linked_groups(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("group").alias("old"), F.least("group", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("group").alias("far"))
         moved = materialize(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("group")))
-        labels = moved.select("node", "group")
+        discard(labels)
+        labels = moved
         if not moved.where("old <> group").limit(1).count():
-            return labels
+            discard(edges)
+            return labels.select("node", "group")
 
 
 def gain_intervals(vis: DataFrame, antennas: DataFrame, timeslice: float) -> DataFrame:
@@ -62,16 +48,20 @@ def gain_intervals(vis: DataFrame, antennas: DataFrame, timeslice: float) -> Dat
     return rows.select("time", F.lit(float(timeslice)).alias("interval"), "ant", "chan", F.lit(1.0).alias("g_re"), F.lit(0.0).alias("g_im"), F.lit(1.0).alias("weight"))
 
 
-def point_ratios(vis: DataFrame, model: DataFrame, timeslice: float) -> DataFrame:
-    """(slot, a1, a2, chan, pol, x_re, x_im, weight): the weighted mean of V / M over a solution interval, for each
-    product. The ratio's weight is |M| ** 2 * weight, so no division is needed before the sums."""
+def point_ratios(vis: DataFrame, model: DataFrame, timeslice: float, *, keys: list[str] | None = None, all_channels: bool = False) -> DataFrame:
+    """(keys, slot, a1, a2, chan, pol, x_re, x_im, weight): the weighted mean of V / M over a solution interval, for each
+    product, and for all channels together (chan 0) with ``all_channels``. The ratio's weight is |M| ** 2 * weight, so no
+    division is needed before the sums. ``keys`` are further columns, such as model_id, that both tables have."""
+    keys = keys or []
     slot = F.floor(F.col("time") / timeslice)
-    rows = vis.join(model, ["time", "a1", "a2", "chan", "pol"])
+    rows = vis.join(model, [*keys, "time", "a1", "a2", "chan", "pol"])
+    if all_channels:
+        rows = rows.withColumn("chan", F.lit(0))
     v, m = cx.pair("vis"), cx.pair("m")
     re, im = cx.mul(v, cx.conj(m))
     total = F.sum(cx.abs2(m) * F.col("weight"))
     mean = lambda c: F.when(total > 0, F.sum(c * F.col("weight")) / total).otherwise(F.lit(0.0))
-    return rows.groupBy(slot.alias("slot"), "a1", "a2", "chan", "pol").agg(mean(re).alias("x_re"), mean(im).alias("x_im"), total.alias("weight"))
+    return rows.groupBy(*keys, slot.alias("slot"), "a1", "a2", "chan", "pol").agg(mean(re).alias("x_re"), mean(im).alias("x_im"), total.alias("weight"))
 
 
 def solve_scalar(x: np.ndarray, wt: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-9, phase_only: bool = False, reference: int = 0, damping: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +89,14 @@ def _with_pol(ratios: DataFrame) -> DataFrame:
     return ratios if "pol" in ratios.columns else ratios.withColumn("pol", F.lit(0))
 
 
-def solve_gains(ratios: DataFrame, antennas: int, *, cross: bool = True, **options) -> DataFrame:
-    """(slot, chan, feed, ant, g_re, g_im, weight) from the ratios of each (slot, chan, feed).
+def solve_gains(ratios: DataFrame, antennas: int, *, cross: bool = True, keys: list[str] | None = None, normalise: bool = False, **options) -> DataFrame:
+    """(keys, slot, chan, feed, ant, g_re, g_im, weight) from the ratios of each (keys, slot, chan, feed).
 
     A product of a feed with itself solves that feed: 0 and 3 of four products, 0 and 1 of a frame without cross
-    products (``cross=False``). Cross products take no part.
+    products (``cross=False``). Cross products take no part. With ``normalise``, and unless only phases are solved, gains
+    are divided by their mean amplitude. ``keys`` are further whole numbers, such as model_id, that solutions go by.
     """
+    keys = keys or []
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         x, wt = np.zeros((antennas, antennas), complex), np.zeros((antennas, antennas))
@@ -113,11 +105,15 @@ def solve_gains(ratios: DataFrame, antennas: int, *, cross: bool = True, **optio
         wt[i, j] = pdf["weight"]
         x, wt = x + x.conj().T, wt + wt.T
         g, weight = solve_scalar(x, wt, **options)
-        return pd.DataFrame({"slot": pdf["slot"].iloc[0], "chan": pdf["chan"].iloc[0], "feed": pdf["feed"].iloc[0], "ant": np.arange(antennas), "g_re": g.real, "g_im": g.imag, "weight": weight})
+        if normalise and not options.get("phase_only"):
+            size = np.abs(g).mean()
+            g = g / size if size > 0 else g
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in [*keys, "slot", "chan", "feed"]} | {"ant": np.arange(antennas), "g_re": g.real, "g_im": g.imag, "weight": weight})
 
     f1, f2 = product_feeds(F.col("pol"), cross)
     parallel = _with_pol(ratios).where(f1 == f2).withColumn("feed", f1)
-    return parallel.groupBy("slot", "chan", "feed").applyInPandas(solve, "slot long, chan long, feed long, ant long, g_re double, g_im double, weight double")
+    schema = "".join(f"{k} long, " for k in keys) + "slot long, chan long, feed long, ant long, g_re double, g_im double, weight double"
+    return parallel.groupBy(*keys, "slot", "chan", "feed").applyInPandas(solve, schema)
 
 
 def gain_residual(ratios: DataFrame, gains: DataFrame, *, cross: bool = True) -> DataFrame:
@@ -141,9 +137,12 @@ def station_correlations(signals: DataFrame) -> DataFrame:
 
 def gain_quality(gains: DataFrame) -> DataFrame:
     """Extremes, deviation and median of amplitude and phase where there is weight, and the largest residual where gains
-    have one; one row. Medians are exact: their histogram is one row a distinct value, summed before it is sent."""
+    have one; one row. Medians are found by narrowing bins, so no task holds all values."""
     g = gains.where(F.col("weight") > 0)
     amp, phase = cx.magnitude(cx.pair("g")), F.atan2(F.col("g_im"), F.col("g_re"))
-    figures = {"max": F.max, "min": F.min, "std": F.stddev_pop, "median": F.median}
+    figures = {"max": F.max, "min": F.min, "std": F.stddev_pop}
     more = [F.max("residual").alias("residual")] if "residual" in gains.columns else []
-    return g.agg(*(f(c).alias(f"{n}_{k}") for n, c in (("amp", amp), ("phase", phase)) for k, f in figures.items()), *more)
+    one = g.agg(*(f(c).alias(f"{n}_{k}") for n, c in (("amp", amp), ("phase", phase)) for k, f in figures.items()), *more)
+    for n, c in (("amp", amp), ("phase", phase)):
+        one = one.crossJoin(F.broadcast(exact_median(g.select(c.alias("x")), "x").withColumnRenamed("median", f"{n}_median")))
+    return one

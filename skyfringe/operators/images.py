@@ -45,17 +45,18 @@ def gradients(image: DataFrame) -> DataFrame:
     return image.select(*PIXEL, d("y", "x").alias("gx"), d("x", "y").alias("gy"))
 
 
-def smooth(image: DataFrame, width: float) -> DataFrame:
-    """Gaussian convolution, one axis after the other; the kernel has 2 * ceil(4 width) + 1 numbers."""
+def smooth(image: DataFrame, width: float, *, keys: list[str] | None = None) -> DataFrame:
+    """Gaussian convolution of each plane (chan and pol where no keys are given), one axis after the other; the kernel has
+    2 * ceil(4 width) + 1 numbers."""
+    names = [*(keys or PIXEL[:2]), "y", "x"]
     reach = int(-(-4 * width // 1))
     offsets = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(2.718281828459045 ** (-d * d / (2 * width * width))).alias("k")) for d in range(-reach, reach + 1)))
 
     def along(rows: DataFrame, axis: str) -> DataFrame:
         spread = rows.withColumn("o", F.explode(offsets)).withColumns({axis: F.col(axis) + F.col("o.d"), "value": F.col("value") * F.col("o.k")})
-        return spread.groupBy(*PIXEL).agg(F.sum("value").alias("value"))
+        return spread.groupBy(*names).agg(F.sum("value").alias("value"))
 
-    inside = image.select(*PIXEL)
-    return along(along(image.select(*PIXEL, "value"), "x"), "y").join(inside, PIXEL)
+    return along(along(image.select(*names, "value"), "x"), "y").join(image.select(*names), names)
 
 
 def frequency_moments(image: DataFrame, frequency: Column, reference: float, n: int) -> DataFrame:

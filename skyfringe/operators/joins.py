@@ -8,14 +8,13 @@ no all-pairs step.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
 from skyfringe.functions.coordinates import separation, sky_to_lmn
 
+from .components import component_visibilities
 from .visibility import KEY
 
 
@@ -54,21 +53,23 @@ def product_feeds(pol: Column, cross: bool) -> tuple[Column, Column]:
     return (F.floor(pol / 2), pol % 2) if cross else (pol, pol)
 
 
-def apply_gains(vis: DataFrame, gains: DataFrame, *, interval: float, first: float, inverse: bool = False, cross: bool = True) -> DataFrame:
+def apply_gains(vis: DataFrame, gains: DataFrame, *, interval: float, first: float, inverse: bool = False, cross: bool = True, keys: list[str] | None = None) -> DataFrame:
     """V g1 conj(g2), or V / (g1 conj(g2)) where that isn't 0, with the gains of the interval that holds the time.
 
     Intervals have one length and centres first, first + interval, ...; a row whose time is in none is left out.
     V and weight are 0 where an antenna's gain has no weight. Gains with a ``feed`` join the feeds of the product, in a
-    frame with cross products or without (``cross=False``); gains without one hold for all products.
+    frame with cross products or without (``cross=False``); gains without one hold for all products. ``keys`` are further
+    columns, such as model_id, that both have and must be equal.
     """
+    keys = keys or []
     by_feed = "feed" in gains.columns
     number = lambda t: F.round((F.col(t) - first) / interval).cast("long")
-    table = gains.withColumn("__k", number("time")).select("__k", "ant", "chan", *(["feed"] if by_feed else []), "g_re", "g_im", F.col("weight").alias("gw"))
+    table = gains.withColumn("__k", number("time")).select(*keys, "__k", "ant", "chan", *(["feed"] if by_feed else []), "g_re", "g_im", F.col("weight").alias("gw"))
     feed = lambda n: [F.col("feed").alias(f"__f{n}")] if by_feed else []
-    side = lambda n: table.select("__k", "chan", *feed(n), F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"), F.col("gw").alias(f"gw{n}"))
+    side = lambda n: table.select(*keys, "__k", "chan", *feed(n), F.col("ant").alias(f"a{n}"), F.col("g_re").alias(f"g{n}_re"), F.col("g_im").alias(f"g{n}_im"), F.col("gw").alias(f"gw{n}"))
     rows = vis.withColumn("__k", number("time")).where(F.abs(F.col("time") - (F.col("__k") * interval + first)) < interval / 2)
     rows = rows.withColumns(dict(zip(("__f1", "__f2"), product_feeds(F.col("pol"), cross), strict=True))) if by_feed else rows
-    on = lambda n: ["__k", "chan", f"a{n}", *([f"__f{n}"] if by_feed else [])]
+    on = lambda n: [*keys, "__k", "chan", f"a{n}", *([f"__f{n}"] if by_feed else [])]
     rows = rows.join(side(1), on(1)).join(side(2), on(2))
     g = cx.mul(cx.pair("g1"), cx.conj(cx.pair("g2")))
     re, im = cx.div(cx.pair("vis"), g) if inverse else cx.mul(cx.pair("vis"), g)
@@ -144,46 +145,12 @@ def nearest(components: DataFrame, targets: DataFrame, *, array_rows: int = 20_0
     return found.select(F.col("id1").alias("comp_id"), F.col("id2").alias("target_id"), "separation")
 
 
-@dataclass
-class Listed:
-    """Components as arrays in a small table; ``whole`` says that all of a list are in one row."""
-
-    table: DataFrame
-    whole: bool
-    columns: list[str]
-
-    def sums(self, vis: DataFrame, flux: Column) -> cx.Pair:
-        """The sum over the array of flux * exp(-2 pi i (u l + v m + w n)), within the row."""
-
-        def summed(which: int) -> Column:
-            def term(c: Column) -> Column:
-                return cx.phasor(F.col("u") * c["l"] + F.col("v") * c["m"] + F.col("w") * c["n"])[which] * c["flux"] * flux
-
-            return F.aggregate("__c", F.lit(0.0), lambda acc, c: acc + term(c))
-
-        return summed(0), summed(1)
-
-
-def components_as_array(components: DataFrame, *, by: list[str] | None = None, flux: str = "flux0", array_rows: int = 20_000) -> Listed:
-    """Components (l, m, n, flux) as arrays of at most ``array_rows``: one where a count says that all fit, else blocks."""
-    n = components.count()
-    blocks = max(1, -(-n // array_rows))
-    rows = components.withColumn("__block", F.pmod(F.xxhash64("comp_id"), F.lit(blocks)))
-    packed = rows.groupBy(*(by or []), "__block").agg(F.collect_list(F.struct("l", "m", "n", F.col(flux).cast("double").alias("flux"))).alias("__c")).drop("__block")
-    return Listed(F.broadcast(packed) if blocks == 1 else packed, blocks == 1, components.columns)
-
-
-def predict_components(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, spectrum: Column) -> DataFrame:
-    """Model visibilities: the sum over components of flux0 * spectrum * exp(-2 pi i (u l + v m + w n)).
-
-    ``spectrum`` may use the row's columns. All components go with every row as one array, so nothing is shuffled; lists
-    beyond a counted size go in blocks, whose sums are added.
-    """
+def predict_components(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, spectrum: Column, *, array_rows: int = 20_000) -> DataFrame:
+    """Key, m_re, m_im: the sum over components of flux0 * spectrum * exp(-2 pi i (u l + v m + w n)); ``spectrum`` may use
+    the row's columns."""
     l, m, n = sky_to_lmn(F.col("ra"), F.col("dec"), F.lit(ra0), F.lit(dec0))  # noqa: E741
-    listed = components_as_array(components.withColumns({"l": l, "m": m, "n": n}))
-    re, im = listed.sums(vis, spectrum)
-    out = vis.crossJoin(listed.table).select(*KEY, re.alias("m_re"), im.alias("m_im"))
-    return out if listed.whole else out.groupBy(*KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
+    listed = components.select(F.lit(0).alias("model_id"), "comp_id", l.alias("l"), m.alias("m"), n.alias("n"), F.col("flux0").alias("flux"))
+    return component_visibilities(vis, listed, spectrum, array_rows=array_rows).drop("model_id")
 
 
 def cross_subtract(models: DataFrame, observed: DataFrame) -> DataFrame:

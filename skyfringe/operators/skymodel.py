@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from skyfringe.functions.coordinates import separation, sky_to_lmn
 
 from .calibration import linked_groups, materialize
 from . import imaging
-from .images import PIXEL, smooth
-from .joins import components_as_array, near_pairs
+from .components import component_visibilities
+from .images import PIXEL, insert_components, smooth
+from .joins import apply_gains, near_pairs
 from .visibility import KEY, with_places
 
 
@@ -68,6 +71,12 @@ def partition_by_flux(components: DataFrame, flux: Column, threshold: float) ->
     return components.where(flux >= threshold), components.where(flux < threshold)
 
 
+def partition_model(components: DataFrame, image: DataFrame, threshold: float, npixel: int, cellsize: float, *, method: str = "nearest") -> tuple[DataFrame, DataFrame]:
+    """(bright components, the image with the weak ones in it) of components (chan, pol, l, m, flux)."""
+    bright, weak = partition_by_flux(components, F.col("flux"), threshold)
+    return bright, insert_components(image, weak, npixel, cellsize, method=method)
+
+
 def equivalent_image(models: DataFrame) -> DataFrame:
     """Sum over models of mask * value."""
     return models.groupBy(*PIXEL).agg(F.sum(F.col("mask") * F.col("value")).alias("value"))
@@ -99,27 +108,74 @@ def expand_by_component(components: DataFrame) -> DataFrame:
 
 
 def predict_models(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, flux: Column) -> DataFrame:
-    """(model_id, key, m_re, m_im): component predictions of every model. A model's components are one array, so its sum
-    is made within the row and nothing is shuffled; lists beyond a counted size go in blocks that are summed."""
-    listed = components_as_array(to_lm(components, ra0, dec0), by=["model_id"])
-    rows = vis.crossJoin(listed.table)
-    re, im = listed.sums(vis, flux)
-    out = rows.select("model_id", *KEY, re.alias("m_re"), im.alias("m_im"))
-    return out if listed.whole else out.groupBy("model_id", *KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
-
-
-def invert_models(vis: DataFrame, models: DataFrame, npixel: int, cellsize: float) -> DataFrame:
-    """(model_id, chan, pol, y, x, value): the dirty image of each model's own visibilities (model_id and key), within
-    the model's mask where ``models`` has one for the pixel."""
-    image = imaging.invert(vis, npixel, cellsize, keys=["model_id", "chan", "pol"])
+    """(model_id, key, m_re, m_im): component predictions of every model, summed in one pass over the rows."""
+    listed = to_lm(components, ra0, dec0).select("model_id", "comp_id", "l", "m", "n", F.col("flux0").alias("flux"))
+    return component_visibilities(vis, listed, flux)
+
+
+def for_models(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Every row with every model_id of ``models`` (a row each), an output that is models times rows by definition."""
+    return rows.crossJoin(F.broadcast(models) if models.count() <= 100_000 else models)
+
+
+def predict_sky_models(
+    vis: DataFrame, models: DataFrame, *, components: DataFrame | None = None, ra0: float = 0.0, dec0: float = 0.0, flux: Column | None = None, images: DataFrame | None = None, npixel: int = 0, cellsize: float = 0.0,
+    gains: DataFrame | None = None, interval: float = 1.0, first: float = 0.0, cross: bool = True, padding: int = 2,
+) -> DataFrame:
+    """(model_id, key, m_re, m_im) of every model in ``models`` (model_id): its components, its image within its mask, and
+    its own gains applied to both.
+
+    ``images`` has (model_id, pixel, value, mask). A component counts by its model's mask at its nearest pixel where there is an image
+    of that model with a mask, and all of it where there isn't. ``gains`` has model_id beside the columns of a gain
+    table; models without gains keep their visibilities. One job serves all models: model_id is one more key throughout.
+    """
+    parts = []
+    if components is not None:
+        listed = to_lm(components, ra0, dec0)
+        if images is not None:
+            place = listed.withColumns({"y": F.floor(npixel // 2 + F.col("m") / cellsize + 0.5), "x": F.floor(npixel // 2 - F.col("l") / cellsize + 0.5)})
+            masks = images.groupBy("model_id", "y", "x").agg(F.max("mask").alias("__mask"))
+            listed = place.join(masks, ["model_id", "y", "x"], "left").withColumn("flux0", F.col("flux0") * F.coalesce("__mask", F.lit(1.0)))
+        parts.append(component_visibilities(vis, listed.select("model_id", "comp_id", "l", "m", "n", F.col("flux0").alias("flux")), F.lit(1.0) if flux is None else flux))
+    if images is not None:
+        shown = images.select("model_id", *PIXEL, (F.col("value") * F.col("mask")).alias("value"))
+        lit = shown.where("value <> 0").select("model_id").distinct()
+        parts.append(imaging.predict(for_models(vis, lit), shown, npixel, cellsize, keys=["model_id", "chan", "pol"], padding=padding).select("model_id", *KEY, "m_re", "m_im"))
+    # A model without anything is 0, so that every model has every row.
+    parts.append(for_models(vis.select(*KEY), models.select("model_id")).select("model_id", *KEY, F.lit(0.0).alias("m_re"), F.lit(0.0).alias("m_im")))
+    summed = reduce(DataFrame.unionByName, parts).groupBy("model_id", *KEY).agg(F.sum("m_re").alias("m_re"), F.sum("m_im").alias("m_im"))
+    if gains is None:
+        return summed
+    return _with_gains(summed.select("model_id", *KEY, F.col("m_re").alias("vis_re"), F.col("m_im").alias("vis_im"), F.lit(1.0).alias("weight")), gains, interval, first, cross, inverse=False).select(
+        "model_id", *KEY, F.col("vis_re").alias("m_re"), F.col("vis_im").alias("m_im")
+    )
+
+
+def _with_gains(rows: DataFrame, gains: DataFrame, interval: float, first: float, cross: bool, *, inverse: bool) -> DataFrame:
+    """Visibilities of models (model_id) with each model's gains; those of models without a gain table stay as they are."""
+    owners = gains.select("model_id").distinct()
+    mine = apply_gains(rows, gains, interval=interval, first=first, inverse=inverse, cross=cross, keys=["model_id"])
+    return mine.unionByName(rows.join(owners, "model_id", "left_anti").select(*mine.columns))
+
+
+def invert_models(vis: DataFrame, models: DataFrame, npixel: int, cellsize: float, *, gains: DataFrame | None = None, interval: float = 1.0, first: float = 0.0, cross: bool = True, padding: int = 1) -> DataFrame:
+    """(model_id, chan, pol, y, x, value): the dirty image of each model's own visibilities (model_id and key), corrected by
+    the model's ``gains`` where they are given, within the model's mask where ``models`` has one for the pixel."""
+    rows = vis if gains is None else _with_gains(vis, gains, interval, first, cross, inverse=True)
+    image = imaging.invert(rows, npixel, cellsize, keys=["model_id", "chan", "pol"], padding=padding)
     masked = image.join(models.select("model_id", *PIXEL, "mask"), ["model_id", *PIXEL], "left")
     return masked.withColumn("value", F.col("value") * F.coalesce("mask", F.lit(1.0))).drop("mask")
 
 
 def convolve_models(models: DataFrame, width: float) -> DataFrame:
     """(model_id, pixel, value): each model's image smoothed by a Gaussian of that width; the mask is applied first."""
-    rows = models.withColumn("value", F.col("value") * F.col("mask"))
-    # A model is a product of its own to the smoothing.
-    coded = rows.select("chan", (F.col("model_id") * 16 + F.col("pol")).alias("pol"), "y", "x", "value")
-    out = smooth(coded, width)
-    return out.select(F.floor(F.col("pol") / 16).cast("long").alias("model_id"), "chan", (F.col("pol") % 16).alias("pol"), "y", "x", "value")
+    rows = models.select("model_id", *PIXEL, (F.col("value") * F.col("mask")).alias("value"))
+    return smooth(rows, width, keys=["model_id", "chan", "pol"])
+
+
+def convolve_with_psf(vis: DataFrame, models: DataFrame, images: DataFrame, npixel: int, cellsize: float, *, padding: int = 2, **components: object) -> DataFrame:
+    """(model_id, pixel, value): each model (its image within its mask, and its components) as the samples of ``vis`` see it: predicted and
+    inverted without gains, so convolved with their point-spread function."""
+    seen = predict_sky_models(vis, models, images=images, npixel=npixel, cellsize=cellsize, padding=padding, **components)
+    named = seen.join(vis.select(*KEY, "u", "v", "w", "weight", "imaging_weight"), KEY).withColumnsRenamed({"m_re": "vis_re", "m_im": "vis_im"})
+    return invert_models(named, images, npixel, cellsize, padding=padding)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from skyfringe.functions import complexmath as cx
 from skyfringe.functions.coordinates import hadec_to_azel, sky_to_lmn
 
+from .tables import discard, materialize
+
 KEY = ["time", "a1", "a2", "chan", "pol"]
 
 
@@ -145,37 +147,39 @@ def quality(df: DataFrame, value: Column) -> DataFrame:
     return one.crossJoin(F.broadcast(exact_median(v, "x")))
 
 
-def exact_median(df: DataFrame, column: str, *, bins: int = 4096) -> DataFrame:
-    """(median): the mean of the middle one or two values; one row. Bins are equal in width between the extremes, and
-    ``bins`` rows at most are gathered; where one bin holds most values it is cut again until few are left."""
-    rows = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+def exact_median(df: DataFrame, column: str, *, bins: int = 4096, few: int = 100_000) -> DataFrame:
+    """(median): the mean of the middle one or two values; one row. The column is written once, so that what made it isn't
+    made again; each pass then counts it in bins of equal width between two values, ``bins`` rows at most being gathered, and goes on in
+    the bin that holds the middle, until it has ``few`` values or one."""
+    rows = materialize(df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)"))
     spark = df.sparkSession
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
     if not n:
+        discard(rows)
         return spark.createDataFrame([(None,)], "median double")
-    ranks, found = sorted({(n - 1) // 2, n // 2}), []
-    for rank in ranks:
-        lo, hi, below = low, high, 0
-        while True:
-            width = (hi - lo) / bins
-            if width <= 0 or lo + width == lo:
-                found.append(lo)
-                break
-            inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            counts = inside.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / width)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-            for r in sorted(counts, key=lambda r: r["b"]):
-                if below + r["n"] > rank:
-                    break
-                below += r["n"]
-            if r["n"] <= 100_000:
-                values = sorted(x["x"] for x in inside.where((F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"])).collect())
-                found.append(values[rank - below])
-                break
-            if (lo, hi) == (r["lo"], r["hi"]):
-                found.append(lo)
-                break
-            lo, hi = r["lo"], r["hi"]
-    return spark.createDataFrame([(sum(found) / len(found),)], "median double")
+
+    def at(ranks: list[int], lo: float, hi: float, below: int, here: int) -> dict[int, float]:
+        """The values of ranks, all of which lie among the ``here`` values from lo to hi; ``below`` lie under lo."""
+        inside = rows.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        if here <= few:
+            values = sorted(r["x"] for r in inside.collect())
+            return {r: values[r - below] for r in ranks}
+        width = (hi - lo) / bins
+        if width <= 0 or lo + width == lo:
+            return dict.fromkeys(ranks, lo)
+        counts = inside.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / width)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        found: dict[int, float] = {}
+        for c in sorted(counts, key=lambda c: c["b"]):
+            if mine := [r for r in ranks if below <= r < below + c["n"]]:
+                same = (c["lo"], c["hi"]) == (lo, hi)
+                found |= dict.fromkeys(mine, lo) if same else at(mine, c["lo"], c["hi"], below, c["n"])
+            below += c["n"]
+        return found
+
+    ranks = sorted({(n - 1) // 2, n // 2})
+    found = at(ranks, low, high, 0, n)
+    discard(rows)
+    return spark.createDataFrame([(sum(found.values()) / len(found),)], "median double")
 
 
 def visibility_quality(vis: DataFrame) -> DataFrame:
