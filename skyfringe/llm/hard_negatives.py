@@ -187,11 +187,14 @@ def hard_negatives(
     asked = indexed.where("anchor").select(F.col("vec_id").alias("anchor_id"), F.col("label").alias("anchor_label"), "numbers", "row", F.pmod(F.xxhash64("row"), F.lit(anchor_blocks)).cast("int").alias("ab"))
     spread = asked.withColumn("rb", each(row_blocks))
     unit = ["ab", "rb"]
+    # Few bytes make many scores, so blocks are dealt by their number and not left to be merged by their size.
+    tasks = min(row_blocks * anchor_blocks, 4096)
+    rows, spread = rows.repartition(tasks, *unit), spread.repartition(tasks, *unit)
     found = rows.groupBy(*unit).cogroup(spread.groupBy(*unit)).applyInPandas(lambda r, a: block_positives(r, a, places, positives), "anchor_id long, row long, positive_id long, positive_score long")
     by_anchor = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id")
     best = materialize(found.withColumn("positive_rank", F.row_number().over(by_anchor) - 1).where(F.col("positive_rank") < positives))
     scored = best.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("positive_rank", "positive_score"))), lambda p: p["positive_score"]).alias("positive_scores"))
-    again = asked.join(scored, "row").withColumn("rb", each(row_blocks))
+    again = asked.join(scored, "row").withColumn("rb", each(row_blocks)).repartition(tasks, *unit)
     windowed = rows.groupBy(*unit).cogroup(again.groupBy(*unit)).applyInPandas(lambda r, a: block_negatives(r, a, places, negatives, low, high), "row long, positive_rank long, negative_id long, negative_score long")
     place = F.row_number().over(Window.partitionBy("row", "positive_rank").orderBy(F.desc("negative_score"), "negative_id"))
     first = windowed.withColumn("rank", place.cast("int")).where(F.col("rank") <= negatives)
