@@ -64,9 +64,10 @@ def point_ratios(vis: DataFrame, model: DataFrame, timeslice: float, *, keys: li
     return rows.groupBy(*keys, slot.alias("slot"), "a1", "a2", "chan", "pol").agg(mean(re).alias("x_re"), mean(im).alias("x_im"), total.alias("weight"))
 
 
-def solve_scalar(x: np.ndarray, wt: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-9, phase_only: bool = False, reference: int = 0, damping: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Gains g and their weights with x[i, j] = g[i] conj(g[j]), by alternating weighted least squares; x is Hermitian."""
-    gain = np.ones(len(x), complex)
+def solve_scalar(x: np.ndarray, wt: np.ndarray, *, rounds: int = 200, tolerance: float = 1e-9, phase_only: bool = False, reference: int = 0, damping: float = 0.5, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Gains g and their weights with x[i, j] = g[i] conj(g[j]), by alternating weighted least squares from ``start`` (1 where
+    none is given); x is Hermitian."""
+    gain = np.ones(len(x), complex) if start is None else start.astype(complex)
     weight = np.zeros(len(x))
     for _ in range(rounds):
         weight = wt @ np.abs(gain) ** 2

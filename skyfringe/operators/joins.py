@@ -42,7 +42,11 @@ def divide_matrix(vis: DataFrame, model: DataFrame) -> DataFrame:
     v, m = ([cx.pair(f"{n}{k}") for k in range(4)] for n in ("v", "m"))
     det = cx.sub(cx.mul(m[0], m[3]), cx.mul(m[1], m[2]))
     minus = lambda a: (-a[0], -a[1])
-    inv = [cx.div(x, det) for x in (m[3], minus(m[1]), minus(m[2]), m[0])]
+    # Determinant, inverse and products are columns one after the other, so that none is written out within the next.
+    wide = wide.withColumns({"d_re": det[0], "d_im": det[1]})
+    inverse = [cx.div(x, cx.pair("d")) for x in (m[3], minus(m[1]), minus(m[2]), m[0])]
+    wide = wide.withColumns({f"i{k}_{x}": c for k, i in enumerate(inverse) for x, c in zip(("re", "im"), i, strict=True)})
+    inv = [cx.pair(f"i{k}") for k in range(4)]
     out = [cx.add(cx.mul(inv[2 * r], v[c]), cx.mul(inv[2 * r + 1], v[2 + c])) for r in (0, 1) for c in (0, 1)]
     rows = F.array(*(F.struct(F.lit(k).alias("pol"), F.coalesce(x[0], F.lit(0.0)).alias("vis_re"), F.coalesce(x[1], F.lit(0.0)).alias("vis_im")) for k, x in enumerate(out)))
     return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
