@@ -14,6 +14,14 @@ def xyz_at_latitude(x: Column, y: Column, z: Column, lat: Column | float) -> Tri
     return x, -y * F.sin(lat) + z * F.cos(lat), y * F.cos(lat) + z * F.sin(lat)
 
 
+def geocentric(lon: Column, lat: Column, height: float = 0.0) -> Triple:
+    """Position from the Earth's centre, in metres. Semi-axis and flattening of the WGS84 ellipsoid."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    n = a / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
+    return (n + height) * F.cos(lat) * F.cos(lon), (n + height) * F.cos(lat) * F.sin(lon), (n * (1 - e2) + height) * F.sin(lat)
+
+
 def xyz_to_uvw(x: Column, y: Column, z: Column, ha: Column, dec: Column) -> Triple:
     v0 = x * F.sin(ha) + y * F.cos(ha)
     return x * F.cos(ha) - y * F.sin(ha), z * F.cos(dec) + v0 * F.sin(dec), z * F.sin(dec) - v0 * F.cos(dec)

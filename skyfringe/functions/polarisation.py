@@ -45,3 +45,10 @@ def to_stokes_i(vis: DataFrame, keys: list[str]) -> DataFrame:
     """Half the sum of the parallel products (0 and 3), weights added."""
     both = vis.where(F.col("pol").isin(0, 3)).groupBy(*keys)
     return both.agg((F.sum("vis_re") / 2).alias("vis_re"), (F.sum("vis_im") / 2).alias("vis_im"), F.sum("weight").alias("weight"))
+
+
+def convert_image(image: DataFrame, source: str, target: str) -> DataFrame:
+    """An image of one frame in another: (chan, pol, y, x, value, imag). Images of Stokes products are real, and their imaginary
+    part, like an absent one, is 0."""
+    rows = image if "imag" in image.columns else image.withColumn("imag", F.lit(0.0))
+    return convert_frame(rows, ["chan", "y", "x"], source, target, re="value", im="imag")

@@ -149,6 +149,14 @@ def nearest(components: DataFrame, targets: DataFrame, *, array_rows: int = 20_0
     return found.select(F.col("id1").alias("comp_id"), F.col("id2").alias("target_id"), "separation")
 
 
+def nearest_to(components: DataFrame, ra: float, dec: float) -> DataFrame:
+    """(comp_id, separation) of the component nearest to a direction, ties to the smaller id; one row, none of an empty
+    list."""
+    s = separation(F.lit(float(ra)), F.lit(float(dec)), F.col("ra"), F.col("dec"))
+    best = components.select(F.struct(s.alias("separation"), F.col("comp_id")).alias("m")).agg(F.min("m").alias("m"))
+    return best.where("m IS NOT NULL").select("m.comp_id", "m.separation")
+
+
 def predict_components(vis: DataFrame, components: DataFrame, ra0: float, dec0: float, spectrum: Column, *, array_rows: int = 20_000) -> DataFrame:
     """Key, m_re, m_im: the sum over components of flux0 * spectrum * exp(-2 pi i (u l + v m + w n)); ``spectrum`` may use
     the row's columns."""

@@ -6,23 +6,28 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where each table was written, for as long as the driver holds it.
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write below spark.checkpoint.dir and read back. Where that isn't set, a temporary folder will do for a master on
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder below spark.checkpoint.dir. Where that isn't set, a temporary one will do for a master on
     this machine (tests); on a cluster it is an error."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/skyfringe-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/skyfringe-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write in a new folder and read back."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[table] = path

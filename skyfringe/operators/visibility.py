@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfringe.functions import complexmath as cx
-from skyfringe.functions.coordinates import hadec_to_azel, sky_to_lmn
+from skyfringe.functions.coordinates import hadec_to_azel, sky_to_lmn, uvw_to_xyz, xyz_to_uvw
 
 from .tables import discard, materialize
 
@@ -261,12 +261,18 @@ def advise_wide_field(vis: DataFrame, diameter: float, *, del_a: float = 0.02, g
     )
 
 
-def phase_rotate(vis: DataFrame, ra0: float, dec0: float, ra1: float, dec1: float, *, inverse: bool = False) -> DataFrame:
-    """Visibilities about a new phase centre, uvw unchanged."""
+def phase_rotate(vis: DataFrame, ra0: float, dec0: float, ra1: float, dec1: float, *, inverse: bool = False, tangent: bool = True) -> DataFrame:
+    """Visibilities about a new phase centre; u, v, w stay those of the old tangent plane, or with ``tangent=False`` become those
+    of the new one."""
     l, m, n = sky_to_lmn(*(F.lit(x) for x in (ra1, dec1, ra0, dec0)))  # noqa: E741
     p = cx.phasor(F.col("u") * l + F.col("v") * m + F.col("w") * n)
     re, im = cx.mul(cx.pair("vis"), p if inverse else cx.conj(p))
-    return vis.withColumns({"vis_re": re, "vis_im": im})
+    out = vis.withColumns({"vis_re": re, "vis_im": im})
+    if tangent:
+        return out
+    xyz = uvw_to_xyz(F.col("u"), F.col("v"), F.col("w"), F.lit(-ra0), F.lit(dec0))
+    out = out.withColumns(dict(zip(("__x", "__y", "__z"), xyz, strict=True)))
+    return out.withColumns(dict(zip("uvw", xyz_to_uvw(F.col("__x"), F.col("__y"), F.col("__z"), F.lit(-ra1), F.lit(dec1)), strict=True))).drop("__x", "__y", "__z")
 
 
 def remove_continuum(df: DataFrame, keys: list[str], x: Column, value: str | list[str], weight: Column, *, degree: int = 1) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfringe.operators import calibration, clean, imaging, joins
-from skyfringe.operators.calibration import materialize
+from skyfringe.functions import polarisation
+from skyfringe.operators import calibration, clean, imaging, joins, visibility
+from skyfringe.operators.tables import materialize
 
 
 def continuum_imaging(vis: DataFrame, npixel: int, cellsize: float, *, cycles: int = 3, gain: float = 0.1, most: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -55,3 +56,35 @@ def spectral_line(vis: DataFrame, npixel: int, cellsize: float, *, most: int = 1
     chans = vis.select("chan").distinct()
     cube = model.drop("chan").crossJoin(F.broadcast(chans)).select("chan", "pol", "y", "x", "value")
     return model, imaging.residual(vis, cube, npixel, cellsize, padding=2)[1]
+
+
+def calibrate_list(vis: DataFrame, model: DataFrame, antennas: int, interval: float, *, together: bool = True, cross: bool = True, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(gains, corrected visibilities) of all channels: one solution of all ``together``, applied to each, or one a channel.
+
+    For a common solution the ratios to the model are averaged over channels, by weight, before gains are solved."""
+    ratios = calibration.point_ratios(vis, model, interval, all_channels=together)
+    solved = calibration.solve_gains(ratios, antennas, cross=cross, **options)
+    if together:
+        solved = solved.drop("chan").crossJoin(imaging.small(vis.select("chan").distinct()))
+    gains = materialize(solved.select((F.col("slot") * interval + interval / 2).alias("time"), "ant", "chan", "feed", "g_re", "g_im", "weight"))
+    return gains, joins.apply_gains(vis, gains, interval=interval, first=interval / 2, inverse=True, cross=cross)
+
+
+def polarisation_cube(first: DataFrame, second: DataFrame, npixel: int, cellsize: float, *, frame: str = "linear", low: float = 0.0, high: float = 1e9, most: int = 100, gain: float = 0.1, fraction: float = 0.1) -> DataFrame:
+    """(chan, pol, y, x, model, residual): the linearly polarised sky in every channel of two sets of visibilities.
+
+    The sets are appended, turned to Stokes products, cut to uv distances between ``low`` and ``high``, imaged channel by channel, and Q and U are
+    cleaned together; I and V come back as they are, without a model.
+    """
+    sample = ["time", "a1", "a2", "chan"]
+    both = visibility.append(first, second)
+    kept = visibility.select_uvrange(both, low, high)
+    stokes = polarisation.convert_frame(kept, sample, frame, "stokesIQUV")
+    # Products of a sample share its coordinates; a Stokes product weighs as the least of them.
+    about = kept.groupBy(*sample).agg(*(F.avg(c).alias(c) for c in "uvw"), F.min("weight").alias("weight"), F.min("imaging_weight").alias("imaging_weight"))
+    rows = materialize(stokes.join(about, sample))
+    image = materialize(imaging.invert(rows, npixel, cellsize, padding=2))
+    psf = materialize(imaging.invert(rows, npixel, cellsize, psf=True, padding=2))
+    found = clean.clean_complex(image, psf, gain=gain, fraction=fraction, most=most)
+    other = image.where(F.col("pol").isin(0, 3)).select("chan", "pol", "y", "x", F.lit(0.0).alias("model"), F.col("value").alias("residual"))
+    return found.unionByName(other)

@@ -23,10 +23,14 @@ from skyfringe.operators import kernels as ke
 from skyfringe.operators import screens as sc
 from skyfringe.operators import skymodel as sk
 from skyfringe.operators import spectra as ss
+from skyfringe.operators import tables as ta
 from skyfringe.operators import visibility as vi
+from skyfringe.sources import tables as so
 from skyfringe.streaming import calibration as st
+from skyfringe.streaming import realtime as rt
 
 from . import imaging as cycles
+from . import partition as pt
 from .registry import ALL, Views, register
 
 KEY = "time a1 a2 chan pol"
@@ -764,9 +768,9 @@ def _(t: Views) -> DataFrame:
     return vi.running_mean(t("fx_vis"), 5)
 
 
-@register("u04_scatter_gather", KEY, "vis_re", f"SELECT {K}, vis_re FROM fx_vis")
+@register("u04_scatter_gather", KEY + " slice", "vis_re", f"SELECT {K}, least(2, floor((time - lo) / ((hi - lo) / 2) + 5e-1)) AS slice, vis_re FROM fx_vis, (SELECT min(time) AS lo, max(time) AS hi FROM fx_vis)")
 def _(t: Views) -> DataFrame:
-    return vi.gather(vi.scatter(t("fx_vis"), 3))
+    return vi.scatter(t("fx_vis"), 3)
 
 
 @register("g09_weights_both_halves", "pol gv gu", "weight", f"SELECT pol, gv, gu, sum(imaging_weight) AS weight FROM (SELECT pol, imaging_weight, {GU.replace('(u', '(s * u')} AS gu, {GV.replace('(v', '(s * v')} AS gv FROM fx_vis, (SELECT unnest([1, -1]) AS s)) WHERE gu >= 0 AND gu < {NPIXEL} AND gv >= 0 AND gv < {NPIXEL} GROUP BY pol, gv, gu")
@@ -915,11 +919,71 @@ def _(t: Views) -> DataFrame:
     return ig.facets_invert(t("fx_vis"), 32, 2 * CELL, 2)
 
 
-@register("q03_residual", "chan pol y x", "value")
+PREDICTED = f"SELECT f.time, a1, a2, f.chan, f.pol, sum(re * k) AS m_re, sum(im * k) AS m_im FROM {_footprint_sql(KSUP, KOVER)} f JOIN ({_transform_sql(IMAGE_CELLS, '-')}) g ON g.chan = f.chan AND g.pol = f.pol AND g.y = f.gv AND g.x = f.gu GROUP BY f.time, a1, a2, f.chan, f.pol"
+
+
+def _inverted_sql(rows: str) -> str:
+    """The dirty image of rows by kernel and grid correction."""
+    grid = f"SELECT chan, pol, gv, gu, sum(vis_re * (imaging_weight * k)) AS re, sum(vis_im * (imaging_weight * k)) AS im, sum(imaging_weight * k) AS weight FROM {_footprint_sql(KSUP, KOVER, rows)} GROUP BY chan, pol, gv, gu"
+    return f"SELECT i.chan, i.pol, y, x, CASE WHEN total > 0 THEN re / (cy.c * cx.c) / total ELSE 0 END AS value FROM ({_transform_sql(grid, '')}) i JOIN (SELECT chan, pol, sum(weight) AS total FROM ({grid}) GROUP BY chan, pol) t ON t.chan = i.chan AND t.pol = i.pol JOIN {CORR} cy(p, c) ON cy.p = y JOIN {CORR} cx(p, c) ON cx.p = x"
+
+
+@register("q03_residual", "chan pol y x", "value", _inverted_sql(f"(SELECT {K}, u, v, w, imaging_weight, vis_re - coalesce(m_re, 0e0) AS vis_re, vis_im - coalesce(m_im, 0e0) AS vis_im FROM fx_vis LEFT JOIN ({PREDICTED}) USING ({K}))"), grid=1024.0)
 def _(t: Views) -> DataFrame:
     return ig.residual(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL)[1]
 
 
+@register("q01_predict_facets", KEY, "m_re m_im")
+def _(t: Views) -> DataFrame:
+    return ig.predict_list(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, facets=2)
+
+
+@register("q01_predict_facet_stacks", KEY, "m_re m_im")
+def _(t: Views) -> DataFrame:
+    return ig.predict_list(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, context="wstack", facets=2, width=20.0)
+
+
+@register("q02_invert_facet_stacks", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return ig.invert_list(t("fx_vis"), 32, 2 * CELL, context="wstack", facets=2, width=20.0)
+
+
+@register("g16_timeslice_predict", KEY, "m_re m_im")
+def _(t: Views) -> DataFrame:
+    return ig.timeslice_predict(t("fx_vis"), t("fx_pixel"), NPIXEL, CELL, 160.0)
+
+
+@register("q09_model_partition", "model_id time ant chan feed", "g_re g_im")
+def _(t: Views) -> DataFrame:
+    return _partition(t).gains
+
+
+@register("q09_partition_residual", "chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    return _partition(t).residual
+
+
+def _partition(t: Views) -> pt.Partition:
+    """Two halves of the sky, each with an image of its own, calibrated apart for one round."""
+    v = t("fx_vis")
+    half = lambda k: t("fx_pixel").where("y >= 16 AND y < 48 AND x >= 16 AND x < 48").selectExpr(f"{k} AS model_id", "chan", "pol", "y - 16 AS y", "x - 16 AS x", "value", f"CAST((x >= 32) = ({k} = 1) AS DOUBLE) AS mask")
+    images = ca.materialize(half(0).unionByName(half(1)))
+    models = images.select("model_id").distinct()
+    start = pt.Partition(models, None, images, pt.identity_gains(v, models, 15, 160.0))
+    return pt.calibrate_partition(v, start, 15, 160.0, 32, 2 * CELL, rounds=1, most=20, padding=1)
+
+
+@register("q10_polarisation_cube", "chan pol y x", "model residual")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    return cycles.polarisation_cube(v.where("time < 320"), v.where("time >= 320"), 32, 2 * CELL, low=5.0, high=90.0, most=30)
+
+
+@register("c08_calibrate_together", KEY, "vis_re vis_im weight")
+def _(t: Views) -> DataFrame:
+    return cycles.calibrate_list(_corrupted(t), t("fx_model"), 15, 160.0, phase_only=True)[1]
+
+
 @register("q05_zeroed", KEY, "vis_re vis_im weight", f"SELECT {K}, 0e0 AS vis_re, 0e0 AS vis_im, weight FROM fx_vis")
 def _(t: Views) -> DataFrame:
     return ig.zeroed(t("fx_vis"))
@@ -1054,9 +1118,11 @@ def _(t: Views) -> DataFrame:
 
 @register("c09_fit_component", "", "flux l m")
 def _(t: Views) -> DataFrame:
+    # The brightest place of the mean dirty image is where the fit to the data starts.
     v = t("fx_vis")
-    p = v.withColumns(dict(zip(("vis_re", "vis_im"), (F.cos((F.col("u") * 0.004 - F.col("v") * 0.003) * 6.283185307179586) * 7, -F.sin((F.col("u") * 0.004 - F.col("v") * 0.003) * 6.283185307179586) * 7), strict=True))).withColumn("w", F.lit(0.0))
-    return v.sparkSession.createDataFrame([jn.fit_component(p, 5.0, 0.0035, -0.0026)], "flux double, l double, m double")
+    mean = gr.invert(v, 32, 2 * CELL).groupBy("y", "x").agg(F.avg("value").alias("value"))
+    top = mean.orderBy(F.desc("value"), "y", "x").first()
+    return v.sparkSession.createDataFrame([jn.fit_component(v, top.value, (top.x - 16) * 2 * CELL, (top.y - 16) * 2 * CELL)], "flux double, l double, m double")
 
 
 @register("f06_time_chunks", KEY + " time_chunk", "vis_re", f"SELECT {K}, vis_re, floor(time / 5e1) AS time_chunk FROM fx_vis WHERE floor(time / 5e1) IN (SELECT floor(time / 5e1) FROM (SELECT time, asin(sin(-47e-2) * sin(-5e-1) + cos(-47e-2) * cos(-5e-1) * cos(time * {2 * math.pi / 864.0!r})) AS el FROM fx_vis) GROUP BY 1 HAVING min(el) >= 3e-1)")
@@ -1138,17 +1204,123 @@ def _(t: Views) -> DataFrame:
     return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.5 for k in range(63)], kind="linear").withColumn("half_chan", F.floor("frequency"))
 
 
-@register("i11_insert_lanczos", "chan pol y x", "value")
+def _lanczos_sql(axis: str) -> str:
+    """Nine taps of a component along an axis, adding up to 1."""
+    x = f"(k - d{axis})"
+    lobe = f"CASE WHEN {x} = 0 THEN 1e0 WHEN abs({x}) < 5 THEN sin(pi() * {x}) / (pi() * {x}) * (sin(pi() * ({x} / 5)) / (pi() * ({x} / 5))) ELSE 0e0 END"
+    return f"SELECT *, {axis} + k AS p{axis}, w / sum(w) OVER (PARTITION BY comp_id{', px' if axis == 'y' else ''}) AS w{axis} FROM (SELECT *, {lobe} AS w FROM ({{0}}), (SELECT unnest(range(-4, 5)) AS k))"
+
+
+_PLACED = f"SELECT comp_id, flux0, floor(fy + 5e-1) AS y, floor(fx + 5e-1) AS x, fy - floor(fy + 5e-1) AS dy, fx - floor(fx + 5e-1) AS dx FROM (SELECT comp_id, flux0, 32 + {M} / 5e-3 AS fy, 32 - ({L}) / 5e-3 AS fx FROM fx_component)"
+_SPREAD = f"SELECT py AS y, px AS x, flux0 * wx * wy AS value FROM ({_lanczos_sql('y').format('SELECT comp_id, flux0, y, dy, px, wx FROM (' + _lanczos_sql('x').format(_PLACED) + ')')})"
+
+
+@register("i11_insert_lanczos", "chan pol y x", "value", f"SELECT chan, pol, y, x, sum(value) AS value FROM (SELECT chan, pol, y, x, value FROM fx_pixel UNION ALL SELECT 0, 0, y, x, value FROM ({_SPREAD}) WHERE y >= 0 AND y < 64 AND x >= 0 AND x < 64) GROUP BY chan, pol, y, x")
 def _(t: Views) -> DataFrame:
     c = sk.to_lm(t("fx_component"), RA0, DEC0).select(F.lit(0).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
     return im.insert_components(t("fx_pixel"), c, 64, 0.005, method="lanczos")
 
 
-@register("m09_invert_models", "model_id chan pol y x", "value")
+@register("m03_weak_into_image", "chan pol y x", "value", f"SELECT chan, pol, y, x, sum(value) AS value FROM (SELECT chan, pol, y, x, value FROM fx_pixel UNION ALL SELECT 0, 0, y, x, flux0 FROM (SELECT floor(32 + {M} / 5e-3 + 5e-1) AS y, floor(32 - ({L}) / 5e-3 + 5e-1) AS x, flux0 FROM fx_component WHERE flux0 < 14e-1) WHERE y >= 0 AND y < 64 AND x >= 0 AND x < 64) GROUP BY chan, pol, y, x")
+def _(t: Views) -> DataFrame:
+    c = sk.to_lm(t("fx_component"), RA0, DEC0).select(F.lit(0).alias("chan"), F.lit(0).alias("pol"), "l", "m", F.col("flux0").alias("flux"))
+    return sk.partition_model(c, t("fx_pixel"), 1.4, 64, 0.005)[1]
+
+
+@register("m11_convolve_with_psf", "model_id chan pol y x", "value")
+def _(t: Views) -> DataFrame:
+    m = _models(t).where("y >= 16 AND y < 48 AND x >= 16 AND x < 48").withColumns({"y": F.col("y") - 16, "x": F.col("x") - 16})
+    return sk.convolve_with_psf(t("fx_vis"), m.select("model_id").distinct(), m, 32, 2 * CELL, padding=1)
+
+
+@register("j05_nearest_to_direction", "comp_id", "separation", "SELECT comp_id, separation FROM (SELECT comp_id, 2 * asin(sqrt(least(pow(sin((dec + 47e-2) / 2), 2) + cos(-47e-2) * cos(dec) * pow(sin((ra - 12e-2) / 2), 2), 1e0))) AS separation FROM fx_component) ORDER BY separation, comp_id LIMIT 1")
+def _(t: Views) -> DataFrame:
+    return jo.nearest_to(t("fx_component"), 0.12, -0.47)
+
+
+def _turned_sql(h0: float, d0: float, h1: float, d1: float) -> str:
+    """u, v, w of one phase centre as those of another: to axes of the Earth and back."""
+    a, b, c, d, e, f, g, h = (repr(z) for z in (math.sin(d0), math.cos(d0), math.sin(h0), math.cos(h0), math.sin(d1), math.cos(d1), math.sin(h1), math.cos(h1)))
+    xyz = f"SELECT {K}, vis_re, vis_im, u * {d} + (v * {a} - w * {b}) * {c} AS x, -u * {c} + (v * {a} - w * {b}) * {d} AS y, v * {b} + w * {a} AS z FROM fx_vis"
+    return f"SELECT {K}, x * {h} - y * {g} AS u, z * {f} + (x * {g} + y * {h}) * {e} AS v, z * {e} - (x * {g} + y * {h}) * {f} AS w FROM ({xyz})"
+
+
+@register("x11_phase_rotate_uvw", KEY, "vis_re vis_im u v w", f"SELECT {K}, vis_re * cos({PI2} * {TURNS}) - vis_im * sin({PI2} * {TURNS}) AS vis_re, vis_im * cos({PI2} * {TURNS}) + vis_re * sin({PI2} * {TURNS}) AS vis_im, t.u AS u, t.v AS v, t.w AS w FROM (SELECT {K}, u, v, w, vis_re, vis_im FROM fx_vis) fx_vis JOIN (SELECT {K}, u AS u, v AS v, w AS w FROM ({_turned_sql(-RA0, DEC0, -RA0 - 0.01, DEC0 - 0.005)})) t USING ({K})".replace(TURNS, TURNS.replace("(u *", "(fx_vis.u *").replace("+ v *", "+ fx_vis.v *").replace("+ w *", "+ fx_vis.w *")))
+def _(t: Views) -> DataFrame:
+    return vi.phase_rotate(t("fx_vis"), RA0, DEC0, RA0 + 0.01, DEC0 - 0.005, tangent=False)
+
+
+def _frame_sql(source: str, target: str) -> str:
+    rows = po.MATRICES[source, target]
+    re = ", ".join(" + ".join(f"({complex(c).real!r} * r{k} - {complex(c).imag!r} * i{k})" for k, c in enumerate(r)) for r in rows)
+    imag = ", ".join(" + ".join(f"({complex(c).real!r} * i{k} + {complex(c).imag!r} * r{k})" for k, c in enumerate(r)) for r in rows)
+    sums = ", ".join(f"sum(CASE WHEN pol = {k} THEN vis_{p} ELSE 0 END) AS {n}{k}" for k in range(4) for p, n in (("re", "r"), ("im", "i")))
+    return f"SELECT time, a1, a2, chan, unnest([0, 1, 2, 3]) AS pol, unnest([{re}]) AS vis_re, unnest([{imag}]) AS vis_im FROM (SELECT time, a1, a2, chan, {sums} FROM fx_vis GROUP BY time, a1, a2, chan)"
+
+
+for _source, _target in (("stokesIQUV", "linear"), ("stokesIQUV", "circular"), ("circular", "stokesIQUV")):
+
+    @register(f"x12_{_source.lower()}_to_{_target.lower()}", KEY, "vis_re vis_im", _frame_sql(_source, _target))
+    def _(t: Views, source: str = _source, target: str = _target) -> DataFrame:
+        return po.convert_frame(t("fx_vis"), ["time", "a1", "a2", "chan"], source, target)
+
+
+@register("x14_image_to_stokes", "pol y x", "value imag", "SELECT unnest([0, 1, 2, 3]) AS pol, y, x, unnest([(r0 + r3) / 2, (r0 - r3) / 2, (r1 + r2) / 2, 0]) AS value, unnest([0, 0, 0, (r2 - r1) / 2]) AS imag FROM (SELECT y, x, sum(CASE WHEN chan = 0 THEN value ELSE 0 END) AS r0, sum(CASE WHEN chan = 1 THEN value ELSE 0 END) AS r1, sum(CASE WHEN chan = 2 THEN value ELSE 0 END) AS r2, sum(CASE WHEN chan = 3 THEN value ELSE 0 END) AS r3 FROM fx_pixel WHERE chan < 4 GROUP BY y, x)")
+def _(t: Views) -> DataFrame:
+    # The first four channels stand for the products of a linear frame.
+    image = t("fx_pixel").where("chan < 4").select(F.lit(0).alias("chan"), F.col("chan").alias("pol"), "y", "x", "value")
+    return po.convert_image(image, "linear", "stokesIQUV")
+
+
+_DENSE = f"(SELECT time, a1, a2, c.chan AS chan, p.pol AS pol, avg_u * (1e8 + c.chan * 1e6) / 1e8 AS u, c.chan * 1e6 + 1e8 AS frequency FROM (SELECT time, a1, a2, avg(u) AS avg_u FROM fx_vis GROUP BY time, a1, a2), (SELECT DISTINCT chan FROM fx_vis) c, (SELECT unnest(range(4)) AS pol) p)"
+
+
+@register("s06_measurement_set", KEY, "u vis_re vis_im weight frequency", f"SELECT {K}, d.u AS u, coalesce(vis_re, 0e0) AS vis_re, coalesce(vis_im, 0e0) AS vis_im, coalesce(weight, 0e0) AS weight, d.frequency AS frequency FROM {_DENSE} d LEFT JOIN (SELECT {K}, vis_re, vis_im, weight FROM fx_vis) USING ({K})")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    # One place of a sample for all its channels, as a set has it: its mean, in metres.
+    place = v.groupBy("time", "a1", "a2").agg(*(F.avg(c).alias(c) for c in "uvw"))
+    rows = v.drop("u", "v", "w").join(place, ["time", "a1", "a2"]).withColumns({c: F.col(c) * F.col("frequency") / 1e8 for c in "uvw"})
+    path = ta.new_folder(v.sparkSession)
+    so.write_measurement_set(rows, path)
+    return so.read_measurement_set(v.sparkSession, path)
+
+
+@register("s01_list_fields", "data_desc_id rows", "", "SELECT l_linenumber % 2 AS data_desc_id, count(DISTINCT DAYS(l_shipdate) % 64 * 10000 + l_suppkey % 8 * 100 + l_suppkey % 8 + 1 + l_partkey % 7) AS rows FROM {lineitem} GROUP BY l_linenumber % 2")
+def _(t: Views) -> DataFrame:
+    rows = t("fx_vis").withColumn("data_desc_id", (F.col("chan") + 1) % 2)
+    spark, path = rows.sparkSession, ta.new_folder(rows.sparkSession)
+    so.write_measurement_set(rows, path)
+    _, descs = so.list_fields(spark, path)
+    return spark.read.parquet(f"{path}/MAIN").join(descs, "data_desc_id").groupBy("data_desc_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("s03_averaged_rows", "a1 a2 pol", "weight", f"SELECT a1, a2, pol, sum(weight) AS weight FROM fx_vis GROUP BY a1, a2, pol")
+def _(t: Views) -> DataFrame:
+    v = t("fx_vis")
+    path = ta.new_folder(v.sparkSession)
+    so.write_measurement_set(v, path)
+    rows = so.read_visibility(v.sparkSession, path)
+    return rows.groupBy("a1", "a2", "pol").agg(F.sum("weight").alias("weight"))
+
+
+@register("t01_realtime_gains", "chan second feed ant", "g_re g_im")
+def _(t: Views) -> DataFrame:
+    rows = t("fx_vis").withColumn("ts", F.timestamp_seconds(F.col("time")))
+    c = sk.to_lm(t("fx_target"), RA0, DEC0).select("comp_id", "l", "m", "n", F.col("flux0").alias("flux"))
+    return rt.table_gains(rows, c, 15, width="160 seconds").withColumn("second", F.unix_seconds("start"))
+
+
+@register("t04_running_weights", "chan pol samples", "weight imaging_weight", "SELECT chan, pol, count(*) AS samples, sum(weight) AS weight, sum(imaging_weight) AS imaging_weight FROM fx_vis GROUP BY chan, pol")
+def _(t: Views) -> DataFrame:
+    return rt.running_weights(t("fx_vis"))
+
+
+@register("m09_invert_models", "model_id chan pol y x", "value", f"SELECT 0 AS model_id, i.chan, i.pol, i.y, i.x, i.value * coalesce(mask, 1) AS value FROM ({_inverted_sql('fx_vis')}) i LEFT JOIN (SELECT chan, pol, y, x, mask FROM fx_mask) m ON m.chan = i.chan AND m.pol = i.pol AND m.y = i.y AND m.x = i.x UNION ALL SELECT 1 AS model_id, i.chan, i.pol, i.y, i.x, i.value * coalesce(1 - mask, 1) AS value FROM ({_inverted_sql(f'(SELECT {K}, u, v, w, imaging_weight, vis_im AS vis_re, vis_im FROM fx_vis)')}) i LEFT JOIN (SELECT chan, pol, y, x, mask FROM fx_mask) m ON m.chan = i.chan AND m.pol = i.pol AND m.y = i.y AND m.x = i.x", grid=1024.0)
 def _(t: Views) -> DataFrame:
     v = t("fx_vis")
     both = v.withColumn("model_id", F.lit(0)).unionByName(v.withColumns({"model_id": F.lit(1), "vis_re": F.col("vis_im")}))
-    return sk.invert_models(both, _models(t).select("model_id", *im.PIXEL, "mask"), 32, 2 * CELL)
+    return sk.invert_models(both, _models(t).select("model_id", *im.PIXEL, "mask"), NPIXEL, CELL)
 
 
 @register("m11_convolve_models", "model_id chan pol y x", "value", f"SELECT model_id, p.chan, p.pol, p.y, p.x, sum(q.value * q.mask * a.k * b.k) AS value FROM (SELECT * FROM ({MODELS})) p JOIN (VALUES {GK}) a(d, k) ON true JOIN (VALUES {GK}) b(d, k) ON true JOIN (SELECT model_id AS qm, chan, pol, y, x, value, mask FROM ({MODELS})) q ON q.qm = p.model_id AND q.chan = p.chan AND q.pol = p.pol AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY model_id, p.chan, p.pol, p.y, p.x", grid=4096.0)

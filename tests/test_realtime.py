@@ -55,7 +55,7 @@ def test_stream_stops_and_goes_on(spark, observed, tmp_path):
             pieces(table, tmp_path / "in", 6, first, last)
             if last == 6:  # a row far ahead moves the watermark past all windows
                 table.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 HOURS")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            gains = rt.stream_gains(rt.read_raw(spark, str(tmp_path / "in")), comps, NANT)
+            gains = rt.stream_gains(rt.read_raw(spark, str(tmp_path / "in")), comps, NANT, late="30 seconds")
             query = gains.writeStream.option("checkpointLocation", str(tmp_path / "state")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
             query.awaitTermination()
             seen = spark.read.schema(rt.GAINS).parquet(str(tmp_path / "out")).count()
