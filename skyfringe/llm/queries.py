@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, hard_negatives, jaccard, langid, lm_mixing, mixing, packing, periodic, quality, secret_scan, token_count, token_file
 from .common import materialize, read_table, word_array
-from .sql import CHAT_SQL, NEGATIVES_SQL, QUALITY_SQL, RUNS_SQL
+from .sql import CHAT_SQL, JACCARD_SQL, NEGATIVES_SQL, QUALITY_SQL, RUNS_SQL, SECRETS_SQL
 
 def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -110,4 +110,4 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scans, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_jaccard_join, op7_language_id, op8_best_fit_packing, op9_source_mixing, op10_token_output, op11_hard_negatives, op12_periodic_runs, op13_chat_formatting)}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_periodic_runs": RUNS_SQL, "op13_chat_formatting": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scans": SECRETS_SQL, "op3_quality_rules": QUALITY_SQL, "op6_jaccard_join": JACCARD_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_periodic_runs": RUNS_SQL, "op13_chat_formatting": CHAT_SQL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .quality import BOILERPLATE, SYMBOLS
+from .secret_scan import BASE_RULES, MORE_RULES
 
 #: A word is a run of anything but these; the same class as in ``common.SPACES``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -123,3 +125,57 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def _spans_sql(number: int) -> str:
+    """(r, s, e, kind, number) of one rule: what lies between matches tells where each starts."""
+    rule = (BASE_RULES + MORE_RULES)[number]
+    pattern = rule.pattern.replace("'", "''")
+    lengths = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(x))), 0)"
+    found = f"SELECT r, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS vals, regexp_split_to_array(text, '{pattern}') AS gaps FROM base WHERE regexp_matches(text, '{pattern}')"
+    each = f"SELECT r, CAST({lengths('gaps[1:i]')} + {lengths('hits[1:i - 1]')} AS BIGINT) AS s, length(hits[i]) AS n, length(vals[i]) AS v FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({found}))"
+    return f"SELECT r, s, s + n AS e, '{rule.kind}' AS kind, {number} AS number FROM ({each}) WHERE v >= {rule.least}"
+
+
+_LISTED = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, number)"
+
+SECRETS_SQL = f"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), span AS (
+  {" UNION ALL ".join(_spans_sql(n) for n in range(len(BASE_RULES + MORE_RULES)))}
+), told AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = '{b.kind}') AS n_{b.kind}" for b in BASE_RULES)},
+         {_LISTED} FILTER (WHERE number < {len(BASE_RULES)}) AS base_spans, {_LISTED} AS spans
+  FROM span GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{b.kind}, 0) AS n_{b.kind}" for b in BASE_RULES)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM base LEFT JOIN told USING (r)
+"""
+
+
+def jaccard_sql(n: int, num: int, den: int) -> str:
+    """Every pair of documents that share a shingle, and what those that link reach."""
+    return f"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACE}+'), lambda x: x <> '') AS words FROM documents
+), shingle AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + {n - 1}], ' ') AS g FROM (SELECT r, words, unnest(range(1, greatest(2, len(words) - {n - 2}))) AS i FROM base WHERE len(words) > 0)
+), sized AS (
+  SELECT r, count(*) AS n FROM shingle GROUP BY r
+), pair AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), link AS (
+  SELECT a, b FROM pair JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE {den} * shared >= {num} * (x.n + y.n - shared)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r AS a, r AS b FROM base UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b
+), least AS (
+  SELECT reach.a AS r, min(doc_id) AS component_id FROM reach JOIN base ON base.r = reach.b GROUP BY reach.a
+)
+SELECT doc_id, coalesce(sized.n, 0) AS n_shingles, component_id FROM base JOIN least USING (r) LEFT JOIN sized USING (r)
+"""
+
+
+JACCARD_SQL = jaccard_sql(4, 85, 100)
