@@ -15,6 +15,7 @@ from skyfringe.functions import complexmath as cx
 from skyfringe.functions.coordinates import separation, sky_to_lmn
 
 from .components import component_visibilities
+from .tables import materialize
 from .visibility import KEY
 
 
@@ -126,27 +127,40 @@ def matches(tests: DataFrame, references: DataFrame, tolerance: float) -> DataFr
 def nearest(components: DataFrame, targets: DataFrame, *, array_rows: int = 20_000) -> DataFrame:
     """Every component with its nearest target, ties to the smaller id.
 
-    Up to ``array_rows`` targets, by count, go as one array with every row. More are met in cells, whose size doubles
-    until every component has a target nearer than it, at last the whole sky.
+    Up to ``array_rows`` targets, by count, go as one array with every row. More are found by a tree of cubes of the unit
+    sphere's space, each level a quarter as wide as the one before: a component keeps the cubes with targets that could be as
+    near as the farthest corner of the nearest one, and meets their children by equality. Below, where cubes hold few targets,
+    the targets themselves are met. The first level has at most 125 cubes, so no step pairs all with all.
     """
     t = targets.select(F.col("comp_id").alias("target_id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"))
-    if targets.count() <= array_rows:
+    n = targets.count()
+    if n <= array_rows:
         every = t.agg(F.collect_list(F.struct("target_id", "__ra", "__dec")).alias("__t"))
         at = F.transform("__t", lambda x: F.struct(separation(F.col("ra"), F.col("dec"), x["__ra"], x["__dec"]).alias("separation"), x["target_id"].alias("target_id")))
         rows = components.crossJoin(F.broadcast(every)).select("comp_id", F.array_min(at).alias("m")).where("m IS NOT NULL")
         return rows.select("comp_id", "m.target_id", "m.separation")
-    found, left, distance = None, components, 0.01
-    while distance < 2.0:
-        near = matches(left, targets, distance)
-        found = near if found is None else found.unionByName(near)
-        left = left.join(near.select(F.col("id1").alias("comp_id")), "comp_id", "left_anti")
-        if not left.limit(1).count():
+    place = lambda ra, dec: {"x": F.cos(dec) * F.cos(ra), "y": F.cos(dec) * F.sin(ra), "z": F.sin(dec)}
+    cell = lambda side: F.concat_ws(",", *(F.floor(F.col(c) / side).cast("long") for c in "xyz"))
+    middle = lambda side: {f"__{c}": (F.floor(F.col(c) / side) + 0.5) * side for c in "xyz"}
+    targets_at = t.withColumns(place(F.col("__ra"), F.col("__dec")))
+    asked = components.select("comp_id", "ra", "dec").withColumns(place(F.col("ra"), F.col("dec")))
+    side, kept = 0.5, None
+    while True:
+        cubes = targets_at.select(*((cell(side * 4) if kept is not None else F.lit("")).alias("parent"), cell(side).alias("cube")), *(v.alias(k) for k, v in middle(side).items()))
+        cubes = cubes.groupBy("parent", "cube").agg(*(F.first(f"__{c}").alias(f"__{c}") for c in "xyz"), F.count(F.lit(1)).alias("__n"))
+        most = cubes.agg(F.max("__n")).first()[0]
+        met = asked.crossJoin(F.broadcast(cubes)) if kept is None else asked.join(kept, "comp_id").join(cubes, "parent")
+        away = F.sqrt(sum((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in "xyz"))
+        reach = side * 3**0.5 / 2
+        bounded = met.select("comp_id", "cube", F.greatest(away - reach, F.lit(0.0)).alias("low"), (away + reach).alias("high"))
+        least = F.min("high").over(Window.partitionBy("comp_id"))
+        kept = materialize(bounded.withColumn("least", least).where(F.col("low") <= F.col("least") + 1e-9).select("comp_id", F.col("cube").alias("parent")))
+        if most <= 64 or side < 1e-9:
             break
-        distance *= 2
-    else:
-        far = left.crossJoin(t).select(F.col("comp_id").alias("id1"), F.col("target_id").alias("id2"), separation(F.col("ra"), F.col("dec"), F.col("__ra"), F.col("__dec")).alias("separation"))
-        found = found.unionByName(far.groupBy("id1").agg(F.min(F.struct("separation", "id2")).alias("m")).select("id1", "m.id2", "m.separation"))
-    return found.select(F.col("id1").alias("comp_id"), F.col("id2").alias("target_id"), "separation")
+        side /= 4
+    near = asked.join(kept, "comp_id").join(targets_at.withColumn("parent", cell(side)).select("parent", "target_id", "__ra", "__dec"), "parent")
+    best = near.groupBy("comp_id").agg(F.min(F.struct(separation(F.col("ra"), F.col("dec"), F.col("__ra"), F.col("__dec")).alias("separation"), F.col("target_id"))).alias("m"))
+    return best.select("comp_id", "m.target_id", "m.separation")
 
 
 def nearest_to(components: DataFrame, ra: float, dec: float) -> DataFrame:

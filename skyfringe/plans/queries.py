@@ -1145,6 +1145,23 @@ def _(t: Views) -> DataFrame:
     return im.extract(im.pad(t("fx_pixel"), 64, 128), 128, 32)
 
 
+@register("g03_kernel_boxes", "w_plane support v_first v_last u_first u_last rows", "")
+def _(t: Views) -> DataFrame:
+    # For each w plane that the visibilities take, the part of its kernel above a ten-thousandth of the largest number.
+    v = t("fx_vis")
+    kernel = ig.aw_kernel(64, 2 * CELL, 10.0)
+    rows = ke.with_planes(v, kernel).groupBy("w_plane").agg(F.count(F.lit(1)).alias("rows"))
+    most = max(1, rows.agg(F.max(F.abs("w_plane"))).first()[0] or 0)
+    support = ke.bounding_box(kernel, most)
+    boxes = v.sparkSession.createDataFrame([(p, support, *a, *b) for p, a, b in ke.plane_boxes(kernel, most)], "w_plane long, support long, v_first long, v_last long, u_first long, u_last long")
+    return rows.join(F.broadcast(boxes), "w_plane")
+
+
+@register("c02_normalised_gains", "slot chan feed ant", "g_re g_im")
+def _(t: Views) -> DataFrame:
+    return ca.solve_gains(ca.point_ratios(t("fx_vis"), t("fx_model"), 160.0), 15, normalise=True)
+
+
 @register("g03_bounding_box", "chan pol y_min y_max x_min x_max", "", "SELECT chan, pol, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM fx_pixel p JOIN (SELECT chan AS c, pol AS o, max(abs(value)) * 8e-1 AS least FROM fx_pixel GROUP BY chan, pol) m ON c = chan AND o = pol WHERE abs(value) > least GROUP BY chan, pol")
 def _(t: Views) -> DataFrame:
     return im.bounding_box(t("fx_pixel"), 0.8)
