@@ -30,7 +30,7 @@ pieces don't share them.
 Defined results: null or empty text, or text without a word, has an empty set, links with nothing and is its own
 component; with fewer than n words the whole sequence is the one n-gram; repeated rows and equal texts share a
 component; a null doc_id never names a component unless no other document of it has one; an empty table gives an
-empty table; further columns are left behind.
+empty table; very long texts are sets of all their n-grams; further columns are left behind.
 """
 
 from __future__ import annotations

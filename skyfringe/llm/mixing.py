@@ -11,8 +11,9 @@ bands are summed, and only the band where a source's budget ends is sorted. So a
 spread like any other. The result doesn't depend on the bands.
 
 Defined results: null text has size 0 and is never an obstacle; null sources form one source; equal rows have equal
-keys and are interchangeable; documents with a null or repeated doc_id are kept apart as rows; an empty table gives
-an empty table. Reruns agree, as keys depend on the row and the seed alone.
+keys and are interchangeable; documents with a null or repeated doc_id are kept apart as rows; an empty table gives an
+empty table; very long texts count all their words; further columns are left behind unless named in ``keep``. Reruns
+agree, as keys depend on the row and the seed alone.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ wait under the rank of their pair, the lowest rank that any of these sequences h
 only the pairs beside a merge are looked up again. A run of a megabyte without a blank takes seconds.
 
 Counting is one pass without a shuffle. Defined results: null text counts as empty (0 bytes, 0 tokens); the special
-string counts as its one token; repeated rows get a result each; an empty table gives an empty table.
+string counts as its one token; repeated rows get a result each; an empty table gives an empty table; further columns, whatever
+their names, are left behind unless named in ``keep``.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ set). Spark's committer writes both, so a lost executor leaves no half files, an
 that Spark writes to. Documents are in ascending doc_id order (null first; equal ids in the order of their content).
 
 Defined results: null text counts as empty and is the end id alone; repeated rows are written each; an empty table
-gives a set without segments; a text longer than a segment makes a segment of its own.
+gives a set without segments; a text longer than a segment makes a segment of its own; columns but doc_id and text are
+left out of the files, whatever their names.
 """
 
 from __future__ import annotations

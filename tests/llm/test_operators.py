@@ -323,6 +323,43 @@ def test_language_mixes_of_all_languages(spark):
         assert abs(r.score - 1 / r.doc_id) < 0.05
 
 
+def test_language_mixture_against_plain_loops():
+    """Expectation and maximisation for one text after the other, every set in the order of shares."""
+    rng = np.random.default_rng(11)
+    buckets, langs, rounds, penalty = 128, 4, 8, 3.0
+    likelihood = rng.dirichlet(np.full(buckets, 0.3), langs).T.astype(np.float32) + np.float32(1e-5)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(n)) for n in (1, 3, 10, 60, 200)] + ["", "12 34"]
+    got = langid.mixtures(texts, likelihood, rounds=rounds, penalty=penalty)
+
+    def fit(likely, n, allowed):
+        share = np.array(allowed, float) / sum(allowed)
+        for _ in range(rounds):
+            part = [[p * s for p, s in zip(row, share, strict=True)] for row in likely]
+            share = np.array([sum(c * r[k] / sum(r) for c, r in zip(n, part, strict=True)) for k in range(langs)]) / sum(n)
+        return share, sum(c * math.log(sum(p * s for p, s in zip(row, share, strict=True))) for c, row in zip(n, likely, strict=True))
+
+    owner, bucket, count = langid.trigram_counts(texts, buckets)
+    several = 0
+    for k in range(len(texts)):
+        at = np.flatnonzero(owner == k)
+        if not len(at):
+            assert not got[k].any()
+            continue
+        likely, n = likelihood[bucket[at]].astype(float), count[at].astype(float)
+        everything, _ = fit(likely, n, [1] * langs)
+        order = np.argsort(-everything, kind="stable")
+        price = penalty * math.log(n.sum() + 1)
+        alone = [(n * np.log(likely[:, j])).sum() for j in range(langs)]
+        best, value = np.eye(langs)[int(np.argmax(alone))], max(alone) - price
+        for size in range(2, langs + 1):
+            share, likes = fit(likely, n, [float(j in order[:size]) for j in range(langs)])
+            if likes - size * price > value:
+                best, value = share, likes - size * price
+        several += (best > 0).sum() > 1
+        assert np.abs(got[k] - best).max() < 1e-3
+    assert several
+
+
 def test_lm_base_and_probability(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = {(r.doc_id, r.n_tokens): r for r in lm_mixing.score_documents(docs, held, frequent=2).collect()}
