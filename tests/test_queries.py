@@ -15,6 +15,8 @@ SOME = [
     "f02_uvrange", "w02_w_slices", "u03_concatenate_frequency", "o02_peak_pixel", "j02_divide", "j03_apply_gains_inverse", "j06_matches", "j08_nearest_target",
     "j12_predict_components", "a01_coalesce", "a03_decoalesce", "a05_sum_towards", "a08_image_quality", "g08_uniform_weights", "g17_direct_image", "i04_smooth",
     "i11_insert_components", "i13_voronoi", "c02_point_ratios", "g07_degrid", "g13_invert", "g14_predict", "j04_sequence_of_terms", "m10_cross_subtract", "x05_azimuth_elevation", "x12_linear_to_stokes", "t01_window_ratios",
+    "j01_subtract", "j02_divide_matrix", "i16_mosaic_beam", "i15_primary_beam", "i19_structure_function", "i14_reproject", "i12_source_spectra", "c05_bandpass", "i11_insert_lanczos", "q03_residual",
+    "m09_invert_models", "s06_measurement_set", "x11_phase_rotate_uvw", "x12_circular_to_stokesiquv", "x14_image_to_stokes", "x22_linear_spectra", "g04_cells_with_w", "u04_scatter_gather", "t04_running_weights",
 ]
 
 
