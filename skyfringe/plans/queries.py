@@ -121,14 +121,18 @@ def _(t: Views) -> DataFrame:
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@register("j01_subtract", KEY, "vis_re vis_im", f"SELECT {K}, vis_re - m_re AS vis_re, vis_im - m_im AS vis_im FROM fx_vis JOIN fx_model USING ({K})")
+#: fx_vis with the model's values beside it. The model is a function of the key, so SQL needs no join of the view with itself.
+WITH_MODEL = "(SELECT *, CASE WHEN chan = 6 THEN 0e0 ELSE 50e0 + a1 END AS m_re, CASE WHEN chan = 6 THEN 0e0 ELSE CAST(a2 - chan AS DOUBLE) END AS m_im FROM fx_vis)"
+
+
+@register("j01_subtract", KEY, "vis_re vis_im", f"SELECT {K}, vis_re - m_re AS vis_re, vis_im - m_im AS vis_im FROM {WITH_MODEL}")
 def _(t: Views) -> DataFrame:
     return jo.subtract(t("fx_vis"), t("fx_model"))
 
 
 DIVIDED = f"""SELECT {K}, CASE WHEN wt > 0 THEN (vis_re * m_re + vis_im * m_im) / n ELSE 0 END AS vis_re,
     CASE WHEN wt > 0 THEN (vis_im * m_re - vis_re * m_im) / n ELSE 0 END AS vis_im, CASE WHEN wt > 0 THEN wt ELSE 0 END AS weight
-    FROM (SELECT *, m_re * m_re + m_im * m_im AS n, (m_re * m_re + m_im * m_im) * weight AS wt FROM fx_vis JOIN fx_model USING ({K}))"""
+    FROM (SELECT *, m_re * m_re + m_im * m_im AS n, (m_re * m_re + m_im * m_im) * weight AS wt FROM {WITH_MODEL})"""
 
 
 @register("j02_divide", KEY, "vis_re vis_im weight", DIVIDED)
