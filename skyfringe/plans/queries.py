@@ -1219,10 +1219,10 @@ def _(t: Views) -> DataFrame:
     return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.5 for k in range(63)]).withColumn("half_chan", F.floor("frequency"))
 
 
-@register("x22_linear_spectra", "vec_id below", "value", "SELECT a.vec_id, a.chan AS below, a.value + 3e-1 * (b.value - a.value) AS value FROM fx_spectrum a JOIN fx_spectrum b ON b.vec_id = a.vec_id AND b.chan = a.chan + 1")
+@register("x22_linear_spectra", "vec_id below", "value", "SELECT a.vec_id, a.chan AS below, a.value + 31371e-5 * (b.value - a.value) AS value FROM fx_spectrum a JOIN fx_spectrum b ON b.vec_id = a.vec_id AND b.chan = a.chan + 1")
 def _(t: Views) -> DataFrame:
     rows = t("fx_spectrum").select("vec_id", F.col("chan").cast("double").alias("frequency"), "value")
-    return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.3 for k in range(63)], kind="linear").withColumn("below", F.floor("frequency"))
+    return ss.interpolate_spectra(rows, ["vec_id"], [k + 0.31371 for k in range(63)], kind="linear").withColumn("below", F.floor("frequency"))
 
 
 def _lanczos_sql(axis: str) -> str:
