@@ -18,3 +18,13 @@ def test_centres_at_one_place_are_one(spark):
     assert "CartesianProduct" not in _plan(got)
     want = {(y, x): 5 if y * y + x * x <= (y - 3) ** 2 + (x - 3) ** 2 else 6 for y in range(4) for x in range(4)}
     assert {(r.y, r.x): r.model_id for r in got.collect()} == want
+
+
+def test_all_separations_come_from_many_tasks(spark):
+    one = spark.range(3).selectExpr("id AS comp_id", "id * 0.1D AS ra", "-0.5D AS dec").coalesce(1)
+    two = spark.range(50).selectExpr("id AS comp_id", "id * 0.01D AS ra", "id * -0.02D AS dec").coalesce(1)
+    got = joins.separations(one, two)
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 150
+    pairs = joins.all_pairs(two, one, "comp_id", broadcast_rows=1, task_pairs=10)
+    assert "BroadcastNestedLoopJoin" not in _plan(pairs) and pairs.count() == 150
+    assert {(r.id1, r.id2): r.separation for r in got.collect()}[1, 0] == 2 * np.arcsin(np.sqrt(np.sin(0.25) ** 2 + np.cos(-0.5) * np.cos(0.0) * np.sin(0.05) ** 2))
