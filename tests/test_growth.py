@@ -28,3 +28,36 @@ def test_all_separations_come_from_many_tasks(spark):
     pairs = joins.all_pairs(two, one, "comp_id", broadcast_rows=1, task_pairs=10)
     assert "BroadcastNestedLoopJoin" not in _plan(pairs) and pairs.count() == 150
     assert {(r.id1, r.id2): r.separation for r in got.collect()}[1, 0] == 2 * np.arcsin(np.sqrt(np.sin(0.25) ** 2 + np.cos(-0.5) * np.cos(0.0) * np.sin(0.05) ** 2))
+
+
+def _array(spark):
+    rng = np.random.default_rng(3)
+    spots = rng.uniform(-5e3, 5e3, (6, 3))
+    antennas = spark.createDataFrame([(i, *map(float, spots[i % 6])) for i in range(18)], "ant long, x double, y double, z double")
+    components = spark.createDataFrame([(i, 0.1 + 0.01 * (i % 4), -0.5 + 0.02 * (i % 2)) for i in range(12)], "comp_id long, ra double, dec double")
+    return antennas, components
+
+
+def test_gains_are_gridded_by_position_and_direction(spark, monkeypatch):
+    antennas, components = _array(spark)
+    gains = spark.createDataFrame([(float(t), a, c, float(np.cos(a + t)), float(np.sin(a + t)), 1.0) for t in (0, 10) for a in range(18) for c in range(2)], "time double, ant long, chan long, g_re double, g_im double, weight double")
+    frequency = 1e8 + F.col("chan") * 1e6
+    met = []
+    all_pairs = screens.all_pairs
+    monkeypatch.setattr(screens, "all_pairs", lambda *a, **k: met.append(all_pairs(*a, **k)) or met[-1])
+    got = {(r.time, r.sy, r.sx): (r.value, r.weight) for r in screens.grid_gains_through(antennas, components, gains, frequency, 3e5, 0.1, -0.5, 4e3, 64).collect()}
+    assert met[0].count() == 6 * 4
+    want = {(r.time, r.sy, r.sx): (r.value, r.weight) for r in screens.grid_gains(screens.pierce_points(antennas, components, 3e5, 0.1, -0.5), gains, frequency, 4e3, 64).collect()}
+    assert got.keys() == want.keys() and len(got) > 2
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in got)
+
+
+def test_pierce_points_are_neither_sent_nor_sorted(spark):
+    antennas, components = _array(spark)
+    points = screens.pierce_points(antennas.coalesce(1), components.coalesce(1), 3e5, 0.1, -0.5)
+    plan = _plan(points)
+    assert "Window" not in plan and "Sort" not in plan
+    assert points.rdd.getNumPartitions() > 1
+    mean = points.groupBy("comp_id").agg(F.avg("px").alias("x")).collect()
+    at = {r.comp_id: r.l for r in components.selectExpr("comp_id", "3e5 * cos(dec) * sin(ra - 0.1) AS l").collect()}
+    assert len(mean) == 12 and all(abs(r.x - at[r.comp_id]) < 1e-6 for r in mean)
