@@ -61,3 +61,17 @@ def test_pierce_points_are_neither_sent_nor_sorted(spark):
     mean = points.groupBy("comp_id").agg(F.avg("px").alias("x")).collect()
     at = {r.comp_id: r.l for r in components.selectExpr("comp_id", "3e5 * cos(dec) * sin(ra - 0.1) AS l").collect()}
     assert len(mean) == 12 and all(abs(r.x - at[r.comp_id]) < 1e-6 for r in mean)
+
+
+def test_a_screen_is_sampled_where_points_are(spark):
+    antennas, components = _array(spark)
+    points = screens.pierce_points(antennas, components, 3e5, 0.1, -0.5)
+    screen = spark.range(4).selectExpr("32 + id DIV 2 AS y", "32 + id % 2 AS x", "0.001D * (id + 1) AS value")
+    got = screens.sample_screen(points, screen, 1e8, 4e3, 64)
+    plan = _plan(got)
+    assert "SortMergeJoin" not in plan and plan.count("Nested") == 1
+    value = {(r.y, r.x): r.value for r in screen.collect()}
+    phase = {(r.comp_id, r.ant): value.get((r.py // 4e3 + 32, r.px // 4e3 + 32), 0.0) * screens.TEC_TO_PHASE / 1e8 for r in points.collect()}
+    assert any(phase.values()) and not all(phase.values())
+    rows = got.collect()
+    assert len(rows) == len(phase) and all(abs(r.g_re - np.cos(phase[r.comp_id, r.ant])) + abs(r.g_im - np.sin(phase[r.comp_id, r.ant])) < 1e-9 for r in rows)
