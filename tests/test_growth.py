@@ -75,3 +75,16 @@ def test_a_screen_is_sampled_where_points_are(spark):
     assert any(phase.values()) and not all(phase.values())
     rows = got.collect()
     assert len(rows) == len(phase) and all(abs(r.g_re - np.cos(phase[r.comp_id, r.ant])) + abs(r.g_im - np.sin(phase[r.comp_id, r.ant])) < 1e-9 for r in rows)
+
+
+def _crowd(spark, n, step, off=0.0):
+    return spark.range(n).selectExpr("id + 7 AS comp_id", f"(id % 3) * {step}D + {off}D AS ra", "-0.5D AS dec")
+
+
+def test_the_nearest_of_a_crowd_is_found_by_place(spark, monkeypatch):
+    asked = []
+    nearest_places = joins.nearest_places
+    monkeypatch.setattr(joins, "nearest_places", lambda c, t, n: asked.append((c.count(), t.count())) or nearest_places(c, t, n))
+    got = joins.nearest(_crowd(spark, 300, 0.2), _crowd(spark, 90, 0.2, 0.01)).collect()
+    assert asked == [(3, 3)]
+    assert {(r.comp_id, r.target_id) for r in got} == {(i + 7, i % 3 + 7) for i in range(300)}
