@@ -88,3 +88,12 @@ def test_the_nearest_of_a_crowd_is_found_by_place(spark, monkeypatch):
     got = joins.nearest(_crowd(spark, 300, 0.2), _crowd(spark, 90, 0.2, 0.01)).collect()
     assert asked == [(3, 3)]
     assert {(r.comp_id, r.target_id) for r in got} == {(i + 7, i % 3 + 7) for i in range(300)}
+
+
+def test_crowds_at_one_place_match_once(spark, monkeypatch):
+    met = []
+    near_pairs = joins.near_pairs
+    monkeypatch.setattr(joins, "near_pairs", lambda *a: met.append(near_pairs(*a)) or met[-1])
+    got = joins.matches(_crowd(spark, 300, 0.2), _crowd(spark, 90, 0.2, 0.001), 0.01).collect()
+    assert met[0].count() == 3
+    assert {(r.id1, r.id2) for r in got} == {(i + 7, i % 3 + 7) for i in range(300)}
