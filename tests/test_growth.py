@@ -103,3 +103,14 @@ def test_baselines_come_from_many_tasks(spark):
     got = joins.baselines(antennas)
     assert got.rdd.getNumPartitions() > 1
     assert {(r.a1, r.a2, r.dx) for r in got.collect()} == {(i, j, 2.0 * (j - i)) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_weights_of_a_crowd_are_worked_out_once(spark):
+    image = spark.range(64).selectExpr("0 AS chan", "0 AS pol", "id DIV 8 AS y", "id % 8 AS x", "0.0D AS value")
+    crowd = spark.range(50).selectExpr("0 AS chan", "0 AS pol", "0.0013D AS l", "-0.0021D AS m", "1.0D AS flux")
+    got = images.insert_components(image, crowd, 8, 0.005, method="lanczos", reach=2)
+    assert "size(transform" not in _plan(got)
+    one = images.insert_components(image, crowd.limit(1).withColumn("flux", F.lit(50.0)), 8, 0.005, method="lanczos", reach=2)
+    value = lambda df: {(r.y, r.x): r.value for r in df.collect()}
+    a, b = value(got), value(one)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and abs(sum(a.values()) - 50) < 1e-9
