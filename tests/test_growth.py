@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skyfringe.operators import images, joins, screens
+from skyfringe.operators import images, joins, jones, screens
+from skyfringe.plans.registry import ALL
+from skyfringe.sources.fixtures import view
 
 
 def _plan(df) -> str:
@@ -114,3 +116,26 @@ def test_weights_of_a_crowd_are_worked_out_once(spark):
     value = lambda df: {(r.y, r.x): r.value for r in df.collect()}
     a, b = value(got), value(one)
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and abs(sum(a.values()) - 50) < 1e-9
+
+
+def _rows_read(spark, name, table):
+    """(rows of the view that a query reads in all its jobs, rows of the view)."""
+    sf = "/root/testdata/sf0.001"
+    rows = view(spark, sf, table).cache()
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    counted = rows.mapInPandas(count, rows.schema)
+    ALL[name].plan(lambda n: counted if n == table else view(spark, sf, n)).write.format("noop").mode("overwrite").save()
+    n = rows.count()
+    rows.unpersist()
+    return read.value, n
+
+
+def test_terms_are_calibrated_on_one_reading(spark):
+    read, rows = _rows_read(spark, "c07_calibrate_by_terms", "fx_model")
+    assert read == rows > 0
