@@ -139,3 +139,8 @@ def _rows_read(spark, name, table):
 def test_terms_are_calibrated_on_one_reading(spark):
     read, rows = _rows_read(spark, "c07_calibrate_by_terms", "fx_model")
     assert read == rows > 0
+
+
+def test_channels_are_calibrated_together_on_one_reading(spark):
+    read, rows = _rows_read(spark, "c08_calibrate_together", "fx_model")
+    assert read == rows > 0
