@@ -144,3 +144,12 @@ def test_terms_are_calibrated_on_one_reading(spark):
 def test_channels_are_calibrated_together_on_one_reading(spark):
     read, rows = _rows_read(spark, "c08_calibrate_together", "fx_model")
     assert read == rows > 0
+
+
+def test_only_gains_of_antennas_seen_are_made_matrices(spark, monkeypatch):
+    made = []
+    as_matrices = jones.as_matrices
+    monkeypatch.setattr(jones, "as_matrices", lambda g: made.append(g) or as_matrices(g))
+    read, rows = _rows_read(spark, "j04_sequence_of_terms", "fx_vis")
+    assert read == rows > 0
+    assert made[0].select("ant").distinct().count() <= 15 < view(spark, "/root/testdata/sf0.001", "fx_antenna").count()
