@@ -153,3 +153,8 @@ def test_only_gains_of_antennas_seen_are_made_matrices(spark, monkeypatch):
     read, rows = _rows_read(spark, "j04_sequence_of_terms", "fx_vis")
     assert read == rows > 0
     assert made[0].select("ant").distinct().count() <= 15 < view(spark, "/root/testdata/sf0.001", "fx_antenna").count()
+
+
+def test_visibilities_are_restored_on_one_reading(spark):
+    read, rows = _rows_read(spark, "i17_restore_fitted", "fx_vis")
+    assert read == rows > 0
