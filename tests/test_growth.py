@@ -158,3 +158,8 @@ def test_only_gains_of_antennas_seen_are_made_matrices(spark, monkeypatch):
 def test_visibilities_are_restored_on_one_reading(spark):
     read, rows = _rows_read(spark, "i17_restore_fitted", "fx_vis")
     assert read == rows > 0
+
+
+def test_visibilities_are_self_calibrated_on_one_reading(spark):
+    read, rows = _rows_read(spark, "q07_imaging_cycle", "fx_vis")
+    assert read == rows > 0
