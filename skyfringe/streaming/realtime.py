@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skyfringe.operators.calibration import solve_scalar
-from skyfringe.operators.components import _arrays, phasor_sums
+from skyfringe.operators.components import KEY, _arrays, component_visibilities, phasor_sums
 from skyfringe.operators.gridding import CELL, grid_visibility_fast
 
 RAW = "ts timestamp, a1 long, a2 long, chan long, pol long, u double, v double, w double, vis_re double, vis_im double, weight double, imaging_weight double"
 GAINS = "chan long, start timestamp, feed long, ant long, g_re double, g_im double, weight double"
+#: Components that go with every batch or task as arrays.
+ARRAY_ROWS = 20_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,10 +34,16 @@ def read_raw(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Data
 def _ratio_rows(rows: DataFrame, components: DataFrame, width: str) -> DataFrame:
     """(chan, start, end, feed, a1, a2, top_re, top_im, under) of parallel products: what a ratio's sums get from a row.
 
-    Components (comp_id, l, m, n, flux) are predicted within the batch: at most 20,000 by count, as arrays by broadcast."""
-    listed = components.select(F.lit(0).alias("model_id"), "comp_id", *(F.col(c).cast("double").alias(c) for c in ("l", "m", "n", "flux")))
-    if listed.count() > 20_000:
-        raise ValueError("more components than go with every batch; predict them into the stream's tables before")
+    Components (comp_id, l, m, n, flux) are predicted within the batch, those of one place as one: up to ``ARRAY_ROWS`` places by
+    count as arrays by broadcast. More are predicted for a table before, in blocks that meet blocks of its samples."""
+    listed = components.select("comp_id", *(F.col(c).cast("double").alias(c) for c in ("l", "m", "n", "flux")))
+    listed = listed.groupBy("l", "m", "n").agg(F.min("comp_id").alias("comp_id"), F.sum("flux").alias("flux")).select(F.lit(0).alias("model_id"), "comp_id", "l", "m", "n", "flux")
+    if listed.count() > ARRAY_ROWS:
+        if rows.isStreaming:
+            raise ValueError("more components than go with every batch; predict them into the stream's tables before")
+        rows = rows if "time" in rows.columns else rows.withColumn("time", F.col("ts").cast("double"))
+        predicted = component_visibilities(rows.where(F.col("pol").isin(0, 3)), listed, F.lit(1.0), array_rows=ARRAY_ROWS)
+        return _ratios(rows.join(predicted.select(*KEY, F.struct(F.col("m_re").alias("re"), F.col("m_im").alias("im")).alias("m")), KEY), width)
     known = rows.sparkSession.sparkContext.broadcast(_arrays(listed.toPandas()))
 
     @F.pandas_udf("re double, im double")
@@ -46,8 +54,12 @@ def _ratio_rows(rows: DataFrame, components: DataFrame, width: str) -> DataFrame
         found = phasor_sums(np.stack([u, v, w], 1).astype(float), lmn, flux, starts)[:, 0]
         return pd.DataFrame({"re": found.real, "im": found.imag})
 
-    parallel = rows.where(F.col("pol").isin(0, 3)).withColumn("feed", F.floor(F.col("pol") / 3).cast("long"))
-    seen = parallel.withColumn("m", model("u", "v", "w")).withColumn("win", F.window("ts", width))
+    return _ratios(rows.where(F.col("pol").isin(0, 3)).withColumn("m", model("u", "v", "w")), width)
+
+
+def _ratios(rows: DataFrame, width: str) -> DataFrame:
+    """The sums' parts of rows of parallel products with the model ``m``."""
+    seen = rows.withColumn("feed", F.floor(F.col("pol") / 3).cast("long")).withColumn("win", F.window("ts", width))
     re, im, w = F.col("vis_re") * F.col("m.re") + F.col("vis_im") * F.col("m.im"), F.col("vis_im") * F.col("m.re") - F.col("vis_re") * F.col("m.im"), F.col("weight")
     under = (F.col("m.re") * F.col("m.re") + F.col("m.im") * F.col("m.im")) * w
     return seen.select("ts", "chan", F.col("win.start").alias("start"), F.col("win.end").alias("end"), "feed", "a1", "a2", (re * w).alias("top_re"), (im * w).alias("top_im"), under.alias("under"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skyfringe.operators import images, joins, jones, screens
 from skyfringe.plans.registry import ALL
 from skyfringe.sources.fixtures import view
+from skyfringe.streaming import realtime
 
 
 def _plan(df) -> str:
@@ -163,3 +164,19 @@ def test_visibilities_are_restored_on_one_reading(spark):
 def test_visibilities_are_self_calibrated_on_one_reading(spark):
     read, rows = _rows_read(spark, "q07_imaging_cycle", "fx_vis")
     assert read == rows > 0
+
+
+def test_gains_of_a_table_for_any_number_of_components(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    key = [(float(t), i, j, 0, p) for t in range(3) for i in range(4) for j in range(i + 1, 4) for p in (0, 3)]
+    rows = [(*k, *map(float, rng.uniform(-20, 20, 3)), float(rng.uniform(1, 2)), float(rng.uniform(-1, 1)), 1.0) for k in key]
+    table = spark.createDataFrame(rows, "time double, a1 long, a2 long, chan long, pol long, u double, v double, w double, vis_re double, vis_im double, weight double").withColumn("ts", F.timestamp_seconds("time"))
+    few = spark.createDataFrame([(1, 0.01, 0.0, 0.0, 10_001.0), (2, 0.0, 0.02, 0.0, 10_000.0)], "comp_id long, l double, m double, n double, flux double")
+    many = spark.range(1, 20_002).selectExpr("id AS comp_id", "0.01D * (id % 2) AS l", "0.02D * ((id + 1) % 2) AS m", "0.0D AS n", "1.0D AS flux")
+    gains = lambda c: {(r.start, r.feed, r.ant): complex(r.g_re, r.g_im) for r in realtime.table_gains(table, c, 4, width="2 seconds").collect()}
+    want = gains(few)
+    assert len(want) == 2 * 2 * 4
+    same = lambda got: got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert same(gains(many))
+    monkeypatch.setattr(realtime, "ARRAY_ROWS", 1)
+    assert same(gains(few))
