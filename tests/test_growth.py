@@ -180,3 +180,8 @@ def test_gains_of_a_table_for_any_number_of_components(spark, monkeypatch):
     assert same(gains(many))
     monkeypatch.setattr(realtime, "ARRAY_ROWS", 1)
     assert same(gains(few))
+
+
+def test_visibilities_are_imaged_on_one_reading(spark):
+    read, rows = _rows_read(spark, "q06_continuum_imaging", "fx_vis")
+    assert read == rows > 0
