@@ -185,3 +185,8 @@ def test_gains_of_a_table_for_any_number_of_components(spark, monkeypatch):
 def test_visibilities_are_imaged_on_one_reading(spark):
     read, rows = _rows_read(spark, "q06_continuum_imaging", "fx_vis")
     assert read == rows > 0
+
+
+def test_visibilities_are_imaged_by_channel_on_one_reading(spark):
+    read, rows = _rows_read(spark, "q08_spectral_line", "fx_vis")
+    assert read == rows > 0
