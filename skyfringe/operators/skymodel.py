@@ -13,8 +13,9 @@ from skyfringe.functions.coordinates import separation, sky_to_lmn
 from . import imaging
 from .components import component_visibilities
 from .images import PIXEL, insert_components, smooth
-from .joins import apply_gains, near_pairs
-from .tables import discard, materialize
+from .joins import apply_gains
+from .neighbours import lost_neighbours
+from .tables import materialize
 from .visibility import KEY, with_places
 
 
@@ -33,30 +34,8 @@ def brightest(components: DataFrame, flux: str, k: int) -> DataFrame:
 
 def remove_neighbours(components: DataFrame, distance: float, flux: str) -> DataFrame:
     """Components without near neighbours: in the order of comp_id, each that is still there meets the first later one
-    that is still there and nearer than ``distance``, and the fainter of the two goes (of equals the earlier).
-
-    Rounds decide side by side what the list decides one after the other. A component's turn has come when no earlier one that is
-    still to decide is near it, nor near the one that it would meet; then nothing that comes before can change what
-    either is. The first of those left always has its turn, and in a list without an order on the sky most soon do. Every
-    round is joins and minima over the near pairs that are left, and ends in a written table, so no crowd of components is one task.
-    """
-    near = near_pairs(components, components, distance).where("id1 < id2").select("id1", "id2")
-    levels = components.select(F.col("comp_id").alias("id1"), F.col(flux).alias("f1"))
-    left = materialize(near.join(levels, "id1").join(levels.toDF("id2", "f2"), "id2").select("id1", "id2", "f1", "f2"))
-    gone = components.select("comp_id").limit(0)
-    while left.limit(1).count():
-        meets = left.groupBy("id1").agg(F.min(F.struct("id2", "f1", "f2")).alias("m")).select("id1", "m.*")
-        earliest = left.groupBy("id2").agg(F.min("id1").alias("who"))
-        turn = meets.join(earliest, "id2").where("who = id1").join(earliest.select(F.col("id2").alias("id1")), "id1", "left_anti")
-        turn = materialize(turn.select("id1", F.when(F.col("f1") > F.col("f2"), F.col("id2")).otherwise(F.col("id1")).alias("loser")))
-        losers = turn.select(F.col("loser").alias("comp_id"))
-        gone = gone.unionByName(losers)
-        rest = left.join(turn.select("id1"), "id1", "left_anti").join(losers.toDF("id1"), "id1", "left_anti").join(losers.toDF("id2"), "id2", "left_anti")
-        rest = materialize(rest.select("id1", "id2", "f1", "f2"))
-        discard(left)
-        left = rest
-    discard(left)
-    return components.join(gone.distinct(), "comp_id", "left_anti")
+    that is still there and nearer than ``distance``, and the fainter of the two goes (of equals the earlier)."""
+    return components.join(lost_neighbours(components, distance, flux), "comp_id", "left_anti")
 
 
 def to_lm(components: DataFrame, ra0: float, dec0: float) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skyfringe.operators import images, joins, jones, screens
+from skyfringe.operators import images, joins, jones, neighbours, screens, skymodel
 from skyfringe.plans.queries import ALL
 from skyfringe.sources.fixtures import view
 from skyfringe.streaming import realtime
@@ -190,3 +190,41 @@ def test_visibilities_are_imaged_on_one_reading(spark):
 def test_visibilities_are_imaged_by_channel_on_one_reading(spark):
     read, rows = _rows_read(spark, "q08_spectral_line", "fx_vis")
     assert read == rows > 0
+
+
+def _thinned(rows, distance):
+    """Ids that stay, one decision after the other."""
+    apart = lambda a, b: 2 * np.arcsin(np.sqrt(np.sin((b[2] - a[2]) / 2) ** 2 + np.cos(a[2]) * np.cos(b[2]) * np.sin((b[1] - a[1]) / 2) ** 2))
+    there = dict.fromkeys((r[0] for r in rows), True)
+    for n, a in enumerate(rows):
+        b = next((b for b in rows[n + 1 :] if there[a[0]] and there[b[0]] and apart(a, b) < distance), None)
+        if b is not None:
+            brighter = a[3] is not None and b[3] is not None and (a[3] > b[3] or (a[3] != a[3] and b[3] == b[3]))
+            there[(b if brighter else a)[0]] = False
+    return {k for k, v in there.items() if v}
+
+
+COMPONENTS = "comp_id long, ra double, dec double, flux0 double"
+
+
+def test_a_crowd_takes_few_rounds(spark, monkeypatch):
+    written = []
+    for module in (neighbours, skymodel):
+        materialize = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, write=materialize: written.append(1) or write(df))
+    rng = np.random.default_rng(3)
+    rows = [(k, 0.1, -0.5 + 1e-4 * (k % 3), float(f)) for k, f in enumerate(rng.integers(1, 9, 400))]
+    got = {r.comp_id for r in skymodel.remove_neighbours(spark.createDataFrame(rows, COMPONENTS), 0.003, "flux0").collect()}
+    assert got == _thinned(rows, 0.003) and len(written) < 12
+
+
+def test_neighbours_in_stretches_and_tiles(spark):
+    """Over many tiles and stretches of the list decisions are those of the whole list, with equal, null and NaN fluxes and fluxes that fall."""
+    rng = np.random.default_rng(4)
+    sky = rng.uniform(-0.02, 0.02, (300, 2))
+    odd = {5: None, 60: float("nan"), 61: None, 200: float("nan")}
+    for flux in (lambda k: float(rng.integers(1, 6)), lambda k: float(-k // 4)):
+        rows = [(3 * k, float(a), float(b), odd.get(k, flux(k))) for k, (a, b) in enumerate(sky)]
+        df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 1.0), (2, None, 0.0, 1.0), (4, float("nan"), 0.0, 1.0)], COMPONENTS)
+        lost = {r.comp_id for r in neighbours.lost_neighbours(df, 0.004, "flux0", rows=60, tile=4.0).collect()}
+        assert {r[0] for r in rows} - lost == _thinned(rows, 0.004) and not lost & {2, 4, None}
