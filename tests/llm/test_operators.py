@@ -393,6 +393,19 @@ def test_lm_probabilities_add_up(monkeypatch, lm_model):
         assert abs((2**longer).sum() / 2**whole - 1) < 1e-4
 
 
+def test_lm_contexts_hold_a_text_and_a_word():
+    """A hash is that of the same bytes alone: four before it, or the word so far, in no other text."""
+    raw = [b"ab", b"", b"one two " + b"y" * 90, b"two", b"y" * 90]
+    data, starts = lm_mixing.flat_bytes([x + b"\xff" for x in raw])
+    four, word = lm_mixing.context_hashes(data, starts)
+    at = [(k, j) for k, x in enumerate(raw) for j in range(len(x) + 1)]
+    for hashes, key in ((four, lambda x, j: (b"\xff" * 4 + x[:j])[-4:]), (word, lambda x, j: x[:j].split(b" ")[-1])):
+        seen = {}
+        for h, (k, j) in zip(hashes.tolist(), at, strict=True):
+            assert seen.setdefault(key(raw[k], j), h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_lm_texts_are_scored_apart(lm_model):
     raw = [b"ab", (PROSE * 30).encode(), b"x" * 3000, b"", b"ab"]
     raw = [x + b"\xff" for x in raw]
