@@ -439,6 +439,35 @@ def test_lm_against_one_decision_at_a_time(lm_model):
     assert lengths.sum() == len(outcomes)
 
 
+def test_lm_table_counts_a_path_once_a_subtree(spark, lm_model):
+    """The table is that of counting every decision of every byte, with one addition for up to three of them."""
+    codes, bits = lm_model[0], 12
+    texts = [PROSE, "", "x" * 300, PROSE[:50]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    data, starts = lm_mixing.flat_bytes([t.encode() + b"\xff" for t in texts])
+    symbols = codes.number(data, starts)
+    counts, subtrees = np.zeros((1 << bits, 2)), 0
+    for k, hashes in enumerate(lm_mixing.context_hashes(data, starts)):
+        for symbol, h in zip(symbols.tolist(), hashes.tolist(), strict=True):
+            subtrees += -(-int(codes.length[symbol]) // 3)
+            for d in range(codes.length[symbol]):
+                cell = symbol * codes.most + d
+                block = ((h ^ int(codes.root[symbol * codes.deep + d // 3])) * int(lm_mixing._SPREAD[k]) % 2**32) >> (32 - (bits - 3))
+                counts[8 * block + int(codes.local[cell]), codes.bit[cell]] += 1
+    want = np.clip(np.round(np.log((counts[:, 1] + 0.1) / (counts[:, 0] + 0.1)) * lm_mixing.SCALE), -127, 127)
+    assert (lm_mixing.gather_tables(docs, codes, bits, fan=2) == want).all()
+    rows = lm_mixing.table_rows(docs, codes, bits).toPandas()
+    assert sum(int(lm_mixing._add_counts([x]).sum()) for x in rows["data"]) == subtrees < counts.sum()
+
+
+def test_lm_texts_in_groups_are_scored_as_together(lm_model):
+    """How many texts go side by side, and how much is prepared at once, changes no score."""
+    raw = [(PROSE[k:] * (1 + k % 3)).encode() + b"\xff" for k in range(0, 40, 3)]
+    refs = [PROSE.encode() if k % 2 else None for k in range(len(raw))]
+    together = lm_mixing.mixed_bits(raw, refs, *lm_model)
+    assert np.allclose(lm_mixing.mixed_bits(raw, refs, *lm_model, lanes=4, prepared=300, at_once=30), together, rtol=1e-5)
+
+
 def test_lm_knows_a_text_that_occurs_twice(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(400)]
