@@ -228,3 +228,35 @@ def test_neighbours_in_stretches_and_tiles(spark):
         df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 1.0), (2, None, 0.0, 1.0), (4, float("nan"), 0.0, 1.0)], COMPONENTS)
         lost = {r.comp_id for r in neighbours.lost_neighbours(df, 0.004, "flux0", rows=60, tile=4.0).collect()}
         assert {r[0] for r in rows} - lost == _thinned(rows, 0.004) and not lost & {2, 4, None}
+
+
+def _numbers_met(df) -> float:
+    """How many numbers the dictionaries of a file's columns hold for 4,096 rows, in the order in which they are written."""
+    rows = df.collect()
+    return float(np.median([sum(len({r[c] for r in rows[k : k + 4096]}) for c in range(len(df.columns))) for k in range(0, len(rows) - 4095, 4096)]))
+
+
+def _repeated_array(spark, positions, directions):
+    """Six antennas at each position, and five components in each direction, with ids far apart."""
+    antennas = spark.range(6 * positions).selectExpr(f"(id % {positions}) + 1000 * (id DIV {positions}) AS ant", f"CAST(abs(xxhash64(id % {positions})) % 1000000 AS DOUBLE) / 100 AS x", f"40.0D * (id % {positions} % 25) AS y", "10.0D AS z")
+    components = spark.range(5 * directions).selectExpr(f"(id % {directions}) + 1000 * (id DIV {directions}) AS comp_id", f"0.1D + 0.001D * (id * 7 % {directions}) AS ra", f"-0.5D + 0.002D * (id % {directions}) AS dec")
+    return antennas, components
+
+
+def test_baselines_are_written_in_tiles(spark):
+    antennas, _ = _repeated_array(spark, 100, 1)
+    assert _numbers_met(joins.baselines(antennas)) < 600
+
+
+def test_tiles_hold_every_pair(spark):
+    """Odd sizes, one side empty, positions that are null or not a number, many others than are broadcast."""
+    rows = spark.createDataFrame([(i, None if i == 3 else float("nan") if i == 4 else float(i % 5)) for i in range(23)], "a long, x double")
+    others = spark.createDataFrame([(i, float(i % 3)) for i in range(17)], "b long, y double")
+    want = {(i, j) for i in range(23) for j in range(17)}
+    for more in ({"tile": 4}, {"tile": 64}, {"tile": 4, "broadcast_rows": 5, "task_pairs": 10}):
+        got = [(r.a, r.b) for r in joins.tiled_pairs(rows, others, ["x", "a"], ["y", "b"], **more).collect()]
+        assert len(got) == len(want) and set(got) == want
+        less = [(r.a, r.b) for r in joins.tiled_pairs(rows, others, ["x", "a"], ["y", "b"], F.col("b") > F.col("a"), **more).collect()]
+        assert sorted(less) == sorted((i, j) for i, j in want if j > i)
+    assert joins.tiled_pairs(rows, others.where("b < 0"), ["x", "a"], ["y", "b"]).count() == 0
+    assert joins.tiled_pairs(rows.where("a < 0"), others, ["x", "a"], ["y", "b"]).count() == 0
