@@ -260,3 +260,8 @@ def test_tiles_hold_every_pair(spark):
         assert sorted(less) == sorted((i, j) for i, j in want if j > i)
     assert joins.tiled_pairs(rows, others.where("b < 0"), ["x", "a"], ["y", "b"]).count() == 0
     assert joins.tiled_pairs(rows.where("a < 0"), others, ["x", "a"], ["y", "b"]).count() == 0
+
+
+def test_separations_are_written_in_tiles(spark):
+    _, components = _repeated_array(spark, 1, 200)
+    assert _numbers_met(joins.separations(components.where("comp_id % 3 > 0"), components)) < 600
