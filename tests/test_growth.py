@@ -262,6 +262,11 @@ def test_tiles_hold_every_pair(spark):
     assert joins.tiled_pairs(rows.where("a < 0"), others, ["x", "a"], ["y", "b"]).count() == 0
 
 
+def test_pierce_points_are_written_in_tiles(spark):
+    antennas, components = _repeated_array(spark, 50, 200)
+    assert _numbers_met(screens.pierce_points(antennas, components, 3e5, 0.1, -0.5)) < 600
+
+
 def test_separations_are_written_in_tiles(spark):
     _, components = _repeated_array(spark, 1, 200)
     assert _numbers_met(joins.separations(components.where("comp_id % 3 > 0"), components)) < 600
