@@ -267,6 +267,13 @@ def test_pierce_points_are_written_in_tiles(spark):
     assert _numbers_met(screens.pierce_points(antennas, components, 3e5, 0.1, -0.5)) < 600
 
 
+def test_sampled_gains_are_written_in_tiles(spark):
+    antennas, components = _repeated_array(spark, 50, 200)
+    screen = spark.range(4096).selectExpr("id DIV 64 AS y", "id % 64 AS x", "0.001D * (id + 1) AS value")
+    points = screens.pierce_points(antennas, components, 3e5, 0.1, -0.5)
+    assert _numbers_met(screens.sample_screen(points, screen, 1e8, 4e3, 64)) < 400
+
+
 def test_separations_are_written_in_tiles(spark):
     _, components = _repeated_array(spark, 1, 200)
     assert _numbers_met(joins.separations(components.where("comp_id % 3 > 0"), components)) < 600
