@@ -277,3 +277,19 @@ def test_sampled_gains_are_written_in_tiles(spark):
 def test_separations_are_written_in_tiles(spark):
     _, components = _repeated_array(spark, 1, 200)
     assert _numbers_met(joins.separations(components.where("comp_id % 3 > 0"), components)) < 600
+
+
+def test_a_wide_beam_stays_within_the_image(spark, monkeypatch):
+    """A fitted beam may be far wider than the image: neither its kernel nor what it makes is wider."""
+    rng = np.random.default_rng(5)
+    plane = rng.uniform(0, 1, (5, 8))
+    image = spark.createDataFrame([(0, 0, y + 3, x - 2, float(plane[y, x])) for y in range(5) for x in range(8)], "chan long, pol long, y long, x long, value double")
+    kernels, explode = [], F.explode
+    monkeypatch.setattr(images.F, "explode", lambda c: kernels.append(c) or explode(c))
+    for width in (4.25, 30.0, 1e9):
+        got = {(r.y - 3, r.x + 2): r.value for r in images.smooth(image, width).collect()}
+        ky, kx = (np.exp(-((np.arange(n)[:, None] - np.arange(n)) ** 2) / (2 * width * width)) for n in plane.shape)
+        want = ky @ plane @ kx
+        assert len(got) == 40 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert [spark.range(1).select(F.size(k)).first()[0] for k in kernels] == 3 * [15, 9]
+    assert images.smooth(image.where("y < 0"), 30.0).count() == 0
